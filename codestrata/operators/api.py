@@ -27,9 +27,11 @@ def commands(facts: DataFrame, kind: str) -> DataFrame:
 
 def tagged(facts: DataFrame, kinds: list[str]) -> Column:
     """All rows of several kinds as one array, each with its kind."""
-    return F.concat(
-        *(F.transform(k, lambda r, k=k: F.struct(F.lit(k).alias("kind"), r.alias("row"))) for k in kinds)
-    )
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(kind, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("row")))
+
+    return F.concat(*map(of_kind, kinds))
 
 
 def endpoints(facts: DataFrame) -> DataFrame:

@@ -15,11 +15,15 @@ from .manifests import repos
 C = F.col
 
 
-def sample(facts: DataFrame) -> DataFrame:
-    rows = facts.where(is_convention_source()).select("repo", "path", "parts", "stem", "suffix", "style")
+def sample(facts: DataFrame, *signals: str) -> DataFrame:
+    rows = facts.where(is_convention_source()).select("repo", "path", "parts", "stem", "suffix", *signals)
     return first_rows(rows, ["repo"], [F.asc("parts")], R.CONVENTION_SAMPLE, "rank")
 
 
+def styled(facts: DataFrame) -> DataFrame:
+    return sample(facts, "style")
+
+
 def convention_sample(facts: DataFrame) -> DataFrame:
     return sample(facts).select("repo", "rank", "path")
 
@@ -34,7 +38,7 @@ def some(test: Column) -> Column:
 
 def naming_style(facts: DataFrame) -> DataFrame:
     snake_file = F.contains("stem", F.lit("_")) & (C("stem") == F.lower("stem"))
-    votes = sample(facts).groupBy("repo").agg(
+    votes = styled(facts).groupBy("repo").agg(
         F.sum("style.snake").alias("snake"),
         F.sum("style.camel").alias("camel"),
         F.sum("style.pascal").alias("pascal"),
@@ -66,7 +70,7 @@ def indent() -> Column:
 
 
 def indent_per_file(facts: DataFrame) -> DataFrame:
-    return sample(facts).select(
+    return styled(facts).select(
         "repo",
         "path",
         C("style.tabs").cast("bigint").alias("tab_lines"),
@@ -92,25 +96,25 @@ def majority(rows: DataFrame, vote: Column) -> DataFrame:
 
 
 def indent_style(facts: DataFrame) -> DataFrame:
-    top = majority(sample(facts), indent())
+    top = majority(styled(facts), indent())
     tabs = C("vote") == "tabs"
-    styled = top.select(
+    widths = top.select(
         "repo",
         F.when(tabs, "tabs").otherwise("spaces").alias("indent_style"),
         F.when(~tabs, C("vote")).cast("int").alias("indent_width"),
     )
-    return for_every_repo(facts, styled)
+    return for_every_repo(facts, widths)
 
 
 def quote_style(facts: DataFrame) -> DataFrame:
     singles, doubles = C("style.singles"), C("style.doubles")
     vote = F.when(singles > doubles, "single").when(doubles > singles, "double")
-    return for_every_repo(facts, majority(sample(facts), vote).select("repo", C("vote").alias("quotes")))
+    return for_every_repo(facts, majority(styled(facts), vote).select("repo", C("vote").alias("quotes")))
 
 
 def semicolon_style(facts: DataFrame) -> DataFrame:
     ending = C("style.semi") > C("style.code_lines") - C("style.semi")
-    scripts = sample(facts).where(T.is_in("suffix", R.JS_SUFFIXES))
+    scripts = styled(facts).where(T.is_in("suffix", R.JS_SUFFIXES))
     votes = scripts.groupBy("repo").agg(
         (F.count_if(ending) >= F.count_if(~ending)).alias("semicolons")
     )
@@ -118,7 +122,7 @@ def semicolon_style(facts: DataFrame) -> DataFrame:
 
 
 def import_style(facts: DataFrame) -> DataFrame:
-    sums = sample(facts).groupBy("repo").agg(
+    sums = styled(facts).groupBy("repo").agg(
         F.sum("style.relative").alias("relative"), F.sum("style.absolute").alias("absolute")
     )
     relative, absolute = C("relative"), C("absolute")
@@ -129,12 +133,12 @@ def import_style(facts: DataFrame) -> DataFrame:
         .when(ratio < 0.3, "absolute")
         .otherwise("mixed")
     )
-    styled = for_every_repo(facts, sums).fillna(0)
-    return styled.select("repo", relative.alias("relative_imports"), absolute.alias("absolute_imports"), style.alias("import_style"))
+    filled = for_every_repo(facts, sums).fillna(0)
+    return filled.select("repo", relative.alias("relative_imports"), absolute.alias("absolute_imports"), style.alias("import_style"))
 
 
 def error_handling(facts: DataFrame) -> DataFrame:
-    sums = sample(facts).groupBy("repo").agg(
+    sums = styled(facts).groupBy("repo").agg(
         F.sum("style.tries").alias("tries"),
         F.sum("style.results").alias("results"),
         F.sum("style.error_first").alias("error_first"),
@@ -187,7 +191,7 @@ def linter_config(facts: DataFrame) -> DataFrame:
 
 
 def consistency_score(facts: DataFrame) -> DataFrame:
-    top = majority(sample(facts), indent())
+    top = majority(styled(facts), indent())
     away = 1.0 - C("votes").cast("double") / C("total")
     score = F.greatest((100 - away * 100).cast("int"), F.lit(0))
     scored = for_every_repo(facts, top.select("repo", score.alias("consistency_score")))

@@ -84,9 +84,10 @@ def test_score() -> tuple[Column, Column]:
 
 def complexity_score() -> tuple[Column, Column]:
     score = F.least((share("complex_files", "code_files") * 200).cast("int"), F.lit(100))
+    score = F.when(C("code_files") > 0, score).otherwise(0)  # least() would skip a null
     some = text_of(f"%d files exceed {R.COMPLEX_LINES} lines.", C("complex_files"))
     none = F.lit(f"No files exceed {R.COMPLEX_LINES} lines.")
-    return F.coalesce(score, F.lit(0)), F.when(C("complex_files") > 0, some).otherwise(none)
+    return score, F.when(C("complex_files") > 0, some).otherwise(none)
 
 
 def documentation_score() -> tuple[Column, Column]:
@@ -96,7 +97,7 @@ def documentation_score() -> tuple[Column, Column]:
         C("undocumented_files"), C("python_files"), fixed(ratio * 100, 0),
     )
     return (
-        F.coalesce(F.least((ratio * 100).cast("int"), F.lit(100)), F.lit(0)),
+        F.when(C("python_files") > 0, F.least((ratio * 100).cast("int"), F.lit(100))).otherwise(0),
         F.when(C("python_files") > 0, detail).otherwise(R.NO_PYTHON),
     )
 
@@ -107,7 +108,7 @@ def dead_score() -> tuple[Column, Column]:
         "%d/%d Python files have no imports from internal modules.", C("dead_files"), C("python_files")
     )
     return (
-        F.coalesce(clamp((ratio - 0.5) * 200), F.lit(0)),
+        F.when(C("python_files") > 0, clamp((ratio - 0.5) * 200)).otherwise(0),
         F.when(C("python_files") > 0, detail).otherwise(R.NO_PYTHON),
     )
 

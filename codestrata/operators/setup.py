@@ -165,10 +165,11 @@ def run_commands_of() -> Column:
 
     readmes = ["readme_md", "readme_rst", "readme_txt", "readme"]
     found = F.concat(*(in_readme(or_empty(r)) for r in readmes))
-    labels = [w.split()[0] for w in R.RUN_KEYWORDS]
-    firsts = F.array(
-        *(F.get(F.filter(found, lambda r, label=label: r["label"] == label), F.lit(0)) for label in dict.fromkeys(labels))
-    )
+
+    def first(label: str) -> Column:
+        return F.get(F.filter(found, lambda r: r["label"] == label), F.lit(0))
+
+    firsts = F.array(*map(first, dict.fromkeys(w.split()[0] for w in R.RUN_KEYWORDS)))
     scripts = F.array(
         F.when(script("dev").isNotNull(), F.struct(F.lit("dev").alias("label"), F.lit("npm run dev").alias("command"))),
         F.when(script("start").isNotNull(), F.struct(F.lit("start").alias("label"), F.lit("npm start").alias("command"))),
