@@ -104,8 +104,12 @@ def structure_pattern(tree: DataFrame) -> DataFrame:
     )
 
 
+def is_entry_point() -> Column:
+    return T.is_in("name", list(R.ENTRY_POINTS))
+
+
 def entry_points(tree: DataFrame) -> DataFrame:
-    return tree.where(T.is_in("name", list(R.ENTRY_POINTS))).select(
+    return tree.where(is_entry_point()).select(
         "repo", "path", T.lookup(R.ENTRY_POINTS, "name").alias("entry_type")
     )
 
@@ -163,7 +167,7 @@ def key_files(tree: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         C("to_module").alias("path"),
         (C("in_degree").cast("double") / C("highest") * 40).cast("int").alias("graph"),
     )
-    entry = T.is_in("name", list(R.ENTRY_POINTS))
+    entry = is_entry_point()
     score = (
         F.when(entry, 50).otherwise(0)
         + F.coalesce("graph", F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as T
 from ..functions.scale import first_rows
 
 C = F.col
+WEIGHTS = R.DEBT_WEIGHTS
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -177,7 +180,7 @@ def dimension_columns() -> list[tuple[str, Column, Column]]:
         "documentation": documentation_score(),
         "dead_code": dead_score(),
     }
-    return [(name, *parts[name]) for name in R.DEBT_WEIGHTS]
+    return [(name, *parts[name]) for name in WEIGHTS]
 
 
 def debt_dimensions(tree: DataFrame) -> DataFrame:
@@ -186,7 +189,7 @@ def debt_dimensions(tree: DataFrame) -> DataFrame:
             F.lit(i + 1).alias("position"),
             F.lit(name).alias("dimension"),
             score.cast("int").alias("score"),
-            F.lit(R.DEBT_WEIGHTS[name]).alias("weight"),
+            F.lit(WEIGHTS[name]).alias("weight"),
             detail.alias("detail"),
         )
         for i, (name, score, detail) in enumerate(dimension_columns())
@@ -203,13 +206,19 @@ def ladder(value: Column, steps: list[tuple[int, str]], last: str, rising: bool)
     return choice.otherwise(last)
 
 
+def overall_of(dimensions: list[tuple[str, Column, Column]]) -> Column:
+    """Weighted sum, added up in the order of the dimensions."""
+    terms = [score.cast("double") * F.lit(WEIGHTS[name]) for name, score, _ in dimensions]
+    return clamp(reduce(lambda a, b: a + b, terms))
+
+
+def grade_of(score: Column) -> Column:
+    return ladder(score, R.DEBT_GRADES, "F", rising=False)
+
+
 def debt_score(tree: DataFrame) -> DataFrame:
-    total = None
-    for name, score, _ in dimension_columns():
-        term = score.cast("double") * F.lit(R.DEBT_WEIGHTS[name])
-        total = term if total is None else total + term
-    overall = with_dead(tree).select("repo", clamp(total).alias("score"))
-    return overall.withColumn("grade", ladder(C("score"), R.DEBT_GRADES, "F", rising=False))
+    overall = with_dead(tree).select("repo", overall_of(dimension_columns()).alias("score"))
+    return overall.withColumn("grade", grade_of(C("score")))
 
 
 def debt_recommendations(tree: DataFrame) -> DataFrame:

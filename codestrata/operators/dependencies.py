@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from .manifests import roots, there, toml_body, toml_sections
+from .manifests import repos, roots, there, toml_body, toml_sections
 
 C = F.col
 DEP = "struct<name:string,current_version:string,license:string,status:string>"
@@ -196,13 +196,12 @@ def dependencies(facts: DataFrame, root_rows: DataFrame | None = None) -> DataFr
     return kept.select("repo", "d.position", "d.name", "d.current_version", "d.license", "d.status")
 
 
-def package_manager(facts: DataFrame, root_rows: DataFrame | None = None) -> DataFrame:
-    rows = roots(facts) if root_rows is None else root_rows
+def manager_of() -> Column:
     python_deps = F.size(or_none(from_specs(pyproject_specs()))) > 0
     script_deps = F.size(package_entries()) > 0
     pip = there("requirements") | (there("pyproject") & python_deps)
     npm = there("package") & ((~there("requirements") & ~there("pyproject")) | script_deps)
-    manager = (
+    return (
         F.when(npm, "npm")
         .when(pip, "pip")
         .when(there("go_mod"), "go")
@@ -210,24 +209,28 @@ def package_manager(facts: DataFrame, root_rows: DataFrame | None = None) -> Dat
         .when(there("gemfile"), "bundler")
         .otherwise("none")
     )
-    return rows.select("repo", manager.alias("package_manager"))
 
 
-def dependency_risk(facts: DataFrame, root_rows: DataFrame | None = None) -> DataFrame:
-    rows = roots(facts) if root_rows is None else root_rows
-    counted = dependencies(facts, rows).groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_deps"), F.count_if(C("status") == "outdated").alias("outdated_count")
-    )
-    joined = rows.select("repo").join(counted, "repo", "left").fillna(0)
+def package_manager(facts: DataFrame) -> DataFrame:
+    return roots(facts).select("repo", manager_of().alias("package_manager"))
+
+
+def risk_of() -> Column:
     total = C("total_deps")
     ratio = C("outdated_count").cast("double") / F.when(total > 0, total)
     size = F.when(total > 100, 20).when(total > 50, 10).otherwise(0)
-    risk = F.coalesce((ratio * 40).cast("int"), F.lit(0)) + size
-    return joined.select(
+    return F.least(F.coalesce((ratio * 40).cast("int"), F.lit(0)) + size, F.lit(100)).cast("int")
+
+
+def dependency_risk(facts: DataFrame) -> DataFrame:
+    counted = dependencies(facts).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("total_deps"), F.count_if(C("status") == "outdated").alias("outdated_count")
+    )
+    return repos(facts).join(counted, "repo", "left").fillna(0).select(
         "repo",
         "total_deps",
-        total.alias("direct_deps"),
+        C("total_deps").alias("direct_deps"),
         "outdated_count",
         F.lit(0).cast("bigint").alias("vulnerability_count"),
-        F.least(risk, F.lit(100)).cast("int").alias("risk_score"),
+        risk_of().alias("risk_score"),
     )

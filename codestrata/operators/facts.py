@@ -8,7 +8,7 @@ and then never touches file contents again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ def identify(files: DataFrame) -> DataFrame:
     suffix = F.regexp_extract("name", r"^.+(\.[^.]+)$", 1)
     return (
         files.withColumn("content", content)
+        .withColumn("lowered", F.lower("content"))
         .withColumn("parts", F.split("path", "/"))
         .withColumn("name", F.substring_index("path", "/", -1))
         .withColumn("suffix", suffix)
@@ -75,14 +76,17 @@ def python_imports(content: Column) -> Column:
 
     modules = F.flatten(F.transform(T.find_all(content, R.PY_IMPORT, 0), names))
     tops = F.transform(modules, lambda m: F.substring_index(m, ".", 1))
-    return F.array_distinct(F.filter(tops, lambda m: m != ""))
+    found = F.array_distinct(F.filter(tops, lambda m: m != ""))
+    return F.when(F.contains(content, F.lit("import")), found).otherwise(T.empty("string"))
 
 
 def script_imports(content: Column) -> Column:
     """Distinct module specifiers that are not relative."""
     statements = T.find_all(content, R.JS_IMPORT, 0)
     specifiers = F.transform(statements, lambda s: T.find(s, r"""['"]([@\w/.-]+)['"]\)?$"""))
-    return F.array_distinct(F.filter(specifiers, lambda s: (s != "") & ~F.startswith(s, F.lit("."))))
+    found = F.array_distinct(F.filter(specifiers, lambda s: (s != "") & ~F.startswith(s, F.lit("."))))
+    wanted = F.contains(content, F.lit("import")) | F.contains(content, F.lit("require("))
+    return F.when(wanted, found).otherwise(T.empty("string"))
 
 
 def todos(content: Column) -> Column:
@@ -121,9 +125,17 @@ def secret_lines(content: Column) -> Column:
 # --- security ----------------------------------------------------------------------
 
 
+def holds_any(pattern: str, needles: list[str]) -> Column:
+    """Cheap test a match depends on; ``lowered`` is the content in lower case."""
+    text = C("lowered") if pattern.startswith("(?i)") else C("content")
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needles))
+
+
 def file_secrets(content: Column) -> Column:
+    kind = "array<struct<severity:string,line:int,description:string>>"
+
     def rule(name: str, pattern: str, severity: str) -> Column:
-        return F.transform(
+        found = F.transform(
             T.matches_with_lines(content, pattern),
             lambda m: F.struct(
                 F.lit(severity).alias("severity"),
@@ -133,6 +145,8 @@ def file_secrets(content: Column) -> Column:
                 ).alias("description"),
             ),
         )
+        needed = holds_any(pattern, R.SECRET_NEEDS[name])
+        return F.when(needed, found.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
 
     return F.concat(*(rule(*r) for r in R.FILE_SECRETS))
 
@@ -157,7 +171,9 @@ def sql_strings(content: Column) -> Column:
 
 
 def auth_name(content: Column) -> Column:
-    return F.coalesce(*(F.when(T.has(content, p), F.lit(n)) for n, p in R.AUTH_PATTERNS))
+    return F.coalesce(
+        *(F.when(holds_any(p, R.AUTH_NEEDS[n]) & T.has(content, p), F.lit(n)) for n, p in R.AUTH_PATTERNS)
+    )
 
 
 # --- API ---------------------------------------------------------------------------------
@@ -398,7 +414,7 @@ def facts(files: DataFrame, *names: str) -> DataFrame:
         "scannable": scannable(),
         **{name: signal(name) for name in names or signals()},
     }
-    return identify(files).withColumns(columns).drop("content")
+    return identify(files).withColumns(columns).drop("content", "lowered")
 
 
 # --- scopes ------------------------------------------------------------------------------------------
@@ -431,8 +447,8 @@ def ignore_rules(all_facts: DataFrame) -> DataFrame:
     )
 
 
-def drop_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
-    """Rows whose path, folders and name match no rule of their repository.
+def mark_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
+    """Add ``ignored``: whether the path, a folder of it or its name matches a rule of the repository.
 
     A rule may match a single component, the path, or the path of any folder
     above; all these candidates are put on lines of one text and tested at once.
@@ -440,8 +456,11 @@ def drop_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
     prefixes = F.transform("parts", lambda _, i: F.array_join(F.slice("parts", F.lit(1), i + 1), "/"))
     candidates = F.array_join(F.concat("parts", prefixes), "\n")
     joined = join_spread(rows, ignore_rules(all_facts), ["repo"], ["path"], "left")
-    kept = C("_ignored").isNull() | ~F.rlike(candidates, C("_ignored"))
-    return joined.where(kept).drop("_ignored")
+    return joined.withColumn("ignored", F.coalesce(F.rlike(candidates, C("_ignored")), F.lit(False))).drop("_ignored")
+
+
+def drop_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
+    return mark_ignored(rows, all_facts).where("not ignored").drop("ignored")
 
 
 def walked(all_facts: DataFrame) -> DataFrame:

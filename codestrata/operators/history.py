@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import first_rows
+from ..functions.scale import first_rows, join_spread
 
 C = F.col
 
@@ -44,6 +44,8 @@ def contributors(commits: DataFrame, limit: int | None = None) -> DataFrame:
 def recent_files(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     """Files of the last fifty commits, the most recently touched first."""
     last = last_commits(commits, R.RECENT_COMMITS).select("repo", "commit_id", "age")
-    touched = commit_files.join(last, ["repo", "commit_id"]).groupBy("repo", "path").agg(F.min("age").alias("age"))
+    # a single commit may touch a large share of all files
+    rows = join_spread(commit_files, last, ["repo", "commit_id"], ["path"], "inner")
+    touched = rows.groupBy("repo", "path").agg(F.min("age").alias("age"))
     order = [F.asc("age"), F.asc("path")]
     return first_rows(touched, ["repo"], order, R.RECENT_FILES, "rank").select("repo", "rank", "path")

@@ -113,14 +113,13 @@ def security_findings(facts: DataFrame, commit_files: DataFrame) -> DataFrame:
     )
 
 
-def security_flags(facts: DataFrame, commit_files: DataFrame, root_rows: DataFrame | None = None) -> DataFrame:
+def security_flags(facts: DataFrame, commit_files: DataFrame) -> DataFrame:
     """Counts and switches per repository that risk and advice depend on."""
     counted = facts.groupBy("repo").agg(
         F.sum(F.size("secrets")).cast("bigint").alias("secrets_found"),
         F.sum(F.size("sql_strings")).cast("bigint").alias("sql_found"),
     )
-    rooted = roots(facts) if root_rows is None else root_rows
-    exposed = rooted.select("repo", unprotected_env().alias("env_exposed"), ports().alias("ports"))
+    exposed = roots(facts).select("repo", unprotected_env().alias("env_exposed"), ports().alias("ports"))
     history = env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))
     return counted.join(exposed, "repo").join(history, "repo", "left").fillna(False, ["env_in_history"])
 
