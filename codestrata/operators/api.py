@@ -51,29 +51,31 @@ def total_size(kinds: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.size(k) for k in kinds))
 
 
+def route_columns() -> list[Column]:
+    """Routes, and routes in files without any docstring quotes; counted file by file, so no join is needed."""
+    routes = total_size(ROUTE_KINDS)
+    return [
+        F.sum(routes).cast("bigint").alias("total_routes"),
+        F.sum(F.when(~C("has_docstring"), routes).otherwise(0)).cast("bigint").alias("undocumented_routes"),
+    ]
+
+
+def command_columns() -> list[Column]:
+    return [
+        F.sum(total_size(COMMAND_KINDS)).cast("bigint").alias("total_commands"),
+        F.bool_or(C("path").isin("setup.py", "pyproject.toml")).alias("packaged"),
+    ]
+
+
 def undocumented_routes(facts: DataFrame) -> DataFrame:
-    """Routes in files without any docstring quotes; counted file by file, so no join is needed."""
-    counted = facts.select("repo", "has_docstring", total_size(ROUTE_KINDS).alias("routes"))
-    return counted.groupBy("repo").agg(
-        F.sum("routes").cast("bigint").alias("total_routes"),
-        F.sum(F.when(~C("has_docstring"), C("routes")).otherwise(0)).cast("bigint").alias("undocumented_routes"),
-    )
+    return facts.groupBy("repo").agg(*route_columns())
 
 
-def api_report(facts: DataFrame) -> DataFrame:
-    counted = facts.select(
-        "repo",
-        "has_docstring",
-        C("path").isin("setup.py", "pyproject.toml").alias("packaged"),
-        total_size(ROUTE_KINDS).alias("routes"),
-        total_size(COMMAND_KINDS).alias("commands"),
-    )
-    sums = counted.groupBy("repo").agg(
-        F.sum("routes").cast("bigint").alias("total_routes"),
-        F.sum("commands").cast("bigint").alias("total_commands"),
-        F.sum(F.when(~C("has_docstring"), C("routes")).otherwise(0)).cast("bigint").alias("undocumented_routes"),
-        F.bool_or("packaged").alias("packaged"),
-    )
+def api_of(sums: DataFrame) -> DataFrame:
     http, cli = C("total_routes") > 0, C("total_commands") > 0
     kind = F.when(http & cli, "mixed").when(cli, "cli").when(http, "rest").when(C("packaged"), "library").otherwise("rest")
     return sums.select("repo", kind.alias("api_type"), "total_routes", "total_commands", "undocumented_routes")
+
+
+def api_report(facts: DataFrame) -> DataFrame:
+    return api_of(facts.groupBy("repo").agg(*route_columns(), *command_columns()))

@@ -11,6 +11,7 @@ from .. import rules as R
 from ..functions import text as T
 from ..functions.scale import first_rows, join_spread
 from .languages import corpus_totals, language_breakdown
+from .manifests import roots
 
 C = F.col
 PACKAGE_JSON = "dependencies map<string,string>, devDependencies map<string,string>"
@@ -43,49 +44,71 @@ def framework_js(tree: DataFrame) -> DataFrame:
     return tree.select("repo", "path", script_framework().alias("framework")).where("framework is not null")
 
 
+ORDERED = [*R.FRAMEWORK_MANIFESTS, "package.json"]
+
+
+def framework_columns() -> list[Column]:
+    """Framework of the last file of each manifest name, as aggregates per repository."""
+    found = F.coalesce(python_framework(), script_framework())
+    named = [
+        F.max_by(F.when(C("name") == n, found), F.when(C("walked") & (C("name") == n), C("parts"))).alias(f"fw_{i}")
+        for i, n in enumerate(ORDERED)
+    ]
+    django = F.coalesce(F.bool_or(C("walked") & (C("name") == "manage.py")), F.lit(False))
+    return [*named, django.alias("has_manage")]
+
+
+def has_framework_file() -> Column:
+    return T.is_in("name", [*ORDERED, "manage.py"])
+
+
+def framework_of() -> Column:
+    """First framework over the manifests in order, then Django's manage.py."""
+    return F.coalesce(*(C(f"fw_{i}") for i in range(len(ORDERED))), F.when(C("has_manage"), "django"))
+
+
 def framework(tree: DataFrame) -> DataFrame:
-    """First framework over the manifests in order; of several same-named files the last counts."""
-    marked = tree.where(T.is_in("name", [*R.FRAMEWORK_MANIFESTS, "package.json", "manage.py"])).select(
-        "repo", "name", "parts", F.coalesce(python_framework(), script_framework()).alias("fw")
-    )
-    order = [*R.FRAMEWORK_MANIFESTS, "package.json"]
-    per_name = marked.groupBy("repo", "name").agg(F.max_by("fw", "parts").alias("fw"))
-    rank = F.array_position(F.array(*map(F.lit, order)), C("name"))
-    choice = F.when(C("name") == "manage.py", "django").otherwise(C("fw"))
-    place = F.when(C("name") == "manage.py", len(order) + 1).otherwise(rank)
-    found = (
-        per_name.where(choice.isNotNull())
-        .groupBy("repo")
-        .agg(F.min_by(choice, place).alias("framework"))
-    )
-    return tree.select("repo").distinct().join(found, "repo", "left")
+    found = tree.where(has_framework_file()).groupBy("repo").agg(*framework_columns())
+    return tree.select("repo").distinct().join(found, "repo", "left").select("repo", framework_of().alias("framework"))
 
 
-def project_type(tree: DataFrame) -> DataFrame:
-    library = (
-        C("name").isin("pyproject.toml", "setup.py")
-        & (C("depth") == 1)
-        & F.contains("manifest", F.lit("[project]"))
-        & ~F.contains("manifest", F.lit("scripts"))
-    )
-    flags = tree.groupBy("repo").agg(
-        F.bool_or(F.coalesce(T.is_in("top_dir", R.MONOREPO_DIRS), F.lit(False))).alias("monorepo"),
-        F.bool_or(C("name").isin("cli.py", "__main__.py")).alias("cli"),
-        F.bool_or(C("name").isin("pyproject.toml", "setup.py")).alias("packaged"),
-        F.bool_or(F.coalesce(library, F.lit(False))).alias("library"),
-    )
-    bare = C("framework").isNull()
-    return flags.join(framework(tree), "repo").select(
-        "repo",
-        "framework",
+def kind_columns() -> list[Column]:
+    """Switches on names that the project type depends on."""
+
+    def seen(sql: str, name: str) -> Column:
+        return F.expr(f"coalesce(bool_or(walked and {sql}), false) as {name}")
+
+    folders = ", ".join(map(T.quoted, R.MONOREPO_DIRS))
+    return [
+        seen(f"coalesce(top_dir in ({folders}), false)", "monorepo"),
+        seen("name in ('cli.py', '__main__.py')", "cli"),
+        seen("name = 'pyproject.toml'", "any_pyproject"),
+        seen("name = 'setup.py'", "any_setup_py"),
+    ]
+
+
+def project_type_of(framework: Column) -> Column:
+    def plain(text: str) -> Column:
+        return F.contains(text, F.lit("[project]")) & ~F.contains(text, F.lit("scripts"))
+
+    library = (C("any_pyproject") & plain("pyproject")) | (C("any_setup_py") & plain("setup_py"))
+    bare = framework.isNull()
+    return (
         F.when(C("monorepo"), "monorepo")
         .when(bare & C("cli"), "cli")
-        .when(bare & C("packaged") & C("library"), "library")
+        .when(bare & F.coalesce(library, F.lit(False)), "library")
         .otherwise("monolith")
-        .alias("project_type"),
     )
 
 
+def project_type(tree: DataFrame, every: DataFrame) -> DataFrame:
+    """Monorepo, command-line tool, library or monolith; root manifests are read wherever they lie."""
+    flags = tree.groupBy("repo").agg(*kind_columns())
+    texts = roots(every).select("repo", "pyproject", "setup_py")
+    rows = flags.join(framework(tree), "repo").join(texts, "repo")
+    return rows.select("repo", "framework", project_type_of(C("framework")).alias("project_type"))
+
+
 def structure_pattern(tree: DataFrame) -> DataFrame:
     folders = tree.select("repo", F.lower("top_dir").alias("folder")).distinct()
     plain = ~C("folder").isin(R.MVC_DIRS + R.CLEAN_DIRS + R.NEUTRAL_DIRS)
@@ -187,7 +210,7 @@ def key_files(tree: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     )
 
 
-def architecture_report(tree: DataFrame) -> DataFrame:
+def architecture_report(tree: DataFrame, every: DataFrame) -> DataFrame:
     """One row per repository: kinds, totals and the sizes of the lists kept in their own tables."""
     edges = import_edges(tree)
 
@@ -195,7 +218,7 @@ def architecture_report(tree: DataFrame) -> DataFrame:
         return rows.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
 
     parts = [
-        project_type(tree),
+        project_type(tree, every),
         structure_pattern(tree),
         sized(entry_points(tree), "entry_point_count"),
         sized(layers(tree).select("repo", "layer").distinct(), "layer_count"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -20,10 +19,6 @@ def sample(facts: DataFrame, *signals: str) -> DataFrame:
     return first_rows(rows, ["repo"], [F.asc("parts")], R.CONVENTION_SAMPLE, "rank")
 
 
-def styled(facts: DataFrame) -> DataFrame:
-    return sample(facts, "style")
-
-
 def convention_sample(facts: DataFrame) -> DataFrame:
     return sample(facts).select("repo", "rank", "path")
 
@@ -32,45 +27,18 @@ def for_every_repo(facts: DataFrame, rows: DataFrame) -> DataFrame:
     return repos(facts).join(rows, "repo", "left")
 
 
-def some(test: Column) -> Column:
-    return F.coalesce(F.bool_or(test), F.lit(False))
-
-
-def naming_style(facts: DataFrame) -> DataFrame:
-    snake_file = F.contains("stem", F.lit("_")) & (C("stem") == F.lower("stem"))
-    votes = styled(facts).groupBy("repo").agg(
-        F.sum("style.snake").alias("snake"),
-        F.sum("style.camel").alias("camel"),
-        F.sum("style.pascal").alias("pascal"),
-        some(C("suffix") == ".py").alias("py"),
-        some(T.is_in("suffix", R.JS_SUFFIXES)).alias("js"),
-        F.count_if(snake_file).alias("snake_files"),
-        F.count_if(F.contains("stem", F.lit("-"))).alias("kebab_files"),
-    )
-    named = votes.select(
-        "repo",
-        F.when(C("py") & C("js"), "mixed").when(C("py"), "snake_case").when(C("js"), "camelCase").alias("variables"),
-        F.when((C("snake") == 0) & (C("camel") == 0), None)
-        .when(C("snake") >= C("camel"), "snake_case")
-        .otherwise("camelCase")
-        .alias("functions"),
-        F.when(C("pascal") > 0, "PascalCase").alias("classes"),
-        F.when(C("snake_files") > C("kebab_files"), "snake_case")
-        .when(C("kebab_files") > C("snake_files"), "kebab-case")
-        .alias("files"),
-    )
-    return for_every_repo(facts, named)
-
-
 def indent() -> Column:
     tabs, two, four = C("style.tabs"), C("style.two"), C("style.four")
-    return (
-        F.when((tabs > four) & (tabs > two), "tabs").when(four > two, "4").when(two > 0, "2")
-    )
+    return F.when((tabs > four) & (tabs > two), "tabs").when(four > two, "4").when(two > 0, "2")
+
+
+def quotes() -> Column:
+    singles, doubles = C("style.singles"), C("style.doubles")
+    return F.when(singles > doubles, "single").when(doubles > singles, "double")
 
 
 def indent_per_file(facts: DataFrame) -> DataFrame:
-    return styled(facts).select(
+    return sample(facts, "style").select(
         "repo",
         "path",
         C("style.tabs").cast("bigint").alias("tab_lines"),
@@ -80,95 +48,171 @@ def indent_per_file(facts: DataFrame) -> DataFrame:
     )
 
 
-def majority(rows: DataFrame, vote: Column) -> DataFrame:
-    """Most frequent vote per repository with its share; of equals the one seen first."""
-    tallied = (
-        rows.select("repo", "rank", vote.alias("vote"))
-        .where("vote is not null")
-        .groupBy("repo", "vote")
-        .agg(F.count(F.lit(1)).alias("votes"), F.min("rank").alias("seen"))
-    )
-    in_repo = W.partitionBy("repo")  # at most four votes
-    counted = tallied.withColumn("total", F.sum("votes").over(in_repo)).withColumn(
-        "place", F.row_number().over(in_repo.orderBy(F.desc("votes"), F.asc("seen")))
-    )
-    return counted.where("place = 1").select("repo", "vote", "votes", "total")
+def tally(vote: Column, choices: list[str], name: str) -> list[Column]:
+    """Number of votes and first voter of each choice."""
+    columns = []
+    for choice in choices:
+        columns.append(F.count_if(vote == choice).alias(f"{name}_{choice}"))
+        columns.append(F.min(F.when(vote == choice, C("rank"))).alias(f"{name}_{choice}_seen"))
+    return columns
 
 
-def indent_style(facts: DataFrame) -> DataFrame:
-    top = majority(styled(facts), indent())
-    tabs = C("vote") == "tabs"
-    widths = top.select(
-        "repo",
-        F.when(tabs, "tabs").otherwise("spaces").alias("indent_style"),
-        F.when(~tabs, C("vote")).cast("int").alias("indent_width"),
-    )
-    return for_every_repo(facts, widths)
+def winner(choices: list[str], name: str) -> Column:
+    """Choice with most votes; of equals the one seen first; null without votes."""
+    rows = [
+        F.when(
+            C(f"{name}_{c}") > 0,
+            F.struct((-C(f"{name}_{c}")).alias("votes"), C(f"{name}_{c}_seen").alias("seen"), F.lit(c).alias("choice")),
+        )
+        for c in choices
+    ]
+    return F.array_min(F.array(*rows))
 
 
-def quote_style(facts: DataFrame) -> DataFrame:
-    singles, doubles = C("style.singles"), C("style.doubles")
-    vote = F.when(singles > doubles, "single").when(doubles > singles, "double")
-    return for_every_repo(facts, majority(styled(facts), vote).select("repo", C("vote").alias("quotes")))
+INDENTS, QUOTES = ["tabs", "4", "2"], ["single", "double"]
 
 
-def semicolon_style(facts: DataFrame) -> DataFrame:
+def votes(facts: DataFrame) -> DataFrame:
+    """All votes of the sampled files, in one aggregation of at most fifty rows per repository."""
+    script = T.is_in("suffix", R.JS_SUFFIXES)
+    snake_file = F.contains("stem", F.lit("_")) & (C("stem") == F.lower("stem"))
     ending = C("style.semi") > C("style.code_lines") - C("style.semi")
-    scripts = styled(facts).where(T.is_in("suffix", R.JS_SUFFIXES))
-    votes = scripts.groupBy("repo").agg(
-        (F.count_if(ending) >= F.count_if(~ending)).alias("semicolons")
+    sums = ["snake", "camel", "pascal", "relative", "absolute", "tries", "results", "error_first"]
+    return sample(facts, "style").groupBy("repo").agg(
+        *(F.sum(f"style.{c}").alias(c) for c in sums),
+        F.count_if(C("suffix") == ".py").alias("py_files"),
+        F.count_if(script).alias("js_files"),
+        F.count_if(snake_file).alias("snake_files"),
+        F.count_if(F.contains("stem", F.lit("-"))).alias("kebab_files"),
+        F.count_if(script & ending).alias("semi_files"),
+        F.count_if(script & ~ending).alias("no_semi_files"),
+        *tally(indent(), INDENTS, "indent"),
+        *tally(quotes(), QUOTES, "quote"),
     )
-    return for_every_repo(facts, votes)
 
 
-def import_style(facts: DataFrame) -> DataFrame:
-    sums = styled(facts).groupBy("repo").agg(
-        F.sum("style.relative").alias("relative"), F.sum("style.absolute").alias("absolute")
-    )
-    relative, absolute = C("relative"), C("absolute")
+def naming_columns() -> list[Column]:
+    py, js = C("py_files") > 0, C("js_files") > 0
+    return [
+        F.when(py & js, "mixed").when(py, "snake_case").when(js, "camelCase").alias("variables"),
+        F.when((C("snake") > 0) | (C("camel") > 0), F.when(C("snake") >= C("camel"), "snake_case").otherwise("camelCase")).alias(
+            "functions"
+        ),
+        F.when(C("pascal") > 0, "PascalCase").alias("classes"),
+        F.when(C("snake_files") > C("kebab_files"), "snake_case")
+        .when(C("kebab_files") > C("snake_files"), "kebab-case")
+        .alias("files"),
+    ]
+
+
+def indent_columns() -> list[Column]:
+    choice = winner(INDENTS, "indent")["choice"]
+    return [
+        F.when(choice == "tabs", "tabs").when(choice.isNotNull(), "spaces").alias("indent_style"),
+        F.when(choice != "tabs", choice).try_cast("int").alias("indent_width"),
+    ]
+
+
+def quote_column() -> Column:
+    return winner(QUOTES, "quote")["choice"].alias("quotes")
+
+
+def semicolon_column() -> Column:
+    return F.when(C("js_files") > 0, C("semi_files") >= C("no_semi_files")).alias("semicolons")
+
+
+def import_column() -> Column:
+    relative, absolute = F.coalesce("relative", F.lit(0)), F.coalesce("absolute", F.lit(0))
     ratio = relative.cast("double") / F.when(relative + absolute > 0, relative + absolute)
-    style = (
+    return (
         F.when(ratio.isNull(), "unknown")
         .when(ratio > 0.7, "relative")
         .when(ratio < 0.3, "absolute")
         .otherwise("mixed")
+        .alias("import_style")
     )
-    filled = for_every_repo(facts, sums).fillna(0)
-    return filled.select("repo", relative.alias("relative_imports"), absolute.alias("absolute_imports"), style.alias("import_style"))
 
 
-def error_handling(facts: DataFrame) -> DataFrame:
-    sums = styled(facts).groupBy("repo").agg(
-        F.sum("style.tries").alias("tries"),
-        F.sum("style.results").alias("results"),
-        F.sum("style.error_first").alias("error_first"),
-    )
-    tries, results, first = C("tries"), C("results"), C("error_first")
-    style = (
+def error_column() -> Column:
+    tries, results, first = (F.coalesce(c, F.lit(0)) for c in ("tries", "results", "error_first"))
+    return (
         F.when((tries >= results) & (tries >= first), "try-catch")
         .when(results >= first, "result-type")
         .otherwise("error-first")
+        .alias("error_handling")
     )
-    return for_every_repo(facts, sums).fillna(0).select("repo", "tries", "results", "error_first", style.alias("error_handling"))
 
 
-def test_pattern(files: DataFrame) -> DataFrame:
-    flags = files.groupBy("repo").agg(
-        some(T.has(C("path"), r"^tests?/")).alias("apart"),
-        some(T.has(C("path"), r"(^|/)__tests__(/|$)")).alias("jest"),
-        some(T.has(C("path"), r"\.(test|spec)\.js$")).alias("beside"),
-    )
-    apart, jest, beside = C("apart"), C("jest"), C("beside")
-    return flags.select(
-        "repo",
+def consistency_column() -> Column:
+    total = sum((C(f"indent_{c}") for c in INDENTS[1:]), C(f"indent_{INDENTS[0]}"))
+    leading = (-winner(INDENTS, "indent")["votes"]).cast("double")
+    away = 1.0 - leading / F.when(total > 0, total)
+    score = F.when(away.isNotNull(), F.greatest((100 - away * 100).cast("int"), F.lit(0)))
+    return F.coalesce(score, F.lit(100)).alias("consistency_score")
+
+
+def voted(facts: DataFrame) -> DataFrame:
+    return for_every_repo(facts, votes(facts))
+
+
+def naming_style(facts: DataFrame) -> DataFrame:
+    return voted(facts).select("repo", *naming_columns())
+
+
+def indent_style(facts: DataFrame) -> DataFrame:
+    return voted(facts).select("repo", *indent_columns())
+
+
+def quote_style(facts: DataFrame) -> DataFrame:
+    return voted(facts).select("repo", quote_column())
+
+
+def semicolon_style(facts: DataFrame) -> DataFrame:
+    return voted(facts).select("repo", semicolon_column())
+
+
+def import_style(facts: DataFrame) -> DataFrame:
+    counted = [F.coalesce(c, F.lit(0)).alias(f"{c}_imports") for c in ("relative", "absolute")]
+    return voted(facts).select("repo", *counted, import_column())
+
+
+def error_handling(facts: DataFrame) -> DataFrame:
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tries", "results", "error_first")]
+    return voted(facts).select("repo", *counted, error_column())
+
+
+def consistency_score(facts: DataFrame) -> DataFrame:
+    return voted(facts).select("repo", consistency_column())
+
+
+def layout_columns() -> list[Column]:
+    """Where tests lie, as switches per repository; no file is left out."""
+
+    def seen(pattern: str, name: str) -> Column:
+        return F.coalesce(F.bool_or(T.has(C("path"), pattern)), F.lit(False)).alias(name)
+
+    return [
+        seen(r"^tests?/", "tests_apart"),
+        seen(r"(^|/)__tests__(/|$)", "tests_jest"),
+        seen(r"\.(test|spec)\.js$", "tests_beside"),
+    ]
+
+
+def layout_column() -> Column:
+    apart, jest, beside = C("tests_apart"), C("tests_jest"), C("tests_beside")
+    return (
         F.when(apart & ~jest & ~beside, "separate-dir")
         .when(~apart & (beside | jest), "co-located")
         .when(apart, "mixed")
         .otherwise("unknown")
-        .alias("test_pattern"),
+        .alias("test_pattern")
     )
 
 
+def test_pattern(files: DataFrame) -> DataFrame:
+    return files.groupBy("repo").agg(*layout_columns()).select("repo", layout_column())
+
+
 def commit_format(commits: DataFrame) -> DataFrame:
     newest = [F.desc("committed_at"), F.desc("commit_id")]
     last = first_rows(commits.select("repo", "committed_at", "commit_id", "subject"), ["repo"], newest, R.RECENT_COMMITS, "rank")
@@ -180,36 +224,28 @@ def commit_format(commits: DataFrame) -> DataFrame:
     return counted.select("repo", "conventional", "subjects", style.alias("commit_format"))
 
 
-def linter_config(facts: DataFrame) -> DataFrame:
-    place = F.array_position(F.array(*map(F.lit, R.LINTER_FILES)), C("path"))
-    found = (
-        facts.where(T.is_in("path", R.LINTER_FILES))
-        .groupBy("repo")
-        .agg(F.min_by("path", place).alias("linter_config"))
-    )
-    return for_every_repo(facts, found)
+def linter_columns() -> list[Column]:
+    place = F.array_position(F.expr(f"array({', '.join(map(T.quoted, R.LINTER_FILES))})"), C("path"))
+    return [F.min(F.when(place > 0, place)).cast("int").alias("linter_place")]
 
 
-def consistency_score(facts: DataFrame) -> DataFrame:
-    top = majority(styled(facts), indent())
-    away = 1.0 - C("votes").cast("double") / C("total")
-    score = F.greatest((100 - away * 100).cast("int"), F.lit(0))
-    scored = for_every_repo(facts, top.select("repo", score.alias("consistency_score")))
-    return scored.fillna(100, ["consistency_score"])
+def linter_column() -> Column:
+    names = F.expr(f"array({', '.join(map(T.quoted, R.LINTER_FILES))})")
+    return F.get(names, C("linter_place") - 1).alias("linter_config")
+
+
+def linter_config(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("repo").agg(*linter_columns()).select("repo", linter_column())
 
 
 def convention_report(facts: DataFrame, commits: DataFrame) -> DataFrame:
-    report = naming_style(facts)
-    for part in (
-        indent_style(facts),
-        quote_style(facts),
-        semicolon_style(facts),
-        import_style(facts).select("repo", "import_style"),
-        error_handling(facts).select("repo", "error_handling"),
-        test_pattern(facts),
-        commit_format(commits).select("repo", "commit_format"),
-        linter_config(facts),
-        consistency_score(facts),
-    ):
-        report = report.join(part, "repo", "left")
-    return report
+    per_repo = facts.groupBy("repo").agg(*layout_columns(), *linter_columns())
+    return conventions_of(per_repo.join(votes(facts), "repo", "left"), commits)
+
+
+def conventions_of(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    formats = commit_format(commits).select("repo", "commit_format")
+    return rows.join(formats, "repo", "left").select(
+        "repo", *naming_columns(), *indent_columns(), quote_column(), semicolon_column(), import_column(),
+        error_column(), layout_column(), "commit_format", linter_column(), consistency_column(),
+    )

@@ -38,14 +38,14 @@ def secret_lines(tree: DataFrame) -> DataFrame:
     return hits.select("repo", "path", "s.line", "s.rule", "s.snippet")
 
 
-def counts(tree: DataFrame) -> DataFrame:
-    """Everything the dimensions count, in one aggregation over narrow columns."""
-    code = T.is_in("suffix", R.CODE_SUFFIXES)
+def count_columns() -> list[Column]:
+    """Everything the dimensions count, as aggregates per repository."""
+    code = C("walked") & T.is_in("suffix", R.CODE_SUFFIXES)
     lowered = F.lower("path")
     tested = F.contains(lowered, F.lit("test")) | F.contains(lowered, F.lit("spec"))
-    python = C("suffix") == ".py"
-    return tree.groupBy("repo").agg(
-        F.sum(F.size("todos")).cast("bigint").alias("todo_count"),
+    python = C("walked") & (C("suffix") == ".py")
+    return [
+        F.sum(F.when(code, F.size("todos")).otherwise(0)).cast("bigint").alias("todo_count"),
         F.sum(F.when(code, C("line_count")).otherwise(0)).alias("code_lines"),
         F.count_if(code).alias("code_files"),
         F.count_if(code & tested).alias("test_files"),
@@ -53,7 +53,11 @@ def counts(tree: DataFrame) -> DataFrame:
         F.count_if(code & (C("line_count") > R.COMPLEX_LINES)).alias("complex_files"),
         F.count_if(python).alias("python_files"),
         F.count_if(python & ~C("opens_with_docstring")).alias("undocumented_files"),
-    )
+    ]
+
+
+def counts(tree: DataFrame) -> DataFrame:
+    return tree.groupBy("repo").agg(*count_columns())
 
 
 def text_of(template: str, *values: Column) -> Column:
@@ -160,9 +164,12 @@ def dead_modules(tree: DataFrame) -> DataFrame:
     return candidates.join(referenced, ["repo", "path"], "left_anti")
 
 
+def dead_counts(tree: DataFrame) -> DataFrame:
+    return dead_modules(tree).groupBy("repo").agg(F.count(F.lit(1)).alias("dead_files"))
+
+
 def with_dead(tree: DataFrame) -> DataFrame:
-    dead = dead_modules(tree).groupBy("repo").agg(F.count(F.lit(1)).alias("dead_files"))
-    return counts(tree).join(dead, "repo", "left").fillna(0, ["dead_files"])
+    return counts(tree).join(dead_counts(tree), "repo", "left").fillna(0, ["dead_files"])
 
 
 def dead_code(tree: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def dimension_columns() -> list[tuple[str, Column, Column]]:
     return [(name, *parts[name]) for name in WEIGHTS]
 
 
-def debt_dimensions(tree: DataFrame) -> DataFrame:
+def dimensions_of(counted: DataFrame) -> DataFrame:
     rows = [
         F.struct(
             F.lit(i + 1).alias("position"),
@@ -194,7 +201,11 @@ def debt_dimensions(tree: DataFrame) -> DataFrame:
         )
         for i, (name, score, detail) in enumerate(dimension_columns())
     ]
-    return with_dead(tree).select("repo", F.inline(F.array(*rows)))
+    return counted.select("repo", F.inline(F.array(*rows)))
+
+
+def debt_dimensions(tree: DataFrame) -> DataFrame:
+    return dimensions_of(with_dead(tree))
 
 
 def ladder(value: Column, steps: list[tuple[int, str]], last: str, rising: bool) -> Column:
@@ -221,21 +232,33 @@ def debt_score(tree: DataFrame) -> DataFrame:
     return overall.withColumn("grade", grade_of(C("score")))
 
 
-def debt_recommendations(tree: DataFrame) -> DataFrame:
-    """Advice for the worst five dimensions where they score above twenty."""
-    order = [F.desc("score"), F.asc("position")]
-    worst = first_rows(debt_dimensions(tree), ["repo"], order, 5, "rank")
-    advice = None
-    for name, (before, after) in R.DEBT_ADVICE.items():
-        text = F.concat(F.lit(before), C("detail"), F.lit(after))
-        test = C("dimension") == name
-        advice = F.when(test, text) if advice is None else advice.when(test, text)
-    return (
-        worst.where(C("score") > 20)
-        .withColumn("recommendation", advice)
-        .where("recommendation is not null")
-        .select("repo", "rank", "dimension", "recommendation")
+def advice_of() -> Column:
+    """array<struct<rank, dimension, recommendation>>: the worst five dimensions, where above twenty.
+
+    Seven dimensions are sorted inside the row; equal scores keep their order.
+    """
+    rows = []
+    for i, (name, score, detail) in enumerate(dimension_columns()):
+        before, after = R.DEBT_ADVICE.get(name, (None, None))
+        text = F.concat(F.lit(before), detail, F.lit(after)) if before else F.lit(None).cast("string")
+        place = (-score).cast("int")
+        rows.append(
+            F.struct(place.alias("place"), F.lit(i).alias("at"), F.lit(name).alias("dimension"), text.alias("text"))
+        )
+    worst = F.slice(F.array_sort(F.array(*rows)), 1, 5)
+    ranked = F.transform(
+        worst,
+        lambda d, i: F.struct(
+            (i + 1).alias("rank"), d["dimension"].alias("dimension"), d["text"].alias("recommendation"),
+            d["place"].alias("place"),
+        ),
     )
+    return F.filter(ranked, lambda d: (d["place"] < -20) & d["recommendation"].isNotNull())
+
+
+def debt_recommendations(tree: DataFrame) -> DataFrame:
+    rows = with_dead(tree).select("repo", F.explode(advice_of()).alias("a"))
+    return rows.select("repo", "a.rank", "a.dimension", "a.recommendation")
 
 
 def debt_chart_rows(tree: DataFrame) -> DataFrame:

@@ -465,4 +465,4 @@ def drop_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
 
 def walked(all_facts: DataFrame) -> DataFrame:
     """The files most analyses look at: source-like, small, and not ignored."""
-    return drop_ignored(all_facts.where("walkable"), all_facts)
+    return drop_ignored(all_facts.where("walkable"), all_facts).withColumn("walked", F.lit(True))

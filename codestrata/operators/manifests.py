@@ -16,14 +16,14 @@ C = F.col
 ROOT_TEXTS = {
     "requirements": "requirements.txt", "pyproject": "pyproject.toml", "package": "package.json",
     "go_mod": "go.mod", "cargo": "Cargo.toml", "gemfile": "Gemfile", "setup_cfg": "setup.cfg",
-    "makefile": "Makefile", "gitignore": ".gitignore", "env": ".env", "env_example": ".env.example",
+    "setup_py": "setup.py", "makefile": "Makefile", "gitignore": ".gitignore", "env": ".env", "env_example": ".env.example",
     "readme_md": "README.md", "readme_rst": "README.rst", "readme_txt": "README.txt", "readme": "README",
     "compose_1": "docker-compose.yml", "compose_2": "docker-compose.yaml",
     "compose_3": "compose.yml", "compose_4": "compose.yaml",
 }
 # root files that only have to exist
 ROOT_MARKS = {
-    "setup_py": "setup.py", "yarn_lock": "yarn.lock", "pnpm_lock": "pnpm-lock.yaml", "dockerfile": "Dockerfile",
+    "yarn_lock": "yarn.lock", "pnpm_lock": "pnpm-lock.yaml", "dockerfile": "Dockerfile",
 }
 PACKAGE = (
     "license string, engines map<string,string>, scripts map<string,string>, "
@@ -36,16 +36,26 @@ def repos(rows: DataFrame) -> DataFrame:
     return rows.select("repo").distinct()
 
 
+def root_columns() -> list[Column]:
+    texts = [f"max(case when path = {T.quoted(p)} then manifest end) as {c}" for c, p in ROOT_TEXTS.items()]
+    marks = [f"coalesce(bool_or(path = {T.quoted(p)}), false) as has_{c}" for c, p in ROOT_MARKS.items()]
+    return [F.expr(x) for x in texts + marks]
+
+
+def is_root_file() -> Column:
+    return T.is_in("path", [*ROOT_TEXTS.values(), *ROOT_MARKS.values()])
+
+
+def complete(base: DataFrame, found: DataFrame) -> DataFrame:
+    """Every repository with its root files; repositories without any keep nulls."""
+    flat = base.join(found, "repo", "left").fillna(False, [f"has_{c}" for c in ROOT_MARKS])
+    return flat.withColumn("npm", F.from_json("package", PACKAGE))
+
+
 def roots(rows: DataFrame) -> DataFrame:
     """Root manifests side by side; null where a repository lacks the file."""
-    names = [*ROOT_TEXTS.values(), *ROOT_MARKS.values()]
-    texts = [F.max(F.when(C("path") == p, C("manifest"))).alias(c) for c, p in ROOT_TEXTS.items()]
-    marks = [
-        F.coalesce(F.bool_or(C("path") == p), F.lit(False)).alias(f"has_{c}") for c, p in ROOT_MARKS.items()
-    ]
-    found = rows.where(C("path").isin(names)).groupBy("repo").agg(*texts, *marks)
-    flat = repos(rows).join(found, "repo", "left").fillna(False, [f"has_{c}" for c in ROOT_MARKS])
-    return flat.withColumn("npm", F.from_json("package", PACKAGE))
+    found = rows.where(is_root_file()).groupBy("repo").agg(*root_columns())
+    return complete(repos(rows), found)
 
 
 def there(column: str) -> Column:

@@ -77,8 +77,8 @@ def setup_commands(content: Column) -> Column:
 
 def readme_steps_of() -> Column:
     """Steps of README.md, or of README.rst where the first has none."""
-    first = F.coalesce(setup_commands(C("readme_md")), T.empty("string"))
-    second = F.coalesce(setup_commands(C("readme_rst")), T.empty("string"))
+    first = F.coalesce(F.when(C("any_readme_md"), setup_commands(C("readme_md"))), T.empty("string"))
+    second = F.coalesce(F.when(C("any_readme_rst"), setup_commands(C("readme_rst"))), T.empty("string"))
     return F.when(F.size(first) > 0, first).otherwise(second)
 
 
@@ -93,25 +93,27 @@ def readme_setup_steps(facts: DataFrame) -> DataFrame:
 
 
 NAMES = {
+    "README.md": "any_readme_md", "README.rst": "any_readme_rst",
     "requirements.txt": "any_requirements", "package.json": "any_package", "pyproject.toml": "any_pyproject",
     "pytest.ini": "any_pytest_ini", "setup.cfg": "any_setup_cfg", "Makefile": "any_makefile",
     ".env": "any_env", ".env.example": "any_env_example", ".nvmrc": "any_nvmrc", ".node-version": "any_node_version",
 }
 
 
+def presence_columns() -> list[Column]:
+    """Which file names the walk meets anywhere, with two switches on paths and contents."""
+    named = [F.expr(f"coalesce(bool_or(walked and name = {T.quoted(n)}), false) as {c}") for n, c in NAMES.items()]
+    env = C("walked") & (T.has(C("path"), R.ENV_REFERENCE) | C("reads_env"))
+    tested = F.expr("coalesce(bool_or(walked and contains(lower(path), 'test')), false) as any_test")
+    return [*named, F.coalesce(F.bool_or(env), F.lit(False)).alias("any_env_reference"), tested]
+
+
 def presence(tree: DataFrame) -> DataFrame:
-    """Which file names occur anywhere in a repository, with two switches on paths and contents."""
-    named = [F.bool_or(C("name") == n).alias(c) for n, c in NAMES.items()]
-    env = T.has(C("path"), R.ENV_REFERENCE) | C("reads_env")
-    return tree.groupBy("repo").agg(
-        *named,
-        F.bool_or(env).alias("any_env_reference"),
-        F.bool_or(F.contains(F.lower("path"), F.lit("test"))).alias("any_test"),
-    )
+    return tree.groupBy("repo").agg(*presence_columns())
 
 
-def with_roots(tree: DataFrame) -> DataFrame:
-    return roots(tree).join(presence(tree), "repo")
+def with_roots(tree: DataFrame, every: DataFrame) -> DataFrame:
+    return presence(tree).join(roots(every), "repo")
 
 
 def setup_steps_of() -> Column:
@@ -124,31 +126,31 @@ def setup_steps_of() -> Column:
     return F.when(F.size(steps) > 0, read).otherwise(F.filter(inferred, lambda x: x.isNotNull()).cast(kind))
 
 
-def setup_steps(tree: DataFrame) -> DataFrame:
-    rows = with_roots(tree).select("repo", F.posexplode(setup_steps_of()).alias("at", "s"))
+def setup_steps(tree: DataFrame, every: DataFrame) -> DataFrame:
+    rows = with_roots(tree, every).select("repo", F.posexplode(setup_steps_of()).alias("at", "s"))
     return rows.select("repo", (C("at") + 1).alias("position"), "s.description", "s.command")
 
 
 def test_commands_of() -> Column:
-    readme = F.coalesce("readme_md", F.lit(""))
+    readme = F.coalesce(F.when(C("any_readme_md"), C("readme_md")), F.lit(""))
     section = T.find(readme, r"(?is)##\s*test.*?\n.*?(?=\n##|\z)", 0)
     blocks = T.find_all(section, r"(?s)```[a-z]*\n(.*?)```", 1)
     lines = F.transform(
         F.flatten(F.transform(blocks, lambda b: T.split_lines(T.strip(b)))), lambda s: T.strip(s)
     )
     lines = F.filter(lines, lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
-    targets = T.find_all(F.coalesce("makefile", F.lit("")), R.MAKE_TEST_TARGET, 1)
+    targets = T.find_all(F.coalesce(F.when(C("any_makefile"), C("makefile")), F.lit("")), R.MAKE_TEST_TARGET, 1)
     fixed_ones = F.array(
-        F.when(script("test").isNotNull(), "npm test"),
-        F.when(script("test:unit").isNotNull(), "npm run test:unit"),
+        F.when(C("any_package") & script("test").isNotNull(), "npm test"),
+        F.when(C("any_package") & script("test:unit").isNotNull(), "npm run test:unit"),
         F.when(C("any_pytest_ini") | C("any_pyproject") | C("any_setup_cfg"), "pytest"),
     )
     made = F.transform(targets, lambda t: F.concat(F.lit("make "), t))
     return F.array_distinct(F.filter(F.concat(fixed_ones, lines, made), lambda c: c.isNotNull()))
 
 
-def test_commands(tree: DataFrame) -> DataFrame:
-    rows = with_roots(tree).select("repo", F.posexplode(test_commands_of()).alias("at", "command"))
+def test_commands(tree: DataFrame, every: DataFrame) -> DataFrame:
+    rows = with_roots(tree, every).select("repo", F.posexplode(test_commands_of()).alias("at", "command"))
     return rows.select("repo", (C("at") + 1).alias("position"), "command")
 
 
@@ -224,8 +226,8 @@ def overview(kinds: DataFrame, languages: DataFrame, entries: DataFrame, layer_f
     return joined.select("repo", text.alias("architecture_overview"))
 
 
-def architecture_overview(tree: DataFrame) -> DataFrame:
-    kinds = project_type(tree).join(structure_pattern(tree), "repo")
+def architecture_overview(tree: DataFrame, every: DataFrame) -> DataFrame:
+    kinds = project_type(tree, every).join(structure_pattern(tree), "repo")
     return overview(kinds, language_breakdown(tree), entry_points(tree), layers(tree))
 
 

@@ -47,7 +47,7 @@ def api_health() -> Column:
 
 def score_table(tree: DataFrame, facts: DataFrame, commit_files: DataFrame) -> DataFrame:
     """Inputs of the scorecard, one row per repository; null where an analysis saw nothing."""
-    steps = with_roots(tree).select(
+    steps = with_roots(tree, facts).select(
         "repo",
         F.lit(R.ARCHITECTURE_SCORE).alias("architecture"),
         F.when(F.size(setup_steps_of()) > 0, 80).otherwise(50).alias("onboarding"),

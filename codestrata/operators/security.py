@@ -98,10 +98,14 @@ def exposed_ports(facts: DataFrame) -> DataFrame:
     return roots(facts).select("repo", F.explode(ports()).alias("port")).where("port is not null")
 
 
-def auth_pattern(facts: DataFrame) -> DataFrame:
+def auth_column() -> Column:
     """Pattern of the first Python file that shows one, else of the first JavaScript file."""
     order = F.struct((C("suffix") == ".js").alias("script"), C("parts"))
-    found = facts.where("auth is not null").groupBy("repo").agg(F.min_by("auth", order).alias("auth_pattern"))
+    return F.min_by("auth", F.when(C("auth").isNotNull(), order)).alias("auth_pattern")
+
+
+def auth_pattern(facts: DataFrame) -> DataFrame:
+    found = facts.where("auth is not null").groupBy("repo").agg(auth_column())
     return repos(facts).join(found, "repo", "left")
 
 
@@ -113,18 +117,22 @@ def security_findings(facts: DataFrame, commit_files: DataFrame) -> DataFrame:
     )
 
 
-def security_flags(facts: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Counts and switches per repository that risk and advice depend on."""
-    counted = facts.groupBy("repo").agg(
+def finding_columns() -> list[Column]:
+    return [
         F.sum(F.size("secrets")).cast("bigint").alias("secrets_found"),
         F.sum(F.size("sql_strings")).cast("bigint").alias("sql_found"),
-    )
+    ]
+
+
+def security_flags(facts: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """Counts and switches per repository that risk and advice depend on."""
+    counted = facts.groupBy("repo").agg(*finding_columns())
     exposed = roots(facts).select("repo", unprotected_env().alias("env_exposed"), ports().alias("ports"))
     history = env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))
     return counted.join(exposed, "repo").join(history, "repo", "left").fillna(False, ["env_in_history"])
 
 
-def risk(flags: DataFrame) -> Column:
+def risk_of() -> Column:
     env = C("env_exposed") | C("env_in_history")
     return (
         F.when(C("secrets_found") > 0, "critical")
@@ -136,7 +144,7 @@ def risk(flags: DataFrame) -> Column:
 
 def risk_level(facts: DataFrame, commit_files: DataFrame) -> DataFrame:
     flags = security_flags(facts, commit_files)
-    return flags.select("repo", "secrets_found", risk(flags).alias("risk_level"))
+    return flags.select("repo", "secrets_found", risk_of().alias("risk_level"))
 
 
 def advice() -> Column:

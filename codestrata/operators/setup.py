@@ -24,7 +24,7 @@ def kept(tests: list[Column], values: list[Column]) -> Column:
 
 
 def has_python() -> Column:
-    return there("requirements") | C("has_setup_py") | there("setup_cfg") | there("pyproject")
+    return there("requirements") | there("setup_py") | there("setup_cfg") | there("pyproject")
 
 
 def prerequisites_of() -> Column:

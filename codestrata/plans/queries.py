@@ -99,7 +99,7 @@ PLANS: dict[str, Plan] = {
     "framework_python": Plan(lambda i: architecture.framework_python(i.tree), "manifest"),
     "framework_js": Plan(lambda i: architecture.framework_js(i.tree), "manifest"),
     "framework": Plan(lambda i: architecture.framework(i.tree), "manifest"),
-    "project_type": Plan(lambda i: architecture.project_type(i.tree).drop("framework"), "manifest"),
+    "project_type": Plan(lambda i: architecture.project_type(i.tree, i.facts).drop("framework"), "manifest"),
     "structure_pattern": Plan(lambda i: architecture.structure_pattern(i.tree), "manifest"),
     "entry_points": Plan(lambda i: architecture.entry_points(i.tree), "manifest"),
     "layers": Plan(lambda i: architecture.layers(i.tree), "manifest"),
@@ -107,7 +107,7 @@ PLANS: dict[str, Plan] = {
     "import_edges": Plan(lambda i: architecture.import_edges(i.tree), "manifest", "imports"),
     "module_in_degree": Plan(lambda i: architecture.module_in_degree(i.tree), "manifest", "imports"),
     "key_files": Plan(lambda i: architecture.key_files(i.tree), "manifest", "imports"),
-    "architecture_report": Plan(lambda i: architecture.architecture_report(i.tree), "manifest", "imports"),
+    "architecture_report": Plan(lambda i: architecture.architecture_report(i.tree, i.facts), "manifest", "imports"),
     # technical debt
     "todo_density": Plan(lambda i: debt.todo_density(i.tree), "manifest", "todos", "opens_with_docstring"),
     "test_ratio": Plan(lambda i: debt.test_ratio(i.tree), "manifest", "todos", "opens_with_docstring"),
@@ -129,11 +129,11 @@ PLANS: dict[str, Plan] = {
     "readme_pick": Plan(lambda i: onboarding.readme_pick(i.facts), "manifest"),
     "readme_summary": Plan(lambda i: onboarding.readme_summary(i.facts), "manifest"),
     "readme_setup_steps": Plan(lambda i: onboarding.readme_setup_steps(i.facts), "manifest"),
-    "setup_steps": Plan(lambda i: onboarding.setup_steps(i.tree), "manifest", "reads_env"),
-    "test_commands": Plan(lambda i: onboarding.test_commands(i.tree), "manifest", "reads_env"),
+    "setup_steps": Plan(lambda i: onboarding.setup_steps(i.tree, i.facts), "manifest", "reads_env"),
+    "test_commands": Plan(lambda i: onboarding.test_commands(i.tree, i.facts), "manifest", "reads_env"),
     "gotchas": Plan(lambda i: onboarding.gotchas(i.tree), "manifest", "reads_env"),
     "glossary": Plan(lambda i: onboarding.glossary(i.tree), "manifest", "terms"),
-    "architecture_overview": Plan(lambda i: onboarding.architecture_overview(i.tree), "manifest", "imports"),
+    "architecture_overview": Plan(lambda i: onboarding.architecture_overview(i.tree, i.facts), "manifest", "imports"),
     "top_contributors": Plan(lambda i: onboarding.top_contributors(i.commits)),
     "onboarding_key_files": Plan(lambda i: onboarding.onboarding_key_files(i.tree), "manifest", "imports"),
     # dependencies

@@ -229,12 +229,13 @@ def tables() -> dict[str, str]:
           from last l left join t_framework_python p using (repo, path) left join t_framework_js j using (repo, path)),
         ranked as (select repo, fw, row_number() over (partition by repo order by {place}) as k from found where fw is not null)
         select r.repo, x.fw as framework from (select distinct repo from t_tree) r left join ranked x on x.repo = r.repo and x.k = 1"""
-    t["t_project_type"] = f"""select f.repo, case when bool_or(f.top_dir in {among(R.MONOREPO_DIRS)}) then 'monorepo'
-          when any_value(w.framework) is null and bool_or(name in ('cli.py', '__main__.py')) then 'cli'
-          when any_value(w.framework) is null and bool_or(path in ('pyproject.toml', 'setup.py')
+    t["t_project_type"] = f"""select f.repo, case when bool_or(f.w and f.top_dir in {among(R.MONOREPO_DIRS)}) then 'monorepo'
+          when any_value(w.framework) is null and bool_or(f.w and name in ('cli.py', '__main__.py')) then 'cli'
+          when any_value(w.framework) is null and bool_or(not f.w and path in ('pyproject.toml', 'setup.py')
             and contains(content, '[project]') and not contains(content, 'scripts')) then 'library'
           else 'monolith' end as project_type
-        from t_tree f join t_framework w on w.repo = f.repo group by f.repo"""
+        from (select *, true as w from t_tree union all select f.*, false from t_facts f join t_names n on n.repo = f.repo and n.name = f.path) f
+        join t_framework w on w.repo = f.repo group by f.repo"""
     plain = [*R.MVC_DIRS, *R.CLEAN_DIRS, *R.NEUTRAL_DIRS]
     t["t_structure_pattern"] = f"""select repo, case when count(*) filter (where d in {among(R.CLEAN_DIRS)}) > 0 then 'clean'
           when count(*) filter (where d in {among(R.MVC_DIRS)}) >= 2 then 'mvc'
@@ -384,8 +385,10 @@ def onboarding() -> dict[str, str]:
         where s.inside and not s.fence and s.s <> '' and (x.e is null or s.i < x.e)"""
 
     t["t_readme_setup_steps"] = steps("t_files")
-    t["t_tree_readme_steps"] = steps("t_tree")
     t["t_names"] = "select distinct repo, name from t_tree"
+    # root files count when the walk met their name anywhere
+    t["t_met"] = "select f.* from t_files f join t_names n on n.repo = f.repo and n.name = f.path"
+    t["t_tree_readme_steps"] = steps("t_met")
     fallback = union(
         f"select repo, {i} as o, {q(text)} as description, {q(cmd)} as command from t_names where name = {q(n)}"
         for i, (n, text, cmd) in enumerate(R.FALLBACK_SETUP)
@@ -400,15 +403,15 @@ def onboarding() -> dict[str, str]:
     section = f"substr({tail}, 1, strpos({tail}, chr(10))) || split_part({rest}, chr(10) || '##', 1)"
     t["t_test_lines"] = f"""select repo, bi, generate_subscripts(l, 1) as li, {strip('unnest(l)')} as c from (
         select repo, bi, {lines(strip('b'))} as l from (select repo, unnest(bs) as b, generate_subscripts(bs, 1) as bi from (
-          select repo, regexp_extract_all({section}, '(?s)```[a-z]*\\n(.*?)```', 1) as bs from t_tree
+          select repo, regexp_extract_all({section}, '(?s)```[a-z]*\\n(.*?)```', 1) as bs from t_met
           where path = 'README.md' and strpos({tail}, chr(10)) > 0)))"""
     t["t_test_commands"] = f"""with found as (
-          select repo, 1 as o, 0 as a, 0 as b, 'npm test' as c from t_tree where path = 'package.json' and json_valid(content) and {script('test')}
-          union all select repo, 2, 0, 0, 'npm run test:unit' from t_tree where path = 'package.json' and json_valid(content) and {script('test:unit')}
+          select repo, 1 as o, 0 as a, 0 as b, 'npm test' as c from t_met where path = 'package.json' and json_valid(content) and {script('test')}
+          union all select repo, 2, 0, 0, 'npm run test:unit' from t_met where path = 'package.json' and json_valid(content) and {script('test:unit')}
           union all select distinct repo, 3, 0, 0, 'pytest' from t_names where name in ('pytest.ini', 'pyproject.toml', 'setup.cfg')
           union all select repo, 4, bi, li, c from t_test_lines where c <> '' and not starts_with(c, '#')
           union all select repo, 5, generate_subscripts(m, 1), 0, 'make ' || unnest(m) from (
-            select repo, regexp_extract_all(content, {q(R.MAKE_TEST_TARGET)}, 1) as m from t_tree where path = 'Makefile')),
+            select repo, regexp_extract_all(content, {q(R.MAKE_TEST_TARGET)}, 1) as m from t_met where path = 'Makefile')),
         firsts as (select * from (select *, row_number() over (partition by repo, c order by o, a, b) as k from found) where k = 1)
         select repo, row_number() over (partition by repo order by o, a, b) as position, c as command from firsts"""
     has = lambda *n: f"bool_or(name in {among(n)})"
