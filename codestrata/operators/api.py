@@ -71,11 +71,11 @@ def undocumented_routes(facts: DataFrame) -> DataFrame:
     return facts.groupBy("repo").agg(*route_columns())
 
 
-def api_of(sums: DataFrame) -> DataFrame:
+def report_columns() -> list[Column]:
     http, cli = C("total_routes") > 0, C("total_commands") > 0
     kind = F.when(http & cli, "mixed").when(cli, "cli").when(http, "rest").when(C("packaged"), "library").otherwise("rest")
-    return sums.select("repo", kind.alias("api_type"), "total_routes", "total_commands", "undocumented_routes")
+    return [kind.alias("api_type"), C("total_routes"), C("total_commands"), C("undocumented_routes")]
 
 
 def api_report(facts: DataFrame) -> DataFrame:
-    return api_of(facts.groupBy("repo").agg(*route_columns(), *command_columns()))
+    return facts.groupBy("repo").agg(*route_columns(), *command_columns()).select("repo", *report_columns())

@@ -238,14 +238,15 @@ def linter_config(facts: DataFrame) -> DataFrame:
     return facts.groupBy("repo").agg(*linter_columns()).select("repo", linter_column())
 
 
-def convention_report(facts: DataFrame, commits: DataFrame) -> DataFrame:
-    per_repo = facts.groupBy("repo").agg(*layout_columns(), *linter_columns())
-    return conventions_of(per_repo.join(votes(facts), "repo", "left"), commits)
+def report_columns() -> list[Column]:
+    return [
+        *naming_columns(), *indent_columns(), quote_column(), semicolon_column(), import_column(),
+        error_column(), layout_column(), C("commit_format"), linter_column(), consistency_column(),
+    ]
 
 
-def conventions_of(rows: DataFrame, commits: DataFrame) -> DataFrame:
-    formats = commit_format(commits).select("repo", "commit_format")
-    return rows.join(formats, "repo", "left").select(
-        "repo", *naming_columns(), *indent_columns(), quote_column(), semicolon_column(), import_column(),
-        error_column(), layout_column(), "commit_format", linter_column(), consistency_column(),
-    )
+def convention_report(facts: DataFrame, commits: DataFrame) -> DataFrame:
+    rows = facts.groupBy("repo").agg(*layout_columns(), *linter_columns())
+    for part in (votes(facts), commit_format(commits)):
+        rows = rows.join(part, "repo", "left")
+    return rows.select("repo", *report_columns())

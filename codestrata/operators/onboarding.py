@@ -50,9 +50,12 @@ def readme_pick(facts: DataFrame) -> DataFrame:
     return roots(facts).select("repo", named.alias("readme")).where("readme is not null")
 
 
+def project_summary() -> Column:
+    return F.coalesce(summary_of(readme_of()), F.lit(R.NO_README))
+
+
 def readme_summary(facts: DataFrame) -> DataFrame:
-    summary = F.coalesce(summary_of(readme_of()), F.lit(R.NO_README))
-    return roots(facts).select("repo", summary.alias("project_summary"))
+    return roots(facts).select("repo", project_summary().alias("project_summary"))
 
 
 HEADING = r"(?im)^#+[ \t\r]*(?:install|setup|getting started|quickstart|usage|run)"
@@ -93,7 +96,7 @@ def readme_setup_steps(facts: DataFrame) -> DataFrame:
 
 
 NAMES = {
-    "README.md": "any_readme_md", "README.rst": "any_readme_rst",
+    "README.md": "any_readme_md", "README.rst": "any_readme_rst", "setup.py": "any_setup_py",
     "requirements.txt": "any_requirements", "package.json": "any_package", "pyproject.toml": "any_pyproject",
     "pytest.ini": "any_pytest_ini", "setup.cfg": "any_setup_cfg", "Makefile": "any_makefile",
     ".env": "any_env", ".env.example": "any_env_example", ".nvmrc": "any_nvmrc", ".node-version": "any_node_version",
@@ -202,33 +205,36 @@ def joined_text(rows: DataFrame, order: list[Column], limit: int, text: Column,
     return few.groupBy("repo").agg(F.array_join(listed["text"], ", ").alias(name))
 
 
-def overview(kinds: DataFrame, languages: DataFrame, entries: DataFrame, layer_files: DataFrame) -> DataFrame:
+def overview_parts(breakdown: DataFrame, entries: DataFrame, layer_files: DataFrame) -> list[DataFrame]:
+    """The three lists of the overview as one text each."""
     shown = F.concat("language", F.lit(" ("), fixed(C("percentage"), 0), F.lit("%)"))
-    tops = joined_text(languages, [F.desc("percentage"), F.asc("language")], 3, shown, "languages")
+    tops = joined_text(breakdown, [F.desc("percentage"), F.asc("language")], 3, shown, "top_languages")
     entry = F.concat("path", F.lit(" ("), C("entry_type"), F.lit(")"))
-    starts = joined_text(entries, [F.asc(F.split("path", "/"))], 3, entry, "entries")
+    starts = joined_text(entries, [F.asc(F.split("path", "/"))], 3, entry, "first_entries")
     seen = layer_files.groupBy("repo", "layer").agg(F.min(F.split("path", "/")).alias("first"))
-    layered = joined_text(seen, [F.asc("first")], 5, C("layer"), "layers")
-    joined = kinds
-    for part in (tops, starts, layered):
-        joined = joined.join(part, "repo", "left")
+    layered = joined_text(seen, [F.asc("first")], 5, C("layer"), "first_layers")
+    return [tops, starts, layered]
+
+
+def overview_of() -> Column:
     using = F.when(C("framework").isNotNull(), F.concat(F.lit(" using "), "framework")).otherwise("")
-    text = F.concat_ws(
+    return F.concat_ws(
         " ",
         F.concat(
             F.lit("This is a "), C("project_type"), F.lit(" project"), using,
             F.lit(" with a "), C("structure_pattern"), F.lit(" structure."),
         ),
-        F.concat(F.lit("Primary languages: "), C("languages"), F.lit(".")),
-        F.concat(F.lit("Entry points: "), C("entries"), F.lit(".")),
-        F.concat(F.lit("Layers detected: "), C("layers"), F.lit(".")),
+        F.concat(F.lit("Primary languages: "), C("top_languages"), F.lit(".")),
+        F.concat(F.lit("Entry points: "), C("first_entries"), F.lit(".")),
+        F.concat(F.lit("Layers detected: "), C("first_layers"), F.lit(".")),
     )
-    return joined.select("repo", text.alias("architecture_overview"))
 
 
 def architecture_overview(tree: DataFrame, every: DataFrame) -> DataFrame:
-    kinds = project_type(tree, every).join(structure_pattern(tree), "repo")
-    return overview(kinds, language_breakdown(tree), entry_points(tree), layers(tree))
+    rows = project_type(tree, every).join(structure_pattern(tree), "repo")
+    for part in overview_parts(language_breakdown(tree), entry_points(tree), layers(tree)):
+        rows = rows.join(part, "repo", "left")
+    return rows.select("repo", overview_of().alias("architecture_overview"))
 
 
 def top_contributors(commits: DataFrame) -> DataFrame:

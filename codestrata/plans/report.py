@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules as R
 from ..functions.scale import stage
 from ..operators import api, architecture, conventions, debt, dependencies, facts, history
 from ..operators import languages, onboarding, security, setup
-from ..operators.manifests import repos, roots
+from ..operators.manifests import complete, is_root_file, root_columns
 from ..sources.corpus import Corpus
 
 C = F.col
@@ -33,151 +34,185 @@ def staged_facts(files: DataFrame) -> DataFrame:
 
 def listed(rows: DataFrame, order: list[str], columns: list[str], name: str) -> DataFrame:
     """Bounded list per repository, in order."""
-    item = F.struct(*order, F.struct(*columns).alias("item"))
+    value = C(columns[0]) if len(columns) == 1 else F.struct(*columns)
+    item = F.struct(*order, value.alias("item"))
     gathered = rows.groupBy("repo").agg(F.array_sort(F.collect_list(item)).alias("rows"))
     return gathered.select("repo", C("rows")["item"].alias(name))
 
 
-def joined(base: DataFrame, *parts: DataFrame) -> DataFrame:
-    for part in parts:
-        base = base.join(part, "repo", "left")
-    return base
+def mapped(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct(key, value)))
+    return rows.groupBy("repo").agg(F.map_from_entries(pairs).alias(name))
 
 
-def section(base: DataFrame, name: str) -> DataFrame:
-    columns = [c for c in base.columns if c != "repo"]
-    return base.select("repo", F.struct(*columns).alias(name))
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
 
 
-def architecture_sections(tree: DataFrame, edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The architecture section and the overview text, which shares most of its parts."""
-    kinds = architecture.project_type(tree).join(architecture.structure_pattern(tree), "repo")
-    breakdown = languages.language_breakdown(tree)
-    shares = breakdown.groupBy("repo").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "percentage")))).alias("language_breakdown")
-    )
-    counted = tree.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.sum("line_count").alias("total_lines"),
-        F.count_if(architecture.is_entry_point()).alias("entry_point_count"),
+def profile(every: DataFrame) -> DataFrame:
+    """All counts and switches of a repository, from one pass over its facts."""
+    entries = F.count_if(C("walked") & architecture.is_entry_point()).alias("entry_point_count")
+    return every.groupBy("repo").agg(
+        F.count_if("walked").alias("total_files"),
+        F.sum(F.when(C("walked"), C("line_count")).otherwise(0)).alias("total_lines"),
+        entries,
+        *architecture.kind_columns()[:2],
+        *onboarding.presence_columns(),
+        *debt.count_columns(),
+        *api.route_columns(),
+        *api.command_columns(),
+        *security.finding_columns(),
+        *conventions.layout_columns(),
+        *conventions.linter_columns(),
     )
-    edge_count = edges.groupBy("repo").agg(F.count(F.lit(1)).alias("edge_count"))
-    key_list = listed(keys, ["rank"], ["path", "role", "importance_score"], "key_files")
-    arch = section(joined(kinds, counted, edge_count, shares, key_list).fillna(0, ["edge_count"]), "architecture")
-    overview = onboarding.overview(kinds, breakdown, architecture.entry_points(tree), architecture.layers(tree))
-    return arch, overview
 
 
-def debt_section(tree: DataFrame) -> DataFrame:
-    entry = lambda n, s, d: F.struct(
-        F.lit(n), F.struct(s.cast("int").alias("score"), F.lit(debt.WEIGHTS[n]).alias("weight"), d.alias("detail"))
+def texts(every: DataFrame) -> DataFrame:
+    """Root manifests, frameworks and the authentication pattern, from the few files that show them."""
+    telling = is_root_file() | architecture.has_framework_file() | C("auth").isNotNull()
+    return every.where(telling).groupBy("repo").agg(
+        *root_columns(), *architecture.framework_columns(), security.auth_column()
     )
+
+
+def debt_columns() -> list[Column]:
     dims = debt.dimension_columns()
-    scored = debt.with_dead(tree).select(
-        "repo",
-        debt.overall_of(dims).alias("overall_score"),
-        F.map_from_entries(F.array(*(entry(*d) for d in dims))).alias("dimensions"),
-    )
-    scored = scored.withColumn("grade", debt.grade_of(C("overall_score")))
-    hot = listed(debt.hotspots(tree), ["rank"], ["path", "reason", "score"], "hotspots")
-    advice = listed(debt.debt_recommendations(tree), ["rank"], ["recommendation"], "advice")
-    advice = advice.select("repo", C("advice")["recommendation"].alias("recommendations"))
-    return section(joined(scored, hot, advice), "tech_debt")
-
-
-def onboarding_section(tree, every, commits, keys, overview) -> DataFrame:
-    read = onboarding.with_roots(tree).select(
-        "repo",
-        onboarding.setup_steps_of().alias("setup_steps"),
-        onboarding.test_commands_of().alias("test_commands"),
-        onboarding.gotchas_of().alias("gotchas"),
-    )
-    people = listed(onboarding.top_contributors(commits), ["rank"], ["name", "email", "recent_commits"], "top_contributors")
-    terms = onboarding.glossary(tree).groupBy("repo").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "meaning")))).alias("glossary")
-    )
-    first = listed(keys.where("rank <= 10"), ["rank"], ["path", "role", "importance_score"], "key_files")
-    return section(
-        joined(onboarding.readme_summary(every), overview, first, read, people, terms), "onboarding"
-    )
 
+    def entry(name: str, score: Column, detail: Column) -> Column:
+        value = F.struct(score.cast("int").alias("score"), F.lit(debt.WEIGHTS[name]).alias("weight"), detail.alias("detail"))
+        return F.struct(F.lit(name), value)
 
-def dependency_section(every: DataFrame) -> DataFrame:
-    rows = dependencies.dependencies(every)
-    counted = rows.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_deps"),
-        F.count_if(C("status") == "outdated").alias("outdated_count"),
-    )
-    deps = listed(rows, ["position"], ["name", "current_version", "license", "status"], "deps")
-    base = joined(dependencies.package_manager(every), counted).fillna(0)
-    base = base.withColumns(
-        {"direct_deps": C("total_deps"), "vulnerability_count": F.lit(0), "risk_score": dependencies.risk_of()}
-    )
-    return section(joined(base, deps), "dependencies")
+    overall = debt.overall_of(dims)
+    return [
+        overall.alias("overall_score"),
+        debt.grade_of(overall).alias("grade"),
+        F.map_from_entries(F.array(*(entry(*d) for d in dims))).alias("dimensions"),
+        C("hotspots"),
+        debt.advice_of()["recommendation"].alias("recommendations"),
+    ]
 
 
-def security_section(every: DataFrame, commit_files: DataFrame) -> DataFrame:
-    flags = security.security_flags(every, commit_files).join(security.auth_pattern(every), "repo")
+def security_columns() -> list[Column]:
     in_git = F.when(C("env_exposed") | C("env_in_history"), F.array(F.lit(".env")))
-    return section(
-        flags.select(
-            "repo",
-            security.risk(flags).alias("risk_level"),
-            "secrets_found",
-            "sql_found",
-            in_git.alias("env_files_in_git"),
-            C("ports").alias("exposed_ports"),
-            "auth_pattern",
-            security.advice().alias("recommendations"),
-        ),
-        "security",
-    )
+    return [
+        security.risk_of().alias("risk_level"),
+        C("secrets_found"),
+        C("sql_found"),
+        in_git.alias("env_files_in_git"),
+        C("ports").alias("exposed_ports"),
+        C("auth_pattern"),
+        security.advice().alias("recommendations"),
+    ]
 
 
-def setup_section(every: DataFrame) -> DataFrame:
-    database = F.struct(*(F.lit(x).alias(n) for n, x in zip(("description", "command"), setup.R.DATABASE_STEP)))
-    return section(
-        roots(every).select(
-            "repo",
-            setup.prerequisites_of().alias("prerequisites"),
-            setup.install_steps_of().alias("install_steps"),
-            F.when(setup.database_of(), database).alias("database_setup"),
-            setup.build_command_of().alias("build_command"),
-            setup.run_commands_of().alias("run_commands"),
-            setup.test_command_of().alias("test_command"),
-            setup.common_issues_of().alias("common_issues"),
-        ),
-        "setup",
-    )
+def setup_columns() -> list[Column]:
+    step = F.struct(*(F.lit(x).alias(n) for n, x in zip(("description", "command"), R.DATABASE_STEP)))
+    return [
+        setup.prerequisites_of().alias("prerequisites"),
+        setup.install_steps_of().alias("install_steps"),
+        F.when(setup.database_of(), step).alias("database_setup"),
+        setup.build_command_of().alias("build_command"),
+        setup.run_commands_of().alias("run_commands"),
+        setup.test_command_of().alias("test_command"),
+        setup.common_issues_of().alias("common_issues"),
+    ]
 
 
 def report_over(every: DataFrame, commits: DataFrame, commit_files: DataFrame, analyses=None) -> DataFrame:
-    """Report rows from staged facts; sections that are not asked for are null."""
+    """Report rows from staged facts; sections that are not asked for are null.
+
+    The parts an unselected section would need are never read: its columns are
+    dropped from the plan, and with them the joins' inputs they come from.
+    """
     unknown = set(analyses or []) - set(ANALYSES)
     if unknown:
         raise ValueError(f"unknown analyses: {sorted(unknown)}")
     run = set(analyses or ANALYSES)
     if "onboarding" in run:
         run.add("arch")
+
     tree = every.where("walked")
     edges = architecture.import_edges(tree)
     keys = architecture.key_files(tree, edges)
-    arch, overview = architecture_sections(tree, edges, keys)
+    breakdown = languages.language_breakdown(tree)
+    deps = dependencies.dependencies(every)
+    statuses = deps.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("total_deps"), F.count_if(C("status") == "outdated").alias("outdated_count")
+    )
+    history_switch = security.env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))
+    key_columns = ["path", "role", "importance_score"]
     parts = {
-        "arch": arch,
-        "debt": debt_section(tree),
-        "onboarding": onboarding_section(tree, every, commits, keys, overview),
-        "deps": dependency_section(every),
-        "conventions": section(conventions.convention_report(every, commits), "conventions"),
-        "api": section(api.api_report(every), "api"),
-        "security": security_section(every, commit_files),
-        "setup": setup_section(every),
+        "arch": [
+            architecture.structure_pattern(tree),
+            counted(edges, "edge_count"),
+            mapped(breakdown, "language", "percentage", "language_breakdown"),
+            listed(keys, ["rank"], key_columns, "key_files"),
+        ],
+        "debt": [debt.dead_counts(tree), listed(debt.hotspots(tree), ["rank"], ["path", "reason", "score"], "hotspots")],
+        "onboarding": [
+            *onboarding.overview_parts(breakdown, architecture.entry_points(tree), architecture.layers(tree)),
+            listed(history.contributors(commits, 10), ["rank"], ["name", "email", "recent_commits"], "top_contributors"),
+            mapped(onboarding.glossary(tree), "term", "meaning", "glossary"),
+        ],
+        "deps": [statuses, listed(deps, ["position"], ["name", "current_version", "license", "status"], "deps")],
+        "conventions": [conventions.votes(every), conventions.commit_format(commits)],
+        "api": [],
+        "security": [history_switch],
+        "setup": [],
     }
-    report = joined(repos(every), history.head_commit(commits), *(parts[a] for a in ANALYSES if a in run))
-    absent = {
-        SECTIONS[a]: F.lit(None).cast(parts[a].schema[SECTIONS[a]].dataType) for a in ANALYSES if a not in run
+    rows = complete(profile(every), texts(every)).join(history.head_commit(commits), "repo", "left")
+    for analysis in ANALYSES:
+        for part in parts[analysis] if analysis in run else []:
+            rows = rows.join(part, "repo", "left")
+    zero = {"edge_count": 0, "dead_files": 0, "total_deps": 0, "outdated_count": 0, "env_in_history": False}
+    rows = rows.fillna({c: v for c, v in zero.items() if c in rows.columns})
+    rows = rows.withColumn("framework", architecture.framework_of())
+    rows = rows.withColumn("project_type", architecture.project_type_of(C("framework")))
+    if "security" in run:
+        rows = rows.withColumns({"env_exposed": security.unprotected_env(), "ports": security.ports()})
+
+    def arch_columns() -> list[Column]:
+        names = [
+            "project_type", "framework", "structure_pattern", "key_files", "language_breakdown", "total_files",
+            "total_lines", "entry_point_count", "edge_count",
+        ]
+        return [C(n) for n in names]
+
+    def onboarding_columns() -> list[Column]:
+        return [
+            onboarding.project_summary().alias("project_summary"),
+            onboarding.overview_of().alias("architecture_overview"),
+            F.slice("key_files", 1, 10).alias("key_files"),
+            onboarding.setup_steps_of().alias("setup_steps"),
+            onboarding.test_commands_of().alias("test_commands"),
+            C("top_contributors"),
+            onboarding.gotchas_of().alias("gotchas"),
+            C("glossary"),
+        ]
+
+    def dependency_columns() -> list[Column]:
+        return [
+            dependencies.manager_of().alias("package_manager"),
+            C("total_deps"),
+            C("total_deps").alias("direct_deps"),
+            C("outdated_count"),
+            F.lit(0).alias("vulnerability_count"),
+            dependencies.risk_of().alias("risk_score"),
+            C("deps"),
+        ]
+
+    columns = {
+        "arch": arch_columns, "debt": debt_columns, "onboarding": onboarding_columns, "deps": dependency_columns,
+        "conventions": conventions.report_columns, "api": api.report_columns, "security": security_columns,
+        "setup": setup_columns,
     }
-    return report.withColumns(absent).select("repo", "head_commit", *SECTIONS.values())
+    shown = []
+    for analysis in ANALYSES:
+        if analysis in run:
+            shown.append(F.struct(*columns[analysis]()).alias(SECTIONS[analysis]))
+        else:
+            shown.append(F.lit(None).cast(SCHEMA[SECTIONS[analysis]].dataType).alias(SECTIONS[analysis]))
+    return rows.select("repo", "head_commit", *shown)
 
 
 def full_report(corpus: Corpus, analyses=None) -> DataFrame:
