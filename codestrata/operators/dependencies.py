@@ -222,11 +222,14 @@ def risk_of() -> Column:
     return F.least(F.coalesce((ratio * 40).cast("int"), F.lit(0)) + size, F.lit(100)).cast("int")
 
 
-def dependency_risk(facts: DataFrame) -> DataFrame:
-    counted = dependencies(facts).groupBy("repo").agg(
+def dependency_counts(facts: DataFrame) -> DataFrame:
+    return dependencies(facts).groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_deps"), F.count_if(C("status") == "outdated").alias("outdated_count")
     )
-    return repos(facts).join(counted, "repo", "left").fillna(0).select(
+
+
+def dependency_risk(facts: DataFrame) -> DataFrame:
+    return repos(facts).join(dependency_counts(facts), "repo", "left").fillna(0).select(
         "repo",
         "total_deps",
         C("total_deps").alias("direct_deps"),

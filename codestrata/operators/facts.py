@@ -420,13 +420,13 @@ def facts(files: DataFrame, *names: str) -> DataFrame:
 # --- scopes ------------------------------------------------------------------------------------------
 
 
-def ignore_rules(all_facts: DataFrame) -> DataFrame:
+def ignore_rules(files: DataFrame) -> DataFrame:
     """One regular expression per repository with rules in its root .gitignore.
 
     A rule is a shell glob whose star also crosses slashes.
     """
     rules = F.filter(
-        F.transform(T.split_lines(C("manifest")), lambda s: T.strip(s)),
+        F.transform(T.split_lines(C("content")), lambda s: T.strip(s)),
         lambda s: (s != "") & ~F.startswith(s, F.lit("#")),
     )
 
@@ -441,13 +441,13 @@ def ignore_rules(all_facts: DataFrame) -> DataFrame:
 
     joined = F.array_join(F.transform(rules, to_regex), "|")
     return (
-        all_facts.where(C("path") == ".gitignore")
-        .select("repo", F.concat(F.lit("(?dm)^(?:"), joined, F.lit(")$")).alias("_ignored"))
-        .where("_ignored <> '(?dm)^(?:)$'")
+        identify(files.where(C("path") == ".gitignore"))
+        .select("repo", F.concat(F.lit("(?dm)^(?:"), joined, F.lit(")$")).alias("pattern"))
+        .where("pattern <> '(?dm)^(?:)$'")
     )
 
 
-def mark_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
+def mark_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``ignored``: whether the path, a folder of it or its name matches a rule of the repository.
 
     A rule may match a single component, the path, or the path of any folder
@@ -455,14 +455,24 @@ def mark_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
     """
     prefixes = F.transform("parts", lambda _, i: F.array_join(F.slice("parts", F.lit(1), i + 1), "/"))
     candidates = F.array_join(F.concat("parts", prefixes), "\n")
-    joined = join_spread(rows, ignore_rules(all_facts), ["repo"], ["path"], "left")
-    return joined.withColumn("ignored", F.coalesce(F.rlike(candidates, C("_ignored")), F.lit(False))).drop("_ignored")
+    joined = join_spread(rows, rules.select("repo", "pattern"), ["repo"], ["path"], "left")
+    return joined.withColumn("ignored", F.coalesce(F.rlike(candidates, C("pattern")), F.lit(False))).drop("pattern")
 
 
-def drop_ignored(rows: DataFrame, all_facts: DataFrame) -> DataFrame:
-    return mark_ignored(rows, all_facts).where("not ignored").drop("ignored")
+def drop_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    return mark_ignored(rows, rules).where("not ignored").drop("ignored")
 
 
-def walked(all_facts: DataFrame) -> DataFrame:
-    """The files most analyses look at: source-like, small, and not ignored."""
-    return drop_ignored(all_facts.where("walkable"), all_facts).withColumn("walked", F.lit(True))
+def with_walked(all_facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """All files, with a column that tells whether the walk keeps them."""
+    marked = mark_ignored(all_facts, rules)
+    return marked.withColumn("walked", C("walkable") & ~C("ignored")).drop("ignored")
+
+
+def walked(all_facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The files most analyses look at: source-like, small, and not ignored.
+
+    ``rules`` is a written table, so Spark knows its size and broadcasts it when
+    it is below the session's threshold; then nothing is shuffled here.
+    """
+    return drop_ignored(all_facts.where("walkable"), rules).withColumn("walked", F.lit(True))

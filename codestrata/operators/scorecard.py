@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from .api import undocumented_routes
-from .conventions import consistency_score
-from .debt import debt_score, ladder
-from .dependencies import dependency_risk
-from .manifests import repos, roots
-from .onboarding import setup_steps_of, with_roots
-from .security import risk_level
+from .conventions import consistency_column, votes
+from .debt import dead_counts, debt_score, dimension_columns, grade_of, ladder, overall_of
+from .dependencies import dependency_counts
+from .dependencies import risk_of as dependency_risk_of
+from .manifests import complete
+from .onboarding import setup_steps_of
+from .profile import profile, texts
+from .security import env_history_repos, risk_of, unprotected_env
 from .setup import prerequisites_of
 
 C = F.col
@@ -45,26 +46,30 @@ def api_health() -> Column:
     return F.when(C("total_routes") > 0, (documented * 100).cast("int")).otherwise(100)
 
 
-def score_table(tree: DataFrame, facts: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Inputs of the scorecard, one row per repository; null where an analysis saw nothing."""
-    steps = with_roots(tree, facts).select(
+def score_table(every: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """Inputs of the scorecard, one row per repository, from facts that know which files the walk keeps."""
+    tree = every.where("walked")
+    statuses = dependency_counts(every)
+    history = env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))
+    rows = complete(profile(every), texts(every))
+    for part in (dead_counts(tree), statuses, votes(every), history):
+        rows = rows.join(part, "repo", "left")
+    zero = {"dead_files": 0, "total_deps": 0, "outdated_count": 0, "env_in_history": False}
+    rows = rows.fillna(zero).withColumn("env_exposed", unprotected_env())
+    overall = overall_of(dimension_columns())
+    scored = rows.select(
         "repo",
+        (100 - overall).alias("tech_debt"),
+        grade_of(overall).alias("debt_grade"),
         F.lit(R.ARCHITECTURE_SCORE).alias("architecture"),
+        (100 - dependency_risk_of()).alias("dependencies"),
+        consistency_column().alias("conventions"),
+        api_health().alias("api"),
+        risk_of().alias("risk_level"),
         F.when(F.size(setup_steps_of()) > 0, 80).otherwise(50).alias("onboarding"),
+        F.when(F.size(prerequisites_of()) > 0, 80).otherwise(50).alias("setup"),
     )
-    parts = [
-        debt_score(tree).select("repo", (100 - C("score")).alias("tech_debt"), C("grade").alias("debt_grade")),
-        steps,
-        dependency_risk(facts).select("repo", (100 - C("risk_score")).alias("dependencies")),
-        consistency_score(facts).select("repo", C("consistency_score").alias("conventions")),
-        undocumented_routes(facts).select("repo", api_health().alias("api")),
-        risk_level(facts, commit_files).select("repo", security_health("risk_level").alias("security")),
-        roots(facts).select("repo", F.when(F.size(prerequisites_of()) > 0, 80).otherwise(50).alias("setup")),
-    ]
-    table = repos(facts)
-    for part in parts:
-        table = table.join(part, "repo", "left")
-    return table
+    return scored.withColumn("security", security_health("risk_level"))
 
 
 def scorecard(table: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import api, architecture, conventions, debt, dependencies, diff, facts, history
-from ..operators import languages, onboarding, scorecard, security, setup
-from ..sources.corpus import Corpus, snapshot_files, staged_corpus
+from ..operators import languages, onboarding, profile, scorecard, security, setup
+from ..sources.corpus import Corpus, snapshot_corpus, staged_corpus
+from . import report
 
 C = F.col
 
@@ -18,9 +19,10 @@ C = F.col
 class Inputs:
     """Lazily planned inputs of the queries; nothing is computed before an action."""
 
-    def __init__(self, corpus: Corpus, signals: tuple[str, ...]):
+    def __init__(self, corpus: Corpus, signals: tuple[str, ...], snapshots: Callable[[], list[Corpus]] | None = None):
         self.corpus = corpus
         self.signals = signals
+        self.snapshots = snapshots
 
     @property
     def files(self) -> DataFrame:
@@ -40,16 +42,11 @@ class Inputs:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return facts.walked(self.facts)
-
-    @cached_property
-    def snapshots(self) -> tuple[Inputs, Inputs]:
-        old, new = snapshot_files(self.files)
-        return tuple(Inputs(Corpus(f, self.commits, self.commit_files), self.signals) for f in (old, new))
+        return facts.walked(self.facts, self.corpus.rules)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return scorecard.score_table(self.tree, self.facts, self.commit_files)
+        return scorecard.score_table(facts.with_walked(self.facts, self.corpus.rules), self.commit_files)
 
 
 class Plan:
@@ -70,7 +67,8 @@ def bigints(df: DataFrame) -> DataFrame:
 
 
 def both(build: Callable[[Inputs], DataFrame], compare) -> Callable[[Inputs], DataFrame]:
-    return lambda i: compare(*(build(s) for s in i.snapshots))
+    """Compare what ``build`` gives for the old and the new snapshot."""
+    return lambda i: compare(*(build(Inputs(s, i.signals)) for s in i.snapshots()))
 
 
 # key -> plan over the inputs and the signals it reads
@@ -78,7 +76,7 @@ PLANS: dict[str, Plan] = {
     # corpus
     "file_facts": Plan(lambda i: i.facts.select(*FACT_COLUMNS)),
     "prune_dirs": Plan(lambda i: i.facts.where(facts.outside_pruned_dirs()).select("repo", "path")),
-    "gitignore_filter": Plan(lambda i: facts.drop_ignored(i.facts, i.facts).select("repo", "path"), "manifest"),
+    "gitignore_filter": Plan(lambda i: facts.drop_ignored(i.facts, i.corpus.rules).select("repo", "path"), "manifest"),
     "binary_ext_filter": Plan(lambda i: i.facts.where(facts.not_binary()).select("repo", "path")),
     "size_filter": Plan(lambda i: i.facts.where(facts.within_size(5000)).select("repo", "path", "size_bytes")),
     "size_filter_default": Plan(lambda i: i.facts.where(facts.within_size()).select("repo", "path", "size_bytes")),
@@ -204,18 +202,15 @@ PLANS: dict[str, Plan] = {
     "contributors": Plan(lambda i: history.contributors(i.commits)),
     "recent_files": Plan(lambda i: history.recent_files(i.commits, i.commit_files)),
     # scorecard and differences
-    "scorecard": Plan(
-        lambda i: scorecard.scorecard(i.scores),
-        *api.ROUTE_KINDS, "manifest", "imports", "todos", "opens_with_docstring", "has_docstring", "secrets", "sql_strings", "style", "reads_env"
-    ),
-    "overall_health": Plan(
-        lambda i: scorecard.overall_health(i.scores),
-        *api.ROUTE_KINDS, "manifest", "imports", "todos", "opens_with_docstring", "has_docstring", "secrets", "sql_strings", "style", "reads_env"
-    ),
+    "scorecard": Plan(lambda i: scorecard.scorecard(i.scores), *profile.SIGNALS),
+    "overall_health": Plan(lambda i: scorecard.overall_health(i.scores), *profile.SIGNALS),
     "score_band": Plan(
         lambda i: scorecard.score_band(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
+    "full_report": Plan(lambda i: report.full_report(i.corpus)),
+    "snapshot_read": Plan(lambda i: report.stored_reports(i.corpus)),
+    "report_items": Plan(lambda i: report.report_items(i.corpus)),
     "debt_chart_rows": Plan(
         lambda i: debt.debt_chart_rows(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
@@ -241,17 +236,19 @@ PLANS: dict[str, Plan] = {
 
 
 
-CORPORA: dict[tuple[str, str], Corpus] = {}
+CORPORA: dict[tuple[str, str, str], Corpus] = {}
 
 
-def corpus_for(spark: SparkSession, sf_dir: str) -> Corpus:
+def corpus_for(spark: SparkSession, sf_dir: str, state: str = "whole") -> Corpus:
     """The derived tables, written once per application and folder, as a deployment would hold them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in CORPORA:
-        CORPORA[key] = staged_corpus(spark, sf_dir)
+        whole = state == "whole"
+        CORPORA[key] = staged_corpus(spark, sf_dir) if whole else snapshot_corpus(corpus_for(spark, sf_dir), state)
     return CORPORA[key]
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = PLANS[name]
-    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals)))
+    snapshots = lambda: [corpus_for(spark, sf_dir, s) for s in ("old", "new")]
+    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots)))

@@ -7,15 +7,20 @@ rows of ``report_items``, so no repository's list is ever gathered in one place.
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import stage
+from ..functions.scale import stage, staging_folder
 from ..operators import api, architecture, conventions, debt, dependencies, facts, history
 from ..operators import languages, onboarding, security, setup
-from ..operators.manifests import complete, is_root_file, root_columns
+from ..operators.manifests import complete
+from ..operators.profile import profile, texts
 from ..sources.corpus import Corpus
+from ..sources.snapshots import SECTION_TYPES, read_snapshots, write_snapshot
 
 C = F.col
 ANALYSES = ["arch", "debt", "onboarding", "deps", "conventions", "api", "security", "setup"]
@@ -25,11 +30,9 @@ SECTIONS = {
 }
 
 
-def staged_facts(files: DataFrame) -> DataFrame:
+def staged_facts(corpus: Corpus) -> DataFrame:
     """All signals of all files and whether the walk keeps the file, written once."""
-    every = facts.facts(files)
-    marked = facts.mark_ignored(every, facts.facts(files, "manifest"))
-    return stage(marked.withColumn("walked", C("walkable") & ~C("ignored")).drop("ignored"), "facts")
+    return stage(facts.with_walked(facts.facts(corpus.files), corpus.rules), "facts")
 
 
 def listed(rows: DataFrame, order: list[str], columns: list[str], name: str) -> DataFrame:
@@ -49,32 +52,6 @@ def counted(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
 
 
-def profile(every: DataFrame) -> DataFrame:
-    """All counts and switches of a repository, from one pass over its facts."""
-    entries = F.count_if(C("walked") & architecture.is_entry_point()).alias("entry_point_count")
-    return every.groupBy("repo").agg(
-        F.count_if("walked").alias("total_files"),
-        F.sum(F.when(C("walked"), C("line_count")).otherwise(0)).alias("total_lines"),
-        entries,
-        *architecture.kind_columns()[:2],
-        *onboarding.presence_columns(),
-        *debt.count_columns(),
-        *api.route_columns(),
-        *api.command_columns(),
-        *security.finding_columns(),
-        *conventions.layout_columns(),
-        *conventions.linter_columns(),
-    )
-
-
-def texts(every: DataFrame) -> DataFrame:
-    """Root manifests, frameworks and the authentication pattern, from the few files that show them."""
-    telling = is_root_file() | architecture.has_framework_file() | C("auth").isNotNull()
-    return every.where(telling).groupBy("repo").agg(
-        *root_columns(), *architecture.framework_columns(), security.auth_column()
-    )
-
-
 def debt_columns() -> list[Column]:
     dims = debt.dimension_columns()
 
@@ -211,12 +188,12 @@ def report_over(every: DataFrame, commits: DataFrame, commit_files: DataFrame, a
         if analysis in run:
             shown.append(F.struct(*columns[analysis]()).alias(SECTIONS[analysis]))
         else:
-            shown.append(F.lit(None).cast(SCHEMA[SECTIONS[analysis]].dataType).alias(SECTIONS[analysis]))
+            shown.append(F.lit(None).cast(SECTION_TYPES[SECTIONS[analysis]]).alias(SECTIONS[analysis]))
     return rows.select("repo", "head_commit", *shown)
 
 
 def full_report(corpus: Corpus, analyses=None) -> DataFrame:
-    return report_over(staged_facts(corpus.files), corpus.commits, corpus.commit_files, analyses)
+    return report_over(staged_facts(corpus), corpus.commits, corpus.commit_files, analyses)
 
 
 def items_over(every: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -245,4 +222,49 @@ def items_over(every: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def report_items(corpus: Corpus) -> DataFrame:
-    return items_over(staged_facts(corpus.files), corpus.commit_files)
+    return items_over(staged_facts(corpus), corpus.commit_files)
+
+
+def stored_reports(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
+    """Write the report as a snapshot, read it back and lay its scalars out flat."""
+    spark = corpus.files.sparkSession
+    folder = f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    write_snapshot(full_report(corpus), folder, snapshot_id, datetime(2026, 1, 1))
+    flat = {
+        "architecture": [
+            "project_type", "framework", "structure_pattern", "total_files", "total_lines", "entry_point_count", "edge_count",
+        ],
+        "tech_debt": ["overall_score", "grade"],
+        "onboarding": ["project_summary", "architecture_overview"],
+        "dependencies": ["package_manager", "total_deps", "outdated_count", "risk_score"],
+        "conventions": [
+            "variables", "functions", "classes", "files", "indent_style", "indent_width", "quotes", "semicolons",
+            "import_style", "error_handling", "test_pattern", "commit_format", "linter_config", "consistency_score",
+        ],
+        "api": ["api_type", "total_routes", "total_commands", "undocumented_routes"],
+        "security": ["risk_level", "secrets_found", "auth_pattern"],
+        "setup": ["build_command", "test_command"],
+    }
+    sizes = {
+        "key_file_count": "size(architecture.key_files)",
+        "hotspot_count": "coalesce(size(tech_debt.hotspots), 0)",
+        "recommendation_count": "size(tech_debt.recommendations)",
+        "setup_step_count": "size(onboarding.setup_steps)",
+        "test_command_count": "size(onboarding.test_commands)",
+        "gotcha_count": "size(onboarding.gotchas)",
+        "term_count": "coalesce(size(onboarding.glossary), 0)",
+        "contributor_count": "size(onboarding.top_contributors)",
+        "port_count": "size(security.exposed_ports)",
+        "advice_count": "size(security.recommendations)",
+        "prerequisite_count": "size(setup.prerequisites)",
+        "install_step_count": "size(setup.install_steps)",
+        "run_command_count": "size(setup.run_commands)",
+        "issue_count": "size(setup.common_issues)",
+    }
+    return read_snapshots(spark, folder).select(
+        "snapshot_id",
+        "repo",
+        "head_commit",
+        *(f"{section}.{name}" for section, names in flat.items() for name in names),
+        *(F.expr(f"cast({size} as bigint)").alias(name) for name, size in sizes.items()),
+    )

@@ -3,6 +3,7 @@
 ``files``         repo, path, size_bytes, content (and n, the position of a file in its repo)
 ``commits``       repo, commit_id, author_name, author_email, committed_at, subject, is_merge
 ``commit_files``  repo, commit_id, path
+``rules``         repo, pattern: the ignore rules of each repository, derived from ``files``
 
 They can be read from any Spark source, or derived from the ``documents`` and
 ``events`` tables as FIXTURES.md lays down.
@@ -11,13 +12,14 @@ They can be read from any Spark source, or derived from the ``documents`` and
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scale import join_spread, position_in_key, stage
+from ..operators.facts import ignore_rules
 
 
 @dataclass(frozen=True)
@@ -25,11 +27,13 @@ class Corpus:
     files: DataFrame
     commits: DataFrame
     commit_files: DataFrame
+    rules: DataFrame
 
 
 def read_corpus(spark: SparkSession, folder: str) -> Corpus:
-    """Read the three tables from Parquet folders below ``folder``."""
-    return Corpus(*(spark.read.parquet(f"{folder}/{t}") for t in ("files", "commits", "commit_files")))
+    """Read files, commits and commit_files from Parquet folders below ``folder``."""
+    files, commits, touched = (spark.read.parquet(f"{folder}/{t}") for t in ("files", "commits", "commit_files"))
+    return Corpus(files, commits, touched, stage(ignore_rules(files), "rules"))
 
 
 def text_of(raw):
@@ -92,7 +96,7 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         (F.col("event_type") == "error").alias("is_merge"),
     )
 
-    return Corpus(files, commits, commit_files(commits, files))
+    return Corpus(files, commits, commit_files(commits, files), ignore_rules(files))
 
 
 def commit_files(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -110,12 +114,14 @@ def commit_files(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def staged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The derived corpus with its two larger tables written to the staging folder."""
+    """The derived corpus, written to the staging folder."""
     derived = derived_corpus(spark, sf_dir)
     files = stage(derived.files, "files")
-    return Corpus(files, derived.commits, stage(commit_files(derived.commits, files), "commit_files"))
+    touched = stage(commit_files(derived.commits, files), "commit_files")
+    return Corpus(files, derived.commits, touched, stage(ignore_rules(files), "rules"))
 
 
-def snapshot_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two states of the derived corpus that the diff operators compare."""
-    return files.where("n % 7 <> 3"), files.where("n % 7 <> 5")
+def snapshot_corpus(corpus: Corpus, state: str) -> Corpus:
+    """One of the two states of the derived corpus that the diff operators compare."""
+    files = corpus.files.where({"old": "n % 7 <> 3", "new": "n % 7 <> 5"}[state])
+    return replace(corpus, files=files, rules=stage(ignore_rules(files), "rules"))

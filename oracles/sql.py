@@ -347,7 +347,7 @@ def tables() -> dict[str, str]:
         where rank <= 5 and score > 20) where recommendation is not null"""
     title = case([(f"dimension = {q(n)}", q(n.replace("_", " ").title())) for n in R.DEBT_WEIGHTS])
     t["t_debt_chart_rows"] = f"select repo, position, {title} as label, score, {ladder('score', R.DEBT_COLOURS, R.WORST_COLOUR, '<=')} as colour from t_debt_dimensions"
-    return {**t, **onboarding(), **dependencies(), **conventions(), **surfaces(), **setup_and_history(), **scores()}
+    return {**t, **onboarding(), **dependencies(), **conventions(), **surfaces(), **setup_and_history(), **scores(), **reports()}
 
 
 def onboarding() -> dict[str, str]:
@@ -775,6 +775,40 @@ def scores() -> dict[str, str]:
     return t
 
 
+def reports() -> dict[str, str]:
+    t: dict[str, str] = {}
+    lists = [
+        ("architecture", "entry_points", "entry_points", "entry_type path"),
+        ("architecture", "layers", "layers", "layer path purpose"),
+        ("architecture", "internal_deps", "import_edges", "from_module to_module"),
+        ("api", "endpoints", "endpoints", "handler_file kind method route"),
+        ("api", "cli_commands", "cli_commands", "command description handler_file kind"),
+        ("security", "findings", "security_findings", "category description file line severity"),
+        ("setup", "env_vars", "env_vars", "example name required"),
+    ]
+    t["t_cli_commands"] = "select repo, 'click' as kind, * exclude (repo) from t_cli_click union all select repo, 'argparse', * exclude (repo) from t_cli_argparse"
+    rows = []
+    for section, name, table, fields in lists:
+        item = ", ".join(f"{q(f)}, {f}" for f in fields.split())
+        rows.append(f"select repo, {q(section)} as section, {q(name)} as list, cast(json_object({item}) as varchar) as item from t_{table}")
+    t["t_report_items"] = union(rows)
+    n = lambda table: f"(select count(*) from t_{table} x where x.repo = r.repo)"
+    t["t_snapshot_read"] = f"""select 'current' as snapshot_id, r.repo, h.head_commit, a.project_type, a.framework, a.structure_pattern, a.total_files, a.total_lines,
+          a.entry_point_count, a.edge_count, d.score as overall_score, d.grade, s.project_summary, o.architecture_overview, m.package_manager,
+          k.total_deps, k.outdated_count, k.risk_score, c.* exclude (repo), p.api_type, p.total_routes, p.total_commands, p.undocumented_routes,
+          l.risk_level, l.secrets_found, u.auth_pattern, b.build_command, t.test_command,
+          {n('key_files')} as key_file_count, {n('hotspots')} as hotspot_count, {n('debt_recommendations')} as recommendation_count,
+          {n('setup_steps')} as setup_step_count, {n('test_commands')} as test_command_count, {n('gotchas')} as gotcha_count,
+          {n('glossary')} as term_count, {n('top_contributors')} as contributor_count, {n('exposed_ports')} as port_count,
+          {n('security_recommendations')} as advice_count, {n('prerequisites')} as prerequisite_count, {n('install_steps')} as install_step_count,
+          {n('run_commands')} as run_command_count, {n('common_issues')} as issue_count
+        from t_repos r left join t_head_commit h using (repo) left join t_architecture_report a using (repo) left join t_debt_score d using (repo)
+        left join t_readme_summary s using (repo) left join t_architecture_overview o using (repo) left join t_package_manager m using (repo)
+        left join t_dependency_risk k using (repo) left join t_convention_report c using (repo) left join t_api_report p using (repo)
+        left join t_risk_level l using (repo) left join t_auth_pattern u using (repo) left join t_build_command b using (repo) left join t_test_command t using (repo)"""
+    return t
+
+
 SHARED = {"t_templates", "t_documents", "t_all_files", "t_commits", "t_commit_files", "t_suffix_language"}
 BIG = {"t_all_files", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
 
