@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -57,6 +58,22 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], limit: int,
     return numbered.where(F.col(rank) <= limit)
 
 
+def merge_on(key: str, base: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Left-join several tables with at most one row per key, in a single shuffle.
+
+    All rows are stacked, each carrying its columns as one struct, and met again
+    per key.  This takes one exchange of small rows where a chain of joins would
+    plan, sort and adapt each join on its own.
+    """
+    tables = [base, *parts]
+    packed = [
+        t.select(key, F.struct(*(c for c in t.columns if c != key)).alias(f"_{i}")) for i, t in enumerate(tables)
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    met = stacked.groupBy(key).agg(*(F.any_value(f"_{i}", True).alias(f"_{i}") for i in range(len(tables))))
+    return met.where("_0 is not null").select(key, *(f"_{i}.*" for i in range(len(tables))))
+
+
 def staging_folder(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables, as named by the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

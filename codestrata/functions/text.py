@@ -5,6 +5,8 @@ All helpers work inside one row, so extracting lines or matches never shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def lookup(entries: dict, column: str) -> Column:
     return F.expr(f"map({pairs})[{column}]")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def empty(ddl: str) -> Column:
     return F.expr(f"cast(array() as array<{ddl}>)")
 
@@ -67,7 +74,8 @@ def count_of(col: Column, pattern: str) -> Column:
 
 def split_lines(col: Column) -> Column:
     """Lines of a text; a break at the very end starts no further line."""
-    body = F.regexp_replace(col, LINE_BREAK + r"\z", "")
+    ended = F.right(col, F.lit(1)).rlike(LINE_BREAK)
+    body = F.when(ended, F.left(col, F.length(col) - 1)).otherwise(col)
     return F.when(col == "", empty("string")).otherwise(F.split(body, LINE_BREAK, -1))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from ..functions.scale import first_rows, join_spread
+from ..functions.scale import first_rows, join_spread, merge_on
 from .languages import corpus_totals, language_breakdown
 from .manifests import roots
 
@@ -226,8 +226,6 @@ def architecture_report(tree: DataFrame, every: DataFrame) -> DataFrame:
         sized(key_files(tree, edges), "key_file_count"),
         sized(language_breakdown(tree), "language_count"),
     ]
-    report = corpus_totals(tree)
-    for part in parts:
-        report = report.join(part, "repo", "left")
+    report = merge_on("repo", corpus_totals(tree), parts)
     counts = [c for c in report.columns if c.endswith("_count")]
     return report.fillna(0, counts)

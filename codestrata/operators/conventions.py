@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from ..functions.scale import first_rows
+from ..functions.scale import first_rows, merge_on
 from .facts import is_convention_source
 from .manifests import repos
 
@@ -246,7 +246,6 @@ def report_columns() -> list[Column]:
 
 
 def convention_report(facts: DataFrame, commits: DataFrame) -> DataFrame:
-    rows = facts.groupBy("repo").agg(*layout_columns(), *linter_columns())
-    for part in (votes(facts), commit_format(commits)):
-        rows = rows.join(part, "repo", "left")
+    layout = facts.groupBy("repo").agg(*layout_columns(), *linter_columns())
+    rows = merge_on("repo", layout, [votes(facts), commit_format(commits)])
     return rows.select("repo", *report_columns())

@@ -222,12 +222,16 @@ def risk_of() -> Column:
     return F.least(F.coalesce((ratio * 40).cast("int"), F.lit(0)) + size, F.lit(100)).cast("int")
 
 
-def dependency_counts(facts: DataFrame) -> DataFrame:
-    return dependencies(facts).groupBy("repo").agg(
+def count_statuses(deps: DataFrame) -> DataFrame:
+    return deps.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_deps"), F.count_if(C("status") == "outdated").alias("outdated_count")
     )
 
 
+def dependency_counts(facts: DataFrame) -> DataFrame:
+    return count_statuses(dependencies(facts))
+
+
 def dependency_risk(facts: DataFrame) -> DataFrame:
     return repos(facts).join(dependency_counts(facts), "repo", "left").fillna(0).select(
         "repo",

@@ -90,7 +90,9 @@ def script_imports(content: Column) -> Column:
 
 
 def todos(content: Column) -> Column:
-    hits = F.filter(T.numbered_lines(content), lambda s: T.has(s["text"], R.TODO))
+    hits = F.filter(
+        T.numbered_lines(content), lambda s: F.contains(s["text"], F.lit("#")) & T.has(s["text"], R.TODO)
+    )
     rows = F.transform(
         hits,
         lambda s: F.struct(

@@ -46,16 +46,16 @@ def is_root_file() -> Column:
     return T.is_in("path", [*ROOT_TEXTS.values(), *ROOT_MARKS.values()])
 
 
-def complete(base: DataFrame, found: DataFrame) -> DataFrame:
-    """Every repository with its root files; repositories without any keep nulls."""
-    flat = base.join(found, "repo", "left").fillna(False, [f"has_{c}" for c in ROOT_MARKS])
+def complete(rows: DataFrame) -> DataFrame:
+    """Fill in what repositories without root files lack, and parse package.json."""
+    flat = rows.fillna(False, [f"has_{c}" for c in ROOT_MARKS])
     return flat.withColumn("npm", F.from_json("package", PACKAGE))
 
 
 def roots(rows: DataFrame) -> DataFrame:
     """Root manifests side by side; null where a repository lacks the file."""
     found = rows.where(is_root_file()).groupBy("repo").agg(*root_columns())
-    return complete(repos(rows), found)
+    return complete(repos(rows).join(found, "repo", "left"))
 
 
 def there(column: str) -> Column:

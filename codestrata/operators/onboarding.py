@@ -69,20 +69,28 @@ def setup_commands(content: Column) -> Column:
     Cut at the fence lines, the text alternates between outside and inside.
     """
     lined = F.translate(content, "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\n" * 8)
+
+    def commands(pieces: Column) -> Column:
+        stops = F.transform(pieces, lambda p, i: F.when((i % 2 == 0) & T.has(p, STOP), i))
+        last = F.coalesce(F.array_min(stops), F.size(pieces))
+
+        def read(end: Column) -> Column:
+            inside = F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < end))
+            lines = F.transform(F.flatten(F.transform(inside, T.split_lines)), lambda s: T.strip(s))
+            return F.filter(lines, lambda s: s != "")
+
+        return T.let(last, read)
+
+    # without a heading the text is empty and has no inside
     tail = T.find(lined, f"{HEADING}(?s:.*)", 0)
-    pieces = F.split(tail, T.rx(FENCE), -1)
-    stops = F.transform(pieces, lambda p, i: F.when((i % 2 == 0) & T.has(p, STOP), i))
-    last = F.coalesce(F.array_min(stops), F.size(pieces))
-    inside = F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < last))
-    lines = F.transform(F.flatten(F.transform(inside, T.split_lines)), lambda s: T.strip(s))
-    return F.when(tail == "", T.empty("string")).otherwise(F.filter(lines, lambda s: s != ""))
+    return T.let(F.split(tail, T.rx(FENCE), -1), commands)
 
 
 def readme_steps_of() -> Column:
     """Steps of README.md, or of README.rst where the first has none."""
     first = F.coalesce(F.when(C("any_readme_md"), setup_commands(C("readme_md"))), T.empty("string"))
     second = F.coalesce(F.when(C("any_readme_rst"), setup_commands(C("readme_rst"))), T.empty("string"))
-    return F.when(F.size(first) > 0, first).otherwise(second)
+    return T.let(first, lambda steps: F.when(F.size(steps) > 0, steps).otherwise(second))
 
 
 def readme_setup_steps(facts: DataFrame) -> DataFrame:
@@ -121,12 +129,15 @@ def with_roots(tree: DataFrame, every: DataFrame) -> DataFrame:
 
 def setup_steps_of() -> Column:
     kind = "array<struct<description:string,command:string>>"
-    steps = readme_steps_of()
-    read = F.transform(steps, lambda s: F.struct(F.concat(F.lit("Run: "), s), s)).cast(kind)
     inferred = F.array(
         *(F.when(C(NAMES[n]), F.struct(F.lit(text), F.lit(command))) for n, text, command in R.FALLBACK_SETUP)
     )
-    return F.when(F.size(steps) > 0, read).otherwise(F.filter(inferred, lambda x: x.isNotNull()).cast(kind))
+
+    def choose(steps: Column) -> Column:
+        read = F.transform(steps, lambda s: F.struct(F.concat(F.lit("Run: "), s), s)).cast(kind)
+        return F.when(F.size(steps) > 0, read).otherwise(F.filter(inferred, lambda x: x.isNotNull()).cast(kind))
+
+    return T.let(readme_steps_of(), choose)
 
 
 def setup_steps(tree: DataFrame, every: DataFrame) -> DataFrame:

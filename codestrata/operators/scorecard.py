@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
+from ..functions.scale import merge_on
 from .conventions import consistency_column, votes
 from .debt import dead_counts, debt_score, dimension_columns, grade_of, ladder, overall_of
 from .dependencies import dependency_counts
@@ -51,9 +52,8 @@ def score_table(every: DataFrame, commit_files: DataFrame) -> DataFrame:
     tree = every.where("walked")
     statuses = dependency_counts(every)
     history = env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))
-    rows = complete(profile(every), texts(every))
-    for part in (dead_counts(tree), statuses, votes(every), history):
-        rows = rows.join(part, "repo", "left")
+    parts = [texts(every), dead_counts(tree), statuses, votes(every), history]
+    rows = complete(merge_on("repo", profile(every), parts))
     zero = {"dead_files": 0, "total_deps": 0, "outdated_count": 0, "env_in_history": False}
     rows = rows.fillna(zero).withColumn("env_exposed", unprotected_env())
     overall = overall_of(dimension_columns())

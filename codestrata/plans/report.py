@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import stage, staging_folder
+from ..functions.scale import merge_on, stage, staging_folder
 from ..operators import api, architecture, conventions, debt, dependencies, facts, history
 from ..operators import languages, onboarding, security, setup
 from ..operators.manifests import complete
@@ -96,11 +96,7 @@ def setup_columns() -> list[Column]:
 
 
 def report_over(every: DataFrame, commits: DataFrame, commit_files: DataFrame, analyses=None) -> DataFrame:
-    """Report rows from staged facts; sections that are not asked for are null.
-
-    The parts an unselected section would need are never read: its columns are
-    dropped from the plan, and with them the joins' inputs they come from.
-    """
+    """Report rows from staged facts; sections that are not asked for are null and not computed."""
     unknown = set(analyses or []) - set(ANALYSES)
     if unknown:
         raise ValueError(f"unknown analyses: {sorted(unknown)}")
@@ -109,38 +105,47 @@ def report_over(every: DataFrame, commits: DataFrame, commit_files: DataFrame, a
         run.add("arch")
 
     tree = every.where("walked")
-    edges = architecture.import_edges(tree)
-    keys = architecture.key_files(tree, edges)
-    breakdown = languages.language_breakdown(tree)
-    deps = dependencies.dependencies(every)
-    statuses = deps.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_deps"), F.count_if(C("status") == "outdated").alias("outdated_count")
-    )
-    history_switch = security.env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))
     key_columns = ["path", "role", "importance_score"]
-    parts = {
-        "arch": [
+
+    def breakdown() -> DataFrame:
+        return languages.language_breakdown(tree)
+
+    def arch_parts() -> list[DataFrame]:
+        edges = architecture.import_edges(tree)
+        keys = architecture.key_files(tree, edges)
+        return [
             architecture.structure_pattern(tree),
             counted(edges, "edge_count"),
-            mapped(breakdown, "language", "percentage", "language_breakdown"),
+            mapped(breakdown(), "language", "percentage", "language_breakdown"),
             listed(keys, ["rank"], key_columns, "key_files"),
-        ],
-        "debt": [debt.dead_counts(tree), listed(debt.hotspots(tree), ["rank"], ["path", "reason", "score"], "hotspots")],
-        "onboarding": [
-            *onboarding.overview_parts(breakdown, architecture.entry_points(tree), architecture.layers(tree)),
-            listed(history.contributors(commits, 10), ["rank"], ["name", "email", "recent_commits"], "top_contributors"),
+        ]
+
+    def debt_parts() -> list[DataFrame]:
+        return [debt.dead_counts(tree), listed(debt.hotspots(tree), ["rank"], ["path", "reason", "score"], "hotspots")]
+
+    def onboarding_parts() -> list[DataFrame]:
+        people = history.contributors(commits, 10)
+        return [
+            *onboarding.overview_parts(breakdown(), architecture.entry_points(tree), architecture.layers(tree)),
+            listed(people, ["rank"], ["name", "email", "recent_commits"], "top_contributors"),
             mapped(onboarding.glossary(tree), "term", "meaning", "glossary"),
-        ],
-        "deps": [statuses, listed(deps, ["position"], ["name", "current_version", "license", "status"], "deps")],
-        "conventions": [conventions.votes(every), conventions.commit_format(commits)],
-        "api": [],
-        "security": [history_switch],
-        "setup": [],
+        ]
+
+    def dependency_parts() -> list[DataFrame]:
+        deps = dependencies.dependencies(every)
+        statuses = dependencies.count_statuses(deps)
+        return [statuses, listed(deps, ["position"], ["name", "current_version", "license", "status"], "deps")]
+
+    parts = {
+        "arch": arch_parts,
+        "debt": debt_parts,
+        "onboarding": onboarding_parts,
+        "deps": dependency_parts,
+        "conventions": lambda: [conventions.votes(every), conventions.commit_format(commits)],
+        "security": lambda: [security.env_history_repos(commit_files).withColumn("env_in_history", F.lit(True))],
     }
-    rows = complete(profile(every), texts(every)).join(history.head_commit(commits), "repo", "left")
-    for analysis in ANALYSES:
-        for part in parts[analysis] if analysis in run else []:
-            rows = rows.join(part, "repo", "left")
+    chosen = [part for analysis, build in parts.items() if analysis in run for part in build()]
+    rows = complete(merge_on("repo", profile(every), [texts(every), history.head_commit(commits), *chosen]))
     zero = {"edge_count": 0, "dead_files": 0, "total_deps": 0, "outdated_count": 0, "env_in_history": False}
     rows = rows.fillna({c: v for c, v in zero.items() if c in rows.columns})
     rows = rows.withColumn("framework", architecture.framework_of())
