@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import api, architecture, conventions, debt, dependencies, diff, facts, history
 from ..operators import languages, onboarding, profile, scorecard, security, setup
-from ..sources.corpus import Corpus, snapshot_corpus, staged_corpus
+from ..sources.corpus import Corpus, later_corpus, staged_corpus
 from . import report
 
 C = F.col
@@ -209,6 +209,7 @@ PLANS: dict[str, Plan] = {
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
     "full_report": Plan(lambda i: report.full_report(i.corpus)),
+    "snapshot_write": Plan(lambda i: report.written_rows(i.corpus)),
     "snapshot_read": Plan(lambda i: report.stored_reports(i.corpus)),
     "report_items": Plan(lambda i: report.report_items(i.corpus)),
     "debt_chart_rows": Plan(
@@ -239,16 +240,18 @@ PLANS: dict[str, Plan] = {
 CORPORA: dict[tuple[str, str, str], Corpus] = {}
 
 
-def corpus_for(spark: SparkSession, sf_dir: str, state: str = "whole") -> Corpus:
+def corpus_for(spark: SparkSession, sf_dir: str, state: str = "now") -> Corpus:
     """The derived tables, written once per application and folder, as a deployment would hold them."""
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in CORPORA:
-        whole = state == "whole"
-        CORPORA[key] = staged_corpus(spark, sf_dir) if whole else snapshot_corpus(corpus_for(spark, sf_dir), state)
+        if state == "now":
+            CORPORA[key] = staged_corpus(spark, sf_dir)
+        else:
+            CORPORA[key] = later_corpus(spark, sf_dir, corpus_for(spark, sf_dir))
     return CORPORA[key]
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = PLANS[name]
-    snapshots = lambda: [corpus_for(spark, sf_dir, s) for s in ("old", "new")]
+    snapshots = lambda: [corpus_for(spark, sf_dir, s) for s in ("now", "later")]
     return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots)))

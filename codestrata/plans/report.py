@@ -230,11 +230,25 @@ def report_items(corpus: Corpus) -> DataFrame:
     return items_over(staged_facts(corpus), corpus.commit_files)
 
 
+def written(corpus: Corpus, snapshot_id: str) -> str:
+    """Folder of a freshly written snapshot."""
+    folder = f"{staging_folder(corpus.files.sparkSession)}/snapshots-{uuid.uuid4().hex}"
+    write_snapshot(full_report(corpus), folder, snapshot_id, datetime(2026, 1, 1))
+    return folder
+
+
+def written_rows(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
+    """The rows of a snapshot as they lie on disk: one JSON object per repository."""
+    lines = corpus.files.sparkSession.read.text(written(corpus, snapshot_id))
+    return lines.select(
+        "snapshot_id",
+        F.get_json_object("value", "$.repo").alias("repo"),
+        F.size(F.json_object_keys("value")).cast("bigint").alias("field_count"),
+    )
+
+
 def stored_reports(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
     """Write the report as a snapshot, read it back and lay its scalars out flat."""
-    spark = corpus.files.sparkSession
-    folder = f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
-    write_snapshot(full_report(corpus), folder, snapshot_id, datetime(2026, 1, 1))
     flat = {
         "architecture": [
             "project_type", "framework", "structure_pattern", "total_files", "total_lines", "entry_point_count", "edge_count",
@@ -266,7 +280,7 @@ def stored_reports(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
         "run_command_count": "size(setup.run_commands)",
         "issue_count": "size(setup.common_issues)",
     }
-    return read_snapshots(spark, folder).select(
+    return read_snapshots(corpus.files.sparkSession, written(corpus, snapshot_id)).select(
         "snapshot_id",
         "repo",
         "head_commit",

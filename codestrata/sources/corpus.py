@@ -47,9 +47,12 @@ def fixture_templates() -> list[tuple[int, int, str, str]]:
     return [tuple(json.loads(row)) for row in source.splitlines()]
 
 
-def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def derived_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """One file per document; ``shift`` moves every document to a later template.
+
+    Two shifts of the same documents are two states of the same repositories.
+    """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     # 60 rows whatever the data's size, so the broadcast is bounded
     templates = spark.createDataFrame(
         fixture_templates(), "arch int, k int, template_path string, body string"
@@ -58,7 +61,7 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         documents.select(F.col("source").alias("repo"), "text", "doc_id"), "repo", "doc_id", "n"
     )
     slot = (
-        placed.withColumn("k", (F.col("n") % 12).cast("int"))
+        placed.withColumn("k", ((F.col("n") + shift) % 12).cast("int"))
         .withColumn("arch", F.expr("cast(substr(repo, 4) as int) % 5"))
         .withColumn("copy", F.floor(F.col("n") / 12).cast("int"))
         .join(F.broadcast(templates), ["arch", "k"])
@@ -70,13 +73,16 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     body = F.replace(body, F.lit("{text}"), F.col("text"))
     words = F.concat(F.lit("# "), F.replace("text", F.lit(" "), F.lit("\n# ")))
     body = F.replace(body, F.lit("{words}"), words)
-    files = slot.select(
+    return slot.select(
         "repo",
         "n",
         F.concat(folder, "template_path").alias("path"),
         body.alias("content"),
     ).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
 
+
+def derived_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     user = F.concat(F.lit("user"), F.col("user_id").cast("string"))
     event = F.col("event_id").cast("string")
     subject = (
@@ -86,7 +92,7 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         .when(F.col("event_type") == "click", F.concat(F.lit("update things "), event))
         .otherwise("Merge branch dev")
     )
-    commits = events.select(
+    return events.select(
         F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("repo"),
         F.col("event_id").alias("commit_id"),
         user.alias("author_name"),
@@ -96,9 +102,6 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         (F.col("event_type") == "error").alias("is_merge"),
     )
 
-    return Corpus(files, commits, commit_files(commits, files), ignore_rules(files))
-
-
 def commit_files(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Two files per commit, picked by the position of a file in its repository."""
     counted = files.groupBy("repo").agg(F.count(F.lit(1)).alias("c"))
@@ -115,13 +118,12 @@ def commit_files(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 def staged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The derived corpus, written to the staging folder."""
-    derived = derived_corpus(spark, sf_dir)
-    files = stage(derived.files, "files")
-    touched = stage(commit_files(derived.commits, files), "commit_files")
-    return Corpus(files, derived.commits, touched, stage(ignore_rules(files), "rules"))
+    files, commits = stage(derived_files(spark, sf_dir), "files"), derived_commits(spark, sf_dir)
+    touched = stage(commit_files(commits, files), "commit_files")
+    return Corpus(files, commits, touched, stage(ignore_rules(files), "rules"))
 
 
-def snapshot_corpus(corpus: Corpus, state: str) -> Corpus:
-    """One of the two states of the derived corpus that the diff operators compare."""
-    files = corpus.files.where({"old": "n % 7 <> 3", "new": "n % 7 <> 5"}[state])
-    return replace(corpus, files=files, rules=stage(ignore_rules(files), "rules"))
+def later_corpus(spark: SparkSession, sf_dir: str, earlier: Corpus) -> Corpus:
+    """A later state of all repositories: every document one template on, the history as before."""
+    files = stage(derived_files(spark, sf_dir, 1), "files")
+    return replace(earlier, files=files, rules=stage(ignore_rules(files), "rules"))

@@ -110,16 +110,21 @@ def tables() -> dict[str, str]:
 
     # --- corpus
     t["t_templates"] = f"select * from (values {template_rows}) v(arch, k, path, body)"
-    t["t_documents"] = """select *, n % 12 as k, cast(floor(n / 12.0) as int) as g, ri % 5 as arch from (
+    t["t_documents"] = """select *, cast(floor(n / 12.0) as int) as g, ri % 5 as arch from (
         select source as repo, text, cast(substr(source, 4) as int) as ri,
                row_number() over (partition by source order by doc_id) - 1 as n from documents)"""
-    t["t_all_files"] = """select *, cast(strlen(content) as bigint) as size_bytes from (
+
+    def files_at(slot: str) -> str:
+        return f"""select *, cast(strlen(content) as bigint) as size_bytes from (
         select e.repo, e.n,
           concat(case when g = 0 then '' else concat('pkg', cast(g as varchar), '/') end, t.path) as path,
-          replace(replace(replace(replace(t.body, '{nn}', lpad(cast(n % 100 as varchar), 2, '0')),
-            '{n}', cast(n as varchar)), '{text}', text),
-            '{words}', concat('# ', replace(text, ' ', concat(chr(10), '# ')))) as content
-        from t_documents e join t_templates t on t.arch = e.arch and t.k = e.k)"""
+          replace(replace(replace(replace(t.body, '{{nn}}', lpad(cast(n % 100 as varchar), 2, '0')),
+            '{{n}}', cast(n as varchar)), '{{text}}', text),
+            '{{words}}', concat('# ', replace(text, ' ', concat(chr(10), '# ')))) as content
+        from t_documents e join t_templates t on t.arch = e.arch and t.k = {slot})"""
+
+    t["t_all_files"] = files_at("e.n % 12")
+    t["t_later_files"] = files_at("(e.n + 1) % 12")
     t["t_files"] = "select * from t_all_files"
     t["t_commits"] = """select concat('src', cast(event_id % 20 as varchar)) as repo, event_id as commit_id,
         concat('user', cast(user_id as varchar)) as author_name,
@@ -806,11 +811,12 @@ def reports() -> dict[str, str]:
         left join t_readme_summary s using (repo) left join t_architecture_overview o using (repo) left join t_package_manager m using (repo)
         left join t_dependency_risk k using (repo) left join t_convention_report c using (repo) left join t_api_report p using (repo)
         left join t_risk_level l using (repo) left join t_auth_pattern u using (repo) left join t_build_command b using (repo) left join t_test_command t using (repo)"""
+    t["t_snapshot_write"] = "select 'current' as snapshot_id, repo, 11::bigint as field_count from t_repos"
     return t
 
 
-SHARED = {"t_templates", "t_documents", "t_all_files", "t_commits", "t_commit_files", "t_suffix_language"}
-BIG = {"t_all_files", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
+SHARED = {"t_templates", "t_documents", "t_all_files", "t_later_files", "t_commits", "t_commit_files", "t_suffix_language"}
+BIG = {"t_all_files", "t_later_files", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
 
 
 def needed(names: list[str], library: dict[str, str]) -> list[str]:
@@ -832,7 +838,7 @@ def needed(names: list[str], library: dict[str, str]) -> list[str]:
 
 
 def with_clause(entries: dict[str, str]) -> str:
-    base = lambda n: re.sub(r"_(old|new)$", "", n)
+    base = lambda n: re.sub(r"_new$", "", n)
     return "WITH " + ",\n".join(
         f"{n} AS {'MATERIALIZED ' if base(n) in BIG else ''}({sql})" for n, sql in entries.items()
     )
@@ -845,26 +851,27 @@ def statement(key: str) -> str:
     return f"{with_clause(entries)}\nSELECT * FROM {name}"
 
 
-def snapshot(key: str, state: str, remainder: int) -> dict[str, str]:
-    """Entries of a query over one of the two snapshots, renamed by its state."""
+def later(key: str) -> dict[str, str]:
+    """Entries of a query over the later state of the corpus, renamed."""
     library = dict(tables())
-    library["t_files"] = f"select * from t_all_files where n % 7 <> {remainder}"
+    library["t_files"] = "select * from t_later_files"
     entries = {}
     for name in needed([f"t_{key}"], library):
-        renamed = name if name in SHARED else f"{name}_{state}"
+        renamed = name if name in SHARED else f"{name}_new"
         entries[renamed] = re.sub(
-            r"\b(t_\w+)", lambda m: m[1] if m[1] in SHARED or m[1] not in library else f"{m[1]}_{state}", library[name]
+            r"\b(t_\w+)", lambda m: m[1] if m[1] in SHARED or m[1] not in library else f"{m[1]}_new", library[name]
         )
     return entries
 
 
 def difference(key: str, final: str) -> str:
-    entries = {**snapshot(key, "old", 3), **snapshot(key, "new", 5)}
-    return f"{with_clause(entries)}\n{final}"
+    library = tables()
+    now = {n: library[n] for n in needed([f"t_{key}"], library)}
+    return f"{with_clause({**now, **later(key)})}\n{final}"
 
 
 def changed(key: str, columns: str, added: str, removed: str) -> str:
-    old, new = (f"select {columns} from t_{key}_{s}" for s in ("old", "new"))
+    old, new = (f"select {columns} from t_{key}{s}" for s in ("", "_new"))
     return difference(
         key, f"select *, {q(added)} as change from ({new} except {old}) union all select *, {q(removed)} from ({old} except {new})"
     )
@@ -873,7 +880,7 @@ def changed(key: str, columns: str, added: str, removed: str) -> str:
 def diff_statements() -> dict[str, str]:
     rank = lambda c: case([(f"{c} = {q(k)}", str(v)) for k, v in R.GRADE_RANK.items()], "0")
     grade = f"""select repo, o.grade as old_grade, n.grade as new_grade, coalesce({rank('n.grade')} > {rank('o.grade')} and o.grade is not null and n.grade is not null, false) as grade_improved,
-        n.score - o.score as score_change from t_debt_score_old o full join t_debt_score_new n using (repo)"""
+        n.score - o.score as score_change from t_debt_score o full join t_debt_score_new n using (repo)"""
     return {
         "diff_grade": difference("debt_score", grade),
         "diff_findings": changed("security_findings", "*", "new", "resolved"),
