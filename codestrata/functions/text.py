@@ -6,6 +6,7 @@ All helpers work inside one row, so extracting lines or matches never shuffles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,8 +69,20 @@ def find_all(col: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(col, F.lit(rx(pattern)), F.lit(group))
 
 
-def count_of(col: Column, pattern: str) -> Column:
-    return F.regexp_count(col, F.lit(rx(pattern)))
+def holds_any(col: Column, needles: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(col, F.lit(n)) for n in needles))
+
+
+def count_of(col: Column, pattern: str, needles: list[str] | None = None) -> Column:
+    """Number of matches; texts without any of the needles, which every match contains, are not searched."""
+    count = F.regexp_count(col, F.lit(rx(pattern)))
+    return count if needles is None else F.when(holds_any(col, needles), count).otherwise(0)
+
+
+def plain_breaks(col: Column) -> Column:
+    """Text in which every line break is a newline."""
+    rare = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+    return F.when(col.rlike(f"[{rare}]"), F.translate(col, rare, "\n" * len(rare))).otherwise(col)
 
 
 def split_lines(col: Column) -> Column:
@@ -99,11 +112,11 @@ def matches_with_lines(col: Column, pattern: str) -> Column:
     newlines then tells how many matches start on each line.  Linear in the text
     and local to the row.
     """
-    clean = F.translate(col, "\x01", "\x02")
+    clean = F.replace(col, F.lit("\x01"), F.lit("\x02"))
     marked = F.regexp_replace(clean, rx(pattern), "\x01$0")
     starts = F.transform(
         F.split(marked, "\n", -1),
-        lambda text, i: F.array_repeat(i + 1, F.length(text) - F.length(F.translate(text, "\x01", ""))),
+        lambda text, i: F.array_repeat(i + 1, F.length(text) - F.length(F.replace(text, F.lit("\x01"), F.lit("")))),
     )
     zipped = F.arrays_zip(F.flatten(starts), find_all(clean, pattern, 0))
     kind = "array<struct<line:int,match:string>>"

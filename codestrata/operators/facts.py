@@ -8,7 +8,7 @@ and then never touches file contents again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +121,8 @@ def secret_lines(content: Column) -> Column:
 
     kind = "array<struct<line:int,rule:string,snippet:string>>"
     rows = F.filter(F.transform(hits, row), lambda s: s["rule"].isNotNull()).cast(kind)
-    return F.when(T.has(content, some), rows).otherwise(F.expr(f"cast(array() as {kind})"))
+    found = T.holds_any(C("lowered"), R.LINE_SECRET_NEEDS) & T.has(content, some)
+    return F.when(found, rows).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 # --- security ----------------------------------------------------------------------
@@ -130,7 +131,7 @@ def secret_lines(content: Column) -> Column:
 def holds_any(pattern: str, needles: list[str]) -> Column:
     """Cheap test a match depends on; ``lowered`` is the content in lower case."""
     text = C("lowered") if pattern.startswith("(?i)") else C("content")
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needles))
+    return T.holds_any(text, needles)
 
 
 def file_secrets(content: Column) -> Column:
@@ -295,15 +296,17 @@ CLOSED_LINE = r"(?m)^[ \t\r]*+(?!//)[^\n]*;[ \t\r]*$"
 
 def style_counts(content: Column) -> Column:
     """Counts the convention votes need from one source file."""
+    return T.let(T.plain_breaks(content), lambda lined: style_struct(content, lined))
+
+
+def style_struct(content: Column, lined: Column) -> Column:
     script = T.is_in("suffix", R.JS_SUFFIXES)
-    breaks = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
-    lined = F.translate(content, breaks, "\n" * len(breaks))
 
-    def matches(pattern: str) -> Column:
-        return T.count_of(content, pattern)
+    def matches(pattern: str, *needles: str) -> Column:
+        return T.count_of(content, pattern, list(needles))
 
-    def in_lines(pattern: str) -> Column:
-        return T.count_of(lined, pattern)
+    def in_lines(pattern: str, *needles: str) -> Column:
+        return T.count_of(lined, pattern, list(needles) or None)
 
     def chars(char: str) -> Column:
         return F.length(content) - F.length(F.replace(content, F.lit(char), F.lit("")))
@@ -312,24 +315,27 @@ def style_counts(content: Column) -> Column:
         return F.when(script, count).otherwise(0)
 
     def by_language(python: str, js: str) -> Column:
-        return F.when(C("suffix") == ".py", matches(python)).when(script, matches(js)).otherwise(0)
+        needles = ["import", "from", "require"]
+        return (
+            F.when(C("suffix") == ".py", matches(python, *needles)).when(script, matches(js, *needles)).otherwise(0)
+        )
 
     return F.struct(
-        matches(R.SNAKE_FUNCTION).alias("snake"),
-        (matches(R.CAMEL_FUNCTION) + matches(R.CAMEL_VARIABLE)).alias("camel"),
-        matches(R.PASCAL_CLASS).alias("pascal"),
-        in_lines(TAB_LINE).alias("tabs"),
-        in_lines(FOUR_LINE).alias("four"),
-        in_lines(TWO_LINE).alias("two"),
+        matches(R.SNAKE_FUNCTION, "def").alias("snake"),
+        (matches(R.CAMEL_FUNCTION, "function") + matches(R.CAMEL_VARIABLE, "const", "let", "var")).alias("camel"),
+        matches(R.PASCAL_CLASS, "class").alias("pascal"),
+        in_lines(TAB_LINE, "\t").alias("tabs"),
+        in_lines(FOUR_LINE, "    ").alias("four"),
+        in_lines(TWO_LINE, "  ").alias("two"),
         in_script(chars("'")).alias("singles"),
         in_script(chars('"')).alias("doubles"),
-        in_script(in_lines(CLOSED_LINE)).alias("semi"),
+        in_script(in_lines(CLOSED_LINE, ";")).alias("semi"),
         in_script(in_lines(CODE_LINE)).alias("code_lines"),
         by_language(R.PY_RELATIVE_IMPORT, R.JS_RELATIVE_IMPORT).alias("relative"),
         by_language(R.PY_ABSOLUTE_IMPORT, R.JS_ABSOLUTE_IMPORT).alias("absolute"),
-        (matches(R.TRY_EXCEPT) + matches(R.TRY_CATCH)).alias("tries"),
-        matches(R.RESULT_TYPE).alias("results"),
-        matches(R.ERROR_FIRST).alias("error_first"),
+        (matches(R.TRY_EXCEPT, "try") + matches(R.TRY_CATCH, "try")).alias("tries"),
+        matches(R.RESULT_TYPE, "Result<", ".unwrap()", ".expect(").alias("results"),
+        matches(R.ERROR_FIRST, "err").alias("error_first"),
     )
 
 

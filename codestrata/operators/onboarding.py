@@ -68,7 +68,7 @@ def setup_commands(content: Column) -> Column:
 
     Cut at the fence lines, the text alternates between outside and inside.
     """
-    lined = F.translate(content, "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\n" * 8)
+    lined = T.plain_breaks(content)
 
     def commands(pieces: Column) -> Column:
         stops = F.transform(pieces, lambda p, i: F.when((i % 2 == 0) & T.has(p, STOP), i))

@@ -72,6 +72,8 @@ LINE_SECRETS = [
     ("github_token", r"ghp_[A-Za-z0-9]{36}"),
     ("slack_token", r"xox[baprs]-[0-9]{10,}-[0-9A-Za-z]+"),
 ]
+# what any line with a secret contains in lower case
+LINE_SECRET_NEEDS = ["akia", "aws", "api", "secret", "private key", "password", "token", "ghp_", "xox"]
 SAFE_LINE = [
     r"os\.environ", r"os\.getenv", r"process\.env", r"getenv\(", r"environ\.get\(",
     r"your[_\s-]", r"<[^>]+>", r"\$\{",
