@@ -12,9 +12,14 @@ C = F.col
 
 
 def changes(old: DataFrame, new: DataFrame, added: str, removed: str) -> DataFrame:
-    """Distinct rows only one side has; nulls compare as values."""
-    gained, lost = new.subtract(old), old.subtract(new)
-    return gained.withColumn("change", F.lit(added)).unionByName(lost.withColumn("change", F.lit(removed)))
+    """Distinct rows only one side has; nulls compare as values.
+
+    Both sides are stacked and met once, instead of subtracting each from the other.
+    """
+    sides = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    met = sides.groupBy(*old.columns).agg(F.bool_or("_new").alias("_in_new"), F.bool_or(~C("_new")).alias("_in_old"))
+    change = F.when(C("_in_new"), added).otherwise(removed)
+    return met.where(C("_in_new") != C("_in_old")).withColumn("change", change).drop("_in_new", "_in_old")
 
 
 def grade_rank(grade: str) -> Column:

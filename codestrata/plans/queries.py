@@ -19,10 +19,17 @@ C = F.col
 class Inputs:
     """Lazily planned inputs of the queries; nothing is computed before an action."""
 
-    def __init__(self, corpus: Corpus, signals: tuple[str, ...], snapshots: Callable[[], list[Corpus]] | None = None):
+    def __init__(
+        self,
+        corpus: Corpus,
+        signals: tuple[str, ...],
+        snapshots: Callable[[], list[Corpus]] | None = None,
+        staged: bool = False,
+    ):
         self.corpus = corpus
-        self.signals = signals
+        self.signals = signals or ("manifest",)
         self.snapshots = snapshots
+        self.staged = staged
 
     @property
     def files(self) -> DataFrame:
@@ -36,25 +43,38 @@ class Inputs:
     def commit_files(self) -> DataFrame:
         return self.corpus.commit_files
 
+    @cached_property
+    def every(self) -> DataFrame:
+        """Facts that know which files the walk keeps, written once if the plan reads them often."""
+        if self.staged:
+            return report.staged_facts(self.corpus, *self.signals)
+        return facts.with_walked(self.facts, self.corpus.rules)
+
     @cached_property
     def facts(self) -> DataFrame:
-        return facts.facts(self.files, *(self.signals or ["manifest"]))
+        return self.every if self.staged else facts.facts(self.files, *self.signals)
 
     @cached_property
     def tree(self) -> DataFrame:
-        return facts.walked(self.facts, self.corpus.rules)
+        return self.every.where("walked") if self.staged else facts.walked(self.facts, self.corpus.rules)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return scorecard.score_table(facts.with_walked(self.facts, self.corpus.rules), self.commit_files)
+        return scorecard.score_table(self.every, self.commit_files)
 
 
 class Plan:
     """A query: a function of the inputs and the signals it reads from file contents."""
 
-    def __init__(self, build: Callable[[Inputs], DataFrame], *signals: str):
+    def __init__(self, build: Callable[[Inputs], DataFrame], *signals: str, staged: bool = False):
         self.build = build
         self.signals = signals
+        self.staged = staged
+
+
+def staged(build: Callable[[Inputs], DataFrame], *signals: str) -> Plan:
+    """A query with several uses of the signals: contents are read once and the facts written."""
+    return Plan(build, *signals, staged=True)
 
 
 FACT_COLUMNS = ["repo", "path", "name", "stem", "suffix", "suffix_lower", "depth", "top_dir", "size_bytes", "line_count"]
@@ -68,7 +88,7 @@ def bigints(df: DataFrame) -> DataFrame:
 
 def both(build: Callable[[Inputs], DataFrame], compare) -> Callable[[Inputs], DataFrame]:
     """Compare what ``build`` gives for the old and the new snapshot."""
-    return lambda i: compare(*(build(Inputs(s, i.signals)) for s in i.snapshots()))
+    return lambda i: compare(*(build(Inputs(s, i.signals, staged=True)) for s in i.snapshots()))
 
 
 # key -> plan over the inputs and the signals it reads
@@ -105,7 +125,7 @@ PLANS: dict[str, Plan] = {
     "import_edges": Plan(lambda i: architecture.import_edges(i.tree), "manifest", "imports"),
     "module_in_degree": Plan(lambda i: architecture.module_in_degree(i.tree), "manifest", "imports"),
     "key_files": Plan(lambda i: architecture.key_files(i.tree), "manifest", "imports"),
-    "architecture_report": Plan(lambda i: architecture.architecture_report(i.tree, i.facts), "manifest", "imports"),
+    "architecture_report": staged(lambda i: architecture.architecture_report(i.tree, i.facts), "manifest", "imports"),
     # technical debt
     "todo_density": Plan(lambda i: debt.todo_density(i.tree), "manifest", "todos", "opens_with_docstring"),
     "test_ratio": Plan(lambda i: debt.test_ratio(i.tree), "manifest", "todos", "opens_with_docstring"),
@@ -113,13 +133,13 @@ PLANS: dict[str, Plan] = {
     "hotspots": Plan(lambda i: debt.hotspots(i.tree), "manifest"),
     "documentation_gap": Plan(lambda i: debt.documentation_gap(i.tree), "manifest", "todos", "opens_with_docstring"),
     "dead_modules": Plan(lambda i: debt.dead_modules(i.tree), "manifest", "imports"),
-    "dead_code": Plan(lambda i: debt.dead_code(i.tree), "manifest", "imports", "todos", "opens_with_docstring"),
-    "debt_dimensions": Plan(
+    "dead_code": staged(lambda i: debt.dead_code(i.tree), "manifest", "imports", "todos", "opens_with_docstring"),
+    "debt_dimensions": staged(
         lambda i: debt.debt_dimensions(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
-    "debt_score": Plan(lambda i: debt.debt_score(i.tree), "manifest", "imports", "todos", "opens_with_docstring"),
-    "debt_recommendations": Plan(
+    "debt_score": staged(lambda i: debt.debt_score(i.tree), "manifest", "imports", "todos", "opens_with_docstring"),
+    "debt_recommendations": staged(
         lambda i: debt.debt_recommendations(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
@@ -130,7 +150,7 @@ PLANS: dict[str, Plan] = {
     "setup_steps": Plan(lambda i: onboarding.setup_steps(i.tree, i.facts), "manifest", "reads_env"),
     "test_commands": Plan(lambda i: onboarding.test_commands(i.tree, i.facts), "manifest", "reads_env"),
     "gotchas": Plan(lambda i: onboarding.gotchas(i.tree), "manifest", "reads_env"),
-    "glossary": Plan(lambda i: onboarding.glossary(i.tree), "manifest", "terms"),
+    "glossary": staged(lambda i: onboarding.glossary(i.tree), "manifest", "terms"),
     "architecture_overview": Plan(lambda i: onboarding.architecture_overview(i.tree, i.facts), "manifest", "imports"),
     "top_contributors": Plan(lambda i: onboarding.top_contributors(i.commits)),
     "onboarding_key_files": Plan(lambda i: onboarding.onboarding_key_files(i.tree), "manifest", "imports"),
@@ -202,9 +222,9 @@ PLANS: dict[str, Plan] = {
     "contributors": Plan(lambda i: history.contributors(i.commits)),
     "recent_files": Plan(lambda i: history.recent_files(i.commits, i.commit_files)),
     # scorecard and differences
-    "scorecard": Plan(lambda i: scorecard.scorecard(i.scores), *profile.SIGNALS),
-    "overall_health": Plan(lambda i: scorecard.overall_health(i.scores), *profile.SIGNALS),
-    "score_band": Plan(
+    "scorecard": staged(lambda i: scorecard.scorecard(i.scores), *profile.SIGNALS),
+    "overall_health": staged(lambda i: scorecard.overall_health(i.scores), *profile.SIGNALS),
+    "score_band": staged(
         lambda i: scorecard.score_band(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
@@ -212,23 +232,23 @@ PLANS: dict[str, Plan] = {
     "snapshot_write": Plan(lambda i: report.written_rows(i.corpus)),
     "snapshot_read": Plan(lambda i: report.stored_reports(i.corpus)),
     "report_items": Plan(lambda i: report.report_items(i.corpus)),
-    "debt_chart_rows": Plan(
+    "debt_chart_rows": staged(
         lambda i: debt.debt_chart_rows(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
-    "diff_grade": Plan(
+    "diff_grade": staged(
         both(lambda s: debt.debt_score(s.tree), diff.diff_grade),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
-    "diff_findings": Plan(
+    "diff_findings": staged(
         both(lambda s: security.security_findings(s.facts, s.commit_files), diff.diff_findings),
         "secrets", "sql_strings", "manifest"
     ),
-    "diff_key_files": Plan(
+    "diff_key_files": staged(
         both(lambda s: architecture.key_files(s.tree), diff.diff_key_files),
         "manifest", "imports"
     ),
-    "diff_recommendations": Plan(
+    "diff_recommendations": staged(
         both(lambda s: debt.debt_recommendations(s.tree), diff.diff_recommendations),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
@@ -254,4 +274,4 @@ def corpus_for(spark: SparkSession, sf_dir: str, state: str = "now") -> Corpus:
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = PLANS[name]
     snapshots = lambda: [corpus_for(spark, sf_dir, s) for s in ("now", "later")]
-    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots)))
+    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots, plan.staged)))

@@ -30,9 +30,9 @@ SECTIONS = {
 }
 
 
-def staged_facts(corpus: Corpus) -> DataFrame:
-    """All signals of all files and whether the walk keeps the file, written once."""
-    return stage(facts.with_walked(facts.facts(corpus.files), corpus.rules), "facts")
+def staged_facts(corpus: Corpus, *signals: str) -> DataFrame:
+    """Signals of all files (all of them by default) and whether the walk keeps the file, written once."""
+    return stage(facts.with_walked(facts.facts(corpus.files, *signals), corpus.rules), "facts")
 
 
 def listed(rows: DataFrame, order: list[str], columns: list[str], name: str) -> DataFrame:
