@@ -76,10 +76,12 @@ def merge_on(key: str, base: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 def staging_folder(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables, as named by the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = named or context.getCheckpointDir()
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
+    if context.master.startswith("local"):
         return os.path.join(tempfile.gettempdir(), "codestrata-staging")
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 

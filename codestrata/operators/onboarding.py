@@ -12,7 +12,7 @@ from .architecture import entry_points, key_files, layers, project_type, structu
 from .debt import fixed
 from .history import contributors
 from .languages import language_breakdown
-from .manifests import repos, roots, script, there
+from .manifests import roots, script, there
 
 C = F.col
 READMES = dict(zip(["readme_md", "readme_rst", "readme_txt", "readme"], R.README_NAMES))
