@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, quality, sharding
+from codestrata.llm import bpe, decontamination, licenses, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.query,
     "op2_bpe": bpe.query,
     "op7_quality_rules": quality.query,
+    "op8_toxicity": toxicity.query,
+    "op9_decontamination": decontamination.query,
     "op10_sharding": sharding.query,
 }
 

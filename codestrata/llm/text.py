@@ -21,6 +21,10 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Separators if only letters and digits make words: all other ASCII.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = True
+MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 _POWERS: dict[np.uint64, np.ndarray] = {}
 
 
@@ -63,17 +67,29 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(INVERSE, n)[: n - k + 1])
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Small letters for A-Z and for the capitals from U+00C0 to U+00DE."""
+    data = LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, int)
+    after = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    data[after] += 0x20
+    return data
+
+
 class Words:
     """The words of some texts, one after the other.
 
+    A plain text's words are runs of bytes that are no white space; if terms is true, runs of letters and digits, in
+    small letters.
+
     data: the texts' bytes; h: a hash for each word; start, end: its place in data; off: text i has the words off[i] to
     off[i + 1] - 1; at: text i has the bytes at[i] to at[i + 1] - 1.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, terms: bool = False) -> None:
         n = len(data)
         self.data, self.at = data, at
-        word = ~SPACE[data]
+        word = ~(MARKS if terms else SPACE)[data]
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
         closes[:-1] &= ~word[1:]
@@ -82,7 +98,9 @@ class Words:
         closes[edge - 1] = word[edge - 1]
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
-        total = _running((VALUES[LOWER] if lower else VALUES)[data], n)
+        letters = lowered(data) if terms else LOWER[data] if lower else data
+        total = _running(VALUES[letters], n)
+        self._total = total
         spans = (total[self.end] - total[self.start]) * powers(INVERSE, n)[self.start]
         self.h = mix(spans + (self.end - self.start).astype(np.uint64))
         self.off = np.searchsorted(self.start, at)
@@ -97,6 +115,13 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self)), self.counts())
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words longer than size bytes, and the hash of their first size bytes."""
+        some = np.flatnonzero(self.end - self.start > size)
+        at = self.start[some]
+        spans = (self._total[at + size] - self._total[at]) * powers(INVERSE, len(self.data))[at]
+        return some, mix(spans + np.uint64(size))
+
     def inside(self, k: int) -> np.ndarray:
         """Which of window_hashes(h, k) lie within one text."""
         n = len(self.h) - k + 1
@@ -115,7 +140,7 @@ class Words:
         return b" ".join(raw if keep is None else [raw[j] for j in np.flatnonzero(keep[: b - a])])
 
 
-def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, Words]]:
+def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, terms: bool = False) -> Iterator[tuple[int, Words]]:
     """Runs of texts of about SLICE_BYTES, with the place of their first; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -128,7 +153,7 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
-        yield first, Words(data[at[first] : at[last]], at[first : last + 1] - at[first], lower)
+        yield first, Words(data[at[first] : at[last]], at[first : last + 1] - at[first], lower, terms)
         first = last
 
 
