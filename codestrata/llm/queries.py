@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontamination, licenses, quality, sharding, toxicity
+from codestrata.llm import bpe, decontamination, licenses, quality, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
     "op2_bpe": bpe.query,
+    "op4_substring_dedup": substrings.query,
     "op7_quality_rules": quality.query,
     "op8_toxicity": toxicity.query,
     "op9_decontamination": decontamination.query,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -15,15 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written below spark.checkpoint.dir; only a session without that setting gets a folder here."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir; only a local session without that setting gets a folder here."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codestrata-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written as Parquet to the folder that the cluster shares; forget() removes these tables."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    context = spark.sparkContext
+    context._codestrata_tables = [*getattr(context, "_codestrata_tables", []), path]
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes all tables that cut() has written in this application; DataFrames that read them can't be used any more."""
+    context = spark.sparkContext
+    for path in getattr(context, "_codestrata_tables", []):
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    context._codestrata_tables = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,6 +69,18 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """applyInArrow on groups of a bounded size, with this subpackage on the executors."""
+    ship(df.sparkSession)
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
+def by_groups(a: DataFrame, b: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """applyInArrow on groups of two tables."""
+    ship(a.sparkSession)
+    return a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(run, schema)
+
+
 def remainder(doc_id: str, m: int):
     """crc32 of the id as text, modulo m: the fold of a document (null for a null id)."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(m))
