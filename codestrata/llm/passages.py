@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,9 @@ def anchor_places(h: np.ndarray, inside: np.ndarray, width: int, text: np.ndarra
 
 
 def anchors(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(id, whole, n_words, anchor, places): a row for each text and anchor hash; whole is a hash of all its words.
+    """(id, key, whole, n_words, anchor, places): a row for each text and anchor hash; whole is a hash of all its words.
 
-    Texts with fewer than `size` words have no anchor and one row without.
+    docs has id, key (a hash that tells an id's texts apart) and text.  Texts with fewer than `size` words have no anchor and one row without.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,17 +69,17 @@ def anchors(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
                 rows = np.concatenate([own[begin], bare])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["id"].take(pa.array(first + rows)), pa.array(whole[rows].view(np.int64)), pa.array(w.counts()[rows]),
+                        batch["id"].take(pa.array(first + rows)), batch["key"].take(pa.array(first + rows)), pa.array(whole[rows].view(np.int64)), pa.array(w.counts()[rows]),
                         pa.array(
                             np.concatenate([h[at[begin]].view(np.int64), np.zeros(len(bare), np.int64)]),
                             mask=np.arange(len(rows)) >= len(begin),
                         ),
                         lists((at - w.off[own]).astype(np.int32), np.concatenate([counts, np.zeros(len(bare), int)]), pa.int32()),
                     ],
-                    ["id", "whole", "n_words", "anchor", "places"],
+                    ["id", "key", "whole", "n_words", "anchor", "places"],
                 )
 
-    return map_batches(docs, run, "id long, whole long, n_words long, anchor long, places array<int>")
+    return map_batches(docs, run, "id long, key long, whole long, n_words long, anchor long, places array<int>")
 
 
 def digests(w: Words) -> np.ndarray:
@@ -89,61 +90,73 @@ def digests(w: Words) -> np.ndarray:
     return mix((total[w.off[1:]] - total[w.off[:-1]]) ^ mix(w.counts().astype(np.uint64)))
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+
+
 class Search:
     """The documents and places in which a repeated window may lie.
 
-    whole: (id, whole, n_words, owner): for each text of an id, the smallest id with the same words.
-    candidates: (id, whole, text, places, hot, block): texts with anchors that other texts have too, the places of these
-    anchors, and which of them are in more than `hot` texts.  An id with several texts has a row for each; a repeated
-    row may be there more than once.  Rows without an id take no part: nothing is smaller or larger than they are.
+    whole: (id, key, n_words, owner): for each text of an id, the smallest id with the same words.
+    candidates: (id, key, text, places, hot, block): texts with anchors that other texts have too, the places of these
+    anchors, and those of them that are in more than `hot` texts.  A repeated row may be there more than once.  Rows
+    without an id take no part: nothing is smaller or larger than they are.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, gram: int = GRAM, hot: int = HOT) -> None:
         self.size, self.gram = size, gram
-        named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+        named = identified(docs, id_col, text_col).filter("id is not null")
         found = cut(anchors(named, size, gram))
-        texts = found.select("id", "whole", "n_words").distinct()
+        texts = found.select("id", "key", "whole", "n_words").distinct()
         owners = texts.groupBy("whole").agg(F.min("id").alias("owner"))
-        self.whole = cut(texts.join(owners, "whole").select("id", "whole", "n_words", "owner"))
+        self.whole = cut(texts.join(owners, "whole").select("id", "key", "n_words", "owner"))
         shared = found.filter("anchor is not null").groupBy("anchor")
         shared = shared.agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n")).filter("a < b")
         places = found.join(shared.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
-        places = places.join(self.whole.filter("id > owner").select("id", "whole"), ["id", "whole"], "left_anti")
+        places = places.join(self.whole.filter("id > owner").select("id", "key"), ["id", "key"], "left_anti")
         # a text has at most as many places as words
         place = F.explode("places").alias("place")
-        places = places.select("id", "whole", "hot", place).groupBy("id", "whole").agg(
-            F.sort_array(F.collect_set("place")).alias("places"),
-            F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("place")))).alias("hot"),
+        places = places.select("id", "key", "hot", place).groupBy("id", "key").agg(
+            F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot")
         )
-        joined = cut(named.join(places, "id"))
+        joined = cut(named.join(places, ["id", "key"]))
         total = joined.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.blocks = max(1, -(-total // BLOCK_BYTES))
         self.buckets = max(1, -(-total // BUCKET_BYTES))
-        self.candidates = joined.withColumn("block", F.pmod(F.xxhash64("id", "whole"), F.lit(self.blocks)))
-
-
-class Windows:
-    """The windows at shared anchors of one block's texts."""
-
-    def __init__(self, table: pa.Table, size: int, gram: int, of_hot: bool | None = None) -> None:
-        rows = table.select(["id", "whole", "text", "places", "hot"]).combine_chunks()
-        self.size, self.gram = size, gram
-        columns = {c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in rows.column_names}
-        ids, wholes = columns["id"].to_numpy(zero_copy_only=False), columns["whole"].to_numpy(zero_copy_only=False)
-        places, hots = columns["places"].to_pylist(), columns["hot"].to_pylist()
-        self.parts: list[tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for first, w in slices(columns["text"]):
-            own = digests(w).view(np.int64) == wholes[first : first + len(w)]  # an id with several texts: the right one
-            h, text = window_hashes(w.h, gram), w.text_of()
-            start, place = anchor_places(h, w.inside(gram), size - gram + 1, text)
-            marked, hot = np.zeros(len(w.h) + 1, bool), np.zeros(len(w.h) + 1, bool)
-            for i in np.flatnonzero(own):
-                marked[w.off[i] + np.array(places[first + i], int)] = True
-                hot[w.off[i] + np.array(hots[first + i], int)] = True
-            if of_hot is not None:
-                marked &= hot if of_hot else ~hot
-            keep = marked[place]
-            self.parts.append((w, h, start[keep], place[keep], ids[first : first + len(w)], wholes[first : first + len(w)], own))
+        self.candidates = joined.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.lit(self.blocks)))
+
+
+class Part(NamedTuple):
+    """Some texts of a block, and their windows at shared anchors that are hot or not."""
+
+    words: Words
+    grams: np.ndarray
+    start: np.ndarray  # of each window, and its anchor's place
+    place: np.ndarray
+    hot: np.ndarray
+    ids: np.ndarray  # of each text
+    keys: np.ndarray
+
+    def owner_ids(self) -> np.ndarray:
+        return self.ids[self.words.text_of()[self.start]]
+
+
+def windows(table: pa.Table, size: int, gram: int) -> list[Part]:
+    rows = {c: table[c].combine_chunks() for c in ("id", "key", "text", "places", "hot")}
+    ids, keys = rows["id"].to_numpy(zero_copy_only=False), rows["key"].to_numpy(zero_copy_only=False)
+    parts = []
+    for first, w in slices(rows["text"]):
+        h, text = window_hashes(w.h, gram), w.text_of()
+        start, place = anchor_places(h, w.inside(gram), size - gram + 1, text)
+        marked = {}
+        for name in ("places", "hot"):
+            column = rows[name].slice(first, len(w))
+            marked[name] = np.zeros(len(w.h) + 1, bool)
+            marked[name][np.repeat(w.off[:-1], np.diff(column.offsets)) + column.flatten().to_numpy(zero_copy_only=False)] = True
+        keep = marked["places"][place]
+        start, place = start[keep], place[keep]
+        parts.append(Part(w, h, start, place, marked["hot"][place], ids[first : first + len(w)], keys[first : first + len(w)]))
+    return parts
 
 
 def covered(w: Words, start: np.ndarray, size: int) -> np.ndarray:
@@ -162,52 +175,61 @@ def unpacked(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
-REMOVED = "id long, whole long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
-
-
-def removed(parts: list[tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    """REMOVED rows of texts with marked words: (words, marks, ids, wholes, rightful texts)."""
-    rows: dict[str, list] = {"id": [], "whole": [], "n_removed": [], "spans": [], "kept": []}
-    for w, marks, ids, wholes, own in parts:
-        for i in np.flatnonzero(own):
-            mark = marks[w.off[i] : w.off[i + 1]]
-            if not mark.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
-            rows["id"].append(int(ids[i])), rows["whole"].append(int(wholes[i])), rows["n_removed"].append(int(mark.sum()))
-            rows["spans"].append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-            rows["kept"].append(w.joined(i, ~mark).decode("utf-8", "replace"))
+REMOVED = "id long, key long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
+
+
+def removed(parts: list[tuple[Part, np.ndarray]], layout: bool) -> pa.Table:
+    """REMOVED rows of texts with marked words; with layout, kept words keep the white space that follows them."""
+    rows: dict[str, list] = {"id": [], "key": [], "n_removed": [], "spans": [], "kept": []}
+    for part, marks in parts:
+        w = part.words
+        for i in np.unique(w.text_of()[marks]):
+            a, b = w.off[i], w.off[i + 1]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], marks[a:b].astype(np.int8), [0]])))
+            runs = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+            rows["id"].append(int(part.ids[i])), rows["key"].append(int(part.keys[i]))
+            rows["n_removed"].append(int(marks[a:b].sum()))
+            rows["spans"].append([{"start": x, "end": y} for x, y in runs])
+            if layout:
+                kept, at = b"", w.at[i]
+                for x, y in runs:
+                    kept += w.data[at : w.start[a + x]].tobytes()
+                    at = w.start[a + y] if a + y < b else w.at[i + 1]
+                kept += w.data[at : w.at[i + 1]].tobytes()
+            else:
+                kept = w.joined(i, ~marks[a:b])
+            rows["kept"].append(kept.decode("utf-8", "replace"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kinds = {"id": pa.int64(), "whole": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.string()}
+    kinds = {"id": pa.int64(), "key": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.string()}
     return pa.table({c: pa.array(rows[c], kinds[c]) for c in rows})
 
 
+def all_changes(search: Search, changed: DataFrame) -> DataFrame:
+    """REMOVED rows of each text once, with those of copies, which lose everything if they have a window at all."""
+    copies = search.whole.filter(f"id > owner and n_words >= {search.size}").select(
+        "id", "key", F.col("n_words").alias("n_removed"),
+        F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"),
+        F.lit("").alias("kept"),
+    )
+    return changed.dropDuplicates(["id", "key"]).unionByName(copies)
+
+
 def with_verdicts(docs: DataFrame, search: Search, changed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_words, n_removed, spans, kept, all_sha256): a row for each row of docs.
 
     kept is the words that stay, joined by one space, or null where all stay; all_sha256 is the digest of all words,
     joined by one space.  A null text has no words; a null id loses nothing.
     """
-    size = search.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wholes = np.concatenate([np.zeros(0, np.int64), *(digests(w).view(np.int64) for _, w in slices(batch["text"]))])
             words = [x.split() for x in texts(batch["text"])]
             sums = [hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(wholes), pa.array([len(x) for x in words], pa.int64()), pa.array(sums, pa.string())],
-                ["id", "whole", "n_words", "all_sha256"],
-            )
-
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = map_batches(named, run, "id long, whole long, n_words long, all_sha256 string")
-    copies = search.whole.filter(f"id > owner and n_words >= {size}").select(
-        "id", "whole", F.col("n_words").alias("n_removed"),
-        F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"),
-        F.lit("").alias("kept"),
-    )
-    both = changed.dropDuplicates(["id", "whole"]).unionByName(copies)
-    return base.join(both, ["id", "whole"], "left").select(
+            n = pa.array([len(x) for x in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], n, pa.array(sums, pa.string())], names)
+
+    names = ["id", "key", "n_words", "all_sha256"]
+    base = map_batches(identified(docs, id_col, text_col), run, "id long, key long, n_words long, all_sha256 string")
+    return base.join(all_changes(search, changed), ["id", "key"], "left").select(
         "id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "spans", "kept", "all_sha256"
     )

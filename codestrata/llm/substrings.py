@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.passages import (
-    BUCKET_BYTES, GRAM, REMOVED, SIZE, Search, Windows, covered, packed, removed, unpacked, with_verdicts,
+    BUCKET_BYTES, GRAM, REMOVED, SIZE, Part, Search, covered, packed, removed, unpacked, windows, with_verdicts,
 )
 from codestrata.llm.tables import by_group, by_groups, table
 from codestrata.llm.text import mix
@@ -52,20 +52,16 @@ class Prefixes:
         return bucket
 
 
-def suffixes(windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+def suffixes(parts: list[Part], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The chunks of all windows, and their documents' ids."""
-    size = windows.size
     at = [min(k, size - CHUNK) for k in range(0, size, CHUNK)]
-    chunks = [np.stack([h[start + k] for k in at], 1) for _, h, start, *_ in windows.parts]
-    ids = [ids[w.text_of()[start]] for w, _, start, _, ids, *_ in windows.parts]
-    if not chunks:
-        return np.zeros((0, len(at)), np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(chunks), np.concatenate(ids)
+    chunks = [np.stack([p.grams[p.start + k] for k in at], 1) for p in parts]
+    return np.concatenate([np.zeros((0, len(at)), np.uint64), *chunks]), np.concatenate([np.zeros(0, np.int64), *(p.owner_ids() for p in parts)])
 
 
-def questions(windows: Windows, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def questions(parts: list[Part], size: int, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, chunks, smallest id) of each different suffix, in a fixed order, and the number of each window's suffix."""
-    chunks, ids = suffixes(windows)
+    chunks, ids = suffixes(parts, size)
     bucket = prefixes.of(chunks)
     order = np.lexsort((ids, *chunks.T[::-1], bucket))
     new = np.ones(len(order), bool)
@@ -103,7 +99,7 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
     for _ in range(width - 1):  # longer prefixes where too many suffixes share one
 
         def count(group: pa.Table, prefixes: Prefixes = prefixes) -> pa.Table:
-            bucket, *_ = questions(Windows(group, size, gram), prefixes)
+            bucket, *_ = questions(windows(group, size, gram), size, prefixes)
             some, n = np.unique(bucket, return_counts=True)
             return pa.table({"bucket": pa.array(some, pa.int64()), "n": pa.array(n.astype(np.int64))})
 
@@ -118,7 +114,7 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
         prefixes.divide(full)
 
     def ask(group: pa.Table) -> pa.Table:
-        bucket, chunks, ids, _ = questions(Windows(group, size, gram), prefixes)
+        bucket, chunks, ids, _ = questions(windows(group, size, gram), size, prefixes)
         begin = np.flatnonzero(np.diff(bucket, prepend=-1))
         end = np.append(begin[1:], len(bucket)) if len(begin) else begin
         return pa.table(
@@ -143,16 +139,16 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
         )
 
     def apply(group: pa.Table, replies: pa.Table) -> pa.Table:
-        windows = Windows(group, size, gram)
-        *_, number = questions(windows, prefixes)
+        parts = windows(group, size, gram)
+        *_, number = questions(parts, size, prefixes)
         replies = replies.sort_by("bucket")
         found = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "<i8") for x in replies["owners"].to_pylist())])[number]
         out, at = [], 0
-        for w, _, start, _, ids, wholes, own in windows.parts:
-            later = found[at : at + len(start)] < ids[w.text_of()[start]]
-            at += len(start)
-            out.append((w, covered(w, start[later], size), ids, wholes, own))
-        return removed(out)
+        for part in parts:
+            later = found[at : at + len(part.start)] < part.owner_ids()
+            at += len(part.start)
+            out.append((part, covered(part.words, part.start[later], size)))
+        return removed(out, layout=False)
 
     asked = by_group(table, "block", ask, "block long, bucket long, chunks binary, ids binary")
     answers = by_group(asked, "bucket", answer, "block long, bucket long, owners binary")
