@@ -98,7 +98,7 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
     table = search.candidates
     for _ in range(width - 1):  # longer prefixes where too many suffixes share one
 
-        def count(group: pa.Table, prefixes: Prefixes = prefixes) -> pa.Table:
+        def count(group: pa.Table) -> pa.Table:
             bucket, *_ = questions(windows(group, size, gram), size, prefixes)
             some, n = np.unique(bucket, return_counts=True)
             return pa.table({"bucket": pa.array(some, pa.int64()), "n": pa.array(n.astype(np.int64))})
