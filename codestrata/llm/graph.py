@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.tables import cut
+from codestrata.llm.tables import cut, map_batches
+
+NODES = 1_000_000  # nodes whose edges a task merges at once
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around each component's smallest node, for at most about NODES nodes at a time."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent[top]) != top:
+            top = up
+        while (up := parent[x]) != top:
+            parent[x], x = top, up
+        return top
+
+    def stars() -> pa.RecordBatch:
+        v = np.array([x for x, up in parent.items() if up != x], np.int64)
+        u = np.array([root(x) for x in v.tolist()], np.int64)
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for batch in batches:
+        for a, b in zip(batch["u"].to_pylist(), batch["v"].to_pylist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > NODES:
+            yield stars()
+    yield stars()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for all nodes that have an edge to another node; component is the smallest id reachable.
 
-    Alternates two steps until no edge changes: every node's larger neighbours get an edge to its smallest neighbour,
-    then every node's smaller neighbours do.  The number of rounds grows with the logarithm of the longest path.  Each
-    step is an aggregation and a join that Spark can split where a node has very many neighbours; no neighbourhood is
-    gathered.
+    Each round merges edges within partitions, links every node's larger neighbours to its smallest neighbour, and then
+    its smaller ones, until all edges lead to the smallest node of their component.  The number of rounds grows with the
+    logarithm of the longest path; few edges are in one partition and need one round.  Aggregations and joins are ones
+    that Spark can split where a node has very many neighbours; no neighbourhood is gathered.
     """
     links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct()
-    links = cut(links)
-    seen = None
     while True:
+        links = cut(map_batches(links, merged, "u long, v long").distinct())
+        ends = links.select(F.col("v").alias("node"), F.lit(1).alias("low")).unionAll(
+            links.select(F.col("u").alias("node"), F.lit(0).alias("low"))
+        )
+        ends = ends.groupBy("node").agg(F.sum("low").alias("up"), F.min("low").alias("top"))
+        if not ends.filter("up > 1 or (up = 1 and top = 0)").limit(1).count():
+            break
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
@@ -28,10 +68,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = small.select(F.col("m").alias("u"), "v").unionAll(
             small.filter("m < u").select(F.col("m").alias("u"), F.col("u").alias("v"))
         )
-        links = cut(links.distinct())
-        state = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == tuple(state):
-            break
-        seen = tuple(state)
-    members = links.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
+        links = links.distinct()
+    members = links.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return members.unionAll(members.select(F.col("component").alias("node"), "component").distinct())

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontamination, licenses, quality, sharding, substrings, suffixes, toxicity
+from codestrata.llm import bpe, decontamination, jaccard, licenses, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
     "op2_bpe": bpe.query,
+    "op3_ngram_jaccard": jaccard.query,
     "op4_substring_dedup": substrings.query,
     "op6_suffix_array_dedup": suffixes.query,
     "op7_quality_rules": quality.query,
