@@ -242,3 +242,15 @@ def query(spark, sf_dir):
         F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding of the pipeline: (doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = encode(docs.withColumn("_row", F.struct("doc_id", "lang", "source")), path, "_row")
+    return rows.select(
+        "id.doc_id", "id.lang", "id.source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

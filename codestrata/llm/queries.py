@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, decontamination, jaccard, licenses, quality, sharding, substrings, suffixes, toxicity
+import corpus_pipeline
+from codestrata.llm import bpe, decontamination, jaccard, licenses, lm, quality, sharding, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
     "op2_bpe": bpe.query,
     "op3_ngram_jaccard": jaccard.query,
     "op4_substring_dedup": substrings.query,
+    "op5_lm_scoring": lm.query,
     "op6_suffix_array_dedup": suffixes.query,
     "op7_quality_rules": quality.query,
     "op8_toxicity": toxicity.query,
     "op9_decontamination": decontamination.query,
     "op10_sharding": sharding.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Windows of 50 words that also start in a document with a smaller id take their words out.
