@@ -11,24 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 8
 BLOCK = 65_536
-
-
-def join_spread(
-    big: DataFrame, small: DataFrame, keys: list[str], spread_on: list[str], how: str = "left"
-) -> DataFrame:
-    """Join rows to a table with at most one row per key, splitting every key.
-
-    Rows of one key are divided by a hash of ``spread_on`` into SALTS parts and
-    the one-row side is repeated that often, so a repository (or module) that
-    holds a large share of all rows is no single task's work.  A small right
-    side still turns into a broadcast by the session's size threshold.
-    """
-    salt = F.pmod(F.xxhash64(*spread_on), F.lit(SALTS)).cast("int")
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+STAGED: dict[str, list[str]] = {}  # tables that this process has written, by application
 
 
 def position_in_key(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -81,7 +65,7 @@ def staging_folder(spark: SparkSession) -> str:
     folder = named or context.getCheckpointDir()
     if folder:
         return folder
-    if context.master.startswith("local"):
+    if context.master == "local" or context.master.startswith("local["):  # one machine: as in tests
         return os.path.join(tempfile.gettempdir(), "codestrata-staging")
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -95,4 +79,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     target = f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(target)
+    STAGED.setdefault(spark.sparkContext.applicationId, []).append(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Remove the intermediate tables this application has written; frames over them can't be read any more."""
+    targets = STAGED.pop(spark.sparkContext.applicationId, [])
+    for target in targets:
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(targets)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from ..functions.scale import first_rows, join_spread, merge_on
+from ..functions.scale import first_rows, merge_on
 from .languages import corpus_totals, language_breakdown
 from .manifests import roots
 
@@ -170,7 +170,7 @@ def js_imports(tree: DataFrame) -> DataFrame:
 def import_edges(tree: DataFrame) -> DataFrame:
     """Edges from a file to the file of this repository that an import resolves to."""
     importing = imported_modules(tree.where(T.is_in("suffix", R.PY_GRAPH_SUFFIXES + R.JS_GRAPH_SUFFIXES)))
-    resolved = join_spread(importing, module_map(tree), ["repo", "module"], ["path"], "inner")
+    resolved = importing.join(module_map(tree), ["repo", "module"])
     return resolved.where("target <> path").select(
         "repo", C("path").alias("from_module"), C("target").alias("to_module")
     )
@@ -181,11 +181,11 @@ def module_in_degree(tree: DataFrame, edges: DataFrame | None = None) -> DataFra
     return edges.groupBy("repo", "to_module").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-def key_files(tree: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """The twenty files that matter most by entry-point role, in-degree and name."""
+def scored_files(tree: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """All files of the walk with their weight by entry-point role, in-degree and name."""
     degrees = module_in_degree(tree, edges)
     highest = degrees.groupBy("repo").agg(F.max("in_degree").alias("highest"))
-    weighed = join_spread(degrees, highest, ["repo"], ["to_module"], "inner").select(
+    weighed = degrees.join(highest, "repo").select(
         "repo",
         C("to_module").alias("path"),
         (C("in_degree").cast("double") / C("highest") * 40).cast("int").alias("graph"),
@@ -198,16 +198,20 @@ def key_files(tree: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     )
     scored = tree.select("repo", "path", "parts", "name").join(weighed, ["repo", "path"], "left")
     scored = scored.withColumn("importance_score", F.least(score, F.lit(100)).cast("int"))
-    order = [F.desc("importance_score"), F.asc("parts")]
     role = (
         F.when(C("name") == "README.md", "documentation")
         .when(T.is_in("name", R.PACKAGE_CONFIG_FILES), "package config")
         .when(entry, "entry point")
         .otherwise("module")
     )
-    return first_rows(scored, ["repo"], order, R.KEY_FILE_LIMIT, "rank").select(
-        "repo", "rank", "path", role.alias("role"), "importance_score"
-    )
+    return scored.select("repo", "path", "parts", role.alias("role"), "importance_score")
+
+
+def key_files(tree: DataFrame, edges: DataFrame | None = None, limit: int = R.KEY_FILE_LIMIT) -> DataFrame:
+    """The files that matter most."""
+    order = [F.desc("importance_score"), F.asc("parts")]
+    ranked = first_rows(scored_files(tree, edges), ["repo"], order, limit, "rank")
+    return ranked.select("repo", "rank", "path", "role", "importance_score")
 
 
 def architecture_report(tree: DataFrame, every: DataFrame) -> DataFrame:

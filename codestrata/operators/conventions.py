@@ -1,4 +1,4 @@
-"""Coding conventions, voted on by the first fifty source files of each repository."""
+"""Coding conventions, voted on by the source files of each repository."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ from .manifests import repos
 C = F.col
 
 
-def sample(facts: DataFrame, *signals: str) -> DataFrame:
-    rows = facts.where(is_convention_source()).select("repo", "path", "parts", "stem", "suffix", *signals)
-    return first_rows(rows, ["repo"], [F.asc("parts")], R.CONVENTION_SAMPLE, "rank")
+def sources(facts: DataFrame, *signals: str) -> DataFrame:
+    return facts.where(is_convention_source()).select("repo", "path", "parts", "stem", "suffix", *signals)
 
 
-def convention_sample(facts: DataFrame) -> DataFrame:
-    return sample(facts).select("repo", "rank", "path")
+def convention_sample(facts: DataFrame, limit: int = R.CONVENTION_SAMPLE) -> DataFrame:
+    """The first source files of each repository: a report of examples, not the voters."""
+    return first_rows(sources(facts), ["repo"], [F.asc("parts")], limit, "rank").select("repo", "rank", "path")
 
 
 def for_every_repo(facts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def quotes() -> Column:
 
 
 def indent_per_file(facts: DataFrame) -> DataFrame:
-    return sample(facts, "style").select(
+    return sources(facts, "style").select(
         "repo",
         "path",
         C("style.tabs").cast("bigint").alias("tab_lines"),
@@ -53,7 +53,7 @@ def tally(vote: Column, choices: list[str], name: str) -> list[Column]:
     columns = []
     for choice in choices:
         columns.append(F.count_if(vote == choice).alias(f"{name}_{choice}"))
-        columns.append(F.min(F.when(vote == choice, C("rank"))).alias(f"{name}_{choice}_seen"))
+        columns.append(F.min(F.when(vote == choice, C("parts"))).alias(f"{name}_{choice}_seen"))
     return columns
 
 
@@ -73,12 +73,12 @@ INDENTS, QUOTES = ["tabs", "4", "2"], ["single", "double"]
 
 
 def votes(facts: DataFrame) -> DataFrame:
-    """All votes of the sampled files, in one aggregation of at most fifty rows per repository."""
+    """All votes of the source files, in one partial aggregation."""
     script = T.is_in("suffix", R.JS_SUFFIXES)
     snake_file = F.contains("stem", F.lit("_")) & (C("stem") == F.lower("stem"))
     ending = C("style.semi") > C("style.code_lines") - C("style.semi")
     sums = ["snake", "camel", "pascal", "relative", "absolute", "tries", "results", "error_first"]
-    return sample(facts, "style").groupBy("repo").agg(
+    return sources(facts, "style").groupBy("repo").agg(
         *(F.sum(f"style.{c}").alias(c) for c in sums),
         F.count_if(C("suffix") == ".py").alias("py_files"),
         F.count_if(script).alias("js_files"),
@@ -213,10 +213,12 @@ def test_pattern(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(*layout_columns()).select("repo", layout_column())
 
 
-def commit_format(commits: DataFrame) -> DataFrame:
-    newest = [F.desc("committed_at"), F.desc("commit_id")]
-    last = first_rows(commits.select("repo", "committed_at", "commit_id", "subject"), ["repo"], newest, R.RECENT_COMMITS, "rank")
-    counted = last.groupBy("repo").agg(
+def commit_format(commits: DataFrame, last: int | None = None) -> DataFrame:
+    """The style of commit subjects; of the newest ``last`` commits only, if that is given."""
+    rows = commits.select("repo", "committed_at", "commit_id", "subject")
+    if last is not None:
+        rows = first_rows(rows, ["repo"], [F.desc("committed_at"), F.desc("commit_id")], last, "rank")
+    counted = rows.groupBy("repo").agg(
         F.count_if(T.has(C("subject"), R.CONVENTIONAL_SUBJECT)).alias("conventional"),
         F.count(F.lit(1)).alias("subjects"),
     )

@@ -46,6 +46,7 @@ def diff_findings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff_key_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Files that only one side has, among all that have a score."""
     return changes(old.select("repo", "path"), new.select("repo", "path"), "new", "deleted")
 
 

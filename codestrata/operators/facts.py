@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from ..functions.scale import join_spread
 
 C = F.col
 
@@ -116,7 +115,7 @@ def secret_lines(content: Column) -> Column:
         return F.struct(
             s["line"].alias("line"),
             rule.alias("rule"),
-            F.substring(T.strip(s["text"]), 1, 80).alias("snippet"),
+            T.strip(s["text"]).alias("snippet"),
         )
 
     kind = "array<struct<line:int,rule:string,snippet:string>>"
@@ -143,9 +142,7 @@ def file_secrets(content: Column) -> Column:
             lambda m: F.struct(
                 F.lit(severity).alias("severity"),
                 m["line"].alias("line"),
-                F.concat(
-                    F.lit(f"Potential {name} detected: "), F.substring(m["match"], 1, 60)
-                ).alias("description"),
+                F.concat(F.lit(f"Potential {name} detected: "), m["match"]).alias("description"),
             ),
         )
         needed = holds_any(pattern, R.SECRET_NEEDS[name])
@@ -162,10 +159,7 @@ def sql_strings(content: Column) -> Column:
             T.matches_with_lines(content, pattern),
             lambda m: F.struct(
                 m["line"].alias("line"),
-                F.concat(
-                    F.lit("Potential SQL injection via string formatting: "),
-                    F.substring(m["match"], 1, 80),
-                ).alias("description"),
+                F.concat(F.lit("Potential SQL injection via string formatting: "), m["match"]).alias("description"),
             ),
         )
         return F.when(F.contains(content, F.lit(needed)), found.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
@@ -414,11 +408,15 @@ def signal(name: str) -> Column:
     return signals()[name]()
 
 
-def facts(files: DataFrame, *names: str) -> DataFrame:
-    """One row per file with path facts and the named signals; file contents are left behind."""
+def facts(files: DataFrame, *names: str, max_size: int | None = None) -> DataFrame:
+    """One row per file with path facts and the named signals; file contents are left behind.
+
+    The walk leaves out files above ``max_size`` bytes, if that is given.
+    """
+    small = F.lit(True) if max_size is None else within_size(max_size)
     columns = {
         "line_count": T.line_count(C("content")),
-        "walkable": outside_pruned_dirs() & not_binary() & within_size(),
+        "walkable": outside_pruned_dirs() & not_binary() & small,
         "scannable": scannable(),
         **{name: signal(name) for name in names or signals()},
     }
@@ -459,12 +457,14 @@ def mark_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``ignored``: whether the path, a folder of it or its name matches a rule of the repository.
 
     A rule may match a single component, the path, or the path of any folder
-    above; all these candidates are put on lines of one text and tested at once.
+    above; all these candidates are put on lines of one text and tested at once
+    (by a function that keeps its last pattern compiled; rows of a repository
+    mostly follow each other).
     """
     prefixes = F.transform("parts", lambda _, i: F.array_join(F.slice("parts", F.lit(1), i + 1), "/"))
     candidates = F.array_join(F.concat("parts", prefixes), "\n")
-    joined = join_spread(rows, rules.select("repo", "pattern"), ["repo"], ["path"], "left")
-    return joined.withColumn("ignored", F.coalesce(F.rlike(candidates, C("pattern")), F.lit(False))).drop("pattern")
+    joined = rows.join(rules.select("repo", "pattern"), "repo", "left")
+    return joined.withColumn("ignored", F.coalesce(F.regexp_instr(candidates, C("pattern")) > 0, F.lit(False))).drop("pattern")
 
 
 def drop_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -478,7 +478,7 @@ def with_walked(all_facts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def walked(all_facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The files most analyses look at: source-like, small, and not ignored.
+    """The files most analyses look at: source-like and not ignored.
 
     ``rules`` is a written table, so Spark knows its size and broadcasts it when
     it is below the session's threshold; then nothing is shuffled here.

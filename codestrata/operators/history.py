@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import rules as R
-from ..functions.scale import first_rows, join_spread
+from ..functions.scale import first_rows
 
 C = F.col
 
@@ -24,28 +23,32 @@ def commit_count(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo").agg(F.count(F.lit(1)).alias("commit_count"))
 
 
-def last_commits(commits: DataFrame, limit: int, *columns: str) -> DataFrame:
-    """The newest commits that are not merges."""
+def own_commits(commits: DataFrame, last: int | None, *columns: str) -> DataFrame:
+    """Commits that are not merges; the newest ``last`` of each repository only, if that is given."""
     rows = commits.where(~C("is_merge")).select("repo", "committed_at", "commit_id", *columns)
-    return first_rows(rows, ["repo"], newest(), limit, "age")
+    return rows if last is None else first_rows(rows, ["repo"], newest(), last, "age")
 
 
-def contributors(commits: DataFrame, limit: int | None = None) -> DataFrame:
-    """Authors of the last thousand commits; of equals the one with the newer commit leads."""
-    last = last_commits(commits, R.CONTRIBUTOR_COMMITS, "author_name", "author_email")
-    counted = last.groupBy("repo", C("author_name").alias("name"), C("author_email").alias("email")).agg(
-        F.count(F.lit(1)).alias("recent_commits"), F.min("age").alias("_newest")
+def contributors(commits: DataFrame, last: int | None = None) -> DataFrame:
+    """Authors with their number of commits and the newest of these."""
+    return authors(commits, last).select("repo", "name", "email", "commits", C("newest.commit_id").alias("newest_commit"))
+
+
+def authors(commits: DataFrame, last: int | None = None) -> DataFrame:
+    counted = own_commits(commits, last, "author_name", "author_email").groupBy(
+        "repo", C("author_name").alias("name"), C("author_email").alias("email")
     )
-    order = [F.desc("recent_commits"), F.asc("_newest")]
-    ranked = first_rows(counted, ["repo"], order, limit or R.CONTRIBUTOR_COMMITS, "rank")
-    return ranked.select("repo", "rank", "name", "email", "recent_commits")
-
-
-def recent_files(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Files of the last fifty commits, the most recently touched first."""
-    last = last_commits(commits, R.RECENT_COMMITS).select("repo", "commit_id", "age")
-    # a single commit may touch a large share of all files
-    rows = join_spread(commit_files, last, ["repo", "commit_id"], ["path"], "inner")
-    touched = rows.groupBy("repo", "path").agg(F.min("age").alias("age"))
-    order = [F.asc("age"), F.asc("path")]
-    return first_rows(touched, ["repo"], order, R.RECENT_FILES, "rank").select("repo", "rank", "path")
+    return counted.agg(F.count(F.lit(1)).alias("commits"), F.max(F.struct("committed_at", "commit_id")).alias("newest"))
+
+
+def top_contributors(commits: DataFrame, limit: int = 10) -> DataFrame:
+    """The authors with most commits; of equals the one with the newer commit leads."""
+    ranked = first_rows(authors(commits), ["repo"], [F.desc("commits"), F.desc("newest")], limit, "rank")
+    return ranked.select("repo", "rank", "name", "email", C("commits").alias("recent_commits"))
+
+
+def recent_files(commits: DataFrame, commit_files: DataFrame, last: int | None = None) -> DataFrame:
+    """Files with the newest commit that touched them; of the newest ``last`` commits only, if that is given."""
+    rows = commit_files.join(own_commits(commits, last), ["repo", "commit_id"])
+    touched = rows.groupBy("repo", "path").agg(F.max(F.struct("committed_at", "commit_id")).alias("newest"))
+    return touched.select("repo", "path", C("newest.commit_id").alias("last_commit"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from ..functions.scale import first_rows, join_spread
+from ..functions.scale import first_rows
 from .architecture import entry_points, key_files, layers, project_type, structure_pattern
 from .debt import fixed
-from .history import contributors
+from .history import top_contributors as history_top
 from .languages import language_breakdown
 from .manifests import roots, script, there
 
@@ -36,9 +36,7 @@ def summary_of(content: Column) -> Column:
         lambda p: F.replace(T.strip(p, "\x02"), F.lit("\x02"), F.lit(" ")),
     )
     fitting = F.filter(paragraphs, lambda p: (F.length(p) > 20) & ~F.startswith(p, F.lit("```")))
-    start = T.strip(F.substring(content, 1, 200))
-    first = F.substring(F.get(fitting, F.lit(0)), 1, 500)
-    return F.when(content == "", R.EMPTY_README).otherwise(F.coalesce(first, start))
+    return F.when(content == "", R.EMPTY_README).otherwise(F.coalesce(F.get(fitting, F.lit(0)), T.strip(content)))
 
 
 def readme_of() -> Column:
@@ -184,23 +182,29 @@ def gotchas(tree: DataFrame) -> DataFrame:
     return rows.select("repo", (C("at") + 1).alias("position"), "gotcha")
 
 
-def glossary(tree: DataFrame, limit: int = 10) -> DataFrame:
-    """Constants with a short text: the first ten names in file order.
-
-    Reading stops at the tenth name; up to there a later value replaces an earlier one.
-    """
+def defined_terms(tree: DataFrame) -> DataFrame:
+    """Constants with a short text, one row for each place that defines one."""
     usable = F.filter(
         "terms", lambda t: (F.length(t["term"]) <= 30) & ~t["term"].isin(R.GLOSSARY_IGNORED)
     )
     rows = tree.where(T.is_in("suffix", R.GLOSSARY_SUFFIXES)).select("repo", "parts", usable.alias("terms"))
     terms = rows.select("repo", "parts", F.posexplode_outer("terms").alias("at", "t")).where("t is not null")
-    placed = terms.select("repo", "t.term", "t.meaning", F.struct("parts", "at").alias("place"))
+    return terms.select("repo", "t.term", "t.meaning", F.struct("parts", "at").alias("place"))
+
+
+def glossary(tree: DataFrame) -> DataFrame:
+    """All terms; a later value replaces an earlier one."""
+    return defined_terms(tree).groupBy("repo", "term").agg(F.max_by("meaning", "place").alias("meaning"))
+
+
+def first_terms(tree: DataFrame, limit: int = 10) -> DataFrame:
+    """The first few terms in file order, as a report shows them; reading stops at the last of them."""
+    placed = defined_terms(tree)
     firsts = placed.groupBy("repo", "term").agg(F.min("place").alias("first"))
     chosen = first_rows(firsts, ["repo"], [F.asc("first")], limit, "position")
     ends = chosen.where(C("position") == limit).select("repo", C("first").alias("end"))
     bounded = chosen.join(ends, "repo", "left").select("repo", "term", "position", "end")
-    # at most ten names per repository on the right; a name may fill many rows on the left
-    read = join_spread(placed, bounded, ["repo", "term"], ["place"], "inner")
+    read = placed.join(bounded, ["repo", "term"])
     return (
         read.where("end is null or place <= end")
         .groupBy("repo", "term", "position")
@@ -249,7 +253,7 @@ def architecture_overview(tree: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def top_contributors(commits: DataFrame) -> DataFrame:
-    return contributors(commits, 10)
+    return history_top(commits)
 
 
 def onboarding_key_files(tree: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from ..functions.scale import join_spread
+
 from .manifests import roots, script, there, toml_body
 
 C = F.col
@@ -125,7 +125,7 @@ def env_vars(facts: DataFrame) -> DataFrame:
     scripted = (
         facts.where("suffix = '.js'").select("repo").distinct().withColumn("has_js", F.lit(True))
     )
-    joined = join_spread(merged, scripted, ["repo"], ["name"], "left")
+    joined = merged.join(scripted, "repo", "left")
     value = C("example.value")
     return joined.where("source < 5 or has_js is null").select(
         "repo",

@@ -245,7 +245,7 @@ PLANS: dict[str, Plan] = {
         "secrets", "sql_strings", "manifest"
     ),
     "diff_key_files": staged(
-        both(lambda s: architecture.key_files(s.tree), diff.diff_key_files),
+        both(lambda s: architecture.scored_files(s.tree), diff.diff_key_files),
         "manifest", "imports"
     ),
     "diff_recommendations": staged(

@@ -124,11 +124,11 @@ def report_over(every: DataFrame, commits: DataFrame, commit_files: DataFrame, a
         return [debt.dead_counts(tree), listed(debt.hotspots(tree), ["rank"], ["path", "reason", "score"], "hotspots")]
 
     def onboarding_parts() -> list[DataFrame]:
-        people = history.contributors(commits, 10)
+        people = history.top_contributors(commits)
         return [
             *onboarding.overview_parts(breakdown(), architecture.entry_points(tree), architecture.layers(tree)),
             listed(people, ["rank"], ["name", "email", "recent_commits"], "top_contributors"),
-            mapped(onboarding.glossary(tree), "term", "meaning", "glossary"),
+            mapped(onboarding.first_terms(tree), "term", "meaning", "glossary"),
         ]
 
     def dependency_parts() -> list[DataFrame]:

@@ -18,7 +18,7 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import join_spread, position_in_key, stage
+from ..functions.scale import position_in_key, stage
 from ..operators.facts import ignore_rules
 
 
@@ -70,8 +70,15 @@ def derived_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame
     folder = F.when(F.col("copy") == 0, "").otherwise(F.concat(F.lit("pkg"), F.col("copy").cast("string"), F.lit("/")))
     body = F.replace("body", F.lit("{nn}"), F.lpad((F.col("n") % 100).cast("string"), 2, "0"))
     body = F.replace(body, F.lit("{n}"), number)
-    body = F.replace(body, F.lit("{text}"), F.col("text"))
-    words = F.concat(F.lit("# "), F.replace("text", F.lit(" "), F.lit("\n# ")))
+    text = F.coalesce("text", F.lit(""))
+    body = F.replace(body, F.lit("{hashed}"), F.replace(text, F.lit("\n"), F.lit("\n# ")))
+    body = F.replace(body, F.lit("{slashed}"), F.replace(text, F.lit("\n"), F.lit("\n// ")))
+    quoted = text
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
+    body = F.replace(body, F.lit("{json}"), quoted)
+    body = F.replace(body, F.lit("{text}"), text)
+    words = F.concat(F.lit("# "), F.replace(text, F.lit(" "), F.lit("\n# ")))
     body = F.replace(body, F.lit("{words}"), words)
     return slot.select(
         "repo",
@@ -106,9 +113,7 @@ def commit_files(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Two files per commit, picked by the position of a file in its repository."""
     counted = files.groupBy("repo").agg(F.count(F.lit(1)).alias("c"))
     step = F.floor(F.col("commit_id") / 20).cast("bigint")
-    touched = join_spread(
-        commits.select("repo", "commit_id"), counted, ["repo"], ["commit_id"], "inner"
-    ).select(
+    touched = commits.select("repo", "commit_id").join(counted, "repo").select(
         "repo",
         "commit_id",
         F.explode(F.array_distinct(F.array(step % F.col("c"), (step * 7 + 3) % F.col("c")))).alias("n"),

@@ -111,15 +111,18 @@ def tables() -> dict[str, str]:
     # --- corpus
     t["t_templates"] = f"select * from (values {template_rows}) v(arch, k, path, body)"
     t["t_documents"] = """select *, cast(floor(n / 12.0) as int) as g, ri % 5 as arch from (
-        select source as repo, text, cast(substr(source, 4) as int) as ri,
+        select source as repo, coalesce(text, '') as text, cast(substr(source, 4) as int) as ri,
                row_number() over (partition by source order by doc_id) - 1 as n from documents)"""
 
     def files_at(slot: str) -> str:
         return f"""select *, cast(strlen(content) as bigint) as size_bytes from (
         select e.repo, e.n,
           concat(case when g = 0 then '' else concat('pkg', cast(g as varchar), '/') end, t.path) as path,
-          replace(replace(replace(replace(t.body, '{{nn}}', lpad(cast(n % 100 as varchar), 2, '0')),
-            '{{n}}', cast(n as varchar)), '{{text}}', text),
+          replace(replace(replace(replace(replace(replace(replace(t.body, '{{nn}}', lpad(cast(n % 100 as varchar), 2, '0')),
+            '{{n}}', cast(n as varchar)), '{{hashed}}', replace(text, chr(10), concat(chr(10), '# '))),
+            '{{slashed}}', replace(text, chr(10), concat(chr(10), '// '))),
+            '{{json}}', replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
+              chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')), '{{text}}', text),
             '{{words}}', concat('# ', replace(text, ' ', concat(chr(10), '# ')))) as content
         from t_documents e join t_templates t on t.arch = e.arch and t.k = {slot})"""
 
@@ -163,7 +166,7 @@ def tables() -> dict[str, str]:
     t["t_binary_ext_filter"] = f"select repo, path from t_facts where {binary}"
     t["t_size_filter"] = "select repo, path, size_bytes from t_facts where size_bytes <= 5000"
     t["t_size_filter_default"] = f"select repo, path, size_bytes from t_facts where size_bytes <= {R.MAX_SIZE_BYTES}"
-    t["t_tree"] = f"""select * from t_facts f where {pruned} and {binary} and size_bytes <= {R.MAX_SIZE_BYTES}
+    t["t_tree"] = f"""select * from t_facts f where {pruned} and {binary}
         and not exists (select 1 from t_ignored i where i.repo = f.repo and i.path = f.path)"""
     t["t_walked_files"] = "select repo, path, size_bytes, line_count from t_tree"
     t["t_scan"] = "select * from t_facts where scannable"
@@ -207,7 +210,7 @@ def tables() -> dict[str, str]:
         from t_code_lines where suffix in {among(R.CODE_SUFFIXES)} and regexp_matches(s, {q(R.TODO)})"""
     safe = "not (" + " or ".join(f"regexp_matches(s, {q(p)})" for p in R.SAFE_LINE) + ")"
     t["t_secret_lines"] = f"""select * from (select repo, path, line,
-          {case([(f"regexp_matches(s, {q(p)})", q(n)) for n, p in R.LINE_SECRETS])} as rule, left({strip('s')}, 80) as snippet
+          {case([(f"regexp_matches(s, {q(p)})", q(n)) for n, p in R.LINE_SECRETS])} as rule, {strip('s')} as snippet
         from t_code_lines where {safe}) where rule is not null"""
 
     # --- architecture
@@ -259,16 +262,17 @@ def tables() -> dict[str, str]:
         from (select * from t_py_imports union all select * from t_js_imports) i join t_module_map m using (repo, module)
         where m.target <> i.path"""
     t["t_module_in_degree"] = "select repo, to_module, count(*) as in_degree from t_import_edges group by repo, to_module"
-    t["t_key_files"] = f"""with scored as (select f.repo, f.path, f.parts, f.name, f.name in {among(R.ENTRY_POINTS)} as entry,
+    t["t_scored_files"] = f"""with scored as (select f.repo, f.path, f.parts, f.name, f.name in {among(R.ENTRY_POINTS)} as entry,
           least(100, case when f.name in {among(R.ENTRY_POINTS)} then 50 else 0 end
             + coalesce(trunc(d.in_degree::double / m.top * 40), 0)
             + case when f.name in {among(R.WELL_KNOWN_FILES)} then 10 else 0 end) as s
           from t_tree f left join t_module_in_degree d on d.repo = f.repo and d.to_module = f.path
-          left join (select repo, max(in_degree) as top from t_module_in_degree group by repo) m on m.repo = f.repo),
-        ranked as (select *, row_number() over (partition by repo order by s desc, parts) as rank from scored)
-        select repo, rank, path, case when name = 'README.md' then 'documentation'
+          left join (select repo, max(in_degree) as top from t_module_in_degree group by repo) m on m.repo = f.repo)
+        select repo, path, parts, case when name = 'README.md' then 'documentation'
           when name in {among(R.PACKAGE_CONFIG_FILES)} then 'package config' when entry then 'entry point' else 'module' end as role,
-          cast(s as integer) as importance_score from ranked where rank <= {R.KEY_FILE_LIMIT}"""
+          cast(s as integer) as importance_score from scored"""
+    t["t_key_files"] = f"""select repo, rank, path, role, importance_score from (select *,
+          row_number() over (partition by repo order by importance_score desc, parts) as rank from t_scored_files) where rank <= {R.KEY_FILE_LIMIT}"""
     count_of = lambda name, what="count(*)": f"(select {what} from {name} x where x.repo = r.repo)"
     t["t_architecture_report"] = f"""select r.repo, r.total_files, r.total_lines, w.framework, p.project_type, s.structure_pattern,
           {count_of('t_entry_points')} as entry_point_count, {count_of('t_layers', 'count(distinct layer)')} as layer_count,
@@ -373,7 +377,7 @@ def onboarding() -> dict[str, str]:
         first as (select repo, p from (select *, row_number() over (partition by repo order by para) as k from paras
           where length(p) > 20 and not starts_with(p, '```')) where k = 1)
         select r.repo, case when d.repo is null then {q(R.NO_README)} when d.content = '' then {q(R.EMPTY_README)}
-          else coalesce(left(f.p, 500), {strip('left(d.content, 200)')}) end as project_summary
+          else coalesce(f.p, {strip('d.content')}) end as project_summary
         from t_repos r left join t_readme d on d.repo = r.repo left join first f on f.repo = r.repo"""
 
     def steps(source: str) -> str:
@@ -437,7 +441,8 @@ def onboarding() -> dict[str, str]:
           select repo, parts, regexp_extract_all(content, {term}, 1) as a, regexp_extract_all(content, {term}, 2) as b
           from t_tree where suffix in {among(R.GLOSSARY_SUFFIXES)}))
         where term not in {among(R.GLOSSARY_IGNORED)} and length(term) <= 30"""
-    t["t_glossary"] = """with firsts as (select repo, term, min(o) as f from t_terms group by repo, term),
+    t["t_glossary"] = "select repo, term, max_by(meaning, o) as meaning from t_terms group by repo, term"
+    t["t_first_terms"] = """with firsts as (select repo, term, min(o) as f from t_terms group by repo, term),
         ranked as (select *, row_number() over (partition by repo order by f) as position from firsts),
         ends as (select repo, f as e from ranked where position = 10)
         select r.repo, r.position, r.term, max_by(x.meaning, x.o) as meaning from ranked r join t_terms x on x.repo = r.repo and x.term = r.term
@@ -452,7 +457,8 @@ def onboarding() -> dict[str, str]:
             || coalesce(' Entry points: ' || e.x || '.', '') || coalesce(' Layers detected: ' || y.x || '.', '') as architecture_overview
         from t_framework r join t_project_type p on p.repo = r.repo join t_structure_pattern s on s.repo = r.repo
         left join langs l on l.repo = r.repo left join eps e on e.repo = r.repo left join lays y on y.repo = r.repo"""
-    t["t_top_contributors"] = "select * from t_contributors where rank <= 10"
+    t["t_top_contributors"] = """select * from (select repo, row_number() over (partition by repo order by commits desc, newest_at desc, newest_commit desc) as rank,
+        name, email, commits as recent_commits from t_authors) where rank <= 10"""
     t["t_onboarding_key_files"] = "select * from t_key_files where rank <= 10"
     return t
 
@@ -543,8 +549,8 @@ def conventions() -> dict[str, str]:
     t["t_sample"] = f"""select * from (select *, row_number() over (partition by repo order by parts) as rank,
           {lines('content')} as ls from t_scan where suffix in {among(R.CONVENTION_SUFFIXES)}
           and not contains(lower(name), 'test') and not contains(lower(name), 'spec')
-          and coalesce(lower(parts[-2]), '') not in ('tests', '__tests__')) where rank <= {R.CONVENTION_SAMPLE}"""
-    t["t_convention_sample"] = "select repo, rank, path from t_sample"
+          and coalesce(lower(parts[-2]), '') not in ('tests', '__tests__'))"""
+    t["t_convention_sample"] = f"select repo, rank, path from t_sample where rank <= {R.CONVENTION_SAMPLE}"
     n = lambda p: f"len(regexp_extract_all(content, {q(p)}))"
     t["t_naming_style"] = f"""with v as (select repo, sum({n(R.SNAKE_FUNCTION)}) as snake, sum({n(R.CAMEL_FUNCTION)} + {n(R.CAMEL_VARIABLE)}) as camel,
           sum({n(R.PASCAL_CLASS)}) as pascal, bool_or(suffix = '.py') as py, bool_or({js}) as js,
@@ -592,7 +598,7 @@ def conventions() -> dict[str, str]:
           when a or b or c then 'mixed' else 'unknown' end as test_pattern from v"""
     t["t_commit_format"] = f"""with l as (select *, row_number() over (partition by repo order by committed_at desc, commit_id desc) as k from t_commits)
         select repo, c as conventional, s as subjects, case when c::double / s > 0.5 then 'conventional-commits' else 'freeform' end as commit_format from (
-          select repo, count(*) filter (where regexp_matches(subject, {q(R.CONVENTIONAL_SUBJECT)})) as c, count(*) as s from l where k <= {R.RECENT_COMMITS} group by repo)"""
+          select repo, count(*) filter (where regexp_matches(subject, {q(R.CONVENTIONAL_SUBJECT)})) as c, count(*) as s from l group by repo)"""
     place = case([(f"path = {q(p)}", str(i)) for i, p in enumerate(R.LINTER_FILES)])
     t["t_linter_config"] = f"""select r.repo, l.path as linter_config from t_repos r left join (
         select repo, path, row_number() over (partition by repo order by {place}) as k from t_files where path in {among(R.LINTER_FILES)}) l on l.repo = r.repo and l.k = 1"""
@@ -641,12 +647,12 @@ def surfaces() -> dict[str, str]:
 
     # --- security
     t["t_secret_findings"] = union(
-        f"select repo, {q(sev)} as severity, 'hardcoded-secret' as category, path as file, line, {q(f'Potential {name} detected: ')} || left(m, 60) as description from ({hits('t_scan', pattern, '1 as z')})"
+        f"select repo, {q(sev)} as severity, 'hardcoded-secret' as category, path as file, line, {q(f'Potential {name} detected: ')} || m as description from ({hits('t_scan', pattern, '1 as z')})"
         for name, pattern, sev in R.FILE_SECRETS
     )
     t["t_sql_source"] = f"select * from t_scan where suffix in {among(R.SQL_SUFFIXES)}"
     t["t_sql_injection"] = union(
-        f"select repo, 'medium' as severity, 'sql-injection' as category, path as file, line, 'Potential SQL injection via string formatting: ' || left(m, 80) as description from ({hits('t_sql_source', pattern, '1 as z')})"
+        f"select repo, 'medium' as severity, 'sql-injection' as category, path as file, line, 'Potential SQL injection via string formatting: ' || m as description from ({hits('t_sql_source', pattern, '1 as z')})"
         for pattern, _ in R.SQL_INJECTION
     )
     finding = lambda sev, cat, text: f"{q(sev)} as severity, {q(cat)} as category, '.env' as file, cast(null as bigint) as line, {q(text)} as description"
@@ -744,12 +750,12 @@ def setup_and_history() -> dict[str, str]:
     # --- history
     t["t_head_commit"] = "select repo, commit_id as head_commit from (select *, row_number() over (partition by repo order by committed_at desc, commit_id desc) as k from t_commits) where k = 1"
     t["t_commit_count"] = "select repo, count(*) as commit_count from t_commits group by repo"
-    t["t_last_commits"] = "select *, row_number() over (partition by repo order by committed_at desc, commit_id desc) as age from t_commits where not is_merge"
-    t["t_contributors"] = f"""select repo, row_number() over (partition by repo order by c desc, a) as rank, author_name as name, author_email as email, c as recent_commits from (
-        select repo, author_name, author_email, count(*) as c, min(age) as a from t_last_commits where age <= {R.CONTRIBUTOR_COMMITS} group by repo, author_name, author_email)"""
-    t["t_recent_files"] = f"""select repo, rank, path from (select repo, path, row_number() over (partition by repo order by a, path) as rank from (
-        select c.repo, f.path, min(c.age) as a from t_last_commits c join t_commit_files f on f.repo = c.repo and f.commit_id = c.commit_id
-        where c.age <= {R.RECENT_COMMITS} group by c.repo, f.path)) where rank <= {R.RECENT_FILES}"""
+    t["t_authors"] = """select repo, author_name as name, author_email as email, count(*) as commits,
+        max_by(commit_id, (committed_at, commit_id)) as newest_commit, max(committed_at) as newest_at
+        from t_commits where not is_merge group by repo, author_name, author_email"""
+    t["t_contributors"] = "select repo, name, email, commits, newest_commit from t_authors"
+    t["t_recent_files"] = """select c.repo, f.path, max_by(c.commit_id, (c.committed_at, c.commit_id)) as last_commit
+        from t_commits c join t_commit_files f on f.repo = c.repo and f.commit_id = c.commit_id where not c.is_merge group by c.repo, f.path"""
     return t
 
 
@@ -804,7 +810,7 @@ def reports() -> dict[str, str]:
           l.risk_level, l.secrets_found, u.auth_pattern, b.build_command, t.test_command,
           {n('key_files')} as key_file_count, {n('hotspots')} as hotspot_count, {n('debt_recommendations')} as recommendation_count,
           {n('setup_steps')} as setup_step_count, {n('test_commands')} as test_command_count, {n('gotchas')} as gotcha_count,
-          {n('glossary')} as term_count, {n('top_contributors')} as contributor_count, {n('exposed_ports')} as port_count,
+          {n('first_terms')} as term_count, {n('top_contributors')} as contributor_count, {n('exposed_ports')} as port_count,
           {n('security_recommendations')} as advice_count, {n('prerequisites')} as prerequisite_count, {n('install_steps')} as install_step_count,
           {n('run_commands')} as run_command_count, {n('common_issues')} as issue_count
         from t_repos r left join t_head_commit h using (repo) left join t_architecture_report a using (repo) left join t_debt_score d using (repo)
@@ -884,7 +890,7 @@ def diff_statements() -> dict[str, str]:
     return {
         "diff_grade": difference("debt_score", grade),
         "diff_findings": changed("security_findings", "*", "new", "resolved"),
-        "diff_key_files": changed("key_files", "repo, path", "new", "deleted"),
+        "diff_key_files": changed("scored_files", "repo, path", "new", "deleted"),
         "diff_recommendations": changed("debt_recommendations", "repo, recommendation", "new", "resolved"),
     }
 

@@ -88,6 +88,8 @@ def test_test_layout_linters_and_commits(analyse):
     assert linters["apart"] == ".flake8" and linters["none"] is None
     log = commits("conv", ["feat: a", "fix(x): b", "other"]) + commits("free", ["feat: a", "no"]) + commits("old", ["x"] * 60 + ["ci: y"] * 30)
     formats = analyse(lambda i: conventions.commit_format(i.commits), {}, commits=log)
+    assert sorted(formats)[2] == ("old", 30, 90, "freeform")
+    formats = analyse(lambda i: conventions.commit_format(i.commits, last=50), {}, commits=log)
     assert sorted(formats) == [
         ("conv", 2, 3, "conventional-commits"), ("free", 1, 2, "freeform"), ("old", 30, 50, "conventional-commits"),
     ]

@@ -27,7 +27,7 @@ def test_readme_summary(analyse):
     rows = dict(analyse(lambda i: onboarding.readme_summary(i.facts), repos, signals=M))
     assert rows == {
         "plain": "A small service for users and more.", "short": "# T\nshort", "empty": R.EMPTY_README, "none": R.NO_README,
-        "rst": "The first paragraph counts here.", "long": "x" * 500, "second": "Long enough to be shown here.",
+        "rst": "The first paragraph counts here.", "long": "x" * 600, "second": "Long enough to be shown here.",
     }
 
 
@@ -94,10 +94,13 @@ def test_gotchas(analyse):
     assert [g for r, _, g in sorted(rows) if r == "all"] == R.GOTCHAS and {r for r, _, _ in rows} == {"all"}
 
 
-def test_glossary_stops_at_the_tenth_name(analyse):
+def test_glossary_has_all_names_and_a_report_the_first_ten(analyse):
     first = "".join(f'NAME_{i} = "value {i}"\n' for i in range(8)) + 'NAME_0 = "newer value"\nTODO = "not a term"\nshort = "x"\n'
     second = 'NAME_8 = "value 8"\nNAME_9 = "value 9"\nNAME_1 = "too late"\nNAME_10 = "never"\n'
-    rows = analyse(lambda i: onboarding.glossary(i.tree), {"r": {"a.py": first, "b.js": second}, "s": {"a.py": second}}, signals=M)
+    repos = {"r": {"a.py": first, "b.js": second}, "s": {"a.py": second}}
+    every = {t: m for r, t, m in analyse(lambda i: onboarding.glossary(i.tree), repos, signals=M) if r == "r"}
+    assert len(every) == 11 and every["NAME_10"] == "never" and every["NAME_1"] == "too late"
+    rows = analyse(lambda i: onboarding.first_terms(i.tree), repos, signals=M)
     got = {t: m for r, _, t, m in rows if r == "r"}
     assert got == {f"NAME_{i}": f"value {i}" for i in range(1, 10)} | {"NAME_0": "newer value"}
     assert {t: m for r, _, t, m in rows if r == "s"}["NAME_1"] == "too late"
@@ -112,13 +115,20 @@ def test_history(analyse):
     touched = [("r", n, f"f{n % 70}.py") for n in range(900, 1005)] + [("s", 0, "b"), ("s", 1, "a"), ("s", 1, "c")]
     people = analyse(lambda i: history.contributors(i.commits), {}, commits=rows)
     assert sorted(people) == [
-        ("r", 1, "ann", "ann@x", 600), ("r", 2, "bob", "bob@x", 400), ("s", 1, "y", "y@x", 1), ("s", 2, "x", "x@x", 1),
+        ("r", "ann", "ann@x", 600, 604), ("r", "bob", "bob@x", 400, 1004), ("r", "old", "old@x", 5, 4), ("s", "x", "x@x", 1, 0), ("s", "y", "y@x", 1, 1),
     ]
+    last = analyse(lambda i: history.contributors(i.commits, last=1000), {}, commits=rows)
+    assert {p[1] for p in last if p[0] == "r"} == {"ann", "bob"}
+    top = analyse(lambda i: history.top_contributors(i.commits), {}, commits=rows)
+    assert sorted(top)[:3] == [("r", 1, "ann", "ann@x", 600), ("r", 2, "bob", "bob@x", 400), ("r", 3, "old", "old@x", 5)]
+    assert [p[2] for p in sorted(top) if p[0] == "s"] == ["y", "x"]
     assert sorted(analyse(lambda i: history.commit_count(i.commits), {}, commits=rows)) == [("r", 1008), ("s", 2)]
     assert sorted(analyse(lambda i: history.head_commit(i.commits), {}, commits=rows)) == [("r", 1007), ("s", 1)]
     files = analyse(lambda i: history.recent_files(i.commits, i.commit_files), {}, commits=rows, touched=touched)
-    assert [p for r, _, p in sorted(files) if r == "s"] == ["a", "c", "b"]
-    assert [p for r, _, p in sorted(files) if r == "r"] == [f"f{n % 70}.py" for n in range(1004, 954, -1)]
+    assert sorted((p, c) for r, p, c in files if r == "s") == [("a", 1), ("b", 0), ("c", 1)]
+    assert sorted(c for r, _, c in files if r == "r") == list(range(935, 1005))
+    few = analyse(lambda i: history.recent_files(i.commits, i.commit_files, last=50), {}, commits=rows, touched=touched)
+    assert sorted(c for r, _, c in few if r == "r") == list(range(955, 1005))
 
 
 def test_colours(spark):

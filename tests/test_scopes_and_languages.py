@@ -61,7 +61,8 @@ def test_ignore_rules_agree_with_shell_globs(analyse):
 
 def test_size_limit_is_strict(analyse):
     files = {"r": {"big.txt": "x" * (1024 * 1024 + 1), "edge.txt": "x" * (1024 * 1024)}}
-    assert paths(analyse(lambda i: i.tree.select("path"), files, signals=["manifest"])) == ["edge.txt"]
+    assert paths(analyse(lambda i: i.facts.where(facts.within_size()).select("path"), files)) == ["edge.txt"]
+    assert paths(analyse(lambda i: i.tree.select("path"), files, signals=["manifest"])) == ["big.txt", "edge.txt"]
 
 
 def test_scan_scope_skips_only_its_folders(analyse):
