@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +55,25 @@ def local(a: np.ndarray, b: np.ndarray, diagonal: int = 0, band: int | None = No
     return Alignment(score, matches, int(i), a_end, int(j), b_end)
 
 
+def occurrences(
+    a: np.ndarray, b: np.ndarray, good: Callable[[Alignment], bool], least: float, diagonal: int = 0, band: int | None = None
+) -> list[Alignment]:
+    """Alignments of a in b that don't overlap: the best, then the best before and after it, and so on, while they are good.
+
+    Stretches of b with fewer than `least` words are left alone.
+    """
+    out, todo = [], [(0, len(b))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < max(least, 1):
+            continue
+        x = local(a, b[low:high], diagonal - low, band)
+        if good(x):
+            out.append(x._replace(b_start=x.b_start + low, b_end=x.b_end + low))
+            todo += [(low, low + x.b_start), (low + x.b_end, high)]
+    return sorted(out, key=lambda x: x.b_start)
+
+
 def near(place: np.ndarray, group: np.ndarray, gap: int) -> np.ndarray:
     """For entries sorted by (group, place): the number of their run, where runs end at a larger gap."""
     new = np.ones(len(place), bool)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.align import MATCH, local, near
+from codestrata.llm.align import MATCH, occurrences
 from codestrata.llm.tables import map_batches, table
 from codestrata.llm.text import Words, slices, window_hashes
 
@@ -150,39 +150,36 @@ def passages(first: int, w: Words, block: Items, least_score: float) -> Iterator
     at = place - block.place[gram]  # where the item would begin
     group = text.astype(np.int64) * len(block.ids) + item
     order = np.lexsort((at, group))
-    place, at, group, text, item = place[order], at[order], group[order], text[order], item[order]
-    run = near(at, group, int(sizes.max()))
-    # places up to half an item apart belong to one passage, as words may be left out or put in
-    start = np.ones(len(run), bool)
-    start[1:] = (run[1:] != run[:-1]) | (at[1:] - at[:-1] > sizes[item[1:]] // 2 + 2)
-    begins = np.flatnonzero(start)
-    for a, b in zip(begins, [*begins[1:], len(run)]):
-        i, t, size = int(item[a]), int(text[a]), int(sizes[item[a]])
-        low, high = max(int(w.off[t]), int(at[a]) - size // 2 - 2), min(int(w.off[t + 1]), int(at[b - 1]) + size + size // 2 + 2)
-        for x in aligned(w.h, low, high, block.words[i], least_score):
+    at, group, text, item = at[order], group[order], text[order], item[order]
+    # stretches in which the item may lie: where it would begin, with room for words left out or put in; those of one
+    # item that overlap are one stretch
+    room = sizes[item] // 2 + 2
+    low = np.maximum(w.off[text], at - room)
+    high = np.minimum(w.off[text + 1], at + sizes[item] + room)
+    reach = np.maximum.accumulate(high + (group - group[0]) * (len(w.h) + 1))  # a later group lies beyond all earlier ones
+    new = np.ones(len(low), bool)
+    new[1:] = (group[1:] != group[:-1]) | (low[1:] + (group[1:] - group[0]) * (len(w.h) + 1) > reach[:-1])
+    begins = np.flatnonzero(new)
+    for a, b in zip(begins, [*begins[1:], len(low)]):
+        i, t = int(item[a]), int(text[a])
+        for x in aligned(w.h, int(low[a]), int(high[a:b].max()), block.words[i], least_score):
             yield first + t, block.ids[i], *x[:3], x[3] - int(w.off[t]), x[4] - int(w.off[t])
 
 
 def aligned(h: np.ndarray, low: int, high: int, item: np.ndarray, least_score: float) -> Iterator[tuple]:
-    """The best alignment in h[low:high], then the best before and after it, and so on.
+    """(score, matches, item's words, start, end) of the item's occurrences in h[low:high].
 
     A very long stretch is taken in pieces that overlap by more than an alignment can span; the piece in which an
     alignment begins reports it.
     """
-    step = PIECE * len(item)
+    step, whole, done = PIECE * len(item), MATCH * len(item), low
     for at in range(low, high, step):
-        end = min(high, at + step + 3 * len(item))
-        todo = [(at, end)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < least_score * len(item):
-                continue
-            x = local(item, h[a:b])
-            score = x.score / (MATCH * len(item))
-            if score >= least_score:
-                if a + x.b_start < at + step:
-                    yield score, x.matches, len(item), a + x.b_start, a + x.b_end
-                todo += [(a, a + x.b_start), (a + x.b_end, b)]
+        part = h[at : min(high, at + step + 3 * len(item))]
+        for x in occurrences(item, part, lambda x: x.score >= least_score * whole, least_score * len(item)):
+            start, end = at + x.b_start, at + x.b_end
+            if done <= start < at + step:
+                done = end
+                yield x.score / whole, x.matches, len(item), start, end
 
 
 def verdicts(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codestrata.llm.align import local, near
+from codestrata.llm.align import near, occurrences
 from codestrata.llm.tables import map_batches, table
 from codestrata.llm.text import Words, slices, window_hashes
 
@@ -124,15 +124,16 @@ class Index:
             for a, b in zip(begin, end)
         ]
 
-    def matches(self, first: int, w: Words, least: float) -> Iterator[tuple]:
+    def matches(self, first: int, w: Words, least_coverage: float) -> Iterator[tuple]:
         for t, k, low, high in self.candidates(w):
             begin = max(int(w.off[t]), low - BAND)
             end = min(int(w.off[t + 1]), high + int(self.sizes[k]) + BAND)
-            x = local(self.words[k], w.h[begin:end], low - begin, BAND + high - low)
-            if x.matches >= least * self.sizes[k]:
-                a, b = begin + x.b_start, begin + x.b_end - 1
-                at = w.at[t]
-                yield first + t, self.ids[k], x.matches / int(self.sizes[k]), x.matches, a - int(w.off[t]), b + 1 - int(w.off[t]), int(w.start[a] - at), int(w.end[b] - at)
+            least = least_coverage * int(self.sizes[k])
+            found = occurrences(self.words[k], w.h[begin:end], lambda x: x.matches >= least, least, low - begin, BAND + high - low)
+            for x in found:
+                a, b, at = begin + x.b_start, begin + x.b_end, w.at[t]
+                words = a - int(w.off[t]), b - int(w.off[t])
+                yield first + t, self.ids[k], x.matches / int(self.sizes[k]), x.matches, *words, int(w.start[a] - at), int(w.end[b - 1] - at)
 
 
 def blocks(templates: list[tuple[str, str]] | DataFrame) -> Iterator[Index]:

@@ -7,8 +7,8 @@
    to the masks of all documents, counted by Spark; labelled rows keep their labels with a weight that says how far they
    are trusted.  From the joint counts under the model, voters that agree beyond what their accuracies explain get less
    weight each (a correlated group counts like fewer voters).
-3. A logistic classifier on votes and hit rates is fitted to the posterior labels of a bounded sample of masks and
-   scores every document.
+3. A logistic classifier on votes and hit rates is fitted to the posterior labels of the labelled training rows, its
+   threshold to their labels, and it scores every document.
 
 Scores depend on the text only.
 """
@@ -34,6 +34,7 @@ FAMILIES = (5, 6, 7, 8)  # bytes of beginnings that may vote
 ROUNDS = 6
 CORRELATED = 0.6  # voters that agree more than this in toxic documents share their weight
 THRESHOLD = 0.7
+COST = 4.0  # toxic documents that one clean document called toxic weighs against
 
 #: Fixed: insults that vote whether or not labelled rows contain them.
 INSULTS = ["bastard", "disgusting", "fool", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -272,7 +273,21 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     model = label_model(counted, k, (known, toxic))
     # the classifier learns posteriors; a known label moves its row's posterior by the trust of the label model
     y = 0.5 * model.posterior(known) + 0.5 * toxic
-    return Model(own, model, logistic(features(known, hits, size), y, np.ones(len(y))))
+    x = features(known, hits, size)
+    weights = logistic(x, y, np.ones(len(y)))
+    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(x @ weights, toxic)
+    return Model(own, model, weights)
+
+
+def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The value that separates toxic from clean labelled rows best, a clean row above it counting COST times."""
+    order = np.argsort(-z, kind="stable")
+    gain = np.cumsum(np.where(toxic[order] == 1, 1.0, -COST))
+    last = np.append(np.diff(z[order]) < -1e-9, True)  # rows of equal value stay together
+    gain = np.where(last, gain, -np.inf)
+    best = int(np.argmax(gain))
+    below = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
+    return float(z[order[best]] + below) / 2
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
