@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
+from ..sources.snapshots import read_items, read_snapshots
 
 C = F.col
 
@@ -52,3 +53,33 @@ def diff_key_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def diff_recommendations(old: DataFrame, new: DataFrame) -> DataFrame:
     return changes(old.select("repo", "recommendation"), new.select("repo", "recommendation"), "new", "resolved")
+
+
+FINDING = "severity string, category string, file string, line int, description string"
+
+
+class Snapshots:
+    """Differences between two stored snapshots; nothing but the snapshots is read."""
+
+    def __init__(self, spark: SparkSession, folder: str, old: str, new: str):
+        self.spark, self.folder, self.ids = spark, folder, (old, new)
+
+    def both(self, rows: DataFrame) -> list[DataFrame]:
+        return [rows.where(C("snapshot_id") == i).drop("snapshot_id") for i in self.ids]
+
+    def reports(self) -> DataFrame:
+        return read_snapshots(self.spark, self.folder)
+
+    def grade(self) -> DataFrame:
+        columns = "snapshot_id", "repo", "tech_debt.grade", C("tech_debt.overall_score").alias("score")
+        return diff_grade(*self.both(self.reports().select(*columns)))
+
+    def findings(self) -> DataFrame:
+        return diff_findings(*self.both(read_items(self.spark, self.folder, "findings", FINDING)))
+
+    def key_files(self) -> DataFrame:
+        return diff_key_files(*self.both(read_items(self.spark, self.folder, "scored_files", "path string")))
+
+    def recommendations(self) -> DataFrame:
+        rows = self.reports().select("snapshot_id", "repo", F.explode("tech_debt.recommendations").alias("recommendation"))
+        return diff_recommendations(*self.both(rows))

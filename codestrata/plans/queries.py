@@ -17,13 +17,13 @@ C = F.col
 
 
 class Inputs:
-    """Lazily planned inputs of the queries; nothing is computed before an action."""
+    """Lazily planned inputs of the queries; staged facts and snapshots are written when a query is built."""
 
     def __init__(
         self,
         corpus: Corpus,
         signals: tuple[str, ...],
-        snapshots: Callable[[], list[Corpus]] | None = None,
+        snapshots: Callable[[], diff.Snapshots] | None = None,
         staged: bool = False,
     ):
         self.corpus = corpus
@@ -86,11 +86,6 @@ def bigints(df: DataFrame) -> DataFrame:
     return df.select(*(C(c).cast("bigint").alias(c) if c in wide else C(c) for c in df.columns))
 
 
-def both(build: Callable[[Inputs], DataFrame], compare) -> Callable[[Inputs], DataFrame]:
-    """Compare what ``build`` gives for the old and the new snapshot."""
-    return lambda i: compare(*(build(Inputs(s, i.signals, staged=True)) for s in i.snapshots()))
-
-
 # key -> plan over the inputs and the signals it reads
 PLANS: dict[str, Plan] = {
     # corpus
@@ -236,27 +231,13 @@ PLANS: dict[str, Plan] = {
         lambda i: debt.debt_chart_rows(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
-    "diff_grade": staged(
-        both(lambda s: debt.debt_score(s.tree), diff.diff_grade),
-        "manifest", "imports", "todos", "opens_with_docstring"
-    ),
-    "diff_findings": staged(
-        both(lambda s: security.security_findings(s.facts, s.commit_files), diff.diff_findings),
-        "secrets", "sql_strings", "manifest"
-    ),
-    "diff_key_files": staged(
-        both(lambda s: architecture.scored_files(s.tree), diff.diff_key_files),
-        "manifest", "imports"
-    ),
-    "diff_recommendations": staged(
-        both(lambda s: debt.debt_recommendations(s.tree), diff.diff_recommendations),
-        "manifest", "imports", "todos", "opens_with_docstring"
-    ),
+    "diff_grade": Plan(lambda i: i.snapshots().grade()),
+    "diff_findings": Plan(lambda i: i.snapshots().findings()),
+    "diff_key_files": Plan(lambda i: i.snapshots().key_files()),
+    "diff_recommendations": Plan(lambda i: i.snapshots().recommendations()),
 }
 
 
-
-
 CORPORA: dict[tuple[str, str, str], Corpus] = {}
 
 
@@ -271,7 +252,19 @@ def corpus_for(spark: SparkSession, sf_dir: str, state: str = "now") -> Corpus:
     return CORPORA[key]
 
 
+FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def snapshots_for(spark: SparkSession, sf_dir: str) -> diff.Snapshots:
+    """Two stored states of the corpus, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in FOLDERS:
+        states = {s: corpus_for(spark, sf_dir, s) for s in ("now", "later")}
+        FOLDERS[key] = report.write_for_diff(states, report.new_folder(spark))
+    return diff.Snapshots(spark, FOLDERS[key], "now", "later")
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = PLANS[name]
-    snapshots = lambda: [corpus_for(spark, sf_dir, s) for s in ("now", "later")]
+    snapshots = lambda: snapshots_for(spark, sf_dir)
     return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots, plan.staged)))

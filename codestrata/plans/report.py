@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -20,7 +20,7 @@ from ..operators import languages, onboarding, security, setup
 from ..operators.manifests import complete
 from ..operators.profile import profile, texts
 from ..sources.corpus import Corpus
-from ..sources.snapshots import SECTION_TYPES, read_snapshots, write_snapshot
+from ..sources.snapshots import REPORTS, SECTION_TYPES, read_snapshots, write_snapshot
 
 C = F.col
 ANALYSES = ["arch", "debt", "onboarding", "deps", "conventions", "api", "security", "setup"]
@@ -201,20 +201,36 @@ def full_report(corpus: Corpus, analyses=None) -> DataFrame:
     return report_over(staged_facts(corpus), corpus.commits, corpus.commit_files, analyses)
 
 
-def items_over(every: DataFrame, commit_files: DataFrame) -> DataFrame:
+# lists without a bound: section, name, and the signals of files they are made of
+LISTS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "entry_points": ("architecture", ("manifest",)),
+    "layers": ("architecture", ("manifest",)),
+    "internal_deps": ("architecture", ("manifest", "imports")),
+    "scored_files": ("architecture", ("manifest", "imports")),
+    "endpoints": ("api", tuple(api.ROUTE_KINDS)),
+    "cli_commands": ("api", tuple(api.COMMAND_KINDS)),
+    "findings": ("security", ("manifest", "secrets", "sql_strings")),
+    "env_vars": ("setup", ("manifest", "env_names")),
+}
+SHOWN = [name for name in LISTS if name != "scored_files"]
+
+
+def items_over(every: DataFrame, commit_files: DataFrame, names: list[str]) -> DataFrame:
     """Every element of the lists without a bound: repo, section, list and the element as JSON."""
     tree = every.where("walked")
-    sources: list[tuple[str, str, DataFrame]] = [
-        ("architecture", "entry_points", architecture.entry_points(tree)),
-        ("architecture", "layers", architecture.layers(tree)),
-        ("architecture", "internal_deps", architecture.import_edges(tree)),
-        ("api", "endpoints", api.endpoints(every)),
-        ("api", "cli_commands", api.cli_commands(every)),
-        ("security", "findings", security.security_findings(every, commit_files)),
-        ("setup", "env_vars", setup.env_vars(every)),
-    ]
+    tables = {
+        "entry_points": lambda: architecture.entry_points(tree),
+        "layers": lambda: architecture.layers(tree),
+        "internal_deps": lambda: architecture.import_edges(tree),
+        "scored_files": lambda: architecture.scored_files(tree).drop("parts"),
+        "endpoints": lambda: api.endpoints(every),
+        "cli_commands": lambda: api.cli_commands(every),
+        "findings": lambda: security.security_findings(every, commit_files),
+        "env_vars": lambda: setup.env_vars(every),
+    }
     rows = []
-    for analysis, name, table in sources:
+    for name in names:
+        analysis, table = LISTS[name][0], tables[name]()
         fields = sorted(c for c in table.columns if c != "repo")
         item = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
         rows.append(
@@ -226,20 +242,35 @@ def items_over(every: DataFrame, commit_files: DataFrame) -> DataFrame:
     return result
 
 
-def report_items(corpus: Corpus) -> DataFrame:
-    return items_over(staged_facts(corpus), corpus.commit_files)
+def report_items(corpus: Corpus, names: list[str] | None = None) -> DataFrame:
+    """Elements of the named lists, by default all that a report shows; only their signals are extracted."""
+    chosen = names or SHOWN
+    signals = sorted({s for name in chosen for s in LISTS[name][1]})
+    return items_over(staged_facts(corpus, *signals), corpus.commit_files, chosen)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
 
 
 def written(corpus: Corpus, snapshot_id: str) -> str:
     """Folder of a freshly written snapshot."""
-    folder = f"{staging_folder(corpus.files.sparkSession)}/snapshots-{uuid.uuid4().hex}"
+    folder = new_folder(corpus.files.sparkSession)
     write_snapshot(full_report(corpus), folder, snapshot_id, datetime(2026, 1, 1))
     return folder
 
 
+def write_for_diff(corpora: dict[str, Corpus], folder: str) -> str:
+    """Snapshots of several states with what a comparison reads: debt reports, findings and scored files."""
+    for snapshot_id, corpus in corpora.items():
+        items = report_items(corpus, ["findings", "scored_files"])
+        write_snapshot(full_report(corpus, ["debt"]), folder, snapshot_id, datetime(2026, 1, 1), items)
+    return folder
+
+
 def written_rows(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
     """The rows of a snapshot as they lie on disk: one JSON object per repository."""
-    lines = corpus.files.sparkSession.read.text(written(corpus, snapshot_id))
+    lines = corpus.files.sparkSession.read.text(f"{written(corpus, snapshot_id)}/{REPORTS}")
     return lines.select(
         "snapshot_id",
         F.get_json_object("value", "$.repo").alias("repo"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY_FILES = "array<struct<path:string,role:string,importance_score:int>>"
 STEPS = "array<struct<description:string,command:string>>"
@@ -53,15 +54,47 @@ COLUMNS = {"repo": "string", "head_commit": "bigint", "generated_at": "timestamp
 REPORT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items())
 
 
-def write_snapshot(report: DataFrame, folder: str, snapshot_id: str, generated_at: datetime) -> None:
+REPORTS, ITEMS = "reports", "items"
+
+
+def write_snapshot(
+    report: DataFrame, folder: str, snapshot_id: str, generated_at: datetime, items: DataFrame | None = None
+) -> None:
+    """Write reports, and the rows of their lists without a bound, under one snapshot id."""
     rows = report.withColumn("generated_at", F.lit(generated_at)).select(*COLUMNS)
-    rows.write.option("ignoreNullFields", "false").json(f"{folder}/snapshot_id={snapshot_id}")
+    rows.write.option("ignoreNullFields", "false").json(f"{folder}/{REPORTS}/snapshot_id={snapshot_id}")
+    if items is not None:
+        items.write.parquet(f"{folder}/{ITEMS}/snapshot_id={snapshot_id}")
+
+
+def strange_fields(value: Column, kind: T.DataType) -> Column:
+    """Names, at any depth of a JSON text, that its type does not have."""
+    nothing = F.expr("cast(array() as array<string>)")
+    if isinstance(kind, T.StructType):
+        names = F.array(*(F.lit(f.name) for f in kind))
+        found = [F.coalesce(F.array_except(F.json_object_keys(value), names), nothing)]
+        nested = (f for f in kind if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType))
+        return F.concat(*found, *(strange_fields(F.get_json_object(value, f"$.{f.name}"), f.dataType) for f in nested))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        elements = F.from_json(value, "array<string>")
+        return F.coalesce(F.flatten(F.transform(elements, lambda x: strange_fields(x, kind.elementType))), nothing)
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StructType):
+        values = F.map_values(F.from_json(value, "map<string,string>"))
+        return F.coalesce(F.flatten(F.transform(values, lambda x: strange_fields(x, kind.valueType))), nothing)
+    return nothing
 
 
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports of all snapshots below a folder; unknown fields and malformed rows are errors."""
-    names = spark.read.text(folder).select(F.explode(F.json_object_keys("value")).alias("name"))
-    strange = names.where(~F.col("name").isin(list(COLUMNS))).take(1)
+    """Reports of all snapshots below a folder; unknown fields at any level and malformed rows are errors."""
+    kind = T.StructType.fromDDL(REPORT_SCHEMA)
+    reports = f"{folder}/{REPORTS}"
+    strange = spark.read.text(reports).select(F.explode(strange_fields(F.col("value"), kind)).alias("name")).take(1)
     if strange:
         raise ValueError(f"unknown report field: {strange[0].name}")
-    return spark.read.schema(f"{REPORT_SCHEMA}, snapshot_id string").option("mode", "FAILFAST").json(folder)
+    return spark.read.schema(f"{REPORT_SCHEMA}, snapshot_id string").option("mode", "FAILFAST").json(reports)
+
+
+def read_items(spark: SparkSession, folder: str, name: str, fields: str) -> DataFrame:
+    """Elements of one list of all snapshots: snapshot_id, repo and the given fields."""
+    rows = spark.read.parquet(f"{folder}/{ITEMS}").where(F.col("list") == name)
+    return rows.select("snapshot_id", "repo", F.from_json("item", fields).alias("i")).select("snapshot_id", "repo", "i.*")

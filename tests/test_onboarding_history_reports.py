@@ -227,7 +227,7 @@ def test_snapshots_are_read_strictly(spark, corpus, full, tmp_path):
     write_snapshot(report.full_report(corpus), folder, "one", datetime(2026, 1, 1))
     back = {r.repo: r.asDict(recursive=True) for r in read_snapshots(spark, folder).collect()}
     assert {k: back["web"][k] for k in full["web"]} == full["web"] and back["web"]["snapshot_id"] == "one"
-    bad = tmp_path / "bad" / "snapshot_id=x"
+    bad = tmp_path / "bad" / "reports" / "snapshot_id=x"
     bad.mkdir(parents=True)
     (bad / "a.json").write_text('{"repo": "r", "surprise": 1}\n')
     with pytest.raises(ValueError, match="surprise"):
