@@ -3,15 +3,15 @@
 If two sets are similar enough, the first few of their tokens in any global order must have one in common.  Documents are
 compared only if that holds in all of several orders:
 
-* rare:  shingles with a rare word first, by the counts of the FREQUENT commonest words of all documents;
+* rare:  shingles with a rare word first, by the counts of the words in all documents;
 * hash:  by the hash alone;
 * mixed: shingles whose words are rare on the whole first.
 
 Copies (equal sets) are one representative.  Sharing a prefix token and having sizes that fit puts representatives into
-one family; families under the first order are divided by those under the second, so a pair is in a family only if it
-passes both.  Nothing is paired up to get there: a bucket of a token links its members to its smallest one, and families
-are connected components.  Within a family (large ones in blocks, each pair of blocks once) an inverted index over the
-prefixes of all orders gives the candidates, and those not yet connected are verified on their whole sets.
+one family, and families that are too large to compare at once are divided by the second order.  Nothing is paired up to
+get there: a bucket of a token links its members to its smallest one, and families are connected components.  Within a
+family (large ones in blocks, each pair of blocks once) inverted indexes over the prefixes of all orders are intersected
+for the candidates, and those not yet connected are verified on their whole sets.
 
 The join's result is the components of all links.  No link between representatives is lost: a pair is left out only if a
 filter rules it out or the two are connected already.
@@ -28,54 +28,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.graph import components
+from codestrata.llm.passages import packed, unpacked
 from codestrata.llm.tables import by_group, cut, map_batches, table
 from codestrata.llm.text import BASE, Words, lists, mix, slices
 
 SHINGLE, PERCENT = 5, 80
-FREQUENT = 1 << 18  # words whose counts the orders use: 3 MB in each task
-LEAST = 16  # occurrences of such a word at least
-UNIT_BYTES = 6 << 20  # text that a task compares at once
+SLOT_BITS = 24  # word counts take a byte for each of so many slots: 16 MB in each task
+UNIT_SHINGLES = 1_000_000  # in texts that a task compares at once
 BLOCK = 800  # members of a large family in one block
 ORDERS = ("rare", "hash", "mixed")
 SEEDS = {"rare": 11, "hash": 23, "mixed": 37}
 
 
-class Frequent:
-    """The commonest words, by hash, with the logarithm of their count; others count as 0."""
+class Counts:
+    """How often words occur, by SLOTS hashes: a level of 0 for 0 and 1, exact up to 8, then by doublings.
 
-    def __init__(self, rows: list[tuple[int, int]]) -> None:
-        h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        order = np.argsort(h)
-        self.h = h[order]
-        self.level = np.array([min(63, int(r[1]).bit_length()) for r in rows], np.uint8)[order]
+    Slots are shared once a corpus has more different words than slots; the orders then tell rare words apart less well,
+    which costs candidates but no link.
+    """
+
+    def __init__(self, level: np.ndarray) -> None:
+        self.level = level
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), np.uint8)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.level[at], np.uint8(0))
+        return self.level[h >> np.uint64(64 - SLOT_BITS)]
+
+
+def levels(n: np.ndarray) -> np.ndarray:
+    doubled = 6 + np.floor(np.log2(np.maximum(n, 1)) + 1e-9)
+    return np.where(n <= 8, np.maximum(n - 1, 0), np.minimum(doubled, 63)).astype(np.uint8)
 
 
-def frequent_words(docs: DataFrame) -> Frequent:
-    """Counts all words of all documents and keeps the commonest."""
+def word_counts(docs: DataFrame) -> Counts:
+    """Counts the words of all documents by slot; the driver gets one byte for each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(w.h, return_counts=True) for _, w in slices(batch["text"], lower=True)]
-            h = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)])
-            n = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])
-            some, group = np.unique(h, return_inverse=True)
-            total = np.bincount(group, n, len(some)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(total)], ["h", "n"])
+            found = [w.h >> np.uint64(64 - SLOT_BITS) for _, w in slices(batch["text"], lower=True)]
+            slot, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], ["slot", "n"])
 
-    counted = map_batches(docs.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return Frequent([(r[0], r[1]) for r in counted.filter(F.col("n") >= LEAST).orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect()])
+    def packed_levels(group: pa.Table) -> pa.Table:
+        part = group["part"][0].as_py()
+        level = np.zeros(1 << 16, np.uint8)
+        level[group["slot"].to_numpy() & 0xFFFF] = levels(group["n"].to_numpy())
+        return pa.table({"part": pa.array([part], pa.int32()), "level": pa.array([packed(level)], pa.binary())})
+
+    counted = map_batches(docs.select("text"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = counted.select(F.shiftright("slot", 16).alias("part"), "slot", "n")
+    level = np.zeros((1 << (SLOT_BITS - 16), 1 << 16), np.uint8)
+    for r in by_group(counted, "part", packed_levels, "part int, level binary").collect():
+        level[r["part"]] = unpacked(r["level"], "u1")
+    return Counts(level.ravel())
 
 
 class Sets:
     """The shingle sets of some texts: text i has the tokens token[off[i]:off[i + 1]], in ascending order."""
 
-    def __init__(self, w: Words, k: int, words: Frequent | None) -> None:
+    def __init__(self, w: Words, k: int, words: Counts | None) -> None:
         n, count = len(w.h), w.counts()
         text = w.text_of()
         size = np.minimum(count, k)[text] if n else np.zeros(0, int)  # a shorter text is one shingle
@@ -123,7 +133,7 @@ class Sets:
         return self.token[by[keep]], most
 
 
-def signatures(docs: DataFrame, k: int, percent: int, words: Frequent) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFrame:
     """(id, n, a, b, prefix): size, two hashes and the first order's prefix of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +153,21 @@ def signatures(docs: DataFrame, k: int, percent: int, words: Frequent) -> DataFr
     return map_batches(docs, run, "id long, n long, a long, b long, prefix array<long>")
 
 
-def families(tokens: DataFrame, percent: int) -> DataFrame:
-    """(node, family) of nodes that share a token with a node of a fitting size in the same family; tokens has family, node, n, token.
+def families(tokens: DataFrame) -> DataFrame:
+    """(node, family) of nodes that share a token with a node of a fitting size; tokens has token, node, level.
 
     Sizes that fit are in the same class of sizes or in neighbouring ones, and a bucket has two neighbouring classes.
     """
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("int")
-    shared = tokens.groupBy("family", "token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
-    alive = tokens.join(shared.select("family", "token"), ["family", "token"])
-    placed = alive.select("family", "token", "node", F.explode(F.array(level, level + 1)).alias("level"))
-    key = F.xxhash64("family", "token", "level").alias("key")
-    placed = cut(placed.select(key, "node").distinct())
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    alive = tokens.join(shared, "token")
+    placed = alive.select("token", "node", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+    placed = placed.select(F.xxhash64("token", "level").alias("key"), "node")
     first = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     edges = placed.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a > b")
     return components(edges).withColumnRenamed("component", "family")
 
 
-def links_within(group: pa.Table, k: int, percent: int, words: Frequent) -> list[tuple[int, int]]:
+def links_within(group: pa.Table, k: int, percent: int, words: Counts) -> list[tuple[int, int]]:
     """Links that connect similar members of each family in the group, as few as connect them.
 
     Rows with side 0 and 1 are two blocks of a family; pairs within a block are compared in the block's own unit.
@@ -242,53 +250,50 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     and its component_id is null.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = frequent_words(named)
+    words = word_counts(named)
     signed = cut(signatures(named, shingle, percent, words))
-    sets = signed.filter("n > 0 and id is not null").groupBy("a", "b")
-    sets = sets.agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = cut(sets)
-    tokens = sets.select(F.lit(0).cast("long").alias("family"), "node", "n", F.explode("prefix").alias("token"))
-    close = families(tokens, percent)
-    members = sets.select("node", "a", "n").join(close, "node")
-    members = cut(members.join(named, members["node"] == named["id"]).select("node", "a", "n", "family", "text"))
+    usable = signed.filter("n > 0 and id is not null")
+    sets = usable.groupBy("a", "b").agg(F.min("id").alias("node"), F.first("n").alias("n"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, w in slices(batch["text"], lower=True):
-                found = Sets(w, shingle, words)
-                own = batch.slice(first, len(w))
+                found, own = Sets(w, shingle, words), batch.slice(first, len(w))
                 token, count = found.prefixes("hash", percent)
-                right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)
+                right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)  # of an id's texts
                 keep = np.repeat(right, count)
                 at = pa.array(np.repeat(np.arange(len(w)), count)[keep])
                 columns = [own[c].take(at) for c in ("family", "node", "n")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(token[keep].view(np.int64))], ["family", "node", "n", "token"])
-
-    finer = families(map_batches(members, second, "family long, node long, n long, token long"), percent)
-    sizes = finer.groupBy("family").agg(F.count("*").alias("size"))
-    placed = finer.join(sizes, "family").filter("size > 1")
-    members = cut(members.drop("family").join(placed, "node"))
-    total = members.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    units = max(1, -(-total // UNIT_BYTES))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(token[keep].view(np.int64))], ["family", "node", "n", "hash"])
+
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
+    close = families(usable.select(F.explode("prefix").alias("token"), F.col("id").alias("node"), level))
+    members = cut(with_size(sets.join(close, "node").select("node", "a", "n", "family")))
+    # the second order divides families that are too large to compare at once
+    large = members.filter(F.col("size") > BLOCK)
+    texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
+    token = F.xxhash64("family", "hash").alias("token")
+    finer = families(map_batches(texts, second, "family long, node long, n long, hash long").select(token, "node", level))
+    divided = with_size(large.select("node", "a", "n").join(finer, "node").select("node", "a", "n", "family"))
+    placed = cut(members.filter(F.col("size") <= BLOCK).unionByName(divided))
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    units = max(1, -(-total // UNIT_SHINGLES))
+    # a large family is compared in pairs of blocks, each pair in a unit of its own; small families share units
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    small = members.filter(F.col("size") <= BLOCK).select(
-        F.pmod(F.xxhash64("family"), F.lit(units)).alias("unit"), F.lit(0).alias("side"), "node", "a", "family", "text"
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    large = members.filter(F.col("size") > BLOCK).withColumns({"blocks": blocks, "block": own}).select("*", other)
-    pair = F.struct(F.least("block", "other"), F.greatest("block", "other"))
-    large = large.select(
-        F.xxhash64("family", pair).alias("unit"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "a", "family", "text"
-    )
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    dealt = placed.select("node", "a", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), other)
+    pair = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(pair)
+    dealt = dealt.select("node", "a", "family", unit.alias("unit"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    members = named.join(dealt, named["id"] == dealt["node"]).drop("id")
 
     def verify(group: pa.Table) -> pa.Table:
         found = links_within(group, shingle, percent, words)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    links = by_group(small.unionAll(large), "unit", verify, "a long, b long")
+    links = by_group(members, "unit", verify, "a long, b long")
     # an id with several texts connects their sets
-    several = signed.filter("n > 0 and id is not null").join(sets.select("a", "b", "node"), ["a", "b"]).select("id", "node")
+    several = usable.join(sets.select("a", "b", "node"), ["a", "b"]).select("id", "node")
     several = several.filter("id != node").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
     whole = several.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(several.select(F.col("id").alias("a"), F.col("x").alias("b")))
     found = components(links.unionAll(whole))
@@ -298,10 +303,16 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     return rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def with_size(members: DataFrame) -> DataFrame:
+    """Members of families of at least two, with their family's size."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1")
+    return members.join(sizes, "family").select("node", "a", "n", "family", "size")
+
+
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, of which no document with a smaller id is in the same component."""
     found = join(docs, shingle, percent).filter("component_id < id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
 
 
 def query(spark, sf_dir):

@@ -194,12 +194,12 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     found = all_changes(search, changes(search, layout=True)).select(
         F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept"), F.lit(True).alias("_changed")
     )
-    rows = docs.join(found, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
-    rows = rows.filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    text = F.when(F.col("_changed"), F.col("_kept")).otherwise(docs["text"])
+    rows = docs.join(found, (docs["doc_id"] == found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left")
+    rows = rows.filter(found["_kept"].isNull() | found["_kept"].rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(found["_changed"], found["_kept"]).otherwise(docs["text"])
     columns = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        size_of = F.when(F.col("_changed"), F.length("_kept")).otherwise(docs["n_chars"])
+        size_of = F.when(found["_changed"], F.length(found["_kept"])).otherwise(docs["n_chars"])
         columns["n_chars"] = size_of.cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return rows.select(*(columns.get(c, docs[c]) for c in docs.columns))
 

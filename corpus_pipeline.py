@@ -11,14 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.llm import bpe, decontamination, jaccard, suffixes, toxicity
-from codestrata.llm.tables import shared_folder, table
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxicity.stage),
-    ("ngram_jaccard", jaccard.stage),
-    ("suffix_array_dedup", suffixes.stage),
-    ("decontamination", decontamination.stage),
-    ("bpe", bpe.stage),
+from codestrata.llm.tables import forget, shared_folder, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def alone(stage: Stage) -> Stage:
+    """The stage, after the tables that earlier stages have staged are removed: their rows are written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", alone(toxicity.stage)),
+    ("ngram_jaccard", alone(jaccard.stage)),
+    ("suffix_array_dedup", alone(suffixes.stage)),
+    ("decontamination", alone(decontamination.stage)),
+    ("bpe", alone(bpe.stage)),
 ]
 
 #: Trained, aligned and encoded rows are not what SQL can express; tests compare run() with a brute-force version.
