@@ -142,6 +142,8 @@ class Part(NamedTuple):
 
 
 def windows(table: pa.Table, size: int, gram: int) -> list[Part]:
+    """A block's texts, always in the same order, as a shuffle may bring them in another one each time."""
+    table = table.sort_by([("id", "ascending"), ("key", "ascending")])
     rows = {c: table[c].combine_chunks() for c in ("id", "key", "text", "places", "hot")}
     ids, keys = rows["id"].to_numpy(zero_copy_only=False), rows["key"].to_numpy(zero_copy_only=False)
     parts = []

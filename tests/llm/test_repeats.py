@@ -73,3 +73,12 @@ def test_spans_text_and_layout(spark):
     left = {r.doc_id: r for r in suffixes.without_repeats(docs).collect()}
     assert set(left) == {1, 2, 4} and left[2].text == "  Before\n\nafter  this" and left[2].n_chars == len(left[2].text)
     assert left[4].text == "clean\ttext " and suffixes.without_repeats(docs).columns == docs.columns
+
+
+def test_blocks_have_one_order_whatever_the_shuffle_brings(spark):
+    search = passages.Search(brute.table(spark, brute.awkward()), "doc_id", "text", 50)
+    rows = search.candidates.toArrow()
+    turned = rows.take(np.random.default_rng(1).permutation(rows.num_rows))
+    assert rows.num_rows > 10
+    for a, b in zip(passages.windows(rows, 50, 10), passages.windows(turned, 50, 10), strict=True):
+        assert (a.ids == b.ids).all() and (a.start == b.start).all() and (a.place == b.place).all()
