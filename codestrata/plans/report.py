@@ -197,8 +197,29 @@ def report_over(every: DataFrame, commits: DataFrame, commit_files: DataFrame, a
     return rows.select("repo", "head_commit", *shown)
 
 
+# what each section is made of, besides paths
+SIGNALS: dict[str, tuple[str, ...]] = {
+    "arch": ("manifest", "imports"),
+    "debt": ("manifest", "imports", "todos", "opens_with_docstring"),
+    "onboarding": ("manifest", "imports", "reads_env", "terms"),
+    "deps": ("manifest",),
+    "conventions": ("manifest", "style"),
+    "api": (*api.ROUTE_KINDS, *api.COMMAND_KINDS, "has_docstring", "manifest"),
+    "security": ("manifest", "secrets", "sql_strings", "auth"),
+    "setup": ("manifest", "reads_env", "env_names"),
+}
+
+
+def facts_for(corpus: Corpus, analyses) -> DataFrame:
+    """Facts with the signals of the analyses only; the other signals are null columns that were never extracted."""
+    kinds = {f.name: f.dataType for f in facts.facts(corpus.files).schema}
+    wanted = sorted({s for a in analyses or ANALYSES for s in SIGNALS.get(a, ())})
+    rows = staged_facts(corpus, *wanted)
+    return rows.withColumns({s: F.lit(None).cast(kinds[s]) for s in facts.signals() if s not in wanted})
+
+
 def full_report(corpus: Corpus, analyses=None) -> DataFrame:
-    return report_over(staged_facts(corpus), corpus.commits, corpus.commit_files, analyses)
+    return report_over(facts_for(corpus, analyses), corpus.commits, corpus.commit_files, analyses)
 
 
 # lists without a bound: section, name, and the signals of files they are made of

@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 
+from codestrata.functions import scale
 from codestrata.operators import diff
 from codestrata.operators.facts import facts, walked
 from codestrata.plans import report
@@ -69,3 +70,16 @@ def test_tables_on_disk_are_read(spark, tmp_path):
     corpus = read_corpus(spark, str(tmp_path))
     kept = walked(facts(corpus.files, "manifest"), corpus.rules)
     assert sorted(r.path for r in kept.collect()) == [".gitignore", "a.py"] and corpus.commits.count() == 1
+
+
+def test_a_report_extracts_and_computes_only_what_is_asked_for(spark):
+    corpus = corpus_from(spark, OLD | {"web": {"package.json": '{"name": "w"}', "a.js": "app.get('/x', f)\n", "README.md": "# T\n\nA long enough text here.\n"}})
+    whole = {r.repo: r for r in report.full_report(corpus).collect()}
+    for analysis, section in report.SECTIONS.items():
+        for r in report.full_report(corpus, [analysis]).collect():
+            assert r[section] == whole[r.repo][section], analysis
+    before = len(scale.STAGED.get(spark.sparkContext.applicationId, []))
+    report.full_report(corpus, ["debt"])
+    (written,) = scale.STAGED[spark.sparkContext.applicationId][before:]
+    columns = set(spark.read.parquet(written).columns)
+    assert set(report.SIGNALS["debt"]) <= columns and not columns & {"secrets", "sql_strings", "style", "flask", "terms", "auth"}
