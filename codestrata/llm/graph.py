@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.tables import cut, map_batches
 
-NODES = 1_000_000  # nodes whose edges a task merges at once
+EDGES = 500_000  # edges that a task gets, and merges at once
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as stars around each component's smallest node, for at most about NODES nodes at a time."""
+    """The edges of a partition as stars around each component's smallest node, for at most about twice EDGES nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -38,7 +38,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent.setdefault(b, b)
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-        if len(parent) > NODES:
+        if len(parent) > 2 * EDGES:
             yield stars()
     yield stars()
 
@@ -48,12 +48,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round merges edges within partitions, links every node's larger neighbours to its smallest neighbour, and then
     its smaller ones, until all edges lead to the smallest node of their component.  The number of rounds grows with the
-    logarithm of the longest path; few edges are in one partition and need one round.  Aggregations and joins are ones
+    logarithm of the longest path; no more than EDGES edges need one round in one task.  Aggregations and joins are ones
     that Spark can split where a node has very many neighbours; no neighbourhood is gathered.
     """
     links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct()
     while True:
-        links = cut(map_batches(links, merged, "u long, v long").distinct())
+        links = cut(links)
+        tasks = max(1, -(-links.count() // EDGES))
+        links = map_batches(links.coalesce(tasks), merged, "u long, v long")
+        if tasks == 1:  # no more edges than one task may merge: its stars are the components
+            break
+        links = cut(links.distinct())
         ends = links.select(F.col("v").alias("node"), F.lit(1).alias("low")).unionAll(
             links.select(F.col("u").alias("node"), F.lit(0).alias("low"))
         )
@@ -69,5 +74,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             small.filter("m < u").select(F.col("m").alias("u"), F.col("u").alias("v"))
         )
         links = links.distinct()
+    links = cut(links)
     members = links.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return members.unionAll(members.select(F.col("component").alias("node"), "component").distinct())

@@ -52,7 +52,9 @@ def test_representatives_keep_all_columns(spark):
     assert left.filter("doc_id is null").count() == 2
 
 
-def test_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("edges_of_a_task", [10**6, 20])
+def test_components_of_long_paths_and_hubs(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr(graph, "EDGES", edges_of_a_task)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 2000 + i) for i in range(50)] + [(7, 7), (2003, 3000)]
     random.Random(1).shuffle(edges)
     frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
@@ -62,7 +64,6 @@ def test_components_of_long_paths_and_hubs(spark):
 
 
 def test_components_when_tasks_merge_little(spark, monkeypatch):
-    monkeypatch.setattr(graph, "NODES", 3)
+    monkeypatch.setattr(graph, "EDGES", 7)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(5)
-    monkeypatch.setattr(graph, "merged", lambda batches: batches)
     assert {r.component for r in graph.components(edges).collect()} == {0}
