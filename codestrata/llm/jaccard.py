@@ -159,11 +159,11 @@ def families(tokens: DataFrame) -> DataFrame:
     Sizes that fit are in the same class of sizes or in neighbouring ones, and a bucket has two neighbouring classes.
     """
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    alive = tokens.join(shared, "token")
+    alive = tokens.join(shared.hint("merge"), "token")  # both sides grow with the corpus: never a broadcast
     placed = alive.select("token", "node", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
     placed = placed.select(F.xxhash64("token", "level").alias("key"), "node")
     first = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    edges = placed.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a > b")
+    edges = placed.join(first.hint("merge"), "key").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a > b")
     return components(edges).withColumnRenamed("component", "family")
 
 
@@ -268,7 +268,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
 
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
     close = families(usable.select(F.explode("prefix").alias("token"), F.col("id").alias("node"), level))
-    members = cut(with_size(sets.join(close, "node").select("node", "a", "n", "family")))
+    members = cut(with_size(sets.join(close.hint("merge"), "node").select("node", "a", "n", "family")))
     # the second order divides families that are too large to compare at once
     large = members.filter(F.col("size") > BLOCK)
     texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
@@ -285,6 +285,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     pair = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(pair)
     dealt = dealt.select("node", "a", "family", unit.alias("unit"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    dealt = dealt.hint("merge")
     members = named.join(dealt, named["id"] == dealt["node"]).drop("id")
 
     def verify(group: pa.Table) -> pa.Table:
@@ -298,7 +299,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     whole = several.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(several.select(F.col("id").alias("a"), F.col("x").alias("b")))
     found = components(links.unionAll(whole))
     of = sets.select("a", "b", "node").join(found, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
-    rows = signed.select("id", "n", "a", "b").join(of, ["a", "b"], "left")
+    rows = signed.select("id", "n", "a", "b").join(of.hint("merge"), ["a", "b"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -312,7 +313,7 @@ def with_size(members: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, of which no document with a smaller id is in the same component."""
     found = join(docs, shingle, percent).filter("component_id < id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+    return docs.join(found.hint("merge"), docs["doc_id"] == found["_id"], "left_anti")
 
 
 def query(spark, sf_dir):
