@@ -27,7 +27,7 @@ from codestrata.llm.text import Words, lists, mix, slices, texts, window_hashes
 SIZE = 50
 GRAM = 10
 HOT = 20_000  # texts with one anchor from which on its windows are looked up one by one
-BLOCK_BYTES = 12 << 20  # text of one block, which a task holds
+BLOCK_BYTES = 6 << 20  # text of one block, which a task holds
 BUCKET_BYTES = 8 << 20  # text whose suffixes a task sorts
 
 

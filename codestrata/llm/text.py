@@ -88,7 +88,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, terms: bool = False) -> None:
         n = len(data)
-        self.data, self.at = data, at
+        self.data, self.at, self._total = data, at, None
         word = ~(MARKS if terms else SPACE)[data]
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
@@ -98,9 +98,8 @@ class Words:
         closes[edge - 1] = word[edge - 1]
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
-        letters = lowered(data) if terms else LOWER[data] if lower else data
-        total = _running(VALUES[letters], n)
-        self._total = total
+        self._letters = (lambda: lowered(data)) if terms else (lambda: LOWER[data]) if lower else (lambda: data)
+        total = _running(VALUES[self._letters()], n)
         spans = (total[self.end] - total[self.start]) * powers(INVERSE, n)[self.start]
         self.h = mix(spans + (self.end - self.start).astype(np.uint64))
         self.off = np.searchsorted(self.start, at)
@@ -119,6 +118,8 @@ class Words:
         """Words longer than size bytes, and the hash of their first size bytes."""
         some = np.flatnonzero(self.end - self.start > size)
         at = self.start[some]
+        if self._total is None:
+            self._total = _running(VALUES[self._letters()], len(self.data))
         spans = (self._total[at + size] - self._total[at]) * powers(INVERSE, len(self.data))[at]
         return some, mix(spans + np.uint64(size))
 
