@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages that resemble a test item, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds find passages that resemble a test item, Smith-Waterman scores them.
 
-A first pass counts in how many documents each n-gram of the test items occurs.  Each item keeps its rarest n-grams as
-seeds, however common they are, so an item that was copied very often is still found.  A second pass looks every n-gram
-of every text up among the seeds, groups hits of one item that lie close together into passages, and aligns each passage
-with its item.  Only items are sent to the tasks, in blocks of at most BLOCK_WORDS words; more items mean more blocks and
-passes, never fewer seeds.
+Every n-gram of a test item is a seed, however common it is, so one that an edited copy still shares with its item finds
+the copy.  One pass looks every n-gram of every text up among the seeds, groups hits of one item that lie close together
+into passages, leaves out passages with too few words of the item to reach the score, and aligns the others with their
+item.  Only items are sent to the tasks, in blocks of at most BLOCK_WORDS words; more items mean more blocks and passes,
+never fewer seeds.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from codestrata.llm.tables import map_batches, table
 from codestrata.llm.text import Words, slices, window_hashes
 
 N = 3
-SEED_SHARE = 0.6  # of an item's n-grams, the rarest
-LEAST_SEEDS = 8
 LEAST_SCORE = 0.5
 PIECE = 64  # items' lengths that are aligned at once
 BLOCK_WORDS = 2_000_000  # of test items in one block: some 50 MB with their index
@@ -45,17 +43,6 @@ class Items:
         order = np.lexsort((place, item, gram))
         self.gram, self.item, self.place = gram[order], item[order], place[order]
 
-    def seeds(self, count: dict[int, int]) -> None:
-        """Keeps the rarest n-grams of each item."""
-        own = np.array([count.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        order = np.lexsort((self.place, own, self.item))
-        start = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank = np.arange(len(order)) - start[self.item[order]]
-        sizes = np.bincount(self.item, minlength=len(self.ids))
-        most = np.maximum(LEAST_SEEDS, np.ceil(SEED_SHARE * sizes))
-        kept = np.sort(order[rank < most[self.item[order]]])
-        self.gram, self.item, self.place = self.gram[kept], self.item[kept], self.place[kept]
-
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(places in w, numbers of n-grams) for all n-grams of w's texts that are among the items'."""
         h = window_hashes(w.h, N)
@@ -81,24 +68,6 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         yield Items(rows)
 
 
-def document_counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
-    """In how many documents each n-gram of the items occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(len(items.gram), np.int64)
-            for _, w in slices(batch["text"], terms=True):
-                place, gram = items.hits(w)
-                text = w.text_of()[place]
-                pair = np.unique(text.astype(np.int64) * len(items.gram) + gram)
-                np.add.at(total, pair % max(1, len(items.gram)), 1)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(items.gram[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    counted = map_batches(docs.select(F.col(text_col).alias("text")), run, "gram long, n long")
-    return {r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.max("n").alias("_"), F.sum("n").alias("n")).collect()}
-
-
 def contaminated(
     docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text",
@@ -115,7 +84,6 @@ def contaminated(
     schema = f"id {kind}, item_id {item_kind}, score double, matches int, item_words int, start int, end int"
     found = None
     for block in blocks(items, item_id, item_text):
-        block.seeds(document_counts(docs, block, text_col))
 
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -162,7 +130,11 @@ def passages(first: int, w: Words, block: Items, least_score: float) -> Iterator
     begins = np.flatnonzero(new)
     for a, b in zip(begins, [*begins[1:], len(low)]):
         i, t = int(item[a]), int(text[a])
-        for x in aligned(w.h, int(low[a]), int(high[a:b].max()), block.words[i], least_score):
+        start, end = int(low[a]), int(high[a:b].max())
+        # no alignment has more matches than the stretch has words of the item
+        if MATCH * np.isin(w.h[start:end], block.words[i]).sum() < least_score * MATCH * sizes[i]:
+            continue
+        for x in aligned(w.h, start, end, block.words[i], least_score):
             yield first + t, block.ids[i], *x[:3], x[3] - int(w.off[t]), x[4] - int(w.off[t])
 
 
@@ -198,7 +170,6 @@ def query(spark, sf_dir):
 def without(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that have no passage of an item."""
     for block in blocks(items, "item_id", "text"):
-        block.seeds(document_counts(docs, block, text_col))
 
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

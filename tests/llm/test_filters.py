@@ -130,6 +130,22 @@ def test_leaks_are_found_in_any_form(spark):
     assert left.columns == docs.columns and left.count() == docs.count() - len(leaks)
 
 
+def test_edited_copies_without_a_verbatim_one_are_found(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    items = [(i, words((15, 38)[i % 2])) for i in range(6)]
+    docs = [(i, words(60)) for i in range(20)]
+    for i, text in items:
+        edited = text.split()
+        for k in range(3, len(edited) - 1, 4 if i % 2 == 0 else 5):
+            edited[k] = f"other{k}"
+        docs.append((100 + i, f"{words(30)} {' '.join(edited)} {words(30)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.id, r.item_id): r.score for r in decontamination.verdicts(brute.table(spark, docs), bench).collect()}
+    assert found.keys() == {(100 + i, i) for i in range(6)} and found[100, 0] == 0.7
+    assert {r.doc_id for r in decontamination.without(brute.table(spark, docs), bench).collect()} == set(range(20))
+
+
 def test_items_in_blocks_and_without_items(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, brute.sentence(rng, 20, 9000)) for i in range(6)]
