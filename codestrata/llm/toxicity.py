@@ -1,12 +1,12 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Labelled training rows (at most FIT_ROWS, those with the smallest hash of their id) tell which terms occur mostly in
-   toxic documents.  The strongest ones become lexicon voters; families of terms with a common beginning and the number
-   of different hits become pattern voters.
-2. Every document's votes are a bit mask.  A two-class model of independent voters is fitted by expectation maximisation
-   to the masks of all documents, counted by Spark; labelled rows keep their labels with a weight that says how far they
-   are trusted.  From the joint counts under the model, voters that agree beyond what their accuracies explain get less
-   weight each (a correlated group counts like fewer voters).
+   toxic documents.  All of them become lexicon voters, with the fixed insults; families of terms with a common beginning
+   and the number of different hits become pattern voters.
+2. Every document's votes are the numbers of its voters.  A two-class model of independent voters is fitted by expectation
+   maximisation to the votes of all documents, counted by Spark; labelled rows keep their labels with a weight that says
+   how far they are trusted.  From the joint counts under the model, voters that agree beyond what their accuracies explain
+   get less weight each (a correlated group counts like fewer voters).
 3. A logistic classifier on votes and hit rates is fitted to the posterior labels of the labelled training rows, its
    threshold to their labels, and it scores every document.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from codestrata.llm.tables import cut, map_batches, remainder, table
 from codestrata.llm.text import lowered, mix, slices
 
 FIT_ROWS = 20_000  # labelled rows for lexicon, trust and calibration, at most
-VOTERS = 56  # lexicon and family voters, at most: a mask and the pattern voters fit in a long
 LEAST_DOCS = 3  # toxic documents that a lexicon term must occur in
 LEAST_PRECISION = 0.6
 FAMILIES = (5, 6, 7, 8)  # bytes of beginnings that may vote
 ROUNDS = 6
 CORRELATED = 0.6  # voters that agree more than this in toxic documents share their weight
+PAIRS = 1 << 21  # pairs of votes that are held at once
 THRESHOLD = 0.7
 COST = 4.0  # toxic documents that one clean document called toxic weighs against
 
@@ -51,23 +52,79 @@ class Voters:
     def __len__(self) -> int:
         return len(self.terms)
 
-    def votes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: the mask of voters with a hit, the number of hits, and the number of terms."""
-        masks, hits, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def votes(self, column: pa.Array) -> tuple[Votes, np.ndarray, np.ndarray]:
+        """Per text: the voters with a hit, the number of hits, and the number of terms."""
+        found, hits, counts = [no_votes(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, w in slices(column, terms=True):
-            mask, n, text = np.zeros(len(w), np.uint64), np.zeros(len(w), np.int64), w.text_of()
+            pairs, n, text = [np.zeros(0, np.int64)], np.zeros(len(w), np.int64), w.text_of()
             for size in np.unique(self.sizes):
                 own = np.flatnonzero(self.sizes == size)
                 own = own[np.argsort(self.hashes[own])]
                 known = self.hashes[own]
                 words, h = w.beginnings(int(size)) if size else (np.arange(len(w.h)), w.h)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                found = np.flatnonzero(known[at] == h)
-                where = text[words[found]]
-                np.bitwise_or.at(mask, where, np.uint64(1) << own[at[found]].astype(np.uint64))
+                some = np.flatnonzero(known[at] == h)
+                where = text[words[some]]
+                pairs.append(where * len(self) + own[at[some]])
                 n += np.bincount(where, minlength=len(w))
-            masks.append(mask), hits.append(n), counts.append(w.counts())
-        return np.concatenate(masks), np.concatenate(hits), np.concatenate(counts)
+            pair = np.unique(np.concatenate(pairs))
+            off = np.searchsorted(pair, np.arange(len(w) + 1) * len(self))
+            found.append(Votes((pair % max(1, len(self))).astype(np.int32), off)), hits.append(n), counts.append(w.counts())
+        return joined(found), np.concatenate(hits), np.concatenate(counts)
+
+
+class Votes(NamedTuple):
+    """The voters of some documents, one document after the other: document i has voter[off[i]:off[i + 1]]."""
+
+    voter: np.ndarray
+    off: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.off)
+
+    def documents(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.counts())
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Each document's sum of its voters' weights."""
+        total = np.append(0.0, np.cumsum(weight[self.voter]))
+        return total[self.off[1:]] - total[self.off[:-1]]
+
+    def totals(self, weight: np.ndarray, k: int) -> np.ndarray:
+        """Each of k voters' sum of its documents' weights."""
+        return np.bincount(self.voter, weight[self.documents()], k)
+
+    def packed(self) -> pa.Array:
+        """A row of bytes for each document."""
+        return pa.Array.from_buffers(
+            pa.binary(), len(self), [None, pa.py_buffer((4 * self.off).astype(np.int32)), pa.py_buffer(self.voter.astype("<i4"))]
+        )
+
+    def with_patterns(self, k: int) -> Votes:
+        """With the pattern voters: k for at least two, and k + 1 for at least three different hits."""
+        n = self.counts()
+        two, three = np.flatnonzero(n >= 2), np.flatnonzero(n >= 3)
+        text = np.concatenate([self.documents(), two, three])
+        voter = np.concatenate([self.voter, np.full(len(two), k), np.full(len(three), k + 1)])
+        order = np.argsort(text, kind="stable")
+        return Votes(voter[order], np.append(0, np.cumsum(n + (n >= 2) + (n >= 3))))
+
+
+def no_votes(n: int) -> Votes:
+    return Votes(np.zeros(0, np.int32), np.zeros(n + 1, np.int64))
+
+
+def joined(parts: list[Votes]) -> Votes:
+    off = np.append(0, np.cumsum(np.concatenate([x.counts() for x in parts])))
+    return Votes(np.concatenate([x.voter for x in parts]), off)
+
+
+def unpacked(rows: pa.Array) -> Votes:
+    rows = [x or b"" for x in rows.to_pylist()]
+    return Votes(np.frombuffer(b"".join(rows), "<i4"), np.append(0, np.cumsum([len(x) // 4 for x in rows])).astype(np.int64))
 
 
 def hashes_of(terms: list[str]) -> np.ndarray:
@@ -113,18 +170,21 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def voters(rows: DataFrame) -> Voters:
-    """The strongest terms and beginnings, and the fixed insults that are not among them; VOTERS in all."""
+    """All terms and beginnings that labelled rows prove, the strongest first, and the fixed insults."""
     found = candidates(rows).filter(
         (F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= LEAST_PRECISION * (F.col("bad") + F.col("good")))
     )
     strength = F.col("bad") * F.col("bad") / (F.col("bad") + 3 * F.col("good") + 2)
-    best = found.orderBy(strength.desc(), "size", "term").limit(40 * VOTERS).collect()
-    terms, hashes, sizes = [], [], []
-    for r in best:
-        # a beginning or term that a stronger one covers says nothing new
-        if len(terms) < VOTERS and not any(r["term"].startswith(t) or t.startswith(r["term"]) for t in terms):
+    terms, hashes, sizes, families = [], [], [], set()
+    for r in found.orderBy(strength.desc(), "size", "term", "h").toLocalIterator():
+        # a stronger beginning matches all that a longer beginning or term matches
+        letters = r["term"].encode()
+        if "\ufffd" in r["term"] or not any(letters[:n] in families for n in FAMILIES if n < len(letters)):
             terms.append(r["term"]), hashes.append(r["h"]), sizes.append(r["size"])
-    more = [x for x in INSULTS if not any(x.startswith(t) for t in terms)][: VOTERS - len(terms)]
+            if r["size"] and "\ufffd" not in r["term"]:
+                families.add(letters)
+    exact = {t for t, size in zip(terms, sizes) if not size}
+    more = [x for x in INSULTS if x not in exact]
     return Voters(
         terms + more,
         np.concatenate([np.array(hashes, np.int64).view(np.uint64), hashes_of(more)]),
@@ -133,25 +193,16 @@ def voters(rows: DataFrame) -> Voters:
 
 
 def masks(docs: DataFrame, own: Voters) -> DataFrame:
-    """(id, mask, hits, size) of every document."""
+    """(id, votes, hits, size) of every document."""
     kept = docs.select(F.col("doc_id").alias("id"), "text")
     kind = kept.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask, hits, size = own.votes(batch["text"])
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(mask.view(np.int64)), pa.array(hits), pa.array(size)], ["id", "mask", "hits", "size"]
-            )
-
-    return map_batches(kept, run, f"id {kind}, mask long, hits long, size long")
+            votes, hits, size = own.votes(batch["text"])
+            yield pa.RecordBatch.from_arrays([batch["id"], votes.packed(), pa.array(hits), pa.array(size)], ["id", "votes", "hits", "size"])
 
-
-def bits(mask: np.ndarray, k: int) -> np.ndarray:
-    """One column for each voter, and the pattern voters: at least two, and at least three different hits."""
-    votes = (mask.view(np.uint64)[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)
-    n = votes.sum(1, keepdims=True)
-    return np.concatenate([votes, n >= 2, n >= 3], 1).astype(float)
+    return map_batches(kept, run, f"id {kind}, votes binary, hits long, size long")
 
 
 @dataclass
@@ -163,44 +214,41 @@ class LabelModel:
     share: float
     weight: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: Votes) -> np.ndarray:
         for_vote = np.log(self.toxic / self.clean) * self.weight
         for_none = np.log((1 - self.toxic) / (1 - self.clean)) * self.weight
-        odds = np.log(self.share / (1 - self.share)) + votes @ for_vote + (1 - votes) @ for_none
+        odds = np.log(self.share / (1 - self.share)) + for_none.sum() + votes.sums(for_vote - for_none)
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def label_model(counted: DataFrame, k: int, known: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> LabelModel:
-    """Fits the model to (mask, n) of all documents and to the labelled votes.
+def label_model(counted: DataFrame, k: int, known: tuple[Votes, np.ndarray], rounds: int = ROUNDS) -> LabelModel:
+    """Fits the model to (votes, n) of all documents and to the labelled votes.
 
-    Each round is one Spark job that adds up, over all masks, the expected votes in either class; the driver sees only
+    Each round is one Spark job that adds up, over all votes, the expected votes in either class; the driver sees only
     these sums.  The labelled rows enter as prior counts.
     """
     votes, toxic = known
     width = k + 2
-    prior = np.stack([0.5 + votes[toxic == 0].sum(0), 0.5 + votes[toxic == 1].sum(0)])
+    prior = np.stack([0.5 + votes.totals((toxic == c).astype(float), width) for c in (0, 1)])
     prior_n = np.array([1.0 + (toxic == 0).sum(), 1.0 + (toxic == 1).sum()])
     chance = np.clip(prior / prior_n[:, None], 1e-5, 0.999)
     model = LabelModel(chance[0], chance[1], float(np.clip(prior_n[1] / prior_n.sum(), 1e-4, 0.5)), np.ones(width))
-    joint = np.zeros((width, width))
     for _ in range(rounds):
+        before = model
 
         def expected(batches: Iterator[pa.RecordBatch], model: LabelModel = model) -> Iterator[pa.RecordBatch]:
-            total, pairs = np.zeros((2, width + 1)), np.zeros((width, width))
+            total = np.zeros((2, width + 1))
             for batch in batches:
-                v = bits(batch["mask"].to_numpy(zero_copy_only=False), k)
-                n, p = batch["n"].to_numpy(zero_copy_only=False).astype(float), model.posterior(v)
-                one = np.concatenate([v, np.ones((len(v), 1))], 1)
-                total += np.stack([(n * (1 - p)) @ one, (n * p) @ one])
-                pairs += (v * (n * p)[:, None]).T @ v
-            values = np.concatenate([total.ravel(), pairs.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "x"])
-
-        sums = map_batches(counted.select("mask", "n"), expected, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-        found = np.zeros(2 * (width + 1) + width * width)
+                v, n = unpacked(batch["votes"]).with_patterns(k), batch["n"].to_numpy(zero_copy_only=False).astype(float)
+                p = model.posterior(v)
+                total += np.stack([np.append(v.totals(x, width), x.sum()) for x in (n * (1 - p), n * p)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
+
+        sums = map_batches(counted.select("votes", "n"), expected, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+        found = np.zeros(2 * (width + 1))
         for r in sums.collect():  # as many rows as the model has numbers
             found[r["i"]] = r["x"]
-        total, joint = found[: 2 * (width + 1)].reshape(2, width + 1), found[2 * (width + 1) :].reshape(width, width)
+        total = found.reshape(2, width + 1)
         n = total[:, -1]
         # labelled rows weigh as much as all others together, so that the classes keep their meaning
         trust = max(1.0, n.sum() / max(prior_n.sum(), 1))
@@ -208,34 +256,93 @@ def label_model(counted: DataFrame, k: int, known: tuple[np.ndarray, np.ndarray]
         share = (n[1] + trust * prior_n[1]) / (n.sum() + trust * prior_n.sum())
         chance = np.clip(chance, 1e-6, 0.999)
         model = LabelModel(chance[0], chance[1], float(np.clip(share, 1e-4, 0.5)), model.weight)
-    # correlation of two voters in toxic documents beyond independence
-    n = max(joint.diagonal().max(), 1.0) if width else 1.0
     p = np.clip(model.toxic, 1e-6, 0.999)
-    toxic_n = max(1.0, float(np.median(joint.diagonal() / p))) if width else n
-    both = joint / toxic_n - np.outer(p, p)
-    spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-    correlation = np.clip(both / np.maximum(spread, 1e-9), 0, 1)
-    np.fill_diagonal(correlation, 0)
-    model.weight = 1 / (1 + np.where(correlation > CORRELATED, correlation, 0).sum(1))
+    model.weight = 1 / (1 + correlations(counted, k, before, p, max(1.0, float(np.median(total[1, :-1] / p)))))
     return model
 
 
-def features(votes: np.ndarray, hits: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """What the classifier sees: votes, the number of hits and their rate, and 1."""
+def correlations(counted: DataFrame, k: int, model: LabelModel, p: np.ndarray, toxic_n: float) -> np.ndarray:
+    """Each voter's sum of correlations above CORRELATED, in toxic documents and beyond independence, with other voters.
+
+    Pairs of voters are added up by Spark; the driver sees one number a voter.
+    """
+    width = k + 2
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, n = unpacked(batch["votes"]).with_patterns(k), batch["n"].to_numpy(zero_copy_only=False).astype(float)
+            own = n * model.posterior(v)
+            # each vote meets all votes of its document, in runs of votes with about PAIRS pairs
+            text = v.documents()
+            ends = np.cumsum(v.counts()[text])
+            first = 0
+            while first < len(text):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+                t = text[first:last]
+                size = v.counts()[t]
+                other = np.arange(size.sum()) + np.repeat(v.off[t] - np.append(0, np.cumsum(size)[:-1]), size)
+                a, b = np.repeat(v.voter[first:last].astype(np.int64), size), v.voter[other]
+                half = a < b
+                pair, number = np.unique(a[half] * width + b[half], return_inverse=True)
+                x = np.bincount(number, np.repeat(own[t], size)[half], len(pair))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(x)], ["pair", "x"])
+                first = last
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, x = batch["pair"].to_numpy(zero_copy_only=False), batch["x"].to_numpy(zero_copy_only=False)
+            a, b = pair // width, pair % width
+            spread = np.sqrt(p[a] * (1 - p[a]) * p[b] * (1 - p[b]))
+            value = np.clip((x / toxic_n - p[a] * p[b]) / np.maximum(spread, 1e-9), 0, 1)
+            some = value > CORRELATED
+            voter = np.concatenate([a[some], b[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(voter), pa.array(np.tile(value[some], 2))], ["i", "x"])
+
+    joint = map_batches(counted.select("votes", "n"), pairs, "pair long, x double").groupBy("pair").agg(F.sum("x").alias("x"))
+    sums = map_batches(joint, correlated, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    out = np.zeros(width)
+    for r in sums.collect():  # one row a voter at most
+        out[r["i"]] = r["x"]
+    return out
+
+
+def features(hits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What the classifier sees besides votes: the number of hits and their rate, and 1."""
     rate = np.minimum(hits / np.maximum(size, 1), 0.2)
-    return np.concatenate([votes, np.log1p(hits)[:, None], rate[:, None] * 10, np.ones((len(votes), 1))], 1)
+    return np.stack([np.log1p(hits), rate * 10, np.ones(len(hits))], 1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.2, steps: int = 40) -> np.ndarray:
-    """Weights of a ridge logistic regression on soft labels, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+def logistic(votes: Votes, width: int, x: np.ndarray, y: np.ndarray, ridge: float = 0.2, steps: int = 40) -> np.ndarray:
+    """Weights of votes and features x in a ridge logistic regression on soft labels.
+
+    Newton's method, its steps by conjugate gradients, as the matrix of all voters' pairs is never built.
+    """
+    w = np.zeros(width + x.shape[1])
+    keep = np.full(len(w), ridge)
     keep[-1] = 1e-3
+
+    def rows(v: np.ndarray) -> np.ndarray:
+        return votes.sums(v[:width]) + x @ v[width:]
+
+    def columns(r: np.ndarray) -> np.ndarray:
+        return np.concatenate([votes.totals(r, width), x.T @ r])
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - keep * w
-        bend = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep)
-        step = np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(rows(w), -30, 30)))
+        bend = p * (1 - p) + 1e-6
+        scale = np.concatenate([votes.totals(bend, width), (x * x).T @ bend]) + keep
+        rest = columns(y - p) - keep * w
+        step, z = np.zeros(len(w)), rest / scale
+        way, size = z.copy(), rest @ z
+        goal = 1e-18 * max(size, 1e-12)
+        for _ in range(1000):
+            if size <= goal:
+                break
+            bent = columns(bend * rows(way)) + keep * way
+            far = size / (way @ bent)
+            step, rest = step + far * way, rest - far * bent
+            z = rest / scale
+            way, size = z + (rest @ z) / size * way, rest @ z
         w = w + step
         if np.abs(step).max() < 1e-7:
             break
@@ -248,9 +355,10 @@ class Model:
     labels: LabelModel
     weights: np.ndarray
 
-    def score(self, mask: np.ndarray, hits: np.ndarray, size: np.ndarray) -> np.ndarray:
-        x = features(bits(mask, len(self.voters)), hits, size)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+    def score(self, votes: Votes, hits: np.ndarray, size: np.ndarray) -> np.ndarray:
+        width = len(self.voters) + 2
+        z = votes.with_patterns(width - 2).sums(self.weights[:width]) + features(hits, size) @ self.weights[width:]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -261,21 +369,21 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     votes = masks(rows.withColumnRenamed("id", "doc_id"), own).join(
         F.broadcast(rows.select("id", "toxic").distinct()), "id"  # at most fit_rows rows
     )
-    found = sorted((r["mask"], r["hits"], r["size"], r["toxic"]) for r in votes.drop("id").collect())
-    mask = np.array([r[0] for r in found], np.int64)
+    found = sorted((bytes(r["votes"]), r["hits"], r["size"], r["toxic"]) for r in votes.drop("id").collect())
     hits, size, toxic = (np.array([r[i] for r in found], np.int64) for i in (1, 2, 3))
-    known = bits(mask, k)
+    known = unpacked(pa.array([r[0] for r in found], pa.binary()))
     if not len(found) or not toxic.any():  # nothing to learn from: one document for each voter, and a clean one
-        mask = np.append(np.int64(1) << np.arange(k, dtype=np.int64), 0)
+        known = Votes(np.arange(k, dtype=np.int32), np.append(np.arange(k + 1), k))
         hits = np.append(np.ones(k, np.int64), 0)
-        size, toxic, known = np.full(k + 1, 50), hits.copy(), bits(mask, k)
-    counted = cut(masks(docs, own).groupBy("mask").agg(F.count("*").alias("n")))
+        size, toxic = np.full(k + 1, 50), hits.copy()
+    known = known.with_patterns(k)
+    counted = cut(masks(docs, own).groupBy("votes").agg(F.count("*").alias("n")))
     model = label_model(counted, k, (known, toxic))
     # the classifier learns posteriors; a known label moves its row's posterior by the trust of the label model
     y = 0.5 * model.posterior(known) + 0.5 * toxic
-    x = features(known, hits, size)
-    weights = logistic(x, y, np.ones(len(y)))
-    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(x @ weights, toxic)
+    x = features(hits, size)
+    weights = logistic(known, k + 2, x, y)
+    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(known.sums(weights[: k + 2]) + x @ weights[k + 2 :], toxic)
     return Model(own, model, weights)
 
 
@@ -297,8 +405,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask, hits, size = model.voters.votes(batch["text"])
-            scores = model.score(mask.view(np.int64), hits, size)
+            votes, hits, size = model.voters.votes(batch["text"])
+            scores = model.score(votes, hits, size)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores), pa.array(hits)], ["id", "score", "hits"])
 
     return map_batches(kept, run, f"id {kind}, score double, hits long")
@@ -309,8 +417,8 @@ def without(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask, hits, size = model.voters.votes(batch["text"])
-            yield batch.filter(pa.array(model.score(mask.view(np.int64), hits, size) < threshold))
+            votes, hits, size = model.voters.votes(batch["text"])
+            yield batch.filter(pa.array(model.score(votes, hits, size) < threshold))
 
     return map_batches(docs, run, docs.schema)
 

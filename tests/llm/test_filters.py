@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,41 @@ def test_toxicity_of_awkward_tables(spark, toxic):
     assert 0 <= row.score < toxicity.THRESHOLD
 
 
+def test_all_proven_terms_and_all_insults_vote(spark):
+    rows, labels = [], []
+    proven = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}zz" for i in range(120)]
+    for i in range(1200):
+        bad = i % 2 == 0
+        words = [f"clean{i % 37}", f"word{i % 11}"]
+        if bad:
+            words += [*(proven[(i // 2 + j) % 120] for j in (0, 40, 80)), "scum" if i % 4 else "scumbag", "idiotic" if i % 8 else "idiots", "idiot", "clown" if i % 6 else "clownish"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs = brute.table(spark, rows)
+    own = toxicity.voters(toxicity.training_rows(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 1200))
+    exact = {t for t, size in zip(own.terms, own.sizes) if size == 0}
+    families = {t for t, size in zip(own.terms, own.sizes) if size}
+    covered = {x for x in proven if any(x.startswith(f) for f in families)}
+    assert set(proven) - covered <= exact and len(own) > 120 and set(toxicity.INSULTS) <= exact
+    assert {"idiot", "scum", "clown"} <= exact
+    for word in ("idiotic", "idiots", "scumbag", "clownish"):
+        assert word in exact or any(word.startswith(f) for f in families)
+    found, hits, _ = own.votes(pa.array(["nothing here", " ".join(proven), "worthless idiots", None]))
+    assert found.counts()[1] >= 120 and hits.tolist()[0] == 0 == hits.tolist()[3] and found.counts()[2] >= 2
+    assert toxicity.unpacked(found.packed()).voter.tolist() == found.voter.tolist()
+
+
+def test_sparse_logistic_is_newtons(spark):
+    rng = np.random.default_rng(3)
+    dense = rng.random((200, 30)) < 0.1
+    votes = toxicity.Votes(np.nonzero(dense)[1].astype(np.int32), np.append(0, np.cumsum(dense.sum(1))))
+    x, y = np.concatenate([rng.random((200, 2)), np.ones((200, 1))], 1), rng.random(200)
+    w = toxicity.logistic(votes, 30, x, y)
+    full, keep = np.concatenate([dense, x], 1), np.append(np.full(32, 0.2), 1e-3)
+    slope = full.T @ (y - 1 / (1 + np.exp(-full @ w))) - keep * w
+    assert np.abs(slope).max() < 1e-5
+
+
 # --- decontamination -----------------------------------------------------------------
 
 
