@@ -26,7 +26,7 @@ from codestrata.llm.text import Words, lists, mix, slices, texts, window_hashes
 
 SIZE = 50
 GRAM = 10
-HOT = 20_000  # texts with one anchor from which on its windows are looked up one by one
+HOT = 20_000  # places of one anchor in different texts from which on its windows are looked up one by one
 BLOCK_BYTES = 6 << 20  # text of one block, which a task holds
 BUCKET_BYTES = 8 << 20  # text whose suffixes a task sorts
 
@@ -99,7 +99,7 @@ class Search:
 
     whole: (id, key, n_words, owner): for each text of an id, the smallest id with the same words.
     candidates: (id, key, text, places, hot, block): texts with anchors that other texts have too, the places of these
-    anchors, and those of them that are in more than `hot` texts.  A repeated row may be there more than once.  Rows
+    anchors, and those of them that are at more than `hot` places, copies counting once.  A repeated row may be there more than once.  Rows
     without an id take no part: nothing is smaller or larger than they are.
     """
 
@@ -110,8 +110,8 @@ class Search:
         texts = found.select("id", "key", "whole", "n_words").distinct()
         owners = texts.groupBy("whole").agg(F.min("id").alias("owner"))
         self.whole = cut(texts.join(owners, "whole").select("id", "key", "n_words", "owner"))
-        shared = found.filter("anchor is not null").groupBy("anchor")
-        shared = shared.agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n")).filter("a < b")
+        shared = found.filter("anchor is not null").groupBy("anchor", "whole").agg(F.max(F.size("places")).alias("n")).groupBy("anchor")
+        shared = shared.agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.sum("n").alias("n")).filter("a < b")
         places = found.join(shared.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
         places = places.join(self.whole.filter("id > owner").select("id", "key"), ["id", "key"], "left_anti")
         # a text has at most as many places as words

@@ -7,12 +7,16 @@ common beginning; and for each way to lay a window over the minimiser, suffixes
 run of the array, in which those with the same words to the left have the same window.  The smallest document id in such a
 group owns it, and other documents lose the words it covers.
 
-A minimiser that more than passages.HOT texts have could fill a bucket by itself.  Its windows are looked up one by one
-instead, by two hashes of all their words; a block of texts asks for each different one once.  The results are the same.
+A block of texts sends suffixes that are equal to both sides once, with their smallest id; it knows by itself that its
+larger ids repeat them.  A minimiser at more than passages.HOT places could still fill a bucket by itself.  Its windows are
+looked up one by one instead, by two hashes of all their words; a block asks for each different one once.  The results are
+the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,26 +28,68 @@ from codestrata.llm.passages import (
 from codestrata.llm.tables import by_group, by_groups, table
 from codestrata.llm.text import BASE, mix, window_hashes
 
+STEP = 1 << 14  # places whose contexts are built at once
+
 
-def context(part: Part, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each minimiser of ordinary windows: place, run's hash, words after the run, words before it, ways to lay a window.
+def context(part: Part, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each minimiser of ordinary windows, STEP at a time: place, run's hash, words after it, words before it, ways to lay a window.
 
     Words are 32-bit hashes, 0 beyond the text; way j has j words before the minimiser.
     """
     w, reach = part.words, size - gram
     ordinary = ~part.hot
-    place, number = np.unique(part.place[ordinary], return_inverse=True)
-    ways = np.zeros((len(place), reach + 1), bool)
-    ways[number, place[number] - part.start[ordinary]] = True
+    every, number = np.unique(part.place[ordinary], return_inverse=True)
+    ways = np.zeros((len(every), reach + 1), bool)
+    ways[number, every[number] - part.start[ordinary]] = True
     short = (w.h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    text = w.text_of()[place]
-    low, high = w.off[text][:, None], w.off[text + 1][:, None]
-    right = place[:, None] + gram + np.arange(reach)
-    left = place[:, None] - 1 - np.arange(reach)
-    last = max(len(short) - 1, 0)
-    after = np.where(right < high, short[np.minimum(right, last)], 0).astype(np.uint32) if len(short) else np.zeros((0, reach), np.uint32)
-    before = np.where(left >= low, short[np.maximum(left, 0)], 0).astype(np.uint32) if len(short) else np.zeros((0, reach), np.uint32)
-    return place, part.grams[place], after, before, ways
+    text = w.text_of()
+    for first in range(0, len(every), STEP):
+        place = every[first : first + STEP]
+        low, high = w.off[text[place]][:, None], w.off[text[place] + 1][:, None]
+        right = place[:, None] + gram + np.arange(reach)
+        left = place[:, None] - 1 - np.arange(reach)
+        after = np.where(right < high, short[np.minimum(right, len(short) - 1)], 0).astype(np.uint32)
+        before = np.where(left >= low, short[np.maximum(left, 0)], 0).astype(np.uint32)
+        yield place, part.grams[place], after, before, ways[first : first + STEP]
+
+
+def different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of bytes, sorted, and the number of each row's."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return rows[order[new]], number
+
+
+def questions(parts: list[Part], size: int, gram: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """A block's different suffixes (run, after, before, ways, smallest id) in a fixed order, and the minimisers they come from.
+
+    The latter are, for each part, their places and ids, and for all of them the number of their suffix.
+    """
+    reach = size - gram
+    wide = np.cumsum([0, 8, 4 * reach, 4 * reach, reach + 1])
+    rows, numbers, places, ids = [np.zeros((0, wide[-1]), np.uint8)], [np.zeros(0, np.int64)], [], []
+    total = 0
+    for part in parts:
+        place = [np.zeros(0, np.int64)]
+        for at, run, after, before, ways in context(part, size, gram):
+            own = [run.astype("<u8")[:, None], after.astype("<u4"), before.astype("<u4"), ways]
+            some, number = different(np.concatenate([np.ascontiguousarray(x).view(np.uint8) for x in own], 1))
+            rows.append(some), numbers.append(number + total), place.append(at)
+            total += len(some)
+        places.append(np.concatenate(place))
+        ids.append(part.ids[part.words.text_of()[places[-1]]])
+    some, number = different(np.concatenate(rows))
+    number = number[np.concatenate(numbers)]
+    least = np.full(len(some), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, np.concatenate([np.zeros(0, np.int64), *ids]))
+    cell = [np.ascontiguousarray(some[:, a:b]) for a, b in zip(wide, wide[1:])]
+    columns = [cell[0].view("<u8").ravel(), cell[1].view("<u4"), cell[2].view("<u4"), cell[3].view(bool), least]
+    return columns, places, ids, number
 
 
 def repeated(run: np.ndarray, after: np.ndarray, before: np.ndarray, ways: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -99,17 +145,11 @@ def changes(search: Search, layout: bool) -> DataFrame:
     def of(h: np.ndarray) -> np.ndarray:
         return (mix(h + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
-    def contexts(parts: list[Part]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """The columns of all minimisers, their buckets, and an order by bucket."""
-        found = [context(p, size, gram) for p in parts]
-        ids = [p.ids[p.words.text_of()[x[0]]] for p, x in zip(parts, found)]
-        columns = [np.concatenate([x[k] for x in found]) for k in range(1, 5)] + [np.concatenate(ids)]
-        bucket = of(columns[0])
-        return columns, bucket, np.argsort(bucket, kind="stable")
-
     def ask(group: pa.Table) -> pa.Table:
         parts = windows(group, size, gram)
-        columns, bucket, order = contexts(parts)
+        columns, *_ = questions(parts, size, gram)
+        bucket = of(columns[0])
+        order = np.argsort(bucket, kind="stable")
         hot, hot_ids, _ = hot_windows(parts, size)
         hot_bucket = of(hot[:, 0])
         rows = []
@@ -149,7 +189,8 @@ def changes(search: Search, layout: bool) -> DataFrame:
 
     def apply(group: pa.Table, replies: pa.Table) -> pa.Table:
         parts = windows(group, size, gram)
-        columns, bucket, order = contexts(parts)
+        columns, places, ids, suffix_of = questions(parts, size, gram)
+        order = np.argsort(of(columns[0]), kind="stable")
         hot, _, number = hot_windows(parts, size)
         hot_order = np.argsort(of(hot[:, 0]), kind="stable")
         replies = replies.sort_by("bucket")
@@ -160,9 +201,10 @@ def changes(search: Search, layout: bool) -> DataFrame:
             owner[hot_order] = np.concatenate([unpacked(x, "<i8") for x in replies["owners"].to_pylist()])
         owner = owner[number]
         out, at, hot_at = [], 0, 0
-        for part in parts:
-            place = context(part, size, gram)[0]
-            suffix, way = np.nonzero(found[at : at + len(place)])
+        for part, place, own in zip(parts, places, ids):
+            mine = suffix_of[at : at + len(place)]
+            # a smaller id of another block, or of this one
+            suffix, way = np.nonzero(found[mine] | (columns[3][mine] & (columns[4][mine] < own)[:, None]))
             at += len(place)
             start = part.start[part.hot]
             later = owner[hot_at : hot_at + len(start)] < part.owner_ids()[part.hot]

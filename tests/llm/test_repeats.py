@@ -82,3 +82,28 @@ def test_blocks_have_one_order_whatever_the_shuffle_brings(spark):
     assert rows.num_rows > 10
     for a, b in zip(passages.windows(rows, 50, 10), passages.windows(turned, 50, 10), strict=True):
         assert (a.ids == b.ids).all() and (a.start == b.start).all() and (a.place == b.place).all()
+
+
+def test_suffixes_of_a_line_repeated_within_texts_are_one_row_each(spark):
+    rng = random.Random(11)
+    line = " ".join(f"v{rng.randrange(90000)}" for _ in range(30)) + "\n"
+    own = [" ".join(f"u{rng.randrange(90000)}" for _ in range(60)) for _ in range(4)]
+    rows = [(i, f"{own[i % 4]} {line * 40} {own[(i + 1) % 4]}") for i in range(4)] + [(9, own[0])]
+    search = passages.Search(brute.table(spark, rows), "doc_id", "text", 50)
+    parts = passages.windows(search.candidates.toArrow(), 50, 10)
+    columns, places, ids, number = suffixes.questions(parts, 50, 10)
+    assert sum(map(len, places)) == len(number) > 4 * 40 and len(columns[0]) < len(number) / 4
+    assert got(substrings.digest(suffixes.dedup(brute.table(spark, rows)))) == expected(rows)
+    assert got(substrings.digest(suffixes.dedup(brute.table(spark, rows), hot=30))) == expected(rows)
+
+
+def test_hot_counts_places_and_not_copies(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"v{rng.randrange(90000)}" for _ in range(55))
+
+    def hot(rows):
+        found = passages.Search(brute.table(spark, rows), "doc_id", "text", 50, hot=12).candidates.select("hot").collect()
+        return any(r.hot for r in found)
+
+    assert hot([(i, f"{i} " + f"{passage} " * 10) for i in range(2)])
+    assert not hot([(i, f"same {passage}") for i in range(30)] + [(50, f"other {passage}")])
