@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from codestrata.llm import bpe, decontamination, jaccard, licenses, lm, quality, sharding, substrings, suffixes, toxicity
+from codestrata.llm import (
+    bpe, conversations, decontamination, html, jaccard, licenses, lm, quality, sharding, substrings, suffixes, toxicity, whitening
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.query,
@@ -20,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_decontamination": decontamination.query,
     "op10_sharding": sharding.query,
+    "op11_html_extraction": html.query,
+    "op12_conversation_repair": conversations.query,
+    "op13_embedding_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 
