@@ -5,14 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 65_536
-STAGED: dict[str, list[str]] = {}  # tables that this process has written, by application
+STAGED: dict[str, list[str]] = {}  # folders that this process has written, by application
+KEPT: dict[str, dict] = {}  # what is made once and stands on such folders, by application
+Made = TypeVar("Made")
 
 
 def position_in_key(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -70,6 +74,13 @@ def staging_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the staging folder, which remove_staged removes."""
+    target = f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    STAGED.setdefault(spark.sparkContext.applicationId, []).append(target)
+    return target
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table once and read it back.
 
@@ -77,15 +88,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     reader prune columns.
     """
     spark = df.sparkSession
-    target = f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    target = new_folder(spark, label)
     df.write.parquet(target)
-    STAGED.setdefault(spark.sparkContext.applicationId, []).append(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def kept(spark: SparkSession, key: Hashable, make: Callable[[], Made]) -> Made:
+    """What ``make`` gives, made once per application, and anew after its folders were removed."""
+    values = KEPT.setdefault(spark.sparkContext.applicationId, {})
+    if key not in values:
+        values[key] = make()
+    return values[key]
+
+
 def remove_staged(spark: SparkSession) -> int:
     """Remove the intermediate tables this application has written; frames over them can't be read any more."""
     targets = STAGED.pop(spark.sparkContext.applicationId, [])
+    KEPT.pop(spark.sparkContext.applicationId, None)
     for target in targets:
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import api, architecture, conventions, debt, dependencies, diff, facts, history
+from ..functions.scale import kept
 from ..operators import languages, onboarding, profile, scorecard, security, setup
 from ..sources.corpus import Corpus, later_corpus, staged_corpus
-from . import report
+from . import report, streams
 
 C = F.col
 
@@ -223,6 +224,11 @@ PLANS: dict[str, Plan] = {
         lambda i: scorecard.score_band(i.tree),
         "manifest", "imports", "todos", "opens_with_docstring"
     ),
+    # the same on a stream of files
+    "stream_todo_comments": Plan(lambda i: streams.extracted(i.corpus, "todo_comments")),
+    "stream_secret_findings": Plan(lambda i: streams.extracted(i.corpus, "secret_findings")),
+    "stream_endpoints": Plan(lambda i: streams.extracted(i.corpus, "endpoints")),
+    "stream_daily_totals": Plan(lambda i: streams.totals(i.corpus)),
     "full_report": Plan(lambda i: report.full_report(i.corpus)),
     "snapshot_write": Plan(lambda i: report.written_rows(i.corpus)),
     "snapshot_read": Plan(lambda i: report.stored_reports(i.corpus)),
@@ -238,30 +244,19 @@ PLANS: dict[str, Plan] = {
 }
 
 
-CORPORA: dict[tuple[str, str, str], Corpus] = {}
-
-
-def corpus_for(spark: SparkSession, sf_dir: str, state: str = "now") -> Corpus:
+def corpus_for(spark: SparkSession, sf_dir: str) -> Corpus:
     """The derived tables, written once per application and folder, as a deployment would hold them."""
-    key = (spark.sparkContext.applicationId, sf_dir, state)
-    if key not in CORPORA:
-        if state == "now":
-            CORPORA[key] = staged_corpus(spark, sf_dir)
-        else:
-            CORPORA[key] = later_corpus(spark, sf_dir, corpus_for(spark, sf_dir))
-    return CORPORA[key]
-
-
-FOLDERS: dict[tuple[str, str], str] = {}
+    return kept(spark, ("corpus", sf_dir), lambda: staged_corpus(spark, sf_dir))
 
 
 def snapshots_for(spark: SparkSession, sf_dir: str) -> diff.Snapshots:
     """Two stored states of the corpus, written once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in FOLDERS:
-        states = {s: corpus_for(spark, sf_dir, s) for s in ("now", "later")}
-        FOLDERS[key] = report.write_for_diff(states, report.new_folder(spark))
-    return diff.Snapshots(spark, FOLDERS[key], "now", "later")
+
+    def write() -> str:
+        now = corpus_for(spark, sf_dir)
+        return report.write_for_diff({"now": now, "later": later_corpus(spark, sf_dir, now)}, report.new_folder(spark))
+
+    return diff.Snapshots(spark, kept(spark, ("snapshots", sf_dir), write), "now", "later")
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,14 @@ rows of ``report_items``, so no repository's list is ever gathered in one place.
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import merge_on, stage, staging_folder
+from ..functions import scale
+from ..functions.scale import merge_on, stage
 from ..operators import api, architecture, conventions, debt, dependencies, facts, history
 from ..operators import languages, onboarding, security, setup
 from ..operators.manifests import complete
@@ -271,7 +271,7 @@ def report_items(corpus: Corpus, names: list[str] | None = None) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{staging_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    return scale.new_folder(spark, "snapshots")
 
 
 def written(corpus: Corpus, snapshot_id: str) -> str:

@@ -356,7 +356,33 @@ def tables() -> dict[str, str]:
         where rank <= 5 and score > 20) where recommendation is not null"""
     title = case([(f"dimension = {q(n)}", q(n.replace("_", " ").title())) for n in R.DEBT_WEIGHTS])
     t["t_debt_chart_rows"] = f"select repo, position, {title} as label, score, {ladder('score', R.DEBT_COLOURS, R.WORST_COLOUR, '<=')} as colour from t_debt_dimensions"
-    return {**t, **onboarding(), **dependencies(), **conventions(), **surfaces(), **setup_and_history(), **scores(), **reports()}
+    return {
+        **t, **onboarding(), **dependencies(), **conventions(), **surfaces(), **setup_and_history(), **scores(), **reports(),
+        **streams(),
+    }
+
+
+def streams() -> dict[str, str]:
+    """What a stream gives in the end is what the batch gives; file n of a repository arrives n hours after 2024 begins."""
+    walked = "exists (select 1 from t_tree x where x.repo = s.repo and x.path = s.{})"
+    t = {
+        "t_stream_todo_comments": "select * from t_todo_comments",
+        "t_stream_secret_findings": f"select * from t_secret_findings s where {walked.format('file')}",
+        "t_stream_endpoints": f"select * from t_endpoints s where {walked.format('handler_file')}",
+    }
+
+    def counted(name: str, file: str) -> str:
+        return f"(select repo, {file} as path, count(*) as c from t_{name} group by all)"
+
+    sums = {"files": "1", "lines": "f.line_count", "todos": "coalesce(a.c, 0)", "secrets": "coalesce(b.c, 0)", "routes": "coalesce(c.c, 0)"}
+    t["t_stream_days"] = f"""select f.repo, cast(19723 + floor(f.n / 24) as bigint) as day,
+          {', '.join(f'cast(sum({x}) as bigint) as {name}' for name, x in sums.items())}
+        from t_tree f left join {counted('todo_comments', 'path')} a using (repo, path)
+        left join {counted('stream_secret_findings', 'file')} b using (repo, path)
+        left join {counted('stream_endpoints', 'handler_file')} c using (repo, path) group by all"""
+    t["t_stream_daily_totals"] = f"""select *, {', '.join(f'cast(sum({n}) over w as bigint) as {n}_so_far' for n in sums)}
+        from t_stream_days window w as (partition by repo order by day)"""
+    return t
 
 
 def onboarding() -> dict[str, str]:
