@@ -59,7 +59,7 @@ FINDING = "severity string, category string, file string, line int, description
 
 
 class Snapshots:
-    """Differences between two stored snapshots; nothing but the snapshots is read."""
+    """Differences between two stored snapshots; nothing but these two is read."""
 
     def __init__(self, spark: SparkSession, folder: str, old: str, new: str):
         self.spark, self.folder, self.ids = spark, folder, (old, new)
@@ -68,17 +68,17 @@ class Snapshots:
         return [rows.where(C("snapshot_id") == i).drop("snapshot_id") for i in self.ids]
 
     def reports(self) -> DataFrame:
-        return read_snapshots(self.spark, self.folder)
+        return read_snapshots(self.spark, self.folder, self.ids)
 
     def grade(self) -> DataFrame:
         columns = "snapshot_id", "repo", "tech_debt.grade", C("tech_debt.overall_score").alias("score")
         return diff_grade(*self.both(self.reports().select(*columns)))
 
     def findings(self) -> DataFrame:
-        return diff_findings(*self.both(read_items(self.spark, self.folder, "findings", FINDING)))
+        return diff_findings(*self.both(read_items(self.spark, self.folder, "findings", FINDING, self.ids)))
 
     def key_files(self) -> DataFrame:
-        return diff_key_files(*self.both(read_items(self.spark, self.folder, "scored_files", "path string")))
+        return diff_key_files(*self.both(read_items(self.spark, self.folder, "scored_files", "path string", self.ids)))
 
     def recommendations(self) -> DataFrame:
         rows = self.reports().select("snapshot_id", "repo", F.explode("tech_debt.recommendations").alias("recommendation"))

@@ -173,6 +173,22 @@ def auth_name(content: Column) -> Column:
     )
 
 
+def notices(content: Column) -> Column:
+    """Every notice of a license that is worded as known, and every identifier line."""
+    kind = "array<struct<line:int,license:string>>"
+
+    def rule(license: str, pattern: str) -> Column:
+        return F.transform(T.matches_with_lines(content, pattern), lambda m: F.struct(m["line"], F.lit(license))).cast(kind)
+
+    named = F.transform(
+        T.matches_with_lines(content, R.SPDX_NOTICE),
+        lambda m: F.struct(m["line"], T.strip(F.regexp_replace(m["match"], "^[^:]*:", ""))),
+    ).cast(kind)
+    worded = T.holds_any(C("lowered"), ["licen", "subject to the terms"])
+    found = F.concat(named, *(rule(*r) for r in R.LICENSE_NOTICES))
+    return F.when(worded, found).otherwise(F.expr(f"cast(array() as {kind})"))
+
+
 # --- API ---------------------------------------------------------------------------------
 
 
@@ -393,6 +409,7 @@ def signals() -> dict[str, Callable[[], Column]]:
         "secrets": lambda: only(
             scan, file_secrets(content), "struct<severity:string,line:int,description:string>"
         ),
+        "notices": lambda: only(scan, notices(content), "struct<line:int,license:string>"),
         "sql_strings": lambda: only(
             scan & T.is_in("suffix", R.SQL_SUFFIXES), sql_strings(content), "struct<line:int,description:string>"
         ),

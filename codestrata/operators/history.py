@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules as R
 from ..functions.scale import first_rows
 
 C = F.col
@@ -52,3 +53,34 @@ def recent_files(commits: DataFrame, commit_files: DataFrame, last: int | None =
     rows = commit_files.join(own_commits(commits, last), ["repo", "commit_id"])
     touched = rows.groupBy("repo", "path").agg(F.max(F.struct("committed_at", "commit_id")).alias("newest"))
     return touched.select("repo", "path", C("newest.commit_id").alias("last_commit"))
+
+
+def stale_files(
+    files: DataFrame, commits: DataFrame, commit_files: DataFrame, days: int = R.STALE_DAYS
+) -> DataFrame:
+    """Each file with its last commit and how long that lies back, as of its repository's newest commit.
+
+    ``status`` is ``stale`` for at least ``days`` full days without a commit, ``fresh`` for less, and ``untouched`` for a
+    file that no commit names, about which the history says nothing.  Merges touch no file.  Both sides of the join are
+    one narrow row a file; a repository's newest commit is one row a repository.
+    """
+    heads = commits.groupBy("repo").agg(F.max("committed_at").alias("head_at"))
+    touched = commit_files.join(own_commits(commits, None), ["repo", "commit_id"])
+    last = touched.groupBy("repo", "path").agg(F.max(F.struct("committed_at", "commit_id")).alias("last"))
+    idle = F.timestamp_diff("DAY", C("last.committed_at"), C("head_at")).cast("bigint")
+    status = F.when(C("last").isNull(), "untouched").when(C("idle_days") >= days, "stale").otherwise("fresh")
+    rows = files.select("repo", "path").join(last, ["repo", "path"], "left").join(heads, "repo", "left")
+    return rows.withColumn("idle_days", idle).select(
+        "repo", "path", C("last.commit_id").alias("last_commit"), "idle_days", status.alias("status")
+    )
+
+
+def code_staleness(
+    files: DataFrame, commits: DataFrame, commit_files: DataFrame, days: int = R.STALE_DAYS
+) -> DataFrame:
+    """Files of a repository by status, and the share of stale ones among those with a history."""
+    rows = stale_files(files, commits, commit_files, days).groupBy("repo").agg(
+        *(F.count_if(C("status") == s).alias(f"{s}_files") for s in ("fresh", "stale", "untouched"))
+    )
+    known = C("fresh_files") + C("stale_files")
+    return rows.withColumn("stale_share", C("stale_files").cast("double") / F.when(known > 0, known))

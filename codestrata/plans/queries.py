@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import api, architecture, conventions, debt, dependencies, diff, facts, history
 from ..functions.scale import kept
-from ..operators import languages, onboarding, profile, scorecard, security, setup
+from ..operators import languages, licensing, onboarding, profile, scorecard, security, setup, trend, versions
 from ..sources.corpus import Corpus, later_corpus, staged_corpus
 from . import report, streams
 
@@ -26,11 +26,13 @@ class Inputs:
         signals: tuple[str, ...],
         snapshots: Callable[[], diff.Snapshots] | None = None,
         staged: bool = False,
+        log: Callable[[], str] | None = None,
     ):
         self.corpus = corpus
         self.signals = signals or ("manifest",)
         self.snapshots = snapshots
         self.staged = staged
+        self.log = log
 
     @property
     def files(self) -> DataFrame:
@@ -161,6 +163,12 @@ PLANS: dict[str, Plan] = {
     "dependencies": Plan(lambda i: dependencies.dependencies(i.facts), "manifest"),
     "package_manager": Plan(lambda i: dependencies.package_manager(i.facts), "manifest"),
     "dependency_risk": Plan(lambda i: dependencies.dependency_risk(i.facts), "manifest"),
+    "version_ranges": Plan(lambda i: versions.version_ranges(i.facts), "manifest"),
+    "latest_version": Plan(lambda i: versions.latest_version(i.facts), "manifest"),
+    "license_notices": Plan(lambda i: licensing.license_notices(i.facts), "notices"),
+    "project_license": Plan(lambda i: licensing.project_license(i.facts), "manifest"),
+    "license_verdicts": Plan(lambda i: licensing.license_verdicts(i.facts), "manifest", "notices"),
+    "license_conflicts": Plan(lambda i: licensing.license_conflicts(i.facts), "manifest", "notices"),
     # conventions
     "convention_sample": Plan(lambda i: conventions.convention_sample(i.facts)),
     "naming_style": Plan(lambda i: conventions.naming_style(i.facts), "style"),
@@ -217,6 +225,9 @@ PLANS: dict[str, Plan] = {
     "commit_count": Plan(lambda i: history.commit_count(i.commits)),
     "contributors": Plan(lambda i: history.contributors(i.commits)),
     "recent_files": Plan(lambda i: history.recent_files(i.commits, i.commit_files)),
+    # the derived history spans thirty days, so that half a year would find nothing
+    "stale_files": Plan(lambda i: history.stale_files(i.tree, i.commits, i.commit_files, 14)),
+    "code_staleness": Plan(lambda i: history.code_staleness(i.tree, i.commits, i.commit_files, 14)),
     # scorecard and differences
     "scorecard": staged(lambda i: scorecard.scorecard(i.scores), *profile.SIGNALS),
     "overall_health": staged(lambda i: scorecard.overall_health(i.scores), *profile.SIGNALS),
@@ -241,6 +252,7 @@ PLANS: dict[str, Plan] = {
     "diff_findings": Plan(lambda i: i.snapshots().findings()),
     "diff_key_files": Plan(lambda i: i.snapshots().key_files()),
     "diff_recommendations": Plan(lambda i: i.snapshots().recommendations()),
+    "debt_trend": Plan(lambda i: trend.stored_trend(i.commits.sparkSession, i.log())),
 }
 
 
@@ -259,7 +271,19 @@ def snapshots_for(spark: SparkSession, sf_dir: str) -> diff.Snapshots:
     return diff.Snapshots(spark, kept(spark, ("snapshots", sf_dir), write), "now", "later")
 
 
+def log_for(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a log of five states: the two that are compared, and the debt reports of three more."""
+
+    def write() -> str:
+        folder, now = snapshots_for(spark, sf_dir).folder, corpus_for(spark, sf_dir)
+        for shift, state in list(enumerate(report.STATES))[2:]:
+            report.write_debt(later_corpus(spark, sf_dir, now, shift), folder, state)
+        return folder
+
+    return kept(spark, ("log", sf_dir), write)
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = PLANS[name]
-    snapshots = lambda: snapshots_for(spark, sf_dir)
-    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots, plan.staged)))
+    snapshots, log = (lambda: snapshots_for(spark, sf_dir)), (lambda: log_for(spark, sf_dir))
+    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots, plan.staged, log)))

@@ -7,7 +7,7 @@ rows of ``report_items``, so no repository's list is ever gathered in one place.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -285,10 +285,23 @@ def write_for_diff(corpora: dict[str, Corpus], folder: str) -> str:
     """Snapshots of several states with what a comparison reads: debt reports, findings and scored files."""
     for snapshot_id, corpus in corpora.items():
         items = report_items(corpus, ["findings", "scored_files"])
-        write_snapshot(full_report(corpus, ["debt"]), folder, snapshot_id, datetime(2026, 1, 1), items)
+        write_snapshot(full_report(corpus, ["debt"]), folder, snapshot_id, generated_at(snapshot_id), items)
     return folder
 
 
+#: When the states of the derived corpus were reported, as days after the first.
+STATES = {"now": 0, "later": 7, "third": 21, "fourth": 28, "fifth": 60}
+
+
+def generated_at(snapshot_id: str) -> datetime:
+    return datetime(2026, 1, 1, tzinfo=timezone.utc) + timedelta(days=STATES.get(snapshot_id, 0))
+
+
+def write_debt(corpus: Corpus, folder: str, snapshot_id: str) -> None:
+    """A further snapshot of the debt reports in the folder of a log."""
+    write_snapshot(full_report(corpus, ["debt"]), folder, snapshot_id, generated_at(snapshot_id))
+
+
 def written_rows(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
     """The rows of a snapshot as they lie on disk: one JSON object per repository."""
     lines = corpus.files.sparkSession.read.text(f"{written(corpus, snapshot_id)}/{REPORTS}")

@@ -324,10 +324,8 @@ COMMON_ISSUES = [
      "Copy .env.example to .env and fill in the required values"),
 ]
 
-# --- fixed values: history windows -----------------------------------------------------------------------------
-CONTRIBUTOR_COMMITS = 1000
-RECENT_COMMITS = 50
-RECENT_FILES = 50
+# --- fixed values: history ---------------------------------------------------------------------------------------
+STALE_DAYS = 183  # half a year
 
 # --- fixed values: scorecard and colours -------------------------------------------------------------------------
 ARCHITECTURE_SCORE = 80
@@ -342,3 +340,56 @@ WORST_COLOUR = "#f85149"
 BADGE_COLOURS = {"A": "#44cc11", "B": "#97ca00", "C": "#dfb317", "D": "#fe7d37", "F": "#e05d44"}
 UNKNOWN_BADGE = "#9f9f9f"
 GRADE_RANK = {"A": 5, "B": 4, "C": 3, "D": 2, "F": 1}
+
+# --- fixed values: licenses ----------------------------------------------------------------------------------------
+# code under the first may become part of a work under the second
+LICENSE_ORDER = [
+    ("CC0-1.0", "MIT"), ("Unlicense", "MIT"), ("0BSD", "MIT"),
+    ("MIT", "ISC"), ("ISC", "MIT"), ("MIT", "BSD-2-Clause"), ("BSD-2-Clause", "MIT"),
+    ("BSD-2-Clause", "BSD-3-Clause"), ("BSD-3-Clause", "BSD-2-Clause"),
+    ("MIT", "Apache-2.0"), ("MIT", "MPL-2.0"), ("MIT", "LGPL-2.1-or-later"), ("MIT", "LGPL-2.1-only"), ("MIT", "CC-BY-4.0"),
+    ("Apache-2.0", "MPL-2.0"), ("Apache-2.0", "LGPL-3.0-or-later"), ("Apache-2.0", "LGPL-3.0-only"),
+    ("MPL-2.0", "LGPL-3.0-or-later"), ("MPL-2.0", "LGPL-3.0-only"),
+    ("LGPL-2.1-or-later", "LGPL-2.1-only"), ("LGPL-2.1-or-later", "LGPL-3.0-or-later"),
+    ("LGPL-2.1-or-later", "GPL-2.0-or-later"), ("LGPL-2.1-only", "GPL-2.0-only"), ("LGPL-2.1-only", "GPL-2.0-or-later"),
+    ("LGPL-3.0-or-later", "LGPL-3.0-only"), ("LGPL-3.0-or-later", "GPL-3.0-or-later"), ("LGPL-3.0-only", "GPL-3.0-only"),
+    ("GPL-2.0-or-later", "GPL-2.0-only"), ("GPL-2.0-or-later", "GPL-3.0-or-later"),
+    ("GPL-3.0-or-later", "GPL-3.0-only"), ("GPL-3.0-or-later", "AGPL-3.0-or-later"), ("GPL-3.0-only", "AGPL-3.0-only"),
+    ("AGPL-3.0-or-later", "AGPL-3.0-only"),
+    ("CC-BY-4.0", "CC-BY-SA-4.0"), ("CC-BY-4.0", "CC-BY-NC-4.0"), ("CC-BY-SA-4.0", "GPL-3.0-only"),
+]
+# beside the order: permissive work may hold such code, as long as its own terms go with it
+LICENSE_BESIDE = [("Apache-2.0", "MIT"), ("Apache-2.0", "ISC"), ("Apache-2.0", "BSD-2-Clause"), ("Apache-2.0", "BSD-3-Clause")]
+# a package under these may be used by a work under any license
+LINKABLE = ["MPL-2.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"]
+LINKING_EXCEPTIONS = ["Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note"]
+# other ways to write an identifier, in lower case
+LICENSE_ALIASES = {
+    "mit": "MIT", "mit license": "MIT", "the mit license": "MIT", "isc license": "ISC", "bsd": "BSD-3-Clause",
+    "new bsd": "BSD-3-Clause", "apache 2.0": "Apache-2.0", "apache-2": "Apache-2.0", "apache license 2.0": "Apache-2.0",
+    "apache license, version 2.0": "Apache-2.0", "gpl-2.0": "GPL-2.0-only", "gpl-2.0+": "GPL-2.0-or-later", "gplv2": "GPL-2.0-only",
+    "gpl-3.0": "GPL-3.0-only", "gpl-3.0+": "GPL-3.0-or-later", "gplv3": "GPL-3.0-only", "lgpl-2.1": "LGPL-2.1-only",
+    "lgpl-2.1+": "LGPL-2.1-or-later", "lgpl-3.0": "LGPL-3.0-only", "lgpl-3.0+": "LGPL-3.0-or-later",
+    "agpl-3.0": "AGPL-3.0-only", "agpl-3.0+": "AGPL-3.0-or-later", "mpl 2.0": "MPL-2.0", "cc0": "CC0-1.0",
+}
+# (license, what a notice of it says)
+LICENSE_NOTICES = [
+    ("Apache-2.0", r"(?i)licensed under the Apache License,? Version 2\.0"),
+    ("MIT", r"(?i)(?:released|licensed) under the MIT License"),
+    ("GPL-3.0-only", r"(?i)licensed under the GNU General Public License,? version 3"),
+    ("GPL-2.0-only", r"(?i)licensed under the GNU General Public License,? version 2"),
+    ("LGPL-3.0-only", r"(?i)licensed under the GNU Lesser General Public License,? version 3"),
+    ("AGPL-3.0-only", r"(?i)licensed under the GNU Affero General Public License,? version 3"),
+    ("MPL-2.0", r"(?i)subject to the terms of the Mozilla Public License,? v(?:ersion|\.) ?2\.0"),
+    ("CC-BY-NC-4.0", r"(?i)licensed under CC BY-NC 4\.0"),
+    ("CC-BY-SA-4.0", r"(?i)licensed under CC BY-SA 4\.0"),
+    ("CC-BY-4.0", r"(?i)licensed under CC BY 4\.0"),
+]
+SPDX_NOTICE = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- ]*[A-Za-z0-9.+)])"
+# license expressions of well-known packages
+PACKAGE_LICENSES = {
+    "click": "BSD-3-Clause", "django": "BSD-3-Clause", "fastapi": "MIT", "flask": "BSD-3-Clause", "httpx": "BSD-3-Clause",
+    "jest": "MIT", "next": "MIT", "numpy": "BSD-3-Clause", "puma": "BSD-3-Clause", "pydantic": "MIT", "pytest": "MIT",
+    "pyqt5": "GPL-3.0-only", "rails": "MIT", "rand": "MIT OR Apache-2.0", "react": "MIT", "requests": "Apache-2.0",
+    "serde": "MIT OR Apache-2.0", "sqlalchemy": "MIT", "tokio": "MIT", "unidecode": "GPL-2.0-or-later", "uvicorn": "BSD-3-Clause",
+}

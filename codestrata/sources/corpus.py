@@ -128,7 +128,7 @@ def staged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(files, commits, touched, stage(ignore_rules(files), "rules"))
 
 
-def later_corpus(spark: SparkSession, sf_dir: str, earlier: Corpus) -> Corpus:
-    """A later state of all repositories: every document one template on, the history as before."""
-    files = stage(derived_files(spark, sf_dir, 1), "files")
+def later_corpus(spark: SparkSession, sf_dir: str, earlier: Corpus, shift: int = 1) -> Corpus:
+    """A later state of all repositories: every document some templates on, the history as before."""
+    files = stage(derived_files(spark, sf_dir, shift), "files")
     return replace(earlier, files=files, rules=stage(ignore_rules(files), "rules"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,17 +85,30 @@ def strange_fields(value: Column, kind: T.DataType) -> Column:
     return nothing
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports of all snapshots below a folder; unknown fields at any level and malformed rows are errors."""
+def places(folder: str, part: str, ids: Iterable[str] | None) -> list[str]:
+    """The folders of the named snapshots, or the one of all."""
+    return [f"{folder}/{part}"] if ids is None else [f"{folder}/{part}/snapshot_id={i}" for i in sorted(set(ids))]
+
+
+def read_snapshots(spark: SparkSession, folder: str, ids: Iterable[str] | None = None) -> DataFrame:
+    """Reports of all snapshots below a folder, or of the named ones only, of which nothing else is listed or read.
+
+    Unknown fields at any level and malformed rows are errors.
+    """
     kind = T.StructType.fromDDL(REPORT_SCHEMA)
-    reports = f"{folder}/{REPORTS}"
+    reports = places(folder, REPORTS, ids)
     strange = spark.read.text(reports).select(F.explode(strange_fields(F.col("value"), kind)).alias("name")).take(1)
     if strange:
         raise ValueError(f"unknown report field: {strange[0].name}")
-    return spark.read.schema(f"{REPORT_SCHEMA}, snapshot_id string").option("mode", "FAILFAST").json(reports)
+    reader = spark.read.schema(f"{REPORT_SCHEMA}, snapshot_id string").option("basePath", f"{folder}/{REPORTS}")
+    return reader.option("mode", "FAILFAST").json(reports)
+
+
+ITEM_SCHEMA = "repo string, section string, list string, item string, snapshot_id string"
 
 
-def read_items(spark: SparkSession, folder: str, name: str, fields: str) -> DataFrame:
-    """Elements of one list of all snapshots: snapshot_id, repo and the given fields."""
-    rows = spark.read.parquet(f"{folder}/{ITEMS}").where(F.col("list") == name)
+def read_items(spark: SparkSession, folder: str, name: str, fields: str, ids: Iterable[str] | None = None) -> DataFrame:
+    """Elements of one list of all or the named snapshots: snapshot_id, repo and the given fields."""
+    reader = spark.read.schema(ITEM_SCHEMA).option("basePath", f"{folder}/{ITEMS}")
+    rows = reader.parquet(*places(folder, ITEMS, ids)).where(F.col("list") == name)
     return rows.select("snapshot_id", "repo", F.from_json("item", fields).alias("i")).select("snapshot_id", "repo", "i.*")

@@ -127,7 +127,8 @@ def tables() -> dict[str, str]:
         from t_documents e join t_templates t on t.arch = e.arch and t.k = {slot})"""
 
     t["t_all_files"] = files_at("e.n % 12")
-    t["t_later_files"] = files_at("(e.n + 1) % 12")
+    for shift, state in enumerate(["later", "third", "fourth", "fifth"], 1):
+        t[f"t_{state}_files"] = files_at(f"(e.n + {shift}) % 12")
     t["t_files"] = "select * from t_all_files"
     t["t_commits"] = """select concat('src', cast(event_id % 20 as varchar)) as repo, event_id as commit_id,
         concat('user', cast(user_id as varchar)) as author_name,
@@ -358,10 +359,131 @@ def tables() -> dict[str, str]:
     t["t_debt_chart_rows"] = f"select repo, position, {title} as label, score, {ladder('score', R.DEBT_COLOURS, R.WORST_COLOUR, '<=')} as colour from t_debt_dimensions"
     return {
         **t, **onboarding(), **dependencies(), **conventions(), **surfaces(), **setup_and_history(), **scores(), **reports(),
-        **streams(),
+        **streams(), **extras(),
     }
 
 
+def version_list(x: str) -> str:
+    """Release numbers of a version plus ten, without zeros at the end."""
+    bare = f"regexp_replace(regexp_extract({x}, '^[vV=\\s]*(\\d+(?:\\.\\d+)*)', 1), '(\\.0+)+$', '')"
+    return f"list_transform(string_split({bare}, '.'), lambda n: cast(n as bigint) + 10)"
+
+
+def extras() -> dict[str, str]:
+    t: dict[str, str] = {}
+    # --- staleness, as of the newest commit of a repository
+    t["t_stale_files"] = """with last as (select f.repo, f.path, max_by(c.commit_id, (c.committed_at, c.commit_id)) as last_commit, max(c.committed_at) as at
+            from t_commit_files f join t_commits c using (repo, commit_id) where not c.is_merge group by all),
+        heads as (select repo, max(committed_at) as head from t_commits group by repo)
+        select f.repo, f.path, l.last_commit, (epoch_us(h.head) - epoch_us(l.at)) // 86400000000 as idle_days,
+          case when l.at is null then 'untouched' when epoch_us(h.head) - epoch_us(l.at) >= 14 * 86400000000 then 'stale' else 'fresh' end as status
+        from t_tree f left join last l using (repo, path) left join heads h using (repo)"""
+    t["t_code_staleness"] = """select *, stale_files::double / nullif(fresh_files + stale_files, 0) as stale_share from (
+        select repo, count(*) filter (where status = 'fresh') as fresh_files, count(*) filter (where status = 'stale') as stale_files,
+          count(*) filter (where status = 'untouched') as untouched_files from t_stale_files group by repo)"""
+
+    # --- version ranges: one row for each comparison
+    def numbered(file: str, value: str) -> str:
+        return f"""select repo, unnest(l) as s, generate_subscripts(l, 1) as i from (select repo, {value} as l from t_files where path = {q(file)})"""
+
+    trimmed = f"list_transform({lines('content')}, lambda x: {strip('x')})"
+    plain = q(r"^\s*([A-Za-z0-9_.\-]+)\s*(?:\[[^\]]*\])?\s*\(?\s*([^;#@)]*)")
+    listed = q("""(?m)^[ \\t]*dependencies\\s*=\\s*\\[((?:[^\\]"'#]|"[^"]*"|'[^']*'|#[^\\n]*)*)\\]""")
+    tokens = f"""regexp_extract_all(regexp_extract(coalesce({toml('content', 'project')}, ''), {listed}, 1), {q('"[^"]*"|' + "'[^']*'|#[^" + chr(10) + "]*")}, 0)"""
+    required = f"select * from ({numbered('requirements.txt', trimmed)}) where s <> '' and not starts_with(s, '#') and not starts_with(s, '-')"
+    project = f"select repo, s[2:-2] as s, i from ({numbered('pyproject.toml', tokens)}) where not starts_with(s, '#')"
+
+    def python(o: int, source: str) -> str:
+        return f"""select repo, {o} as o, i, 'pypi' as ecosystem, regexp_extract(s, {plain}, 1) as name, {strip(f'regexp_extract(s, {plain}, 2)')} as spec
+            from ({source}) where regexp_matches(s, {plain})"""
+
+    npm = union(
+        f"""select repo, {10 + o} as o, generate_subscripts(k, 1) as i, unnest(k) as name, json_extract(content, '$.{section}') as j
+          from (select repo, content, json_keys(content, '$.{section}') as k from t_files where path = 'package.json' and json_valid(content))"""
+        for o, section in enumerate(["dependencies", "devDependencies", "peerDependencies"])
+    )
+    entry = q(r"""^["']?([A-Za-z0-9_\-]+)["']?[ \t]*=[ \t]*(?:["']([^"']*)["']|\{.*?\bversion[ \t]*=[ \t]*["']([^"']*)["'])""")
+    gem = q(r"""^gem\s+["']([^"']+)["']""")
+    bound = q(r"""["']([~<>=!\s]*\d[^"']*)["']""")
+    t["t_declared"] = "select *, row_number() over (partition by repo order by o, i) - 1 as position, lower(name) as package from (" + union([
+        python(0, required), python(1, project),
+        f"""select repo, o, i, 'npm', name, {strip("json_extract_string(j, '$.' || chr(34) || name || chr(34))")} from ({npm})""",
+        f"""select repo, 20, i, 'go', regexp_extract(s, {q(R.GO_REQUIRE)}, 1), regexp_extract(s, {q(R.GO_REQUIRE)}, 2) from ({numbered('go.mod', trimmed)})
+            where (starts_with(s, 'require') or regexp_matches(s, '^\\S+\\s+v')) and regexp_matches(s, {q(R.GO_REQUIRE)})""",
+        f"""select repo, 30, i, 'cargo', regexp_extract(s, {entry}, 1), {strip(f'regexp_extract(s, {entry}, 2) || regexp_extract(s, {entry}, 3)')}
+            from t_cargo_lines where section in ('dependencies', 'dev-dependencies') and h is null and regexp_matches(s, {entry})""",
+        f"""select repo, 40, i, 'gem', regexp_extract(s, {gem}, 1), array_to_string(regexp_extract_all(regexp_replace(s, {gem}, ''), {bound}, 1), ', ')
+            from ({numbered('Gemfile', trimmed)}) where regexp_matches(s, {gem})""",
+    ]) + ")"
+    op = "regexp_extract(x, '^(===|==|~=|~>|!=|>=|<=|>|<|\\^|~|=)?', 1)"
+    bare = case([(f"ecosystem = {q(e)}", q(b)) for e, b in (("pypi", "=="), ("go", "major"), ("cargo", "^"))], "'='")
+    t["t_clauses"] = f"""select *, list_concat({version_list('v')}, [4, 0]) as key,
+          list_transform(string_split(regexp_extract(v, '^[vV]?(\\d+(?:\\.\\d+)*)', 1), '.'), lambda n: cast(n as bigint)) as parts
+        from (select repo, position, ecosystem, package, alt, case when {op} = '' then {bare} else {op} end as op,
+            {strip(f"substr(x, length({op}) + 1)")} as v
+          from (select *, unnest(string_split_regex(a, case when ecosystem = 'npm' then '\\s+' else '\\s*,\\s*' end)) as x from (
+            select *, unnest(alts) as a, generate_subscripts(alts, 1) as alt from (
+              select *, case when ecosystem = 'npm' then string_split_regex(spec, '\\s*\\|\\|\\s*') else [spec] end as alts from t_declared))))
+        where regexp_matches(v, '^[vV]?\\d')"""
+    place = case([
+        ("op = '^'", "coalesce(list_position(list_transform(parts, lambda n: n > 0), true), len(parts))"), ("op = 'major'", "1"),
+        ("op = '~'", "least(len(parts), 2)"), ("op in ('~=', '~>')", "greatest(len(parts) - 1, 1)"),
+    ])
+    top = "array_to_string(list_concat(parts[1:p - 1], [parts[p] + 1]), '.')"
+    t["t_bounds"] = f"""select * exclude (high), case when op in ('^', 'major', '~', '~=', '~>') then list_concat({version_list(top)}, [0])
+            when op in ('=', '==', '===', '<', '<=') then key end as high,
+          case when op not in ('<', '<=', '!=') then key end as low,
+          op = '>' as low_open, op in ('<', '^', 'major', '~', '~=', '~>') as high_open
+        from (select *, {place} as p, null as high from t_clauses)"""
+    t["t_known_versions"] = """select ecosystem, package, key as latest_key, regexp_replace(v, '^[vV=\\s]+', '') as latest_version from (
+        select *, row_number() over (partition by ecosystem, package order by key desc, regexp_replace(v, '^[vV=\\s]+', '') desc) as k
+        from t_clauses where op not in ('<', '!=')) where k = 1"""
+    t["t_version_ranges"] = """with ends as (select repo, position, alt, list_sort(list(low))[-1] as low, list_sort(list(high) filter (where high is not null))[1] as high,
+            bool_or(low_open) as low_open, bool_or(high_open) as high_open from t_bounds group by all),
+        fit as (select repo, position, bool_or(low is null or high is null or low < high or (low = high and not low_open and not high_open)) as ok
+          from ends group by all)
+        select d.repo, d.position, ecosystem, name, spec, coalesce(ok, true) as satisfiable from t_declared d left join fit using (repo, position)"""
+    t["t_latest_version"] = """with each as (select b.repo, b.position, b.alt, bool_and(case when op = '!=' then key <> latest_key else
+              (low is null or low < latest_key or (low = latest_key and not low_open))
+              and (high is null or latest_key < high or (latest_key = high and not high_open)) end) as ok
+            from t_bounds b join t_known_versions k using (ecosystem, package) group by all),
+        fit as (select repo, position, bool_or(ok) as ok from each group by all)
+        select d.repo, d.position, d.ecosystem, d.name, d.spec, latest_version, case when latest_key is not null then coalesce(f.ok, true) end as admits_latest
+        from t_declared d left join fit f using (repo, position) left join t_known_versions k on k.ecosystem = d.ecosystem and k.package = d.package"""
+
+    # --- licenses: expressions here hold no brackets, so alternatives are what stands between OR
+    found = union(
+        f"select repo, path, line, {q(name)} as license from (" + hits("t_scan", pattern, "1 as one") + ")" for name, pattern in R.LICENSE_NOTICES
+    )
+    t["t_license_notices"] = found
+    heading = q(r"(?im)^#+[ \t]*licen[sc]e[ \t]*\n+[ \t]*([^\n]+?)[ \t.]*$")
+    t["t_project_license"] = f"""select r.repo, coalesce(
+          (select max(json_extract_string(content, '$.license')) from t_files f where f.repo = r.repo and path = 'package.json' and json_valid(content)),
+          (select max(nullif(regexp_extract(content, {heading}, 1), '')) from t_files f where f.repo = r.repo and path = 'README.md')) as license
+        from t_repos r"""
+    edges = ", ".join(f"({q(a)}, {q(b)})" for a, b in R.LICENSE_ORDER)
+    beside = ", ".join(f"({q(a)}, {q(b)})" for a, b in R.LICENSE_BESIDE)
+    t["t_order"] = f"select * from (values {edges}) v(inner_license, own)"
+    t["t_into"] = f"""with recursive reach(inner_license, own) as (select inner_license, inner_license from t_order union select own, own from t_order
+          union select r.inner_license, e.own from reach r join t_order e on e.inner_license = r.own)
+        select * from reach union select * from (values {beside}) v(inner_license, own)"""
+    packages = ", ".join(f"({q(k)}, {q(v)})" for k, v in R.PACKAGE_LICENSES.items())
+    t["t_taken"] = f"""select repo, 'package' as kind, name as source, v.license from t_dependencies d
+          left join (values {packages}) v(package, license) on v.package = lower(d.name)
+        union all select distinct repo, 'file', path, license from t_license_notices"""
+    known = "exists (select 1 from t_into i where i.own = x.own)"
+    leaf = f"""case when (kind = 'package' and part in {among(R.LINKABLE)}) or own = part then 1
+          when not {known} or not exists (select 1 from t_into i where i.inner_license = part) then null
+          when exists (select 1 from t_into i where i.inner_license = part and i.own = x.own) then 1 else 0 end"""
+    t["t_license_verdicts"] = f"""with x as (select t.repo, kind, source, t.license, p.license as project_license, p.license as own,
+            unnest(string_split(coalesce(t.license, ''), ' OR ')) as part from t_taken t join t_project_license p using (repo)),
+        told as (select repo, kind, source, license, project_license, {leaf} as ok from x)
+        select repo, kind, source, license, project_license, case when project_license is null or license is null then 'unknown'
+          when max(ok) = 1 then 'fits' when bool_or(ok is null) then 'unknown' else 'conflict' end as verdict from told group by repo, kind, source, license, project_license"""
+    t["t_license_conflicts"] = "select * exclude (verdict) from t_license_verdicts where verdict = 'conflict'"
+    return t
+
+
 def streams() -> dict[str, str]:
     """What a stream gives in the end is what the batch gives; file n of a repository arrives n hours after 2024 begins."""
     walked = "exists (select 1 from t_tree x where x.repo = s.repo and x.path = s.{})"
@@ -847,8 +969,9 @@ def reports() -> dict[str, str]:
     return t
 
 
-SHARED = {"t_templates", "t_documents", "t_all_files", "t_later_files", "t_commits", "t_commit_files", "t_suffix_language"}
-BIG = {"t_all_files", "t_later_files", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
+LATER = {"new": "t_later_files", "third": "t_third_files", "fourth": "t_fourth_files", "fifth": "t_fifth_files"}
+SHARED = {"t_templates", "t_documents", "t_all_files", *LATER.values(), "t_commits", "t_commit_files", "t_suffix_language"}
+BIG = {"t_all_files", *LATER.values(), "t_declared", "t_clauses", "t_license_notices", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
 
 
 def needed(names: list[str], library: dict[str, str]) -> list[str]:
@@ -870,8 +993,8 @@ def needed(names: list[str], library: dict[str, str]) -> list[str]:
 
 
 def with_clause(entries: dict[str, str]) -> str:
-    base = lambda n: re.sub(r"_new$", "", n)
-    return "WITH " + ",\n".join(
+    base = lambda n: re.sub(rf"_({'|'.join(LATER)})$", "", n)
+    return "WITH RECURSIVE " + ",\n".join(
         f"{n} AS {'MATERIALIZED ' if base(n) in BIG else ''}({sql})" for n, sql in entries.items()
     )
 
@@ -883,19 +1006,40 @@ def statement(key: str) -> str:
     return f"{with_clause(entries)}\nSELECT * FROM {name}"
 
 
-def later(key: str) -> dict[str, str]:
-    """Entries of a query over the later state of the corpus, renamed."""
+def later(key: str, state: str = "new") -> dict[str, str]:
+    """Entries of a query over a later state of the corpus, renamed."""
     library = dict(tables())
-    library["t_files"] = "select * from t_later_files"
+    library["t_files"] = f"select * from {LATER[state]}"
     entries = {}
     for name in needed([f"t_{key}"], library):
-        renamed = name if name in SHARED else f"{name}_new"
+        renamed = name if name in SHARED else f"{name}_{state}"
         entries[renamed] = re.sub(
-            r"\b(t_\w+)", lambda m: m[1] if m[1] in SHARED or m[1] not in library else f"{m[1]}_new", library[name]
+            r"\b(t_\w+)", lambda m: m[1] if m[1] in SHARED or m[1] not in library else f"{m[1]}_{state}", library[name]
         )
     return entries
 
 
+def trend() -> str:
+    """Scores of five states at five days, each compared with the one before, and the line through all of them."""
+    library = tables()
+    entries = {n: library[n] for n in needed(["t_debt_score"], library)}
+    for state in LATER:
+        entries |= later("debt_score", state)
+    states = {"now": ("", 0), "later": ("_new", 7), "third": ("_third", 21), "fourth": ("_fourth", 28), "fifth": ("_fifth", 60)}
+    log = union(
+        f"select repo, {q(name)} as snapshot_id, {20454 + day}::bigint as day, score, grade from t_debt_score{suffix}"
+        for name, (suffix, day) in states.items()
+    )
+    return f"""{with_clause(entries)}, log AS ({log}),
+    line AS (select repo, count(*) as n, sum(day - 20454) as sx, sum(score) as sy, sum((day - 20454) * score) as sxy, sum((day - 20454) * (day - 20454)) as sxx
+      from log group by repo),
+    slopes AS (select repo, (n * sxy - sx * sy)::double / nullif(n * sxx - sx * sx, 0)::double as slope from line)
+    select repo, row_number() over w as position, snapshot_id, day, score, grade, score - lag(score) over w as change,
+      score - first(score) over w as change_so_far, slope,
+      case when slope > 0 then 'worsening' when slope < 0 then 'improving' when slope = 0 then 'steady' else 'unknown' end as direction
+    from log join slopes using (repo) window w as (partition by repo order by day)"""
+
+
 def difference(key: str, final: str) -> str:
     library = tables()
     now = {n: library[n] for n in needed([f"t_{key}"], library)}
@@ -917,6 +1061,7 @@ def diff_statements() -> dict[str, str]:
         "diff_grade": difference("debt_score", grade),
         "diff_findings": changed("security_findings", "*", "new", "resolved"),
         "diff_key_files": changed("scored_files", "repo, path", "new", "deleted"),
+        "debt_trend": trend(),
         "diff_recommendations": changed("debt_recommendations", "repo, recommendation", "new", "resolved"),
     }
 
