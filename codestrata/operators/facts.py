@@ -367,6 +367,8 @@ def is_convention_source() -> Column:
 @cache
 def signals() -> dict[str, Callable[[], Column]]:
     """Extractions an analysis can ask for, by column name."""
+    from . import exports  # which reads facts itself
+
     content = C("content")
     nothing = T.empty
     scan, python, script = scannable(), C("suffix") == ".py", T.is_in("suffix", R.JS_SUFFIXES)
@@ -385,6 +387,12 @@ def signals() -> dict[str, Callable[[], Column]]:
         "todos": lambda: only(
             T.is_in("suffix", R.CODE_SUFFIXES), todos(content), "struct<line:int,kind:string,text:string>"
         ),
+        "symbols": lambda: F.when(python, exports.python_symbols(content))
+        .when(script, exports.script_symbols(content))
+        .otherwise(nothing(exports.SYMBOL)),
+        "links": lambda: F.when(python, exports.python_links(content))
+        .when(script, exports.script_links(content))
+        .otherwise(nothing(exports.LINK)),
         "line_secrets": lambda: secret_lines(content),
         "opens_with_docstring": lambda: python
         & (F.startswith(trimmed, F.lit('"""')) | F.startswith(trimmed, F.lit("'''"))),

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import api, architecture, conventions, debt, dependencies, diff, facts, history
+from ..operators import api, architecture, conventions, debt, dependencies, diff, exports, facts, history
 from ..functions.scale import kept
 from ..operators import languages, licensing, onboarding, profile, scorecard, security, setup, trend, versions
 from ..sources.corpus import Corpus, later_corpus, staged_corpus
@@ -195,6 +195,7 @@ PLANS: dict[str, Plan] = {
     "endpoints": Plan(lambda i: api.endpoints(i.facts), *api.ROUTE_KINDS),
     "undocumented_routes": Plan(lambda i: api.undocumented_routes(i.facts), *api.ROUTE_KINDS, "has_docstring"),
     "api_report": Plan(lambda i: api.api_report(i.facts), *api.ROUTE_KINDS, "click", "argparse", "has_docstring"),
+    "public_exports": staged(lambda i: exports.public_exports(i.tree), "manifest", "symbols", "links"),
     # security
     "secret_findings": Plan(lambda i: security.secret_findings(i.facts), "secrets"),
     "sql_injection": Plan(lambda i: security.sql_injection(i.facts), "sql_strings"),

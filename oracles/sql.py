@@ -359,7 +359,7 @@ def tables() -> dict[str, str]:
     t["t_debt_chart_rows"] = f"select repo, position, {title} as label, score, {ladder('score', R.DEBT_COLOURS, R.WORST_COLOUR, '<=')} as colour from t_debt_dimensions"
     return {
         **t, **onboarding(), **dependencies(), **conventions(), **surfaces(), **setup_and_history(), **scores(), **reports(),
-        **streams(), **extras(),
+        **streams(), **extras(), **exports(),
     }
 
 
@@ -484,6 +484,62 @@ def extras() -> dict[str, str]:
     return t
 
 
+def exports() -> dict[str, str]:
+    """Public symbols and their uses; the files here have no stars, no __all__ and no lists of exports."""
+    t: dict[str, str] = {}
+    py = r"(?m)^(?:async[ \t]+)?(?:def|class)[ \t]+[A-Za-z_]\w*|^[A-Z][A-Z0-9_]*[ \t]*(?::[^=\n]+)?=(?:[^=]|$)"
+    js = (
+        r"(?m)^[ \t]*export[ \t]+(?:default[ \t]+)?(?:abstract[ \t]+)?(?:async[ \t]+)?"
+        r"(?:function\*?|class|const|let|var|interface|type|enum)[ \t]+[A-Za-z_$][\w$]*|^[ \t]*export[ \t]+default\b"
+    )
+    t["t_py_files"] = "select * from t_tree where suffix = '.py'"
+    t["t_js_files"] = f"select * from t_tree where suffix in {among(R.JS_SUFFIXES)}"
+    named = r"(?:function\*?|class|const|let|var|interface|type|enum)[ \t]+([\w$]+)$"
+    word = r"(function|class|const|let|var|interface|type|enum)\*?[ \t]+[\w$]+$"
+    t["t_symbols"] = f"""select repo, path, line, coalesce(nullif(regexp_extract(m, '(?:def|class)[ \\t]+(\\w+)', 1), ''), regexp_extract(m, '^(\\w+)', 1)) as name,
+          case when regexp_matches(m, '^(?:async[ \\t]+)?def\\b') then 'function' when regexp_matches(m, '^class\\b') then 'class' else 'constant' end as kind
+        from ({hits('t_py_files', py, '1 as one')})
+        union all select repo, path, line, case when regexp_matches(m, 'export[ \\t]+default\\b') then 'default' else regexp_extract(m, {q(named)}, 1) end,
+          case regexp_extract(m, {q(word)}, 1) when 'const' then 'constant' when 'let' then 'constant' when 'var' then 'constant' when '' then 'default'
+            else regexp_extract(m, {q(word)}, 1) end
+        from ({hits('t_js_files', js, '1 as one')})"""
+    t["t_public"] = """select repo, path, name, arg_min(kind, (line, kind)) as kind, min(line) as line from t_symbols where not starts_with(name, '_') group by all"""
+    taken = r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(?:\(([^)]*)\)|([^\n#;]+))"
+    whole = r"(?m)^[ \t]*import[ \t]+([^\n#;]+)"
+    member = r"(?:^|[^\w$.])([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)"
+    item = lambda x: f"{strip(x)} as x"
+    halves = "regexp_extract(x, '^(\\S+)', 1) as name, regexp_extract(x, '(\\S+)$', 1) as alias"
+    t["t_taken_names"] = f"""select repo, path, module, {halves} from (select repo, path, module, {item('unnest(string_split(names, chr(44)))')} from (
+          select repo, path, unnest(regexp_extract_all(content, {q(taken)}, 1)) as module,
+            unnest(list_transform(list_zip(regexp_extract_all(content, {q(taken)}, 2), regexp_extract_all(content, {q(taken)}, 3)), lambda z: concat(z[1], z[2]))) as names
+          from t_py_files)) where x <> ''"""
+    t["t_wholes"] = f"""select repo, path, {halves.replace(' as name', ' as module')} from (select repo, path, {item('unnest(string_split(names, chr(44)))')} from (
+          select repo, path, unnest(regexp_extract_all(content, {q(whole)}, 1)) as names from t_py_files)) where x <> ''
+        union all select repo, path, module || name, alias from t_taken_names where regexp_matches(module, '^\\.+$')"""
+    t["t_members"] = f"""select distinct repo, path, owner, name from (select repo, path, unnest(regexp_extract_all(content, {q(member)}, 1)) as owner,
+          unnest(regexp_extract_all(content, {q(member)}, 2)) as name from t_py_files)"""
+    t["t_links"] = """select repo, path, module, name, alias, true as exported from t_taken_names
+        union all select w.repo, w.path, w.module, m.name, m.name, false from t_wholes w join t_members m on m.repo = w.repo and m.path = w.path and m.owner = w.alias"""
+    t["t_places"] = """with m as (select distinct l.repo, l.path, l.module, f.parts, length(regexp_extract(l.module, '^(\\.+)', 1)) as dots,
+            replace(regexp_replace(l.module, '^\\.+', ''), '.', '/') as plain from t_links l join t_tree f using (repo, path)),
+        beside as (select *, array_to_string(list_concat(parts[1:len(parts) - greatest(dots, 1)], case when plain = '' then [] else [plain] end), '/') as base from m),
+        bases as (select repo, path, module, base, 0 as o from beside union all select repo, path, module, plain, 3 from beside where dots = 0),
+        paths as (select repo, path, module, base || unnest(['.py', '.pyi', '/__init__.py']) as target, o + unnest([0, 1, 2]) as place from bases
+          union all select l.repo, l.path, l.module, x.target, 1000 from m l join t_module_map x on x.repo = l.repo and x.module = l.module and l.dots = 0)
+        select repo, path, module, arg_min(target, place) as target from paths p
+        where exists (select 1 from t_tree f where f.repo = p.repo and f.path = p.target) group by all"""
+    t["t_led"] = "select l.repo, l.path, l.name, l.alias, l.exported, p.target from t_links l join t_places p using (repo, path, module) where p.target <> l.path"
+    t["t_moving"] = """select distinct repo, target as start, name as asked, target as at_path, name as symbol from t_led
+        union select m.repo, m.start, m.asked, l.target, l.name from t_moving m
+          join t_led l on l.repo = m.repo and l.path = m.at_path and l.alias = m.symbol and l.exported
+          left join t_public d on d.repo = m.repo and d.path = m.at_path and d.name = m.symbol where d.name is null"""
+    t["t_public_exports"] = """with used as (select distinct l.repo, l.path as user_path, m.at_path as path, m.symbol as name
+            from t_led l join t_moving m on m.repo = l.repo and m.start = l.target and m.asked = l.name where l.path <> m.at_path)
+        select d.repo, d.path, d.name, d.kind, d.line, count(u.user_path) as uses, count(u.user_path) > 0 as used
+        from t_public d left join used u using (repo, path, name) group by d.repo, d.path, d.name, d.kind, d.line"""
+    return t
+
+
 def streams() -> dict[str, str]:
     """What a stream gives in the end is what the batch gives; file n of a repository arrives n hours after 2024 begins."""
     walked = "exists (select 1 from t_tree x where x.repo = s.repo and x.path = s.{})"
@@ -971,7 +1027,7 @@ def reports() -> dict[str, str]:
 
 LATER = {"new": "t_later_files", "third": "t_third_files", "fourth": "t_fourth_files", "fifth": "t_fifth_files"}
 SHARED = {"t_templates", "t_documents", "t_all_files", *LATER.values(), "t_commits", "t_commit_files", "t_suffix_language"}
-BIG = {"t_all_files", *LATER.values(), "t_declared", "t_clauses", "t_license_notices", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
+BIG = {"t_all_files", *LATER.values(), "t_declared", "t_clauses", "t_license_notices", "t_symbols", "t_public", "t_links", "t_led", "t_files", "t_facts", "t_tree", "t_scan", "t_ignored", "t_debt_counts", "t_sample", "t_commit_files", "t_security_findings"}
 
 
 def needed(names: list[str], library: dict[str, str]) -> list[str]:
