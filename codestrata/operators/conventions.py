@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
+from ..functions.sketch import quantiles, sketch
 from ..functions.scale import first_rows, merge_on
 from .facts import is_convention_source
 from .manifests import repos
@@ -251,3 +252,17 @@ def convention_report(facts: DataFrame, commits: DataFrame) -> DataFrame:
     layout = facts.groupBy("repo").agg(*layout_columns(), *linter_columns())
     rows = merge_on("repo", layout, [votes(facts), commit_format(commits)])
     return rows.select("repo", *report_columns())
+
+
+def line_length(tree: DataFrame) -> DataFrame:
+    """How long the lines of a repository's code are, and the usual limit that nearly all of them keep to.
+
+    From a sketch of the lengths: exact below 256 characters, above too large by less than one part in 128.
+    """
+    lines = T.explode_kept(tree.select("repo", "line_buckets"), "line_buckets", "b")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": R.LINE_SHARE, "longest": 1.0}
+    found = quantiles(sketch(lines, ["repo"], C("b")), ["repo"], shares)
+    limit = F.lit(None).cast("bigint")
+    for bound in reversed(R.LINE_LIMITS):
+        limit = F.when(C("p99") <= bound, F.lit(bound).cast("bigint")).otherwise(limit)
+    return found.select("repo", C("count").alias("lines"), *shares, limit.alias("line_limit"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
+from ..functions.sketch import bucket
 
 C = F.col
 
@@ -394,6 +395,9 @@ def signals() -> dict[str, Callable[[], Column]]:
         .when(script, exports.script_links(content))
         .otherwise(nothing(exports.LINK)),
         "line_secrets": lambda: secret_lines(content),
+        "line_buckets": lambda: only(
+            T.is_in("suffix", R.CODE_SUFFIXES), F.transform(T.split_lines(content), lambda s: bucket(F.length(s))), "int"
+        ),
         "opens_with_docstring": lambda: python
         & (F.startswith(trimmed, F.lit('"""')) | F.startswith(trimmed, F.lit("'''"))),
         "has_docstring": lambda: F.contains(content, F.lit('"""')) | F.contains(content, F.lit("'''")),

@@ -182,6 +182,7 @@ PLANS: dict[str, Plan] = {
     "commit_format": Plan(lambda i: conventions.commit_format(i.commits)),
     "linter_config": Plan(lambda i: conventions.linter_config(i.facts)),
     "consistency_score": Plan(lambda i: conventions.consistency_score(i.facts), "style"),
+    "line_length": Plan(lambda i: conventions.line_length(i.tree), "manifest", "line_buckets"),
     "convention_report": Plan(lambda i: conventions.convention_report(i.facts, i.commits), "style"),
     # API surface
     "routes_flask": Plan(lambda i: api.routes(i.facts, "flask"), "flask"),

@@ -341,6 +341,10 @@ BADGE_COLOURS = {"A": "#44cc11", "B": "#97ca00", "C": "#dfb317", "D": "#fe7d37",
 UNKNOWN_BADGE = "#9f9f9f"
 GRADE_RANK = {"A": 5, "B": 4, "C": 3, "D": 2, "F": 1}
 
+# --- fixed values: usual limits of a line's length, and the share of lines that keeps to one -----------------------
+LINE_LIMITS = [79, 80, 88, 99, 100, 120]
+LINE_SHARE = 0.99
+
 # --- fixed values: licenses ----------------------------------------------------------------------------------------
 # code under the first may become part of a work under the second
 LICENSE_ORDER = [

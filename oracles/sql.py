@@ -382,6 +382,18 @@ def extras() -> dict[str, str]:
         select repo, count(*) filter (where status = 'fresh') as fresh_files, count(*) filter (where status = 'stale') as stale_files,
           count(*) filter (where status = 'untouched') as untouched_files from t_stale_files group by repo)"""
 
+    # --- lengths of lines, in buckets that are one wide below 256 and then as wide as the length's lower bits
+    fits = case([(f"p99 <= {b}", str(b)) for b in R.LINE_LIMITS])
+    quantile = lambda share: f"min(top) filter (where upto >= ceil(whole * {share}::double))"
+    t["t_line_length"] = f"""with lengths as (select repo, length(s) as v, greatest(length(bin(length(s))) - 8, 0) as k
+            from t_code_lines where suffix in {among(R.CODE_SUFFIXES)}),
+        counted as (select repo, (((v >> k) + 1) << k) - 1 as top, count(*) as n from lengths group by all),
+        sums as (select repo, top, sum(n) over (partition by repo order by top) as upto, sum(n) over (partition by repo) as whole from counted),
+        found as (select repo, cast(max(whole) as bigint) as lines, {quantile(0.5)} as p50, {quantile(0.95)} as p95,
+          {quantile(R.LINE_SHARE)} as p99, {quantile(1.0)} as longest from sums group by repo)
+        select repo, lines, cast(p50 as bigint) as p50, cast(p95 as bigint) as p95, cast(p99 as bigint) as p99,
+          cast(longest as bigint) as longest, cast({fits} as bigint) as line_limit from found"""
+
     # --- version ranges: one row for each comparison
     def numbered(file: str, value: str) -> str:
         return f"""select repo, unnest(l) as s, generate_subscripts(l, 1) as i from (select repo, {value} as l from t_files where path = {q(file)})"""
