@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +12,17 @@ from .languages import corpus_totals, language_breakdown
 from .manifests import roots
 
 C = F.col
-PACKAGE_JSON = "dependencies map<string,string>, devDependencies map<string,string>"
-
-
-def python_framework() -> Column:
-    hits = []
-    for marker in R.PY_FRAMEWORKS:
-        pattern = R.PY_FRAMEWORK_LINE.replace("{marker}", re.escape(marker))
-        hits.append(F.when(T.has(C("manifest"), pattern), F.lit(marker)))
-    return F.when(T.is_in("name", R.FRAMEWORK_MANIFESTS), F.coalesce(*hits))
-
-
-def script_framework() -> Column:
-    package = F.from_json("manifest", PACKAGE_JSON)
-    names = F.concat(
-        F.coalesce(F.map_keys(package["dependencies"]), T.empty("string")),
-        F.coalesce(F.map_keys(package["devDependencies"]), T.empty("string")),
-    )
-    hits = [F.when(F.array_contains(names, dep), F.lit(fw)) for fw, dep in R.JS_FRAMEWORKS]
-    return F.when(C("name") == "package.json", F.coalesce(*hits))
 
 
 def framework_python(tree: DataFrame) -> DataFrame:
     """Framework named by each Python manifest that names one."""
-    return tree.select("repo", "path", python_framework().alias("framework")).where("framework is not null")
+    named = tree.where(T.is_in("name", R.FRAMEWORK_MANIFESTS) & C("framework_hint").isNotNull())
+    return named.select("repo", "path", C("framework_hint").alias("framework"))
 
 
 def framework_js(tree: DataFrame) -> DataFrame:
-    return tree.select("repo", "path", script_framework().alias("framework")).where("framework is not null")
+    named = tree.where((C("name") == "package.json") & C("framework_hint").isNotNull())
+    return named.select("repo", "path", C("framework_hint").alias("framework"))
 
 
 ORDERED = [*R.FRAMEWORK_MANIFESTS, "package.json"]
@@ -49,9 +30,8 @@ ORDERED = [*R.FRAMEWORK_MANIFESTS, "package.json"]
 
 def framework_columns() -> list[Column]:
     """Framework of the last file of each manifest name, as aggregates per repository."""
-    found = F.coalesce(python_framework(), script_framework())
     named = [
-        F.max_by(F.when(C("name") == n, found), F.when(C("walked") & (C("name") == n), C("parts"))).alias(f"fw_{i}")
+        F.max_by(F.when(C("name") == n, C("framework_hint")), F.when(C("walked") & (C("name") == n), C("parts"))).alias(f"fw_{i}")
         for i, n in enumerate(ORDERED)
     ]
     django = F.coalesce(F.bool_or(C("walked") & (C("name") == "manage.py")), F.lit(False))

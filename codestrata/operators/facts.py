@@ -7,6 +7,7 @@ and then never touches file contents again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -125,6 +126,21 @@ def secret_lines(content: Column) -> Column:
     return F.when(found, rows).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
+# --- frameworks -------------------------------------------------------------------
+
+PACKAGE_JSON = "dependencies map<string,string>, devDependencies map<string,string>"
+
+
+def framework_hint(content: Column) -> Column:
+    """The framework that a manifest names, wherever in the repository it lies."""
+    lines = (R.PY_FRAMEWORK_LINE.replace("{marker}", re.escape(m)) for m in R.PY_FRAMEWORKS)
+    python = F.coalesce(*(F.when(T.has(content, p), F.lit(m)) for m, p in zip(R.PY_FRAMEWORKS, lines)))
+    package = F.from_json(content, PACKAGE_JSON)
+    names = F.concat(*(F.coalesce(F.map_keys(package[s]), T.empty("string")) for s in ("dependencies", "devDependencies")))
+    script = F.coalesce(*(F.when(F.array_contains(names, dep), F.lit(fw)) for fw, dep in R.JS_FRAMEWORKS))
+    return F.when(T.is_in("name", R.FRAMEWORK_MANIFESTS), python).when(C("name") == "package.json", script)
+
+
 # --- security ----------------------------------------------------------------------
 
 
@@ -380,8 +396,10 @@ def signals() -> dict[str, Callable[[], Column]]:
         return F.when(test, value).otherwise(nothing(ddl))
 
     return {
-        # manifests only: a handful of small files per repository
-        "manifest": lambda: F.when(T.is_in("name", MANIFESTS), content),
+        # of the root only: at most one file of each name in a repository
+        "manifest": lambda: F.when((C("depth") == 1) & T.is_in("name", MANIFESTS), content),
+        # what nested manifests are read for as well
+        "framework_hint": lambda: framework_hint(content),
         "imports": lambda: F.when(T.is_in("suffix", R.PY_GRAPH_SUFFIXES), python_imports(content))
         .when(T.is_in("suffix", R.JS_GRAPH_SUFFIXES), script_imports(content))
         .otherwise(nothing("string")),
@@ -437,6 +455,11 @@ def signal(name: str) -> Column:
     return signals()[name]()
 
 
+def with_implied(names) -> list[str]:
+    """Names of signals with those that come along: manifests are also read for the framework they name."""
+    return [*names, *(["framework_hint"] if "manifest" in names and "framework_hint" not in names else [])]
+
+
 def facts(files: DataFrame, *names: str, max_size: int | None = None) -> DataFrame:
     """One row per file with path facts and the named signals; file contents are left behind.
 
@@ -447,7 +470,7 @@ def facts(files: DataFrame, *names: str, max_size: int | None = None) -> DataFra
         "line_count": T.line_count(C("content")),
         "walkable": outside_pruned_dirs() & not_binary() & small,
         "scannable": scannable(),
-        **{name: signal(name) for name in names or signals()},
+        **{name: signal(name) for name in with_implied(names) or signals()},
     }
     return identify(files).withColumns(columns).drop("content", "lowered")
 

@@ -242,7 +242,7 @@ PLANS: dict[str, Plan] = {
     "stream_secret_findings": Plan(lambda i: streams.extracted(i.corpus, "secret_findings")),
     "stream_endpoints": Plan(lambda i: streams.extracted(i.corpus, "endpoints")),
     "stream_daily_totals": Plan(lambda i: streams.totals(i.corpus)),
-    "full_report": Plan(lambda i: report.full_report(i.corpus)),
+    "full_report": Plan(lambda i: report.whole(report.full_report(i.corpus))),
     "snapshot_write": Plan(lambda i: report.written_rows(i.corpus)),
     "snapshot_read": Plan(lambda i: report.stored_reports(i.corpus)),
     "report_items": Plan(lambda i: report.report_items(i.corpus)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import scale
-from ..functions.scale import merge_on, stage
+from ..functions.scale import kept, merge_on, stage
 from ..operators import api, architecture, conventions, debt, dependencies, facts, history
 from ..operators import languages, onboarding, security, setup
 from ..operators.manifests import complete
@@ -212,8 +212,8 @@ SIGNALS: dict[str, tuple[str, ...]] = {
 
 def facts_for(corpus: Corpus, analyses) -> DataFrame:
     """Facts with the signals of the analyses only; the other signals are null columns that were never extracted."""
-    kinds = {f.name: f.dataType for f in facts.facts(corpus.files).schema}
-    wanted = sorted({s for a in analyses or ANALYSES for s in SIGNALS.get(a, ())})
+    kinds = kept(corpus.files.sparkSession, "signal types", lambda: {f.name: f.dataType for f in facts.facts(corpus.files).schema})
+    wanted = facts.with_implied(sorted({s for a in analyses or ANALYSES for s in SIGNALS.get(a, ())}))
     rows = staged_facts(corpus, *wanted)
     return rows.withColumns({s: F.lit(None).cast(kinds[s]) for s in facts.signals() if s not in wanted})
 
@@ -312,43 +312,74 @@ def written_rows(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
     )
 
 
-def stored_reports(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
-    """Write the report as a snapshot, read it back and lay its scalars out flat."""
-    flat = {
-        "architecture": [
-            "project_type", "framework", "structure_pattern", "total_files", "total_lines", "entry_point_count", "edge_count",
-        ],
-        "tech_debt": ["overall_score", "grade"],
-        "onboarding": ["project_summary", "architecture_overview"],
-        "dependencies": ["package_manager", "total_deps", "outdated_count", "risk_score"],
-        "conventions": [
-            "variables", "functions", "classes", "files", "indent_style", "indent_width", "quotes", "semicolons",
-            "import_style", "error_handling", "test_pattern", "commit_format", "linter_config", "consistency_score",
-        ],
-        "api": ["api_type", "total_routes", "total_commands", "undocumented_routes"],
-        "security": ["risk_level", "secrets_found", "auth_pattern"],
-        "setup": ["build_command", "test_command"],
-    }
-    sizes = {
-        "key_file_count": "size(architecture.key_files)",
-        "hotspot_count": "coalesce(size(tech_debt.hotspots), 0)",
-        "recommendation_count": "size(tech_debt.recommendations)",
-        "setup_step_count": "size(onboarding.setup_steps)",
-        "test_command_count": "size(onboarding.test_commands)",
-        "gotcha_count": "size(onboarding.gotchas)",
-        "term_count": "coalesce(size(onboarding.glossary), 0)",
-        "contributor_count": "size(onboarding.top_contributors)",
-        "port_count": "size(security.exposed_ports)",
-        "advice_count": "size(security.recommendations)",
-        "prerequisite_count": "size(setup.prerequisites)",
-        "install_step_count": "size(setup.install_steps)",
-        "run_command_count": "size(setup.run_commands)",
-        "issue_count": "size(setup.common_issues)",
-    }
-    return read_snapshots(corpus.files.sparkSession, written(corpus, snapshot_id)).select(
-        "snapshot_id",
+FLAT = {
+    "architecture": [
+        "project_type", "framework", "structure_pattern", "total_files", "total_lines", "entry_point_count", "edge_count",
+    ],
+    "tech_debt": ["overall_score", "grade"],
+    "onboarding": ["project_summary", "architecture_overview"],
+    "dependencies": ["package_manager", "total_deps", "outdated_count", "risk_score"],
+    "conventions": [
+        "variables", "functions", "classes", "files", "indent_style", "indent_width", "quotes", "semicolons",
+        "import_style", "error_handling", "test_pattern", "commit_format", "linter_config", "consistency_score",
+    ],
+    "api": ["api_type", "total_routes", "total_commands", "undocumented_routes"],
+    "security": ["risk_level", "secrets_found", "auth_pattern"],
+    "setup": ["build_command", "test_command"],
+}
+SIZES = {
+    "key_file_count": "size(architecture.key_files)",
+    "hotspot_count": "coalesce(size(tech_debt.hotspots), 0)",
+    "recommendation_count": "size(tech_debt.recommendations)",
+    "setup_step_count": "size(onboarding.setup_steps)",
+    "test_command_count": "size(onboarding.test_commands)",
+    "gotcha_count": "size(onboarding.gotchas)",
+    "term_count": "coalesce(size(onboarding.glossary), 0)",
+    "contributor_count": "size(onboarding.top_contributors)",
+    "port_count": "size(security.exposed_ports)",
+    "advice_count": "size(security.recommendations)",
+    "prerequisite_count": "size(setup.prerequisites)",
+    "install_step_count": "size(setup.install_steps)",
+    "run_command_count": "size(setup.run_commands)",
+    "issue_count": "size(setup.common_issues)",
+}
+# lists as texts: a line for each element, its fields parted by bars
+TEXTS = {
+    "key_files": ("architecture.key_files", "concat_ws('|', x.path, x.role, x.importance_score)"),
+    "hotspots": ("tech_debt.hotspots", "concat_ws('|', x.path, x.reason, x.score)"),
+    "debt_advice": ("tech_debt.recommendations", "x"),
+    "setup_commands": ("onboarding.setup_steps", "x.command"),
+    "test_commands": ("onboarding.test_commands", "x"),
+    "gotchas": ("onboarding.gotchas", "x"),
+    "terms": ("array_sort(map_entries(onboarding.glossary))", "concat_ws('|', x.key, x.value)"),
+    "contributors": ("onboarding.top_contributors", "concat_ws('|', x.name, x.email, x.recent_commits)"),
+    "packages": ("dependencies.deps", "concat_ws('|', x.name, x.current_version, x.status)"),
+    "ports": ("security.exposed_ports", "cast(x as string)"),
+    "security_advice": ("security.recommendations", "x"),
+    "install_commands": ("setup.install_steps", "x.command"),
+    "issues": ("setup.common_issues", "x.description"),
+}
+
+
+def flat(reports: DataFrame, *more: Column | str) -> DataFrame:
+    """The scalars of all sections side by side, and the sizes of their lists."""
+    return reports.select(
+        *more,
         "repo",
         "head_commit",
-        *(f"{section}.{name}" for section, names in flat.items() for name in names),
-        *(F.expr(f"cast({size} as bigint)").alias(name) for name, size in sizes.items()),
+        *(f"{section}.{name}" for section, names in FLAT.items() for name in names),
+        *(F.expr(f"cast({size} as bigint)").alias(name) for name, size in SIZES.items()),
     )
+
+
+def whole(reports: DataFrame) -> DataFrame:
+    """Reports without nesting: scalars, sizes, and the lists as texts."""
+    lists = {
+        name: F.expr(f"coalesce(array_join(transform({value}, x -> {item}), '\n'), '')") for name, (value, item) in TEXTS.items()
+    }
+    return flat(reports, *(text.alias(name) for name, text in lists.items()))
+
+
+def stored_reports(corpus: Corpus, snapshot_id: str = "current") -> DataFrame:
+    """Write the report as a snapshot, read it back and lay its scalars out flat."""
+    return flat(read_snapshots(corpus.files.sparkSession, written(corpus, snapshot_id)), "snapshot_id")

@@ -1033,6 +1033,22 @@ def reports() -> dict[str, str]:
         left join t_readme_summary s using (repo) left join t_architecture_overview o using (repo) left join t_package_manager m using (repo)
         left join t_dependency_risk k using (repo) left join t_convention_report c using (repo) left join t_api_report p using (repo)
         left join t_risk_level l using (repo) left join t_auth_pattern u using (repo) left join t_build_command b using (repo) left join t_test_command t using (repo)"""
+    lists = {
+        "key_files": ("key_files", "path || '|' || role || '|' || importance_score", "rank"),
+        "hotspots": ("hotspots", "path || '|' || reason || '|' || score", "rank"),
+        "debt_advice": ("debt_recommendations", "recommendation", "rank"),
+        "setup_commands": ("setup_steps", "command", "position"), "test_commands": ("test_commands", "command", "position"),
+        "gotchas": ("gotchas", "gotcha", "position"), "terms": ("first_terms", "term || '|' || meaning", "term"),
+        "contributors": ("top_contributors", "name || '|' || email || '|' || recent_commits", "rank"),
+        "packages": ("dependencies", "name || '|' || current_version || '|' || status", "position"),
+        "ports": ("exposed_ports", "cast(port as varchar)", "port"),
+        "security_advice": ("security_recommendations", "recommendation", "position"),
+        "install_commands": ("install_steps", "command", "position"), "issues": ("common_issues", "description", "position"),
+    }
+    t["t_full_report"] = "select * exclude (snapshot_id), " + ", ".join(
+        f"coalesce((select string_agg({text}, chr(10) order by {order}) from t_{table} x where x.repo = s.repo), '') as {name}"
+        for name, (table, text, order) in lists.items()
+    ) + " from t_snapshot_read s"
     t["t_snapshot_write"] = "select 'current' as snapshot_id, repo, 11::bigint as field_count from t_repos"
     return t
 
