@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.align import MATCH, occurrences
-from codestrata.llm.tables import map_batches, table
+from codestrata.llm.tables import map_batches, table, where_text
 from codestrata.llm.text import Words, slices, window_hashes
 
 N = 3
@@ -171,15 +171,14 @@ def without(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE,
     """The documents, with all their columns, that have no passage of an item."""
     for block in blocks(items, "item_id", "text"):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for first, w in slices(batch[text_col], terms=True):
-                    for x in passages(first, w, block, least_score):
-                        keep[x[0]] = False
-                yield batch.filter(pa.array(keep))
+        def clean(text: pa.Array, block: Items = block) -> pa.Array:
+            keep = np.ones(len(text), bool)
+            for first, w in slices(text, terms=True):
+                for x in passages(first, w, block, least_score):
+                    keep[x[0]] = False
+            return pa.array(keep)
 
-        docs = map_batches(docs, run, docs.schema)
+        docs = where_text(docs, text_col, clean)
     return docs
 
 

@@ -121,8 +121,11 @@ class Sets:
             out.append(mix((total[self.off[1:]] - total[self.off[:-1]]) + self.sizes().astype(np.uint64)))
         return out[0], out[1]
 
-    def prefixes(self, order: str, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of each set's prefix under an order, and how many each set has."""
+    def prefixes(self, order: str, percent: int, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each set's prefix under an order, and how many each set has.
+
+        With shared, those are left out that hold a word which occurs once in all documents: no other set has them.
+        """
         rank = mix(self.token ^ np.uint64(SEEDS[order]))
         first = {"rare": self.least, "hash": np.zeros(len(rank), np.uint8), "mixed": self.total // 4}[order]
         by = np.lexsort((rank, first, self.text))
@@ -130,18 +133,21 @@ class Sets:
         most = np.where(n > 0, n + (-percent * n // 100) + 1, 0)  # n - ceil(percent * n / 100) + 1
         place = np.arange(len(by)) - self.off[:-1][self.text[by]]
         keep = place < most[self.text[by]]
+        if shared:
+            keep &= self.least[by] > 0
+            most = np.bincount(self.text[by[keep]], minlength=len(n))
         return self.token[by[keep]], most
 
 
 def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFrame:
-    """(id, n, a, b, prefix): size, two hashes and the first order's prefix of each text's set."""
+    """(id, n, a, b, prefix): size, two hashes and of the first order's prefix what other sets may have, for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, w in slices(batch["text"], lower=True):
                 sets = Sets(w, k, words)
                 a, b = sets.digests()
-                token, count = sets.prefixes("rare", percent)
+                token, count = sets.prefixes("rare", percent, shared=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"].slice(first, len(w)), pa.array(sets.sizes().astype(np.int64)), pa.array(a.view(np.int64)),
@@ -259,7 +265,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
         for batch in batches:
             for first, w in slices(batch["text"], lower=True):
                 found, own = Sets(w, shingle, words), batch.slice(first, len(w))
-                token, count = found.prefixes("hash", percent)
+                token, count = found.prefixes("hash", percent, shared=True)
                 right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)  # of an id's texts
                 keep = np.repeat(right, count)
                 at = pa.array(np.repeat(np.arange(len(w)), count)[keep])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.tables import cut, map_batches
-from codestrata.llm.text import Words, lists, mix, slices, texts, window_hashes
+from codestrata.llm.text import Words, lists, mix, slices, window_hashes
 
 SIZE = 50
 GRAM = 10
@@ -225,10 +225,12 @@ def with_verdicts(docs: DataFrame, search: Search, changed: DataFrame, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [x.split() for x in texts(batch["text"])]
-            sums = [hashlib.sha256(b" ".join(x)).hexdigest() for x in words]
-            n = pa.array([len(x) for x in words], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], n, pa.array(sums, pa.string())], names)
+            sums, n = [], []
+            for x in batch["text"].cast(pa.large_binary()):  # one text at a time
+                words = (x.as_py() or b"").split()
+                sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                n.append(len(words))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(n, pa.int64()), pa.array(sums, pa.string())], names)
 
     names = ["id", "key", "n_words", "all_sha256"]
     base = map_batches(identified(docs, id_col, text_col), run, "id long, key long, n_words long, all_sha256 string")

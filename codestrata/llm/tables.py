@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written as Parquet to the folder that the cluster shares; forget() removes these tables."""
+    """df, computed once and written as Parquet to the folder that the cluster shares; remove() takes such tables away."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
@@ -37,13 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes all tables that cut() has written in this application; DataFrames that read them can't be used any more."""
+def staged(spark: SparkSession) -> list[str]:
+    """Folders that cut() has written in this application, in order."""
+    return list(getattr(spark.sparkContext, "_codestrata_tables", []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that were written before; DataFrames that read them can't be used any more."""
     context = spark.sparkContext
-    for path in getattr(context, "_codestrata_tables", []):
+    for path in paths:
         where = context._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    context._codestrata_tables = []
+    context._codestrata_tables = [path for path in staged(spark) if path not in set(paths)]
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,6 +75,16 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def where_text(docs: DataFrame, text_col: str, test: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows whose text passes a test of Arrow arrays: texts go to Python, one boolean each comes back."""
+    ship(docs.sparkSession)
+
+    def passes(text: pa.Array) -> pa.Array:
+        return test(text)
+
+    return docs.where(F.arrow_udf(passes, "boolean")(docs[text_col]))
+
+
 def by_group(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
     """applyInArrow on groups of a bounded size, with this subpackage on the executors."""
     ship(df.sparkSession)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.tables import cut, map_batches, remainder, table
+from codestrata.llm.tables import cut, map_batches, remainder, table, where_text
 from codestrata.llm.text import lowered, mix, slices
 
 FIT_ROWS = 20_000  # labelled rows for lexicon, trust and calibration, at most
@@ -415,12 +415,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def without(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes, hits, size = model.voters.votes(batch["text"])
-            yield batch.filter(pa.array(model.score(votes, hits, size) < threshold))
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(*model.voters.votes(text)) < threshold)
 
-    return map_batches(docs, run, docs.schema)
+    return where_text(docs, "text", clean)
 
 
 def query(spark, sf_dir):

@@ -5,16 +5,17 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from codestrata.llm.tables import staged
 from codestrata.llm import jaccard, toxicity
 
 from . import brute
 
-TEN = {f"op{n}_" for n in range(1, 11)}
+ALL = {f"op{n}_" for n in range(1, 14)}
 
 
 def test_all_operators_are_registered_once():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert {n.split("_")[0] + "_" for n in names} == TEN and len(names) == 10 and "pipeline" in entry.queries()
+    assert {n.split("_")[0] + "_" for n in names} == ALL and len(names) == 13 and "pipeline" in entry.queries()
 
 
 def test_stages_and_their_order():
@@ -70,3 +71,31 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, env={"PATH": os.environ["PATH"]})
     assert said.stdout.split()[-1] == "False", said.stderr
+
+
+def test_a_run_leaves_other_operators_tables_alone(spark, folder):
+    from codestrata.llm import sharding
+
+    before = sharding.query(spark, folder[0])
+    count = before.count()
+    kept = set(staged(spark))
+    assert corpus_pipeline.run(spark, folder[0]).count() > 0
+    assert set(staged(spark)) == kept and before.count() == count
+
+
+@pytest.mark.parametrize("kind", ["empty", "repeated", "unlabelled"])
+def test_awkward_documents(spark, folder, tmp_path, kind):
+    """An empty table gives no rows; repeated rows are all encoded or all left out; without labels nothing is learned."""
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{folder[0]}/{name}.parquet")
+        if (kind, name) in (("empty", "documents"), ("unlabelled", "labels")):
+            rows = rows.limit(0)
+        if (kind, name) == ("repeated", "documents"):
+            rows = rows.unionAll(rows)
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "empty":
+        assert found == []
+    else:
+        ids = [r.doc_id for r in found]
+        assert ids and all(ids.count(i) == (2 if kind == "repeated" else 1) for i in set(ids))
