@@ -11,17 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.llm import bpe, decontamination, jaccard, suffixes, toxicity
-from codestrata.llm.tables import forget, shared_folder, table
+from codestrata.llm.tables import remove, shared_folder, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+LEFT: dict[tuple[str, str], list[str]] = {}  # what the last stage over a folder has staged, by application and folder
 
 
 def alone(stage: Stage) -> Stage:
-    """The stage, after the tables that earlier stages have staged are removed: their rows are written by then."""
+    """The stage, after the tables that the stage before it over the same documents has staged are removed.
+
+    That stage's rows are written by then.  Tables that other operators have staged are not touched.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark)
-        return stage(spark, docs, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        remove(spark, LEFT.pop(key, []))
+        before = set(staged(spark))
+        rows = stage(spark, docs, sf_dir)
+        LEFT[key] = [path for path in staged(spark) if path not in before]
+        return rows
 
     return run_stage
 
@@ -39,10 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents of sf_dir; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the documents of sf_dir; each stage's rows are written and read again.
+
+    A stage's rows are removed once the next stage's are written.
+    """
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        remove(spark, read)
+        docs, read = spark.read.parquet(path), [path]
+    remove(spark, LEFT.pop((spark.sparkContext.applicationId, sf_dir), []))
     return docs
