@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.align import MATCH, occurrences
-from codestrata.llm.tables import map_batches, table, where_text
+from codestrata.llm.tables import map_batches, table, where
 from codestrata.llm.text import Words, slices, window_hashes
 
 N = 3
@@ -178,7 +178,7 @@ def without(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE,
                     keep[x[0]] = False
             return pa.array(keep)
 
-        docs = where_text(docs, text_col, clean)
+        docs = where(docs, text_col, clean)
     return docs
 
 

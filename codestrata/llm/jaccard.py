@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.graph import components
 from codestrata.llm.passages import packed, unpacked
-from codestrata.llm.tables import by_group, cut, map_batches, table
+from codestrata.llm.tables import by_group, cut, lean, lean_group, map_batches, table, where
 from codestrata.llm.text import BASE, Words, lists, mix, slices
 
 SHINGLE, PERCENT = 5, 80
 SLOT_BITS = 24  # word counts take a byte for each of so many slots: 16 MB in each task
 UNIT_SHINGLES = 1_000_000  # in texts that a task compares at once
+SLICE = 1 << 20  # bytes of text whose sets a task holds at once
+MEMBER_BITS = 26  # a filter of ids is a bit for each of so many slots: 8 MB in each task
 BLOCK = 800  # members of a large family in one block
 ORDERS = ("rare", "hash", "mixed")
 SEEDS = {"rare": 11, "hash": 23, "mixed": 37}
@@ -64,7 +66,7 @@ def word_counts(docs: DataFrame) -> Counts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [w.h >> np.uint64(64 - SLOT_BITS) for _, w in slices(batch["text"], lower=True)]
+            found = [w.h >> np.uint64(64 - SLOT_BITS) for _, w in slices(batch["text"], lower=True, size=SLICE)]
             slot, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], ["slot", "n"])
 
@@ -74,14 +76,52 @@ def word_counts(docs: DataFrame) -> Counts:
         level[group["slot"].to_numpy() & 0xFFFF] = levels(group["n"].to_numpy())
         return pa.table({"part": pa.array([part], pa.int32()), "level": pa.array([packed(level)], pa.binary())})
 
-    counted = map_batches(docs.select("text"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select("text"), lean(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counted = counted.select(F.shiftright("slot", 16).alias("part"), "slot", "n")
     level = np.zeros((1 << (SLOT_BITS - 16), 1 << 16), np.uint8)
-    for r in by_group(counted, "part", packed_levels, "part int, level binary").collect():
+    for r in by_group(counted, "part", lean_group(packed_levels), "part int, level binary").collect():
         level[r["part"]] = unpacked(r["level"], "u1")
     return Counts(level.ravel())
 
 
+def some_of(ids: DataFrame) -> np.ndarray:
+    """A filter of the ids in a column `node`, a bit for each slot; the driver gets at most 8 MB.
+
+    It passes all of these ids and few others, as long as there are fewer ids than slots; in a larger corpus it passes
+    more, which costs rows that a join then drops, but no result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot_of(batch["node"])).astype(np.int32))], ["slot"])
+
+    def packed_bits(group: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[group["slot"].to_numpy() & 0xFFFF] = 1
+        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "bits": pa.array([packed(np.packbits(bits))], pa.binary())})
+
+    slots = map_batches(ids.select("node"), run, "slot int").distinct().select(F.shiftright("slot", 16).alias("part"), "slot")
+    bits = np.zeros((1 << (MEMBER_BITS - 16), 1 << 13), np.uint8)
+    for r in by_group(slots, "part", packed_bits, "part int, bits binary").collect():
+        bits[r["part"]] = unpacked(r["bits"], "u1")
+    return bits.ravel()
+
+
+def slot_of(ids: pa.Array) -> np.ndarray:
+    values = ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return mix(values + BASE) >> np.uint64(64 - MEMBER_BITS)
+
+
+def passed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The documents whose id passes a filter, before their texts are moved."""
+
+    def test(ids: pa.Array) -> pa.Array:
+        slot = slot_of(ids)
+        return pa.array((bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0)
+
+    return where(docs, "id", test)
+
+
 class Sets:
     """The shingle sets of some texts: text i has the tokens token[off[i]:off[i + 1]], in ascending order."""
 
@@ -144,7 +184,7 @@ def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, w in slices(batch["text"], lower=True):
+            for first, w in slices(batch["text"], lower=True, size=SLICE):
                 sets = Sets(w, k, words)
                 a, b = sets.digests()
                 token, count = sets.prefixes("rare", percent, shared=True)
@@ -156,7 +196,7 @@ def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFram
                     ["id", "n", "a", "b", "prefix"],
                 )
 
-    return map_batches(docs, run, "id long, n long, a long, b long, prefix array<long>")
+    return map_batches(docs, lean(run), "id long, n long, a long, b long, prefix array<long>")
 
 
 def families(tokens: DataFrame) -> DataFrame:
@@ -181,7 +221,7 @@ def links_within(group: pa.Table, k: int, percent: int, words: Counts) -> list[t
     rows = {c: group[c].combine_chunks() for c in ("node", "a", "family", "side", "text")}
     node, digest, family, side = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "a", "family", "side"))
     tokens, prefixes = [], {order: [] for order in ORDERS}
-    for first, w in slices(rows["text"], lower=True):
+    for first, w in slices(rows["text"], lower=True, size=SLICE):
         sets = Sets(w, k, words)
         own = sets.digests()[0].view(np.int64) == digest[first : first + len(w)]  # an id with several texts: the right one
         tokens += [sets.token[x:y] if ok else None for x, y, ok in zip(sets.off, sets.off[1:], own)]
@@ -263,7 +303,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, w in slices(batch["text"], lower=True):
+            for first, w in slices(batch["text"], lower=True, size=SLICE):
                 found, own = Sets(w, shingle, words), batch.slice(first, len(w))
                 token, count = found.prefixes("hash", percent, shared=True)
                 right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)  # of an id's texts
@@ -275,11 +315,12 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
     close = families(usable.select(F.explode("prefix").alias("token"), F.col("id").alias("node"), level))
     members = cut(with_size(sets.join(close.hint("merge"), "node").select("node", "a", "n", "family")))
+    named = passed(named, some_of(members))  # only texts with a family are moved
     # the second order divides families that are too large to compare at once
     large = members.filter(F.col("size") > BLOCK)
     texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
     token = F.xxhash64("family", "hash").alias("token")
-    finer = families(map_batches(texts, second, "family long, node long, n long, hash long").select(token, "node", level))
+    finer = families(map_batches(texts, lean(second), "family long, node long, n long, hash long").select(token, "node", level))
     divided = with_size(large.select("node", "a", "n").join(finer, "node").select("node", "a", "n", "family"))
     placed = cut(members.filter(F.col("size") <= BLOCK).unionByName(divided))
     total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -298,7 +339,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
         found = links_within(group, shingle, percent, words)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    links = by_group(members, "unit", verify, "a long, b long")
+    links = by_group(members, "unit", lean_group(verify), "a long, b long")
     # an id with several texts connects their sets
     several = usable.join(sets.select("a", "b", "node"), ["a", "b"]).select("id", "node")
     several = several.filter("id != node").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,14 +76,46 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def where_text(docs: DataFrame, text_col: str, test: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """The rows whose text passes a test of Arrow arrays: texts go to Python, one boolean each comes back."""
+def where(docs: DataFrame, column: str, test: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows whose value passes a test of Arrow arrays: one column goes to Python, one boolean a row comes back."""
     ship(docs.sparkSession)
 
-    def passes(text: pa.Array) -> pa.Array:
-        return test(text)
+    def passes(values: pa.Array) -> pa.Array:
+        return test(values)
 
-    return docs.where(F.arrow_udf(passes, "boolean")(docs[text_col]))
+    return docs.where(F.arrow_udf(passes, "boolean")(docs[column]))
+
+
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system; workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches that gives memory back before its first and after each of its results."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for found in run(batches):
+            yield found
+            release()
+
+    return runs
+
+
+def lean_group(run: Callable) -> Callable:
+    """A function of groups that gives memory back after each."""
+
+    def runs(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return runs
 
 
 def by_group(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:

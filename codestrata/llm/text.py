@@ -141,8 +141,10 @@ class Words:
         return b" ".join(raw if keep is None else [raw[j] for j in np.flatnonzero(keep[: b - a])])
 
 
-def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, terms: bool = False) -> Iterator[tuple[int, Words]]:
-    """Runs of texts of about SLICE_BYTES, with the place of their first; a null counts as empty."""
+def slices(
+    column: pa.Array | pa.ChunkedArray, lower: bool = False, terms: bool = False, size: int = SLICE_BYTES
+) -> Iterator[tuple[int, Words]]:
+    """Runs of texts of about `size` bytes, with the place of their first; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -153,7 +155,7 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, terms: bool
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         yield first, Words(data[at[first] : at[last]], at[first : last + 1] - at[first], lower, terms)
         first = last
 

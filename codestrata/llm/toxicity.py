@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.tables import cut, map_batches, remainder, table, where_text
+from codestrata.llm.tables import cut, map_batches, remainder, table, where
 from codestrata.llm.text import lowered, mix, slices
 
 FIT_ROWS = 20_000  # labelled rows for lexicon, trust and calibration, at most
@@ -418,7 +418,7 @@ def without(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     def clean(text: pa.Array) -> pa.Array:
         return pa.array(model.score(*model.voters.votes(text)) < threshold)
 
-    return where_text(docs, "text", clean)
+    return where(docs, "text", clean)
 
 
 def query(spark, sf_dir):
