@@ -14,16 +14,24 @@ from codestrata.llm import bpe, decontamination, jaccard, suffixes, toxicity
 from codestrata.llm.tables import remove, shared_folder, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 LEFT: dict[tuple[str, str], list[str]] = {}  # what the last stage over a folder has staged, by application and folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS texts at once between Spark and Python, from here on in this session."""
+    now = int(spark.conf.get(BATCH_CONF))
+    spark.conf.set(BATCH_CONF, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
 def alone(stage: Stage) -> Stage:
-    """The stage, after the tables that the stage before it over the same documents has staged are removed.
+    """The stage, with small batches, after the tables that the stage before it over the same documents has staged are removed.
 
     That stage's rows are written by then.  Tables that other operators have staged are not touched.
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         key = (spark.sparkContext.applicationId, sf_dir)
         remove(spark, LEFT.pop(key, []))
         before = set(staged(spark))
