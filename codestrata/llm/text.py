@@ -142,9 +142,10 @@ class Words:
 
 
 def slices(
-    column: pa.Array | pa.ChunkedArray, lower: bool = False, terms: bool = False, size: int = SLICE_BYTES
+    column: pa.Array | pa.ChunkedArray, lower: bool = False, terms: bool = False, size: int | None = None
 ) -> Iterator[tuple[int, Words]]:
-    """Runs of texts of about `size` bytes, with the place of their first; a null counts as empty."""
+    """Runs of texts of about `size` bytes (SLICE_BYTES), with the place of their first; a null counts as empty."""
+    size = SLICE_BYTES if size is None else size
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     column = column.cast(pa.large_binary()).fill_null(b"")
