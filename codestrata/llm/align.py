@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+PIECE = 64  # lengths of a that are searched at once
 
 
 class Alignment(NamedTuple):
@@ -74,6 +75,22 @@ def occurrences(
     return sorted(out, key=lambda x: x.b_start)
 
 
+def throughout(
+    a: np.ndarray, b: np.ndarray, good: Callable[[Alignment], bool], least: float, diagonal: int = 0, band: int | None = None
+) -> Iterator[Alignment]:
+    """The occurrences of a in a b of any length, in order.
+
+    A long b is taken in pieces that overlap by more than a good alignment can span; the piece in which an alignment
+    begins reports it.
+    """
+    step, done = PIECE * len(a), 0
+    for at in range(0, len(b), max(step, 1)):
+        for x in occurrences(a, b[at : at + step + 3 * len(a)], good, least, diagonal - at, band):
+            if done <= at + x.b_start < at + step:
+                done = at + x.b_end
+                yield x._replace(b_start=at + x.b_start, b_end=done)
+
+
 def near(place: np.ndarray, group: np.ndarray, gap: int) -> np.ndarray:
     """For entries sorted by (group, place): the number of their run, where runs end at a larger gap."""
     new = np.ones(len(place), bool)

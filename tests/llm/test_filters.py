@@ -1,4 +1,4 @@
-"""Quality rules, toxicity, decontamination, license scans and sharding."""
+"""Quality rules, toxicity, decontamination and sharding."""
 
 import random
 import re
@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontamination, licenses, quality, sharding, toxicity
+from codestrata.llm import decontamination, quality, sharding, toxicity
 
 from . import brute
 
@@ -195,47 +195,6 @@ def test_items_in_blocks_and_without_items(spark, monkeypatch):
     assert decontamination.contaminated(brute.table(spark, []), bench).collect() == []
 
 
-# --- licenses ------------------------------------------------------------------------
-
-
-def test_license_spans_and_edits(spark):
-    rng = random.Random(2)
-    mit = dict(licenses.TEMPLATES)["MIT-permission"]
-    edited = mit.replace("free of charge", "at no charge").replace(" and/or sell", " or sell").replace("\"", "“")
-    rows = [
-        (1, f"É {brute.sentence(rng, 30)}\nReleased under the MIT License. {brute.sentence(rng, 9)}"), (2, edited.upper()),
-        (3, "# " + mit.replace(" ", "\n# ")), (4, "license mit under released"), (5, None), (6, ""), (None, "Licensed under CC BY-NC 4.0"),
-        (7, "Licensed under the Apache License, Version 2.0. " * 3),
-    ]
-    found = licenses.scan(brute.table(spark, rows)).collect()
-    by = Counter((r.id, r.template) for r in found if r.coverage >= 0.95)
-    assert by[1, "MIT"] == 1 and by[3, "MIT-permission"] == 1 and by[None, "CC-BY-NC-4.0"] == 1 and by[7, "Apache-2.0"] == 3
-    assert any((r.id, r.template) == (2, "MIT-permission") and r.coverage > 0.9 for r in found)
-    assert not {r.id for r in found} & {4, 5, 6}
-    (one,) = [r for r in found if r.id == 1]
-    assert rows[0][1].encode()[one.byte_start : one.byte_end] == b"Released under the MIT License"
-
-
-def test_license_templates_as_a_table_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "BLOCK_WORDS", 1)
-    templates = spark.createDataFrame([("a", "one two three four five six"), ("b", "x y"), ("c", None)], "name string, text string")
-    docs = brute.table(spark, [(1, "zero ONE two, three four five six seven")])
-    assert [(r.template, r.coverage) for r in licenses.scan(docs, templates).collect()] == [("a", 1.0)]
-    assert licenses.scan(docs, templates.filter("name = 'z'")).collect() == [] == licenses.scan(brute.table(spark, [])).collect()
-
-
-def test_winnowing_keeps_the_least_of_each_window():
-    rng = np.random.default_rng(5)
-    h, text = rng.integers(0, 6, 200).astype(np.uint64), np.repeat([0, 1, 2, 3], [90, 2, 8, 100])
-    want = set()
-    for t in range(4):
-        own = np.flatnonzero(text == t)
-        for a in range(max(1, len(own) - licenses.WINDOW + 1)):
-            window = own[a : a + licenses.WINDOW]
-            want.add(int(max(window, key=lambda i: (-int(h[i]), i))))
-    assert want <= set(licenses.winnowed(h, text).tolist())
-
-
 # --- sharding ------------------------------------------------------------------------
 
 
