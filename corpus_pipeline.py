@@ -14,7 +14,7 @@ from codestrata.llm import bpe, decontamination, jaccard, suffixes, toxicity
 from codestrata.llm.tables import remove, shared_folder, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 200
 LEFT: dict[tuple[str, str], list[str]] = {}  # what the last stage over a folder has staged, by application and folder
 
 
