@@ -34,7 +34,7 @@ from codestrata.llm.text import BASE, Words, lists, mix, slices
 
 SHINGLE, PERCENT = 5, 80
 SLOT_BITS = 24  # word counts take a byte for each of so many slots: 16 MB in each task
-UNIT_SHINGLES = 1_000_000  # in texts that a task compares at once
+UNIT_SHINGLES = 250_000  # in texts that a task compares at once
 SLICE = 1 << 18  # bytes of text whose sets a task holds at once, or one longer text
 MEMBER_BITS = 26  # a filter of ids is a bit for each of so many slots: 8 MB in each task
 BLOCK = 800  # members of a large family in one block
