@@ -9,8 +9,8 @@ compared only if that holds in all of several orders:
 
 Copies (equal sets) are one representative.  Sharing a prefix token and having sizes that fit puts representatives into
 one family, and families that are too large to compare at once are divided by the second order.  Nothing is paired up to
-get there: a bucket of a token links its members to its smallest one, and families are connected components.  Within a
-family (large ones in blocks, each pair of blocks once) inverted indexes over the prefixes of all orders are intersected
+get there: the members of a token are linked one to the next, in the order of their sizes, after each task has linked its
+own and kept one of them; families are connected components.  Texts move as compressed bytes.  Within a family (large ones in blocks, each pair of blocks once) inverted indexes over the prefixes of all orders are intersected
 for the candidates, and those not yet connected are verified on their whole sets.
 
 The join's result is the components of all links.  No link between representatives is lost: a pair is left out only if a
@@ -24,7 +24,8 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.graph import components
@@ -38,6 +39,8 @@ UNIT_SHINGLES = 250_000  # in texts that a task compares at once
 SLICE = 1 << 18  # bytes of text whose sets a task holds at once, or one longer text
 MEMBER_BITS = 26  # a filter of ids is a bit for each of so many slots: 8 MB in each task
 BLOCK = 800  # members of a large family in one block
+BLOCK_SHINGLES = 2_000_000  # and the shingles of a block, about, if its texts are long
+HEADS = 1 << 19  # prefix tokens that a task links at once
 ORDERS = ("rare", "hash", "mixed")
 SEEDS = {"rare": 11, "hash": 23, "mixed": 37}
 
@@ -199,18 +202,94 @@ def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFram
     return map_batches(docs, lean(run), "id long, n long, a long, b long, prefix array<long>")
 
 
-def families(tokens: DataFrame) -> DataFrame:
-    """(node, family) of nodes that share a token with a node of a fitting size; tokens has token, node, level.
+def linked(token: np.ndarray, level: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """One head for each token and level, and for each node that shares them the link to that head.
 
-    Sizes that fit are in the same class of sizes or in neighbouring ones, and a bucket has two neighbouring classes.
+    Links have a token of their own and no level, so that they are no task's work either.
     """
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    alive = tokens.join(shared.hint("merge"), "token")  # both sides grow with the corpus: never a broadcast
-    placed = alive.select("token", "node", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
-    placed = placed.select(F.xxhash64("token", "level").alias("key"), "node")
-    first = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    edges = placed.join(first.hint("merge"), "key").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a > b")
-    return components(edges).withColumnRenamed("component", "family")
+    by = np.lexsort((node, level, token))
+    token, level, node = token[by], level[by], node[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (token[1:] != token[:-1]) | (level[1:] != level[:-1])
+    head = node[new][np.cumsum(new) - 1] if len(by) else node
+    other = node != head
+    links = np.unique(np.stack([node[other], head[other]]), axis=1)
+    own = mix(links[0].view(np.uint64) ^ mix(links[1].view(np.uint64))).view(np.int64)
+    none = np.zeros(links.shape[1], np.int16)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([token[new], own])),
+            pa.array(np.concatenate([level[new], none]), mask=np.arange(new.sum() + len(none)) >= new.sum()),
+            pa.array(np.concatenate([node[new], links[0]])),
+            pa.array(np.concatenate([np.zeros(new.sum(), np.int64), links[1]]), mask=np.arange(new.sum() + len(none)) < new.sum()),
+        ],
+        ["token", "level", "node", "head"],
+    )
+
+
+def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of (node, level, tokens) rows, linked for about HEADS of them at a time."""
+    held, n = [], 0
+    for batch in batches:
+        tokens = batch["tokens"]
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = tokens.flatten().to_numpy(zero_copy_only=False)
+        node, level = (np.repeat(batch[c].to_numpy(zero_copy_only=False), sizes) for c in ("node", "level"))
+        for at in range(0, len(flat), HEADS):
+            held.append((flat[at : at + HEADS], level[at : at + HEADS], node[at : at + HEADS]))
+            n += len(held[-1][0])
+            if n >= HEADS:
+                yield linked(*(np.concatenate(part) for part in zip(*held)))
+                held, n = [], 0
+    if n:
+        yield linked(*(np.concatenate(part) for part in zip(*held)))
+
+
+def families(sets: DataFrame) -> DataFrame:
+    """(node, family) of nodes that share a token with a node of a fitting size; sets has node, level, tokens.
+
+    Sizes that fit are in the same class of sizes (level) or in neighbouring ones.  The members of a token are linked in the
+    order of their levels, each to the one before it unless a level lies between them.  A token that very many sets
+    have is a row for each task that has met it and each level.
+    """
+    rows = map_batches(sets.select("node", "level", "tokens"), lean(heads), "token long, level short, node long, head long")
+    before = Window.partitionBy("token").orderBy("level", "node")  # links have no level: they come first
+    near = F.col("level") - F.lag("level").over(before) <= 1
+    other = F.coalesce("head", F.when(near, F.lag("node").over(before)))
+    return components(rows.select(F.col("node").alias("a"), other.alias("b")).filter("a != b")).withColumnRenamed("component", "family")
+
+
+def small(docs: DataFrame) -> DataFrame:
+    """The documents with compressed texts; a null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in batch["text"].cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.binary())], ["id", "text"])
+
+    return map_batches(docs.select("id", "text"), lean(run), "id long, text binary")
+
+
+def whole(column: pa.Array | pa.ChunkedArray, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """Compressed texts as they were, some of about `size` bytes at a time, with the place of their first."""
+    expand = zstandard.ZstdDecompressor()
+    first, held, n = 0, [], 0
+    for i, x in enumerate(column):
+        held.append(expand.decompress(x.as_buffer()))
+        n += len(held[-1])
+        if n >= size:
+            yield first, pa.array(held, pa.large_binary())
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, pa.array(held, pa.large_binary())
+
+
+def words_of(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, Words]]:
+    """Slices of compressed texts."""
+    for start, texts in whole(column, SLICE):
+        for first, w in slices(texts, lower=True, size=SLICE):
+            yield start + first, w
 
 
 def links_within(group: pa.Table, k: int, percent: int, words: Counts) -> list[tuple[int, int]]:
@@ -221,7 +300,7 @@ def links_within(group: pa.Table, k: int, percent: int, words: Counts) -> list[t
     rows = {c: group[c].combine_chunks() for c in ("node", "a", "family", "side", "text")}
     node, digest, family, side = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "a", "family", "side"))
     tokens, prefixes = [], {order: [] for order in ORDERS}
-    for first, w in slices(rows["text"], lower=True, size=SLICE):
+    for first, w in words_of(rows["text"]):
         sets = Sets(w, k, words)
         own = sets.digests()[0].view(np.int64) == digest[first : first + len(w)]  # an id with several texts: the right one
         tokens += [sets.token[x:y] if ok else None for x, y, ok in zip(sets.off, sets.off[1:], own)]
@@ -303,32 +382,31 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, w in slices(batch["text"], lower=True, size=SLICE):
+            for first, w in words_of(batch["text"]):
                 found, own = Sets(w, shingle, words), batch.slice(first, len(w))
                 token, count = found.prefixes("hash", percent, shared=True)
                 right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)  # of an id's texts
-                keep = np.repeat(right, count)
-                at = pa.array(np.repeat(np.arange(len(w)), count)[keep])
-                columns = [own[c].take(at) for c in ("family", "node", "n")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(token[keep].view(np.int64))], ["family", "node", "n", "hash"])
+                family = mix(own["family"].to_numpy(zero_copy_only=False).view(np.uint64))
+                token = mix(token ^ np.repeat(family, count))[np.repeat(right, count)]
+                tokens = lists(token.view(np.int64), np.where(right, count, 0), pa.int64())
+                yield pa.RecordBatch.from_arrays([own["node"], own["n"], tokens], ["node", "n", "tokens"])
 
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
-    close = families(usable.select(F.explode("prefix").alias("token"), F.col("id").alias("node"), level))
+    close = families(usable.select(F.col("id").alias("node"), level, F.col("prefix").alias("tokens")))
     members = cut(with_size(sets.join(close.hint("merge"), "node").select("node", "a", "n", "family")))
-    named = passed(named, some_of(members))  # only texts with a family are moved
+    named = small(passed(named, some_of(members)))  # only texts with a family are moved
     # the second order divides families that are too large to compare at once
-    large = members.filter(F.col("size") > BLOCK)
+    large = members.filter(F.col("blocks") > 1)
     texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
-    token = F.xxhash64("family", "hash").alias("token")
-    finer = families(map_batches(texts, lean(second), "family long, node long, n long, hash long").select(token, "node", level))
+    finer = families(map_batches(texts, lean(second), "node long, n long, tokens array<long>").select("node", level, "tokens"))
     divided = with_size(large.select("node", "a", "n").join(finer, "node").select("node", "a", "n", "family"))
-    placed = cut(members.filter(F.col("size") <= BLOCK).unionByName(divided))
+    placed = cut(members.filter(F.col("blocks") <= 1).unionByName(divided))
     total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     units = max(1, -(-total // UNIT_SHINGLES))
     # a large family is compared in pairs of blocks, each pair in a unit of its own; small families share units
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = placed.select("node", "a", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), other)
+    dealt = placed.select("node", "a", "family", "blocks", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), other)
     pair = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(pair)
     dealt = dealt.select("node", "a", "family", unit.alias("unit"), (F.col("block") > F.col("other")).cast("int").alias("side"))
@@ -343,8 +421,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     # an id with several texts connects their sets
     several = usable.join(sets.select("a", "b", "node"), ["a", "b"]).select("id", "node")
     several = several.filter("id != node").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
-    whole = several.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(several.select(F.col("id").alias("a"), F.col("x").alias("b")))
-    found = components(links.unionAll(whole))
+    same = several.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(several.select(F.col("id").alias("a"), F.col("x").alias("b")))
+    found = components(links.unionAll(same))
     of = sets.select("a", "b", "node").join(found, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
     rows = signed.select("id", "n", "a", "b").join(of.hint("merge"), ["a", "b"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
@@ -352,9 +430,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
 
 
 def with_size(members: DataFrame) -> DataFrame:
-    """Members of families of at least two, with their family's size."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1")
-    return members.join(sizes, "family").select("node", "a", "n", "family", "size")
+    """Members of families of at least two, with the number of blocks that their family is compared in."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("mass")).filter("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    return members.join(sizes.select("family", blocks), "family").select("node", "a", "n", "family", "blocks")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -67,3 +67,21 @@ def test_components_when_tasks_merge_little(spark, monkeypatch):
     monkeypatch.setattr(graph, "EDGES", 7)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(5)
     assert {r.component for r in graph.components(edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("held", [1 << 19, 3])
+def test_families_follow_tokens_and_sizes(spark, monkeypatch, held):
+    monkeypatch.setattr(jaccard, "HEADS", held)
+    rng = random.Random(5)
+    sets = [(node, rng.randrange(9), [rng.randrange(40) for _ in range(rng.randrange(4))]) for node in range(60)]
+    sets.append((7, sets[7][1], sets[7][2]))  # a repeated row
+    top = {node: node for node, _, _ in sets}
+    for _ in sets:  # until nothing changes
+        for a, la, ta in sets:
+            for b, lb, tb in sets:
+                if abs(la - lb) <= 1 and set(ta) & set(tb):
+                    top[a] = top[b] = min(top[a], top[b])
+    frame = spark.createDataFrame(sets, "node long, level short, tokens array<long>").repartition(3)
+    found = {r.node: r.family for r in jaccard.families(frame).collect()}
+    alone = {node for node in top if list(top.values()).count(top[node]) == 1}
+    assert found == {node: family for node, family in top.items() if node not in alone}
