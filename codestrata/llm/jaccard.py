@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.graph import components
 from codestrata.llm.passages import packed, unpacked
-from codestrata.llm.tables import by_group, cut, lean, lean_group, map_batches, table, where
+from codestrata.llm.tables import by_group, cut, lean, lean_group, map_batches, table
 from codestrata.llm.text import BASE, Words, lists, mix, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -115,16 +115,6 @@ def slot_of(ids: pa.Array) -> np.ndarray:
     return mix(values + BASE) >> np.uint64(64 - MEMBER_BITS)
 
 
-def passed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The documents whose id passes a filter, before their texts are moved."""
-
-    def test(ids: pa.Array) -> pa.Array:
-        slot = slot_of(ids)
-        return pa.array((bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0)
-
-    return where(docs, "id", test)
-
-
 class Sets:
     """The shingle sets of some texts: text i has the tokens token[off[i]:off[i + 1]], in ascending order."""
 
@@ -208,20 +198,21 @@ def linked(token: np.ndarray, level: np.ndarray, node: np.ndarray) -> pa.RecordB
     Links have a token of their own and no level, so that they are no task's work either.
     """
     by = np.lexsort((node, level, token))
-    token, level, node = token[by], level[by], node[by]
     new = np.ones(len(by), bool)
-    new[1:] = (token[1:] != token[:-1]) | (level[1:] != level[:-1])
-    head = node[new][np.cumsum(new) - 1] if len(by) else node
-    other = node != head
-    links = np.unique(np.stack([node[other], head[other]]), axis=1)
+    new[1:] = (token[by[1:]] != token[by[:-1]]) | (level[by[1:]] != level[by[:-1]])
+    head = node[by[new]][np.cumsum(new) - 1]
+    other = node[by] != head
+    links = np.unique(np.stack([node[by][other], head[other]]), axis=1)
     own = mix(links[0].view(np.uint64) ^ mix(links[1].view(np.uint64))).view(np.int64)
-    none = np.zeros(links.shape[1], np.int16)
+    first = np.sort(by[new])  # in the order of the rows: one node's tokens side by side are smaller in a shuffle
+    n, none = len(first), np.zeros(links.shape[1], np.int16)
+    link = np.arange(n + len(none)) >= n
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([token[new], own])),
-            pa.array(np.concatenate([level[new], none]), mask=np.arange(new.sum() + len(none)) >= new.sum()),
-            pa.array(np.concatenate([node[new], links[0]])),
-            pa.array(np.concatenate([np.zeros(new.sum(), np.int64), links[1]]), mask=np.arange(new.sum() + len(none)) < new.sum()),
+            pa.array(np.concatenate([token[first], own])),
+            pa.array(np.concatenate([level[first], none]), mask=link),
+            pa.array(np.concatenate([node[first], links[0]])),
+            pa.array(np.concatenate([np.zeros(n, np.int64), links[1]]), mask=~link),
         ],
         ["token", "level", "node", "head"],
     )
@@ -259,12 +250,15 @@ def families(sets: DataFrame) -> DataFrame:
     return components(rows.select(F.col("node").alias("a"), other.alias("b")).filter("a != b")).withColumnRenamed("component", "family")
 
 
-def small(docs: DataFrame) -> DataFrame:
-    """The documents with compressed texts; a null counts as empty."""
+def moved(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The documents whose id passes a filter, with compressed texts; a null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            slot = slot_of(batch["id"])
+            passes = (bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0
+            batch = batch.filter(pa.array(passes))
             texts = [squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in batch["text"].cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.binary())], ["id", "text"])
 
@@ -394,7 +388,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
     close = families(usable.select(F.col("id").alias("node"), level, F.col("prefix").alias("tokens")))
     members = cut(with_size(sets.join(close.hint("merge"), "node").select("node", "a", "n", "family")))
-    named = small(passed(named, some_of(members)))  # only texts with a family are moved
+    named = moved(named, some_of(members))  # only texts with a family
     # the second order divides families that are too large to compare at once
     large = members.filter(F.col("blocks") > 1)
     texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
