@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 65_536
+BLOCK = 8_192  # of the order column: a repository is dealt over many tasks
 STAGED: dict[str, list[str]] = {}  # folders that this process has written, by application
 KEPT: dict[str, dict] = {}  # what is made once and stands on such folders, by application
 Made = TypeVar("Made")

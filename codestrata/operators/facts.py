@@ -103,7 +103,9 @@ def todos(content: Column) -> Column:
         ),
     )
     kind = "array<struct<line:int,kind:string,text:string>>"
-    return F.when(F.contains(content, F.lit("#")), rows.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
+    # lines are told apart only in a text that has a match at all
+    some = F.contains(content, F.lit("#")) & T.has(content, R.TODO_MARK)
+    return F.when(some, rows.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def secret_lines(content: Column) -> Column:
@@ -171,7 +173,7 @@ def file_secrets(content: Column) -> Column:
 def sql_strings(content: Column) -> Column:
     kind = "array<struct<line:int,description:string>>"
 
-    def rule(pattern: str, needed: str) -> Column:
+    def rule(pattern: str, needed: list[str]) -> Column:
         found = F.transform(
             T.matches_with_lines(content, pattern),
             lambda m: F.struct(
@@ -179,9 +181,12 @@ def sql_strings(content: Column) -> Column:
                 F.concat(F.lit("Potential SQL injection via string formatting: "), m["match"]).alias("description"),
             ),
         )
-        return F.when(F.contains(content, F.lit(needed)), found.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
+        return F.when(T.holds_any(C("lowered"), needed), found.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
 
-    return F.concat(*(rule(*r) for r in R.SQL_INJECTION))
+    # every match holds a quote and a keyword
+    possible = T.holds_any(content, ["'", '"']) & T.holds_any(C("lowered"), R.SQL_WORDS)
+    every = F.concat(*(rule(*r) for r in R.SQL_INJECTION))
+    return F.when(possible, every).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def auth_name(content: Column) -> Column:

@@ -58,6 +58,7 @@ JS_IMPORT = (
     r"""|require\(['"]([@\w/.-]+)['"]\))"""
 )
 TODO = r"(?i)#\s*(TODO|FIXME|HACK|XXX|NOTE)\s*:?\s*(.*)"
+TODO_MARK = r"(?i)#\s*(?:TODO|FIXME|HACK|XXX|NOTE)"  # which every match of TODO begins with
 
 # --- fixed values: line-level secrets ------------------------------------------------
 LINE_SECRETS = [
@@ -261,14 +262,15 @@ FILE_SECRETS = [
     ("github-token", r"\bghp_[a-zA-Z0-9]{36}\b", "critical"),
     ("jwt-secret", r"""(?i)jwt[_\-. ]?secret\s*[=:]\s*['"][^'"]{6,}['"]""", "high"),
 ]
-# (pattern, text that any match must contain)
+# (pattern, texts one of which any match holds in lower case)
 SQL_INJECTION = [
-    (r"""(?i)(?:SELECT|INSERT|UPDATE|DELETE|WHERE|FROM)\s.*?['"]\s*%\s*\w""", "%"),
-    (r"""(?i)["']\s*\+\s*\w+\s*\+\s*["']\s*.*(?:SELECT|WHERE|FROM|INSERT|UPDATE|DELETE)""", "+"),
-    (r"""(?i)f['"](?:SELECT|INSERT|UPDATE|DELETE|WHERE|FROM).*\{""", "{"),
-    (r"""(?i)["'].*(?:SELECT|WHERE|FROM).*['"]\.format\(""", "("),
-    (r"""(?i)["'].*(?:WHERE|SELECT|FROM|INSERT|UPDATE|DELETE)[^'"]*['"][^)]*%\s+\w""", "%"),
+    (r"""(?i)(?:SELECT|INSERT|UPDATE|DELETE|WHERE|FROM)\s.*?['"]\s*%\s*\w""", ["%"]),
+    (r"""(?i)["']\s*\+\s*\w+\s*\+\s*["']\s*.*(?:SELECT|WHERE|FROM|INSERT|UPDATE|DELETE)""", ["+"]),
+    (r"""(?i)f['"](?:SELECT|INSERT|UPDATE|DELETE|WHERE|FROM).*\{""", ["f'", 'f"']),
+    (r"""(?i)["'].*(?:SELECT|WHERE|FROM).*['"]\.format\(""", [".format("]),
+    (r"""(?i)["'].*(?:WHERE|SELECT|FROM|INSERT|UPDATE|DELETE)[^'"]*['"][^)]*%\s+\w""", ["%"]),
 ]
+SQL_WORDS = ["select", "insert", "update", "delete", "where", "from"]
 AUTH_PATTERNS = [
     ("jwt", r"""(?i)\bimport\s+jwt\b|\bfrom\s+(?:jwt|jose|pyjwt)\b|require\s*\(\s*['"]jsonwebtoken['"]"""),
     ("flask-login", r"(?i)\bfrom\s+flask_login\b|\bimport\s+flask_login\b"),

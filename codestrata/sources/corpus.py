@@ -15,10 +15,10 @@ import json
 from dataclasses import dataclass, replace
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import position_in_key, stage
+from ..functions.scale import kept, position_in_key, stage
 from ..operators.facts import ignore_rules
 
 
@@ -47,19 +47,29 @@ def fixture_templates() -> list[tuple[int, int, str, str]]:
     return [tuple(json.loads(row)) for row in source.splitlines()]
 
 
-def derived_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
-    """One file per document; ``shift`` moves every document to a later template.
+def placed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, text and n, the position of a document in its repository."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chosen = documents.select(F.col("source").alias("repo"), "text", "doc_id")
+    return position_in_key(chosen, "repo", "doc_id", "n").drop("doc_id")
+
+
+def escaped(text: Column) -> Column:
+    """A text as it stands in a JSON string."""
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
 
-    Two shifts of the same documents are two states of the same repositories.
+
+def files_of(placed: DataFrame, shift: int = 0) -> DataFrame:
+    """One file per placed document; ``shift`` moves every document to a later template.
+
+    Two shifts of the same documents are two states of the same repositories.  Nothing is shuffled here.
     """
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # 60 rows whatever the data's size, so the broadcast is bounded
-    templates = spark.createDataFrame(
+    templates = placed.sparkSession.createDataFrame(
         fixture_templates(), "arch int, k int, template_path string, body string"
     )
-    placed = position_in_key(
-        documents.select(F.col("source").alias("repo"), "text", "doc_id"), "repo", "doc_id", "n"
-    )
     slot = (
         placed.withColumn("k", ((F.col("n") + shift) % 12).cast("int"))
         .withColumn("arch", F.expr("cast(substr(repo, 4) as int) % 5"))
@@ -69,23 +79,27 @@ def derived_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame
     number = F.col("n").cast("string")
     folder = F.when(F.col("copy") == 0, "").otherwise(F.concat(F.lit("pkg"), F.col("copy").cast("string"), F.lit("/")))
     body = F.replace("body", F.lit("{nn}"), F.lpad((F.col("n") % 100).cast("string"), 2, "0"))
-    body = F.replace(body, F.lit("{n}"), number)
     text = F.coalesce("text", F.lit(""))
-    body = F.replace(body, F.lit("{hashed}"), F.replace(text, F.lit("\n"), F.lit("\n# ")))
-    body = F.replace(body, F.lit("{slashed}"), F.replace(text, F.lit("\n"), F.lit("\n// ")))
-    quoted = text
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
-    body = F.replace(body, F.lit("{json}"), quoted)
-    body = F.replace(body, F.lit("{text}"), text)
-    words = F.concat(F.lit("# "), F.replace(text, F.lit(" "), F.lit("\n# ")))
-    body = F.replace(body, F.lit("{words}"), words)
-    return slot.select(
-        "repo",
-        "n",
-        F.concat(folder, "template_path").alias("path"),
-        body.alias("content"),
-    ).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+    inserted = {
+        "{hashed}": F.replace(text, F.lit("\n"), F.lit("\n# ")),
+        "{slashed}": F.replace(text, F.lit("\n"), F.lit("\n// ")),
+        "{json}": escaped(text),
+        "{text}": text,
+        "{words}": F.concat(F.lit("# "), F.replace(text, F.lit(" "), F.lit("\n# "))),
+    }
+    rows = slot.withColumn("content", F.replace(body, F.lit("{n}"), number))
+    for mark, value in inserted.items():  # a form of the text is made for the files only that hold its mark
+        here = F.contains("content", F.lit(mark))
+        rows = rows.withColumn("content", F.when(here, F.replace("content", F.lit(mark), value)).otherwise(F.col("content")))
+    return rows.select(
+        "repo", "n", F.concat(folder, "template_path").alias("path"), "content",
+        F.octet_length("content").cast("bigint").alias("size_bytes"),
+    )
+
+
+def derived_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """One file per document, as files_of gives them."""
+    return files_of(placed_documents(spark, sf_dir), shift)
 
 
 def derived_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +143,12 @@ def staged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def later_corpus(spark: SparkSession, sf_dir: str, earlier: Corpus, shift: int = 1) -> Corpus:
-    """A later state of all repositories: every document some templates on, the history as before."""
-    files = stage(derived_files(spark, sf_dir, shift), "files")
-    return replace(earlier, files=files, rules=stage(ignore_rules(files), "rules"))
+    """A later state of all repositories: every document some templates on, the history as before.
+
+    Documents are placed once for all later states; a state's files are a projection of them, which is not written.
+    """
+    placed = kept(spark, ("placed", sf_dir), lambda: stage(placed_documents(spark, sf_dir), "placed"))
+    files = files_of(placed, shift)
+    # the few root files that hold rules are written first, so that their patterns are not tested row by row in a join
+    ignores = stage(files.where(F.col("path") == ".gitignore"), "ignores")
+    return replace(earlier, files=files, rules=stage(ignore_rules(ignores), "rules"))
