@@ -210,10 +210,11 @@ SIGNALS: dict[str, tuple[str, ...]] = {
 }
 
 
-def facts_for(corpus: Corpus, analyses) -> DataFrame:
-    """Facts with the signals of the analyses only; the other signals are null columns that were never extracted."""
+def facts_for(corpus: Corpus, analyses, lists: list[str] = ()) -> DataFrame:
+    """Facts with the signals of the analyses and lists only; the other signals are null columns that were never extracted."""
     kinds = kept(corpus.files.sparkSession, "signal types", lambda: {f.name: f.dataType for f in facts.facts(corpus.files).schema})
-    wanted = facts.with_implied(sorted({s for a in analyses or ANALYSES for s in SIGNALS.get(a, ())}))
+    chosen = {s for a in analyses or ANALYSES for s in SIGNALS.get(a, ())} | {s for name in lists for s in LISTS[name][1]}
+    wanted = facts.with_implied(sorted(chosen))
     rows = staged_facts(corpus, *wanted)
     return rows.withColumns({s: F.lit(None).cast(kinds[s]) for s in facts.signals() if s not in wanted})
 
@@ -282,10 +283,16 @@ def written(corpus: Corpus, snapshot_id: str) -> str:
 
 
 def write_for_diff(corpora: dict[str, Corpus], folder: str) -> str:
-    """Snapshots of several states with what a comparison reads: debt reports, findings and scored files."""
+    """Snapshots of several states with what a comparison reads: debt reports, findings and scored files.
+
+    The files of a state are read once for all three.
+    """
+    lists = ["findings", "scored_files"]
     for snapshot_id, corpus in corpora.items():
-        items = report_items(corpus, ["findings", "scored_files"])
-        write_snapshot(full_report(corpus, ["debt"]), folder, snapshot_id, generated_at(snapshot_id), items)
+        every = facts_for(corpus, ["debt"], lists)
+        report = report_over(every, corpus.commits, corpus.commit_files, ["debt"])
+        items = items_over(every, corpus.commit_files, lists)
+        write_snapshot(report, folder, snapshot_id, generated_at(snapshot_id), items)
     return folder
 
 
