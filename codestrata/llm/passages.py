@@ -103,7 +103,10 @@ class Search:
     without an id take no part: nothing is smaller or larger than they are.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, gram: int = GRAM, hot: int = HOT) -> None:
+    def __init__(
+        self, docs: DataFrame, id_col: str, text_col: str, size: int, gram: int = GRAM, hot: int = HOT,
+        block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    ) -> None:
         self.size, self.gram = size, gram
         named = identified(docs, id_col, text_col).filter("id is not null")
         found = cut(anchors(named, size, gram))
@@ -121,8 +124,8 @@ class Search:
         )
         joined = cut(named.join(places, ["id", "key"]))
         total = joined.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.blocks = max(1, -(-total // BLOCK_BYTES))
-        self.buckets = max(1, -(-total // BUCKET_BYTES))
+        self.blocks = max(1, -(-total // block_bytes))
+        self.buckets = max(1, -(-total // bucket_bytes))
         self.candidates = joined.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.lit(self.blocks)))
 
 

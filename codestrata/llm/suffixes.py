@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from codestrata.llm.passages import (
     HOT, REMOVED, SIZE, Part, Search, all_changes, covered, packed, removed, unpacked, windows, with_verdicts,
 )
-from codestrata.llm.tables import by_group, by_groups, table
+from codestrata.llm.tables import by_group, by_groups, lean_group, table
 from codestrata.llm.text import BASE, mix, window_hashes
 
 STEP = 1 << 14  # places whose contexts are built at once
+SMALL = 3 << 20  # bytes of text in blocks and buckets where other stages' memory is held as well
 
 
 def context(part: Part, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -212,8 +213,8 @@ def changes(search: Search, layout: bool) -> DataFrame:
             out.append((part, covered(part.words, np.concatenate([place[suffix] - way, start[later]]), size)))
         return removed(out, layout)
 
-    asked = by_group(search.candidates, "block", ask, ASKED)
-    answers = by_group(asked, "bucket", answer, "block long, bucket long, repeated binary, owners binary")
+    asked = by_group(search.candidates, "block", lean_group(ask), ASKED)
+    answers = by_group(asked, "bucket", lean_group(answer), "block long, bucket long, repeated binary, owners binary")
     return by_groups(search.candidates, answers, "block", apply, REMOVED)
 
 
@@ -227,12 +228,12 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
     return with_verdicts(docs, search, changes(search, layout=False), id_col, text_col)
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, part_bytes: int = SMALL) -> DataFrame:
     """The documents with their columns, repeated passages cut from the text and n_chars brought up to date.
 
     What stays keeps its white space.  A document all of whose words go is dropped; others stay, null texts and ids too.
     """
-    search = Search(docs, "doc_id", "text", size)
+    search = Search(docs, "doc_id", "text", size, block_bytes=part_bytes, bucket_bytes=part_bytes)
     found = all_changes(search, changes(search, layout=True)).select(
         F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept"), F.lit(True).alias("_changed")
     )
