@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import api, architecture, conventions, debt, dependencies, diff, exports, facts, history
 from ..functions.scale import kept
 from ..operators import languages, licensing, onboarding, profile, scorecard, security, setup, trend, versions
-from ..sources.corpus import Corpus, later_corpus, staged_corpus
+from ..sources.corpus import Corpus, later_corpus, projected_corpus, staged_corpus
 from . import report, streams
 
 C = F.col
@@ -22,18 +22,23 @@ class Inputs:
 
     def __init__(
         self,
-        corpus: Corpus,
+        corpus: Corpus | Callable[[], Corpus],
         signals: tuple[str, ...],
         snapshots: Callable[[], diff.Snapshots] | None = None,
         staged: bool = False,
         log: Callable[[], str] | None = None,
     ):
-        self.corpus = corpus
+        self.given = corpus
         self.signals = signals or ("manifest",)
         self.snapshots = snapshots
         self.staged = staged
         self.log = log
 
+    @cached_property
+    def corpus(self) -> Corpus:
+        """Made when a query reads it: those over stored states don't."""
+        return self.given if isinstance(self.given, Corpus) else self.given()
+
     @property
     def files(self) -> DataFrame:
         return self.corpus.files
@@ -254,20 +259,24 @@ PLANS: dict[str, Plan] = {
     "diff_findings": Plan(lambda i: i.snapshots().findings()),
     "diff_key_files": Plan(lambda i: i.snapshots().key_files()),
     "diff_recommendations": Plan(lambda i: i.snapshots().recommendations()),
-    "debt_trend": Plan(lambda i: trend.stored_trend(i.commits.sparkSession, i.log())),
+    "debt_trend": Plan(lambda i: trend.stored_trend(i.snapshots().spark, i.log())),
 }
 
 
-def corpus_for(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The derived tables, written once per application and folder, as a deployment would hold them."""
-    return kept(spark, ("corpus", sf_dir), lambda: staged_corpus(spark, sf_dir))
+def corpus_for(spark: SparkSession, sf_dir: str, compared: bool = False) -> Corpus:
+    """The derived tables, made once per application and folder: written, as a deployment would hold them.
+
+    States that are ``compared`` share one writing of the documents instead.
+    """
+    make = projected_corpus if compared else staged_corpus
+    return kept(spark, ("compared" if compared else "corpus", sf_dir), lambda: make(spark, sf_dir))
 
 
 def snapshots_for(spark: SparkSession, sf_dir: str) -> diff.Snapshots:
     """Two stored states of the corpus, written once per application and folder."""
 
     def write() -> str:
-        now = corpus_for(spark, sf_dir)
+        now = corpus_for(spark, sf_dir, True)
         return report.write_for_diff({"now": now, "later": later_corpus(spark, sf_dir, now)}, report.new_folder(spark))
 
     return diff.Snapshots(spark, kept(spark, ("snapshots", sf_dir), write), "now", "later")
@@ -277,7 +286,7 @@ def log_for(spark: SparkSession, sf_dir: str) -> str:
     """The folder of a log of five states: the two that are compared, and the debt reports of three more."""
 
     def write() -> str:
-        folder, now = snapshots_for(spark, sf_dir).folder, corpus_for(spark, sf_dir)
+        folder, now = snapshots_for(spark, sf_dir).folder, corpus_for(spark, sf_dir, True)
         for shift, state in list(enumerate(report.STATES))[2:]:
             report.write_debt(later_corpus(spark, sf_dir, now, shift), folder, state)
         return folder
@@ -287,5 +296,5 @@ def log_for(spark: SparkSession, sf_dir: str) -> str:
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = PLANS[name]
-    snapshots, log = (lambda: snapshots_for(spark, sf_dir)), (lambda: log_for(spark, sf_dir))
-    return bigints(plan.build(Inputs(corpus_for(spark, sf_dir), plan.signals, snapshots, plan.staged, log)))
+    corpus, snapshots = (lambda: corpus_for(spark, sf_dir)), (lambda: snapshots_for(spark, sf_dir))
+    return bigints(plan.build(Inputs(corpus, plan.signals, snapshots, plan.staged, lambda: log_for(spark, sf_dir))))

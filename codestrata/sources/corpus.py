@@ -142,13 +142,32 @@ def staged_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(files, commits, touched, stage(ignore_rules(files), "rules"))
 
 
+def placed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placed documents, written once for all states that are projections of them."""
+    return kept(spark, ("placed", sf_dir), lambda: stage(placed_documents(spark, sf_dir), "placed"))
+
+
+def rules_of(files: DataFrame) -> DataFrame:
+    """The ignore rules of files that are not written."""
+    # the few root files that hold rules are written first, so that their patterns are not tested row by row in a join
+    ignores = stage(files.where(F.col("path") == ".gitignore"), "ignores")
+    return stage(ignore_rules(ignores), "rules")
+
+
+def projected_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The derived corpus with files that are a projection of the placed documents, as those of later states are.
+
+    Comparisons read contents once for each state, so that the files of none of them are worth another shuffle of all texts.
+    """
+    files, commits = files_of(placed_once(spark, sf_dir)), derived_commits(spark, sf_dir)
+    touched = stage(commit_files(commits, files), "commit_files")
+    return Corpus(files, commits, touched, rules_of(files))
+
+
 def later_corpus(spark: SparkSession, sf_dir: str, earlier: Corpus, shift: int = 1) -> Corpus:
     """A later state of all repositories: every document some templates on, the history as before.
 
     Documents are placed once for all later states; a state's files are a projection of them, which is not written.
     """
-    placed = kept(spark, ("placed", sf_dir), lambda: stage(placed_documents(spark, sf_dir), "placed"))
-    files = files_of(placed, shift)
-    # the few root files that hold rules are written first, so that their patterns are not tested row by row in a join
-    ignores = stage(files.where(F.col("path") == ".gitignore"), "ignores")
-    return replace(earlier, files=files, rules=stage(ignore_rules(ignores), "rules"))
+    files = files_of(placed_once(spark, sf_dir), shift)
+    return replace(earlier, files=files, rules=rules_of(files))

@@ -8,7 +8,7 @@ from codestrata.functions import scale
 from codestrata.functions.scale import position_in_key
 from codestrata.operators import facts
 from codestrata.plans import queries, report
-from codestrata.sources.corpus import files_of, fixture_templates, later_corpus, staged_corpus
+from codestrata.sources.corpus import files_of, fixture_templates, later_corpus, projected_corpus, staged_corpus
 
 from conftest import corpus_from
 
@@ -48,6 +48,20 @@ def test_a_log_of_states_writes_no_files(spark, folder, monkeypatch):
     assert written.count("rules") == 3 and "files" not in written
 
 
+def test_compared_states_place_documents_once_and_write_no_files(spark, folder, monkeypatch):
+    monkeypatch.setitem(scale.KEPT, spark.sparkContext.applicationId, {})
+    written = labels(spark, lambda: queries.run("diff_recommendations", spark, folder))
+    assert written.count("placed") == 1 and "files" not in written and written.count("facts") == 2
+
+
+def test_a_projected_state_is_the_written_one(spark, folder):
+    rows = lambda table: sorted(map(tuple, table.collect()))
+    one, other = staged_corpus(spark, folder), projected_corpus(spark, folder)
+    for name in ("files", "commits", "commit_files", "rules"):
+        columns = getattr(one, name).columns
+        assert rows(getattr(one, name)) == rows(getattr(other, name).select(columns))
+
+
 def test_a_compared_state_is_read_once(spark, monkeypatch):
     corpus = corpus_from(spark, {"r": {"a.py": "import b\nx = 1\n", "b.py": "# TODO: x\n"}})
     monkeypatch.setattr(report, "write_snapshot", lambda *_: None)
