@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.tables import map_batches, table
+from codestrata.llm.tables import lean, map_batches, table
 
 #: Fixed: the split of byte-level BPE before its merges.
 SPLIT = (
@@ -29,8 +29,8 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 NEVER = 1 << 40  # a rank after all others
-REMEMBERED = 600_000  # words whose encodings a worker keeps
-PAIRS = 600_000  # judged pairs that a worker keeps
+REMEMBERED = 160_000  # words whose encodings a worker keeps: half of them of late, half from before
+PAIRS = 240_000  # judged pairs that a worker keeps, in halves as well
 LONG = 400  # longer words are encoded but not kept
 
 
@@ -59,12 +59,13 @@ class Codec:
         self.made: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(merges):
             self.made.setdefault(vocab[a + b], (r, vocab[a], vocab[b]))
-        self.ends = {i: self.spine(i, 1) for i in raw}
-        self.starts = {i: self.spine(i, 0) for i in raw}
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        # what was used lately, and what was used before that and goes next
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.judged: dict[tuple[int, int], bool] = {}
         # a token that its own merges don't arrive at is never the encoding of its bytes
         self.whole = {i for i in raw if i not in self.made or self.together(*self.made[i][1:]) is False}
         self.automaton(raw)
@@ -123,10 +124,15 @@ class Codec:
         """
         known = self.stable.get((a, b))
         if known is None:
-            if len(self.stable) >= PAIRS:
+            if len(self.stable) >= PAIRS // 2:  # walk() holds on to this dictionary
+                self.judged = dict(self.stable)
                 self.stable.clear()
-            rank, starts, known = self.rank, self.starts[b], True
-            for x, x_until in self.ends[a]:
+            known = self.judged.get((a, b))
+            if known is not None:
+                self.stable[a, b] = known
+                return known
+            rank, starts, known = self.rank, self.spine(b, 0), True
+            for x, x_until in self.spine(a, 1):
                 for y, y_until in starts:
                     at = rank.get((x, y))
                     if at is not None and at < x_until and at <= y_until:
@@ -174,12 +180,15 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         split = [self.pieces(text) for text in texts]
-        known = self.known
+        known, older = self.known, self.older
         new = {w for runs in split for run in runs if not isinstance(run, int) for w in run}
         new.difference_update(known)
+        again = new.intersection(older)
+        known.update((w, older.pop(w)) for w in again)
+        new -= again
         self.walk(new)
         found = [
             b"".join(run.to_bytes(4, "little") if isinstance(run, int) else b"".join([known[w] for w in run]) for run in runs)
@@ -231,7 +240,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 )
 
     kind = wanted.schema["id"].dataType.simpleString()
-    return map_batches(wanted, run, f"id {kind}, n_tokens long, ids binary, decoded string")
+    return map_batches(wanted, lean(run), f"id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def query(spark, sf_dir):

@@ -77,11 +77,17 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def where(docs: DataFrame, column: str, test: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """The rows whose value passes a test of Arrow arrays: one column goes to Python, one boolean a row comes back."""
+    """The rows whose value passes a test of Arrow arrays: one column goes to Python, one boolean a row comes back.
+
+    Workers give memory back after each batch.
+    """
     ship(docs.sparkSession)
 
     def passes(values: pa.Array) -> pa.Array:
-        return test(values)
+        try:
+            return test(values)
+        finally:
+            release()
 
     return docs.where(F.arrow_udf(passes, "boolean")(docs[column]))
 

@@ -48,6 +48,23 @@ def test_forgetting_words_changes_nothing(own, monkeypatch):
     assert [x for t in texts for x in own.encode([t])] == whole
 
 
+def test_words_used_of_late_stay_and_others_go(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "PAIRS", 40)
+    own = bpe.Codec(PATH)
+    for i in range(60):
+        own.encode([f"often new{i} more{i}"])
+        words, pairs = [*own.known, *own.older], [*own.stable, *own.judged]
+        assert len(words) == len(set(words)) <= 20 + 2 * 5 and "often" in words  # five new words a call
+    assert len(pairs) <= 40 + 2 * 20 and " new0" not in words
+
+
+def test_a_worker_remembers_little():
+    """Several workers share an executor with its heap: words and pairs of each are some 50 MB at most."""
+    assert bpe.REMEMBERED <= 160_000 and bpe.PAIRS <= 240_000
+    assert not {"ends", "starts"} & set(vars(bpe.Codec(PATH)))
+
+
 def test_awkward_tables(spark, library):
     rows = brute.awkward()
     found = bpe.encode(brute.table(spark, rows), PATH).collect()
