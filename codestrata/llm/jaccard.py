@@ -8,10 +8,15 @@ compared only if that holds in all of several orders:
 * mixed: shingles whose words are rare on the whole first.
 
 Copies (equal sets) are one representative.  Sharing a prefix token and having sizes that fit puts representatives into
-one family, and families that are too large to compare at once are divided by the second order.  Nothing is paired up to
-get there: the members of a token are linked one to the next, in the order of their sizes, after each task has linked its
-own and kept one of them; families are connected components.  Texts move as compressed bytes.  Within a family (large ones in blocks, each pair of blocks once) inverted indexes over the prefixes of all orders are intersected
-for the candidates, and those not yet connected are verified on their whole sets.
+one family.  Nothing is paired up to get there: the members of a token are linked one to the next, in the order of their
+sizes, after each task has linked its own and kept one of them; families are connected components.
+
+Such families hang together by chance the more, the larger the corpus is, so they are divided before any text moves: each
+set has a bitmap with the parity of its tokens in each slot, two bitmaps differ in no more bits than their sets differ in
+tokens, and a family keeps together what pairs within that bound connect.  Families that are still too large to compare
+at once are divided by the second order.  Texts move as compressed bytes.  Within a family (large ones in blocks by size,
+each pair of blocks whose sizes fit once) inverted indexes over the prefixes of all orders are intersected for the
+candidates, and those not yet connected are verified on their whole sets.
 
 The join's result is the components of all links.  No link between representatives is lost: a pair is left out only if a
 filter rules it out or the two are connected already.
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.graph import components
 from codestrata.llm.passages import packed, unpacked
-from codestrata.llm.tables import by_group, cut, lean, lean_group, map_batches, table
+from codestrata.llm.tables import brief_shuffles, by_group, cut, lean, lean_group, map_batches, table
 from codestrata.llm.text import BASE, Words, lists, mix, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -40,6 +45,8 @@ SLICE = 1 << 18  # bytes of text whose sets a task holds at once, or one longer
 MEMBER_BITS = 26  # a filter of ids is a bit for each of so many slots: 8 MB in each task
 BLOCK = 800  # members of a large family in one block
 BLOCK_SHINGLES = 2_000_000  # and the shingles of a block, about, if its texts are long
+BITMAP = 128  # bits of a set's bitmap, at least
+NEAR_UNIT, NEAR_BLOCK, NEAR_SHINGLES = 1_000_000, 8192, 16_000_000  # UNIT_SHINGLES, BLOCK and BLOCK_SHINGLES where bitmaps are compared
 HEADS = 1 << 19  # prefix tokens that a task links at once
 ORDERS = ("rare", "hash", "mixed")
 SEEDS = {"rare": 11, "hash": 23, "mixed": 37}
@@ -154,6 +161,20 @@ class Sets:
             out.append(mix((total[self.off[1:]] - total[self.off[:-1]]) + self.sizes().astype(np.uint64)))
         return out[0], out[1]
 
+    def bitmaps(self, percent: int) -> pa.Array:
+        """Each set's bitmap: a bit for each slot, set if an odd number of its tokens have that slot.
+
+        The slots are the lowest bits of a hash, so a bitmap is folded to half as many by the parity of its halves.
+        """
+        bits = bitmap_sizes(self.sizes(), percent)
+        start = np.concatenate([[0], np.cumsum(bits)])
+        slot = mix(self.token + np.uint64(3)) & (bits[self.text] - 1).astype(np.uint64)
+        at, n = np.unique(start[self.text] + slot.astype(np.int64), return_counts=True)
+        odd = np.zeros(start[-1], np.uint8)
+        odd[at] = n & 1
+        data = np.packbits(odd, bitorder="little")
+        return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(data)])
+
     def prefixes(self, order: str, percent: int, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of each set's prefix under an order, and how many each set has.
 
@@ -172,8 +193,13 @@ class Sets:
         return self.token[by[keep]], most
 
 
+def bitmap_sizes(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the bitmaps of sets of n tokens: the power of two from four times the tokens that a similar set may differ in."""
+    return np.int64(1) << np.ceil(np.log2(np.maximum(8 * (100 - percent) * n // (100 + percent), BITMAP))).astype(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFrame:
-    """(id, n, a, b, prefix): size, two hashes and of the first order's prefix what other sets may have, for each text."""
+    """(id, n, a, b, bits, prefix): size, two hashes, bitmap and of the first order's prefix what other sets may have, for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,12 +210,12 @@ def signatures(docs: DataFrame, k: int, percent: int, words: Counts) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"].slice(first, len(w)), pa.array(sets.sizes().astype(np.int64)), pa.array(a.view(np.int64)),
-                        pa.array(b.view(np.int64)), lists(token.view(np.int64), count, pa.int64()),
+                        pa.array(b.view(np.int64)), sets.bitmaps(percent), lists(token.view(np.int64), count, pa.int64()),
                     ],
-                    ["id", "n", "a", "b", "prefix"],
+                    ["id", "n", "a", "b", "bits", "prefix"],
                 )
 
-    return map_batches(docs, lean(run), "id long, n long, a long, b long, prefix array<long>")
+    return map_batches(docs, lean(run), "id long, n long, a long, b long, bits binary, prefix array<long>")
 
 
 def linked(token: np.ndarray, level: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -250,6 +276,84 @@ def families(sets: DataFrame) -> DataFrame:
     return components(rows.select(F.col("node").alias("a"), other.alias("b")).filter("a != b")).withColumnRenamed("component", "family")
 
 
+def near(members: DataFrame, percent: int) -> DataFrame:
+    """(node, family) of the members of families that have near bitmaps, each family divided into what these connect.
+
+    members has node, n, family, blocks, bits.  No similar pair is divided.  Of the pairs of a unit only those that connect
+    are returned, so there are fewer links than members in it.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        found = near_within(group, percent)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    dealt = dealt_out(members, percent, NEAR_UNIT, NEAR_BLOCK, NEAR_SHINGLES).select("node", "n", "family", "bits", "unit", "side")
+    return components(by_group(dealt, "unit", lean_group(run), "a long, b long")).withColumnRenamed("component", "family")
+
+
+def near_within(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the members of each family in the group whose bitmaps are near, as few as connect them.
+
+    Sides are as in links_within.
+    """
+    node, n, family, side = (group[c].to_numpy() for c in ("node", "n", "family", "side"))
+    by = np.lexsort((node, n, family))
+    node, n, family, side = node[by], n[by], family[by], side[by]
+    maps = group["bits"].combine_chunks().take(pa.array(by))
+    out = [], []
+    for first, last in zip(*runs(family)):
+        if last - first > 1:
+            own = slice(first, last)
+            for x, y in connected(n[own], side[own], maps[first:last], percent):
+                if node[own][x] != node[own][y]:
+                    out[0].append(node[own][x])
+                    out[1].append(node[own][y])
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins and ends."""
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(values)]])
+
+
+def connected(n: np.ndarray, side: np.ndarray, maps: pa.Array, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all of one family with near bitmaps; n is in ascending order, and so are the bitmaps' sizes."""
+    label = np.arange(len(n))
+    both = side.min() != side.max()
+    bits = bitmap_sizes(n, percent)
+    rows = [
+        (x, y, np.frombuffer(b"".join(maps[x:y].to_pylist()), np.uint64).reshape(y - x, -1)) for x, y in zip(*runs(bits))
+    ]  # of one size each
+    for k, (begin, end, own) in enumerate(rows):
+        folded = [(begin, own)]
+        for first, last, others in rows[k + 1 :]:
+            if percent * n[first] > 100 * n[end - 1]:
+                break
+            while others.shape[1] > own.shape[1]:
+                others = others[:, : others.shape[1] // 2] ^ others[:, others.shape[1] // 2 :]
+            folded.append((first, others))
+        for x in range(begin, end):
+            fits = np.searchsorted(n, 100 * n[x] // percent, "right")
+            for first, others in folded:
+                after, last = max(first, x + 1), min(first + len(others), fits)
+                if after >= last:
+                    continue
+                some = label[after:last] != label[x]
+                if both:
+                    some &= side[after:last] != side[x]
+                some = np.flatnonzero(some) + after
+                if not len(some):
+                    continue
+                there = others[after - first : last - first] if len(some) == last - after else others[some - first]
+                differ = np.bitwise_count(there ^ own[x - begin]).sum(axis=1, dtype=np.int64)
+                some = some[(100 + percent) * differ <= (100 - percent) * (n[some] + n[x])]
+                if len(some):
+                    labels, one = np.unique(label[some], return_index=True)
+                    label[np.isin(label, labels)] = label[x]
+                    yield from ((x, y) for y in some[one].tolist())
+
+
 def moved(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """The documents whose id passes a filter, with compressed texts; a null counts as empty."""
 
@@ -368,66 +472,88 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     One row for each input row.  Rows with one id are one document, whatever their texts; a null id links with nothing
     and its component_id is null.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = word_counts(named)
-    signed = cut(signatures(named, shingle, percent, words))
-    usable = signed.filter("n > 0 and id is not null")
-    sets = usable.groupBy("a", "b").agg(F.min("id").alias("node"), F.first("n").alias("n"))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, w in words_of(batch["text"]):
-                found, own = Sets(w, shingle, words), batch.slice(first, len(w))
-                token, count = found.prefixes("hash", percent, shared=True)
-                right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)  # of an id's texts
-                family = mix(own["family"].to_numpy(zero_copy_only=False).view(np.uint64))
-                token = mix(token ^ np.repeat(family, count))[np.repeat(right, count)]
-                tokens = lists(token.view(np.int64), np.where(right, count, 0), pa.int64())
-                yield pa.RecordBatch.from_arrays([own["node"], own["n"], tokens], ["node", "n", "tokens"])
-
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
-    close = families(usable.select(F.col("id").alias("node"), level, F.col("prefix").alias("tokens")))
-    members = cut(with_size(sets.join(close.hint("merge"), "node").select("node", "a", "n", "family")))
-    named = moved(named, some_of(members))  # only texts with a family
-    # the second order divides families that are too large to compare at once
-    large = members.filter(F.col("blocks") > 1)
-    texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
-    finer = families(map_batches(texts, lean(second), "node long, n long, tokens array<long>").select("node", level, "tokens"))
-    divided = with_size(large.select("node", "a", "n").join(finer, "node").select("node", "a", "n", "family"))
-    placed = cut(members.filter(F.col("blocks") <= 1).unionByName(divided))
-    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    units = max(1, -(-total // UNIT_SHINGLES))
-    # a large family is compared in pairs of blocks, each pair in a unit of its own; small families share units
-    blocks = F.col("blocks")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = placed.select("node", "a", "family", "blocks", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), other)
-    pair = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(pair)
-    dealt = dealt.select("node", "a", "family", unit.alias("unit"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.hint("merge")
-    members = named.join(dealt, named["id"] == dealt["node"]).drop("id")
-
-    def verify(group: pa.Table) -> pa.Table:
-        found = links_within(group, shingle, percent, words)
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-
-    links = by_group(members, "unit", lean_group(verify), "a long, b long")
-    # an id with several texts connects their sets
-    several = usable.join(sets.select("a", "b", "node"), ["a", "b"]).select("id", "node")
-    several = several.filter("id != node").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
-    same = several.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(several.select(F.col("id").alias("a"), F.col("x").alias("b")))
-    found = components(links.unionAll(same))
+    with brief_shuffles(docs.sparkSession):
+        named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        words = word_counts(named)
+        signed = cut(signatures(named, shingle, percent, words))
+        usable = signed.filter("n > 0 and id is not null")
+        sets = usable.groupBy("a", "b").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+        def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, w in words_of(batch["text"]):
+                    found, own = Sets(w, shingle, words), batch.slice(first, len(w))
+                    token, count = found.prefixes("hash", percent, shared=True)
+                    right = found.digests()[0].view(np.int64) == own["a"].to_numpy(zero_copy_only=False)  # of an id's texts
+                    family = mix(own["family"].to_numpy(zero_copy_only=False).view(np.uint64))
+                    token = mix(token ^ np.repeat(family, count))[np.repeat(right, count)]
+                    tokens = lists(token.view(np.int64), np.where(right, count, 0), pa.int64())
+                    yield pa.RecordBatch.from_arrays([own["node"], own["n"], tokens], ["node", "n", "tokens"])
+
+        level = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) + 1e-6)).cast("short").alias("level")
+        close = families(usable.select(F.col("id").alias("node"), level, F.col("prefix").alias("tokens")))
+        members = cut(with_size(sets.join(close.hint("merge"), "node"), NEAR_BLOCK, NEAR_SHINGLES))
+        close = near(members, percent)  # divides families before any text moves
+        members = cut(with_size(members.select("node", "a", "n").join(close.hint("merge"), "node"), BLOCK, BLOCK_SHINGLES))
+        named = moved(named, some_of(members))  # only texts with a family
+        # the second order divides families that are still too large to compare at once
+        large = members.filter(F.col("blocks") > 1)
+        texts = named.join(large.select("node", "a", "n", "family"), named["id"] == large["node"]).drop("id")
+        finer = families(map_batches(texts, lean(second), "node long, n long, tokens array<long>").select("node", level, "tokens"))
+        divided = with_size(large.select("node", "a", "n").join(finer, "node"), BLOCK, BLOCK_SHINGLES)
+        placed = cut(members.filter(F.col("blocks") <= 1).unionByName(divided))
+        dealt = dealt_out(placed, percent, UNIT_SHINGLES, BLOCK, BLOCK_SHINGLES).select("node", "a", "family", "unit", "side").hint("merge")
+        members = named.join(dealt, named["id"] == dealt["node"]).drop("id")
+
+        def verify(group: pa.Table) -> pa.Table:
+            found = links_within(group, shingle, percent, words)
+            return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+        links = by_group(members, "unit", lean_group(verify), "a long, b long")
+        # an id with several texts connects their sets
+        several = usable.join(sets.select("a", "b", "node"), ["a", "b"]).select("id", "node")
+        several = several.filter("id != node").groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y")
+        ends = several.select(F.col("id").alias("a"), F.col("x").alias("b"))
+        same = several.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(ends)
+        found = components(links.unionAll(same))
     of = sets.select("a", "b", "node").join(found, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component"))
     rows = signed.select("id", "n", "a", "b").join(of.hint("merge"), ["a", "b"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return rows.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def with_size(members: DataFrame) -> DataFrame:
+def with_size(members: DataFrame, block: int, shingles: int) -> DataFrame:
     """Members of families of at least two, with the number of blocks that their family is compared in."""
     sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("mass")).filter("size > 1")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    return members.join(sizes.select("family", blocks), "family").select("node", "a", "n", "family", "blocks")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("mass") / shingles)).cast("int").alias("blocks")
+    own = [c for c in ("node", "a", "n", "bits", "family") if c in members.columns]
+    return members.join(sizes.select("family", blocks), "family").select(*own, "blocks")
+
+
+def dealt_out(members: DataFrame, percent: int, unit_shingles: int, block: int, shingles: int) -> DataFrame:
+    """The members with the units that they are compared in, and their side there; with_size has given them their blocks.
+
+    Small families share units.  A large family is laid out in blocks by size, and each pair of blocks with sizes that fit is
+    a unit of its own, with sides 0 and 1; a member is a row for each of them.
+    """
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    units = max(1, -(-total // unit_shingles))
+    small = members.filter("blocks = 1").withColumns({"unit": F.pmod(F.xxhash64("family"), F.lit(units)), "side": F.lit(0)})
+    large = members.filter("blocks > 1")
+    weight = F.greatest(F.lit(1 / block), F.col("n") / shingles)
+    before = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = large.groupBy("family", "n").agg(F.count("*").alias("same"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum(F.col("same") * weight).over(before), F.lit(0.0)))
+    place = F.floor(F.col("before") + weight * F.pmod(F.xxhash64("node"), F.col("same"))).cast("int")
+    large = large.join(sizes.hint("merge"), ["family", "n"]).withColumn("block", place)
+    bounds = large.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = bounds.select("family", F.col("block").alias("other"), F.col("least").alias("from"))
+    pairs = bounds.join(other.hint("merge"), "family")
+    pairs = pairs.filter((F.col("block") <= F.col("other")) & (100 * F.col("most") >= percent * F.col("from")))
+    ends = F.when(F.col("block") == F.col("other"), F.array("block")).otherwise(F.array("block", "other"))
+    pairs = pairs.select("family", F.xxhash64("family", "block", "other").alias("unit"), F.posexplode(ends).alias("side", "block"))
+    large = large.join(pairs.hint("merge"), ["family", "block"])
+    return small.unionByName(large.select(*small.columns))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
